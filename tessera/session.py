@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,8 +74,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: by PYTHONPATH where the driver has it, else as a zip file."""
+    root = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tessera_shipped", False):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tessera-')}/tessera", "zip", root.parent, root.name)
+    sc.addPyFile(made)
+    sc._tessera_shipped = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that long texts do not meet in one batch."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
