@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, langid, licences, quality, repair, simhash, token_counts, transducer
+from tessera.llm import chat, decontaminate, html_crf, langid, licences, quality, repair, simhash, token_counts, transducer
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op2_licence_digests(spark, sf_dir):
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_crf(spark, sf_dir):
+    return html_crf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece_fst(spark, sf_dir):
     return transducer.encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = (
     (op1_quality_divergence, quality.SQL),
     (op2_licence_digests, licences.SQL),
+    (op3_html_crf, None),
     (op4_sentencepiece_fst, None),
     (op5_repair_tokens, None),
     (op6_language_id, None),
