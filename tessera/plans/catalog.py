@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import network
+from tessera.plans import daily, network, posts
 
 FLAGSHIP = "entity_support_positions"
-MODULES = (network,)
+MODULES = (network, posts, daily)
 
 
 def _rows():
