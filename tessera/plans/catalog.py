@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import daily, network, posts
+from tessera.plans import artifacts, daily, network, posts
 
 FLAGSHIP = "entity_support_positions"
-MODULES = (network, posts, daily)
+MODULES = (network, posts, daily, artifacts)
 
 
 def _rows():
