@@ -110,20 +110,21 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     return {r[0]: (list(r[1 : 1 + len(CLASSES)]), list(r[1 + len(CLASSES) :])) for r in sums.collect()}
 
 
-def _distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of an array of counts and a reference."""
-    total = float(sum(reference)) or 1.0
-    q = F.array(*[F.lit(x / total) for x in reference])
+def _shares(counts: Column) -> Column:
+    """An array of counts as shares of their sum."""
+    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(n, lambda n: F.transform(counts, lambda x: x / F.greatest(n, F.lit(1))))
 
-    def term(p, q):
-        m = (p + q) / 2
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    def of(c):
-        n = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-        return let(n, lambda n: F.aggregate(F.zip_with(c, q, lambda x, y: term(x / F.greatest(n, F.lit(1)), y)), F.lit(0.0), lambda a, x: a + x))
+def _distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares."""
+
+    def term(a, p, q):
+        m = (p + q) / 2
+        return a + F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    return F.sqrt(F.greatest(let(counts, of) / 2, F.lit(0.0)))
+    total = F.aggregate(F.arrays_zip(p.alias("p"), q.alias("q")), F.lit(0.0), lambda a, x: term(a, x["p"], x["q"]))
+    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
 def judge(docs: DataFrame, refs: dict[str, tuple[list[int], list[int]]], text: str = "text") -> DataFrame:
@@ -137,10 +138,15 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[int], list[int]]], text: s
         "_n_symbols": chars[CLASSES.index("symbols")],
         "_base_failed": (n < MIN_WORDS) | (100 * F.col("_n_repeat_words") > 50 * n),
     })
+    share = lambda x: F.array(*[F.lit(v / (float(sum(x)) or 1.0)) for v in x])
+    known = F.array(*[F.struct(F.lit(x).alias("lang"), share(c).alias("c"), share(w).alias("w")) for x, (c, w) in sorted(refs.items())])
+
+    def nearest(mine):
+        one = lambda r: let(F.struct(F.round(_distance(mine.c, r.c), 6).alias("a"), F.round(_distance(mine.w, r.w), 6).alias("b")), lambda d: F.struct(F.round(d.a + d.b, 6).alias("sum"), r.lang.alias("lang"), d.a.alias("a"), d.b.alias("b")))
+        return F.array_min(F.transform(known, one))
+
     if refs:
-        each = [F.struct(F.round(_distance(chars, c), 6).alias("a"), F.round(_distance(F.col("_common"), w), 6).alias("b"), F.lit(x).alias("lang")) for x, (c, w) in sorted(refs.items())]
-        least = F.array_min(F.transform(F.array(*each), lambda x: F.struct(F.round(x.a + x.b, 6).alias("sum"), x.lang.alias("lang"), x.a.alias("a"), x.b.alias("b"))))
-        h = h.withColumn("_least", F.when(n > 0, least))
+        h = h.withColumn("_least", F.when(n > 0, let(F.struct(_shares(chars).alias("c"), _shares(F.col("_common")).alias("w")), nearest)))
         h = h.withColumns({"_nearest": F.col("_least.lang"), "_js_chars": F.col("_least.a"), "_js_words": F.col("_least.b")}).drop("_least")
     else:
         h = h.withColumns({"_nearest": F.lit(None).cast("string"), "_js_chars": F.lit(None).cast("double"), "_js_words": F.lit(None).cast("double")})
@@ -169,9 +175,14 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with their columns."""
-    kept = judge(docs, references(docs, text, lang), text).where(F.col("_kept"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with their columns, whatever those are called.
+
+    The verdict leaves through a generator, past which the filter cannot be pushed: else the
+    optimizer would write the whole judgement into the condition, to be worked out again.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    judged = judge(packed, references(docs, text, lang), "_text")
+    return judged.select("_row", F.explode(F.array("_kept")).alias("_keep")).where("_keep").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = f"""
