@@ -44,3 +44,46 @@ def positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     s = support(nodes, edges)
     lv = levels(s)
     return s.join(F.broadcast(lv), "support").withColumn("position", position(F.col("below"), F.col("total")))
+
+
+def order(column: str, *more: str) -> W:
+    """A window over all rows, greatest first; further columns break ties upwards."""
+    return W.orderBy(F.desc(column), *(more or ("s_suppkey",)))
+
+
+def overlap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """support() with position (no ties: by label, then node), dense_rank, and share of all sources.
+
+    Positions come without a sort in one task: rows are ranked inside their level of support and
+    moved down by the rows of greater levels.
+    """
+    s = support(nodes, edges)
+    lv = levels(s)
+    total = edges.where("target is not null").agg(F.count_distinct("source").alias("_sources"))
+    inside = F.row_number().over(W.partitionBy("support").orderBy("label", "node"))
+    j = s.withColumn("_k", inside).join(F.broadcast(lv), "support").join(F.broadcast(total))
+    return j.withColumns({"position": (F.col("total") - F.col("below") - F.col("n") + F.col("_k")).cast("long"), "share": F.col("support") / F.nullif("_sources", F.lit(0).cast("long"))}).drop("_k", "_sources")
+
+
+def entity_union(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_entity, support, channels, dense_rank): distinct source entities of an entity's channels, its own left out.
+
+    edges: source, target; sources: source, source_entity; targets: target, target_entity.
+    """
+    pairs = edges.join(targets, "target").join(sources, "source").where("source_entity <> target_entity").select("target_entity", "source_entity").distinct()
+    got = pairs.groupBy("target_entity").agg(F.count("*").alias("support"))
+    every = targets.groupBy("target_entity").agg(F.count_distinct("target").alias("channels"))
+    s = every.join(got, "target_entity", "left").withColumn("support", F.coalesce("support", F.lit(0).cast("long")))
+    return s.join(F.broadcast(levels(s).select("support", "dense_rank")), "support").select("target_entity", "support", "channels", "dense_rank")
+
+
+def followers_of(edges: DataFrame, accounts: DataFrame, target) -> DataFrame:
+    """One account per entity that follows the target: best position, then handle, then id. accounts: x_id, handle, entity, position."""
+    j = edges.where(F.col("target") == F.lit(target)).select(F.col("source").alias("x_id")).distinct().join(accounts, "x_id")
+    w = W.partitionBy("entity").orderBy(F.asc_nulls_last("position"), F.lower("handle"), "x_id")
+    return j.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(node, rank_a, rank_b, gain) of nodes in both rankings."""
+    return a.select("node", F.col("rank").alias("rank_a")).join(b.select("node", F.col("rank").alias("rank_b")), "node").withColumn("gain", F.col("rank_a") - F.col("rank_b"))

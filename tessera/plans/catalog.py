@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import artifacts, daily, network, posts
+from tessera.plans import artifacts, daily, network, posts, registry
 
 FLAGSHIP = "entity_support_positions"
-MODULES = (network, posts, daily, artifacts)
+MODULES = (network, posts, daily, artifacts, registry)
 
 
 def _rows():

@@ -51,9 +51,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/tessera/{uuid.uuid4().hex}"
         self.made: list[str] = []
+        self.count = 0
 
     def path(self, name: str) -> str:
-        p = f"{self.root}/{len(self.made):04d}-{name}"
+        p = f"{self.root}/{self.count:04d}-{name}"
+        self.count += 1
         self.made.append(p)
         return p
 
