@@ -93,8 +93,10 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1)).alias("_lang")).where(F.col("_lang").isin(*languages) & F.col("_id").isNotNull())
     order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = [r[0] for r in rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id").collect()]
-    taken = labelled.where(F.col(f"`{doc_id}`").isin(ids)).select(F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1)).alias("_lang"), F.col(f"`{text}`").cast("string").alias("_text")).where(F.col("_lang").isin(*languages))
+    ids = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id").distinct()  # at most sample rows a language
+    code = F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1))
+    labelled_rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), code.alias("_lang"), F.col(f"`{text}`").cast("string").alias("_text")).where(F.col("_lang").isin(*languages))
+    taken = labelled_rows.join(F.broadcast(ids), "_id", "left_semi").select("_lang", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {}
@@ -136,11 +138,6 @@ def _evidence(model: TextModel, declared: str | None, suffix: str) -> np.ndarray
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def _score(docs: DataFrame, model: TextModel, text: F.Column, declared: F.Column, host: F.Column, keep: list[str]) -> DataFrame:
     """keep, the host parts, and per row: _log (log evidence without host), _mean (of trigrams, per language), _n."""
     spark = docs.sparkSession
