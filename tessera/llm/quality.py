@@ -45,6 +45,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` of df and those of ``made``, worked out once per row.
+
+    They leave through a generator of one row: the optimizer would otherwise write their expressions
+    into every place that names them, and evaluate them there again.
+    """
+    row = F.array(F.struct(*[c.alias(k) for k, c in made.items()]))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(row).alias("_made")).select(*[F.col(f"`{c}`") for c in keep], "_made.*")
+
+
 def _repeated(words: Column) -> Column:
     """Words that lie in three-word windows found twice or more, from an array of words.
 
@@ -77,8 +87,9 @@ def histograms(docs: DataFrame, text: str = "text", base: bool = True) -> DataFr
     With base also _n_dup_lines and _n_repeat_words.
     """
     df = docs.withColumn("_t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    df = df.withColumns({"_t1": _removed(F.col("_t"), "[aeiouAEIOU]+"), "_w": F.array_remove(F.split("_t", SPACE), "")})
-    df = df.withColumns({"_t2": _removed(F.col("_t1"), "[A-Za-z]+"), "_c": F.filter("_w", lambda w: w.isin(*WORDS))})
+    df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
+    df = df.withColumn("_t1", _removed(F.col("_t"), "[aeiouAEIOU]+"))
+    df = df.withColumn("_t2", _removed(F.col("_t1"), "[A-Za-z]+"))
     df = df.withColumn("_t3", _removed(F.col("_t2"), SPACE))
     df = df.withColumn("_t4", _removed(F.col("_t3"), "[#*$%&|<>]+"))
     df = df.withColumn("_t5", _removed(F.col("_t4"), "[0-9]+"))
@@ -87,13 +98,13 @@ def histograms(docs: DataFrame, text: str = "text", base: bool = True) -> DataFr
     made = {
         "_n_words": F.size("_w").cast("long"),
         "_chars": F.array(*[a - b for a, b in zip(chain, chain[1:])], chain[-1]),
-        "_common": F.array(*[(F.size("_c") - F.size(F.array_remove("_c", w))).cast("long") for w in WORDS], (F.size("_w") - F.size("_c")).cast("long")),
+        "_common": let(F.filter("_w", lambda w: w.isin(*WORDS)), lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("long") for w in WORDS], (F.size("_w") - F.size(c)).cast("long"))),
     }
     if base:
         lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
         made["_n_dup_lines"] = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         made["_n_repeat_words"] = _repeated(F.col("_w"))
-    return df.withColumns(made).drop("_t", "_t1", "_t2", "_t3", "_t4", "_t5", "_t6", "_w", "_c")
+    return once(df, docs.columns, made)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
@@ -177,12 +188,11 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with their columns, whatever those are called.
 
-    The verdict leaves through a generator, past which the filter cannot be pushed: else the
-    optimizer would write the whole judgement into the condition, to be worked out again.
+    The verdict passes once(), so that the filter is not pushed into the judgement.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    judged = judge(packed, references(docs, text, lang), "_text")
-    return judged.select("_row", F.explode(F.array("_kept")).alias("_keep")).where("_keep").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    judged = once(judge(packed, references(docs, text, lang), "_text"), ["_row"], {"_keep": F.col("_kept")})
+    return judged.where("_keep").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = f"""
