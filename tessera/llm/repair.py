@@ -47,9 +47,16 @@ ROUNDS = 6
 PER_ROUND = 2500
 LEAST = 12
 #: Parts of texts that a worker keeps with their ids, at some 200 bytes each.
-CACHE = 500_000
+CACHE = 700_000
+#: Marks the first part of a text in the cache, which has no blank before it.
+FIRST = "\0"
 #: A part without white space inside; a blank that white space or the end follows.
 WORD = re.compile(r" ?\S+")
+#: Letters of one part, and marks that make another when they follow letters.
+LETTERS = re.compile(r"\0?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words with single line feeds between them.
+LINES = re.compile(r"\S+(?:\n\S+)+")
 OPEN = re.compile(r" (?=[\s\x1c-\x1f]|$)")
 #: Parts that go to the tokenizer in one string.
 JOINED = 1000
@@ -66,7 +73,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(data)
         self.tokenizer.encode_special_tokens = True
         self.feed = self._feed()
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {FIRST: b""}
+        self.marks: dict[str, bytes] = {}
 
     def _feed(self) -> int:
         """The id of a line feed, which joins parts; -1 if it has no id of its own."""
@@ -78,6 +86,8 @@ class Encoder:
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts. Those without white space inside go to the tokenizer joined by line feeds, each of which is a part of its own."""
+        if not parts:
+            return []
         simple = [p for p in parts if WORD.fullmatch(p)]
         out: dict[str, bytes] = {}
         for k in range(0, len(simple), JOINED):
@@ -93,26 +103,79 @@ class Encoder:
         out |= zip(rest, self._plain(rest))
         return [out[p] for p in parts]
 
+    def _solve(self, new: dict[str, bytes]) -> None:
+        """Fill in the ids of new parts.
+
+        Three things are parts of their own to the tokenizer: a line feed between other characters,
+        letters, and the marks that follow them. So a part is put together from the ids of such
+        pieces, and only pieces that are new as well are encoded.
+        """
+        get, made, bare = self.cache.get, {}, {}
+        marks, feed = self.marks, self._marks("\n")
+
+        def word(p: str) -> list:
+            core = p.rstrip(MARKS)
+            if core == p or not LETTERS.fullmatch(core):
+                core = p
+            ids = get(core)
+            if ids is None:
+                bare[core] = b""
+                ids = core
+            return [ids] if core is p else [ids, self._marks(p[len(core) :])]
+
+        for p in new:
+            if LINES.fullmatch(p):
+                first, *more = p.split("\n")
+                pieces = word(first)
+                for x in more:
+                    pieces += [feed, *word(FIRST + x)]
+                made[p] = pieces
+            else:
+                made[p] = word(p)
+        plain = list(bare)
+        bare.update(zip(plain, self._parts([p[1:] if p[:1] == FIRST else " " + p for p in plain])))
+        for p, pieces in made.items():
+            new[p] = b"".join([x if x.__class__ is bytes else bare[x] for x in pieces])
+        if len(marks) > 10_000:
+            marks.clear()
+        for core in bare.keys() - new.keys():
+            if len(self.cache) < CACHE:
+                self.cache[core] = bare[core]
+
+    def _marks(self, x: str) -> bytes:
+        got = self.marks.get(x)
+        if got is None:
+            got = self.marks[x] = self._plain([x])[0]
+        return got
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
         out: list = [None] * len(texts)
-        cut, whole, new = {}, [], set()
+        cache, get = self.cache, self.cache.get
+        found, open_at, whole, new = {}, [], [], {}
         for i, t in enumerate(texts):
             if OPEN.search(t):
                 whole.append(i)
                 continue
-            head, *rest = t.split(" ")
-            cut[i] = parts = [head, *[" " + p for p in rest]]
-            new.update(parts)
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {"": b""}
-            new = {p for parts in cut.values() for p in parts if p}
-        fresh = list(new)
-        self.cache.update(zip(fresh, self._parts(fresh)))
-        get = self.cache.__getitem__
-        for i, parts in cut.items():
-            out[i] = b"".join(map(get, parts))
+            parts = t.split(" ")
+            parts[0] = FIRST + parts[0]
+            ids = list(map(get, parts))
+            found[i] = ids
+            if None in ids:
+                at = [k for k, x in enumerate(ids) if x is None]
+                lost = [parts[k] for k in at]
+                open_at.append((ids, at, lost))
+                new.update(dict.fromkeys(lost))
+        if new:
+            self._solve(new)
+            fresh = list(new)
+            for ids, at, lost in open_at:
+                for k, p in zip(at, lost):
+                    ids[k] = new[p]
+            for p in fresh[: max(0, CACHE - len(cache))]:  # a full cache stays as it is: frequent parts come early
+                cache[p] = new[p]
+        for i, ids in found.items():
+            out[i] = b"".join(ids)
         for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
             out[i] = ids
         return out
@@ -184,18 +247,16 @@ def _settle(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """
     if not len(place):
         return np.empty(0, np.int64)
-    near = np.flatnonzero(np.diff(place) == 1)  # match k and k + 1 overlap
+    near = place[1:] - place[:-1] == 1  # match k and k + 1 overlap
     good = np.ones(len(place), bool)
-    same = near[rank[near] == rank[near + 1]]
-    if len(same):
-        chained = np.zeros(len(place), bool)
-        chained[same + 1] = True
-        start = np.flatnonzero(~chained)
+    later, sooner = near & (rank[1:] > rank[:-1]), near & (rank[1:] < rank[:-1])
+    good[1:] &= ~later
+    good[:-1] &= ~sooner
+    same = near & ~later & ~sooner
+    if same.any():
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
         run = np.repeat(start, np.diff(start, append=len(place)))
         good &= (np.arange(len(place)) - run) % 2 == 0
-    less, more = near[rank[near] < rank[near + 1]], near[rank[near] > rank[near + 1]]
-    good[less + 1] = False
-    good[more] = False
     return np.flatnonzero(good)
 
 
