@@ -1,10 +1,12 @@
-"""The piece vocabulary of a SentencePiece model file, read as a unigram model.
+"""The piece vocabulary of a SentencePiece model file.
 
-A piece's score is its log weight, as in the file. What the file's own trainer did with the scores
-does not matter here: encoding is the segmentation of the greatest total score. Ties are settled as
-SentencePiece's unigram encoder settles them: at each end position the piece that starts first
-wins, which is the longest. Sums are kept in 64-bit floats (exact for whole-number scores), so long
-texts do not meet the rounding of 32-bit sums.
+Read as a unigram model, a piece's score is its log weight and encoding is the segmentation of the
+greatest total score. Ties are settled as SentencePiece's unigram encoder settles them: at each end
+position the piece that starts first wins, which is the longest. Sums are kept in 64-bit floats
+(exact for whole-number scores), so long texts do not meet the rounding of 32-bit sums.
+
+Read as a merge (BPE) model, of which kind the file says it is, neighbours whose union is a piece are
+merged, the union of the greatest score first and the leftmost of equals.
 
 Normalisation is that of the file: an optional leading blank, blanks as U+2581. Only the identity
 map of characters is supported; another raises.
@@ -49,6 +51,7 @@ class Pieces:
         if m.trainer_spec.byte_fallback and len(self.bytes) != 256:
             raise ValueError("byte fallback needs all 256 bytes")
         self.fallback = bool(m.trainer_spec.byte_fallback)
+        self.merges = m.trainer_spec.model_type == pb.TrainerSpec.BPE
         self.unknown_score = min(self.score.values()) - PENALTY
         self.longest = max(map(len, self.score))
         if any(BLANK in p.lstrip(BLANK) for p in self.score):
@@ -60,6 +63,20 @@ class Pieces:
             return ""
         return ((BLANK if self.dummy_prefix else "") + text).replace(" ", BLANK)
 
+    def merged(self, text: str) -> list[str]:
+        """The merge encoding of a short text, by carrying out the merges."""
+        parts, score = list(text), self.score
+        while len(parts) > 1:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                s = score.get(parts[k] + parts[k + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, k
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
 
 #: A chunk is a run of blanks with what follows up to the next blank: no piece has a blank after another character, so no piece crosses into a chunk.
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")

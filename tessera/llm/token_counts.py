@@ -79,9 +79,8 @@ class Counter:
         got = self.cache.get(s)
         if got is None:
             got = self.chunk(s)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[s] = got
+            if len(self.cache) < CACHE:  # a full cache stays as it is: frequent chunks come early
+                self.cache[s] = got
         return got
 
     def text(self, text: str) -> tuple[int, float]:

@@ -10,10 +10,19 @@ Three transducers are compiled from a model file and composed:
 
 The result T = N o closure(L | B) is kept as a deterministic trie over input characters whose final
 arcs carry (weight, output). Composing an input (a chain of characters) with T is done on the fly:
-the states of the composition are the positions of the input at which T is in its start state, and
 the arcs out of a position are found by one walk of the trie. The chain has no cycle, so the
-shortest path in the tropical semiring (min, +) is one pass over positions in order. Of equal
-weights the arc that starts first wins, see pieces.py.
+shortest path in the tropical semiring (min, +) is one pass over positions in order.
+
+For a unigram file the weight of an arc is its piece's negative score and the states of the
+composition are positions; of equal weights the arc that starts first wins, see pieces.py.
+
+For a merge (BPE) file no sum of weights gives the merges' result, but a local condition does: a
+sequence of pieces is the encoding of its text exactly if merging each piece's characters gives the
+piece and merging those of each two neighbours gives the two back. (Merges across a border depend on
+its two sides only, and the first merge that would cross a border of the sequence would cross it in
+that pair as well.) So T gets a state for the last piece written and an arc from a to b only if the
+pair is stable; each arc weighs 1. Every prefix of the input then has one path, that of its own
+encoding, so a state per position is enough, and the shortest path is the encoding.
 
 No piece holds a blank after another character. So each chunk of a text (a word with the blank
 before it) starts at a state of every path, the shortest path of a text is the chain of those of
@@ -35,7 +44,9 @@ from tessera.llm.pieces import BLANK, BYTE, CONTROL, UNKNOWN, Pieces, chunks
 from tessera.session import bounded_batches
 
 #: Chunks that a worker keeps with their ids; at some 250 bytes each, 100 MB at most.
-CACHE = 400_000
+CACHE = 500_000
+#: Pairs of pieces that a worker keeps with their stability.
+PAIRS = 1_000_000
 _held: dict[int, "Transducer"] = {}
 
 
@@ -45,7 +56,10 @@ class Transducer:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.arcs: dict = {}
+        self.stable: dict[tuple[int, int], bool] = {}
         for name, score in pieces.score.items():
+            if pieces.merges and len(pieces.merged(name)) > 1:
+                continue  # no merge makes this piece
             node = self.arcs
             for ch in self._inverse_normal(name):
                 node = node.setdefault(ch, {})
@@ -73,8 +87,52 @@ class Transducer:
             return [self.pieces.unknown]
         return [self.pieces.bytes[b] for b in ch.encode("utf-8", "surrogatepass")]
 
+    def pair(self, a: int, b: int) -> bool:
+        """Whether pieces a and b may stand side by side; unknown characters (-1) are next to anything."""
+        if a < 0 or b < 0:
+            return True
+        got = self.stable.get((a, b))
+        if got is None:
+            names = self.pieces.names
+            if len(self.stable) >= PAIRS:
+                self.stable.clear()
+            got = self.stable[a, b] = self.pieces.merged(names[a] + names[b]) == [names[a], names[b]]
+        return got
+
+    def merge_path(self, chunk: str) -> list[int]:
+        """The shortest path through states (position, last piece); each position has one."""
+        n, start, pair = len(chunk), self.arcs, self.pair
+        weight: list[float] = [0.0] + [float("inf")] * n
+        last: list[int] = [-1] * (n + 1)
+        back: list[int] = [-1] * (n + 1)
+        score = self.pieces.score
+        for i in range(n):
+            here = weight[i] + 1.0
+            if here == float("inf"):
+                continue  # no path ends here
+            node, k, before = start, i, last[i]
+            while k < n:
+                node = node.get(chunk[k])
+                if node is None:
+                    break
+                k += 1
+                out = node.get("")
+                if out is not None and here < weight[k] and pair(before, out[1]):
+                    weight[k], last[k], back[k] = here, out[1], i
+            if chunk[i] not in score and here < weight[i + 1]:
+                weight[i + 1], last[i + 1], back[i + 1] = here, -1, i
+        out_ids: list[int] = []
+        k = n
+        while k:
+            i = back[k]
+            out_ids.extend([last[k]] if last[k] >= 0 else self.fallback(chunk[i])[::-1])
+            k = i
+        return out_ids[::-1]
+
     def path(self, chunk: str) -> list[int]:
         """Output ids of the shortest path of T composed with one chunk."""
+        if self.pieces.merges:
+            return self.merge_path(chunk)
         n, start, penalty = len(chunk), self.arcs, self.penalty
         best: list[float] = [0.0] + [float("inf")] * n
         back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
@@ -106,9 +164,8 @@ class Transducer:
         got = self.cache.get(chunk)
         if got is None:
             got = np.array(self.path(chunk), "<i4").tobytes()
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[chunk] = got
+            if len(self.cache) < CACHE:  # a full cache stays as it is: frequent chunks come early
+                self.cache[chunk] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
