@@ -137,7 +137,8 @@ def quota_cohort(rows: DataFrame, quotas: dict[str, int], limit: int, per_host:
         return pdf.loc[taken].assign(place=range(1, len(taken) + 1))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", place long"
-    return near.select(*rows.columns).groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: choose(pdf[rows.columns]), schema)
+    columns = list(rows.columns)
+    return near.select(*columns).groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: choose(pdf[columns]), schema)
 
 
 def explicit_selection(wanted: DataFrame, known: DataFrame, fetched: DataFrame) -> DataFrame:
