@@ -33,7 +33,7 @@ def merged_intervals(runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, first_day, last_day): unions of overlapping or adjoining intervals per key."""
     w = W.partitionBy(*keys).orderBy("date_from", "date_to")
     reach = F.max("date_to").over(w.rowsBetween(W.unboundedPreceding, -1))
-    starts = runs.withColumn("_s", (reach.isNull() | (F.col("date_from") > F.date_add(reach, 1))).cast("int"))
+    starts = runs.select(*keys, "date_from", "date_to").where("date_from is not null and date_to >= date_from").distinct().withColumn("_s", (reach.isNull() | (F.col("date_from") > F.date_add(reach, 1))).cast("int"))
     return starts.withColumn("_g", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.min("date_from").alias("first_day"), F.max("date_to").alias("last_day")).drop("_g")
 
 

@@ -10,12 +10,12 @@ from tessera.plans import adapters as ad
 
 #: Users stand for entities with a position, five of their events in a row for an item, event types for roles.
 VOTES = """
-pos AS (SELECT user_id, round((rank() OVER (ORDER BY n) - 1)::DECIMAL(17,6) / (count(*) OVER () - 1), 6)::DECIMAL(7,6) AS position FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)),
+pos AS (SELECT user_id, round((2000000 * (rank() OVER (ORDER BY n) - 1) + count(*) OVER () - 1) // (2 * (count(*) OVER () - 1)) / 1000000, 6)::DECIMAL(7,6) AS position FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)),
 e AS (SELECT events.*, 'i' || (event_id // 5) AS item, ts::DATE::VARCHAR AS day, position FROM events JOIN pos USING (user_id)),
 items AS (SELECT day, item, first(position ORDER BY event_id) AS author_position, first(user_id ORDER BY event_id) AS author, max(floor(value)::BIGINT) AS public_interactions FROM e GROUP BY 1, 2),
 votes AS (SELECT e.day, e.item, e.user_id AS entity, i.author, e.position FROM e JOIN items i ON i.day = e.day AND i.item = e.item WHERE event_type IN ('click', 'signup', 'view')),
 v AS (SELECT day, item, entity, max(position) AS position FROM votes WHERE entity <> author GROUP BY 1, 2, 3),
-layers AS (SELECT i.day, i.item, count(entity) AS trusted_votes, coalesce(round(sum(v.position)::DECIMAL(26,6) / nullif(count(entity), 0), 6), 0)::DECIMAL(7,6) AS mean_voter_position, any_value(author_position) AS author_position, any_value(public_interactions) AS public_interactions
+layers AS (SELECT i.day, i.item, count(entity) AS trusted_votes, coalesce(round((2 * (sum(v.position) * 1000000)::BIGINT + count(entity)) // nullif(2 * count(entity), 0) / 1000000, 6), 0)::DECIMAL(7,6) AS mean_voter_position, any_value(author_position) AS author_position, any_value(public_interactions) AS public_interactions
   FROM items i LEFT JOIN v ON v.day = i.day AND v.item = i.item GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS daily_rank, lead(item) OVER w AS nx, lag(item) OVER w AS pv, lead(trusted_votes) OVER w AS n1, lead(mean_voter_position) OVER w AS n2, lead(author_position) OVER w AS n3, lead(public_interactions) OVER w AS n4,
   lag(trusted_votes) OVER w AS p1, lag(mean_voter_position) OVER w AS p2, lag(author_position) OVER w AS p3, lag(public_interactions) OVER w AS p4
@@ -159,7 +159,7 @@ QUERIES = [
     (
         "merged_intervals",
         merged_intervals,
-        f"""WITH {RUNS}, s AS (SELECT *, max(date_to) OVER (PARTITION BY user_id ORDER BY date_from, date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM runs),
+        f"""WITH {RUNS}, s AS (SELECT *, max(date_to) OVER (PARTITION BY user_id ORDER BY date_from, date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT user_id, date_from, date_to FROM runs)),
         g AS (SELECT *, sum((reach IS NULL OR date_from > reach + 1)::INTEGER) OVER (PARTITION BY user_id ORDER BY date_from, date_to ROWS UNBOUNDED PRECEDING) AS g FROM s)
         SELECT user_id, min(date_from)::VARCHAR AS first_day, max(date_to)::VARCHAR AS last_day FROM g GROUP BY user_id, g""",
     ),

@@ -23,6 +23,6 @@ QUERIES = [
         f"""WITH {EDGES}
         SELECT node, support, dense_rank() OVER (ORDER BY support DESC)::BIGINT AS dense_rank,
           (rank() OVER (ORDER BY support) - 1)::BIGINT AS below, (count(*) OVER ())::BIGINT AS total,
-          round((rank() OVER (ORDER BY support) - 1)::DECIMAL(17,6) / (count(*) OVER () - 1), 6)::DOUBLE AS position FROM s""",
+          round((2000000 * (rank() OVER (ORDER BY support) - 1) + count(*) OVER () - 1) // (2 * (count(*) OVER () - 1)) / 1000000, 6)::DOUBLE AS position FROM s""",
     ),
 ]
