@@ -225,7 +225,7 @@ def _through(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     at = docs.columns.index(text)
     out = docs
     if len(shared) > 1:
-        out = out.withColumn("_spans", F.array().cast("array<long>")).withColumn("_items", F.array().cast("array<string>"))
+        out = out.withColumn("_window_spans_", F.array().cast("array<long>")).withColumn("_window_items_", F.array().cast("array<string>"))
 
     def match(b: pa.RecordBatch, auto: SuffixAutomaton, carried: bool):
         docs_words = [words(t) for t in as_bytes(b.column(at))]

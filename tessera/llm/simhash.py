@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import LOWER, as_bytes
 from tessera.operators.graph import components
-from tessera.session import Scratch, bounded_batches
+from tessera.session import Scratch, bounded_batches, join_checked
 
 SEED = 42
 RADIUS = 2
@@ -146,6 +146,11 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, crowd:
     return paired.union(hub).distinct()
 
 
+def _hexed(fp: str):
+    """A fingerprint as 16 hex digits."""
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -162,23 +167,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = classes.join(comp, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = grouped.join(best, "component").select("_fp", "component_id")
-    return rows.join(ids, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(ids, "_fp").select("doc_id", _hexed("_fp").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one with the least doc_id, of equal rows one.
+    """docs with one row of each component: the one with the least doc_id, of repeated rows one.
 
-    All columns stay. Rows without a doc_id are dropped only if their component has a row with one.
+    All columns stay. A row without a doc_id goes if its component has a row with one; of those left,
+    one per fingerprint stays.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     found = scratch.write(near_duplicates(docs, doc_id, text, shingle, radius), "components")
     gone = scratch.write(found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "dropped")
-    from tessera.session import join_checked
-
-    kept = join_checked(spark, docs, gone, [doc_id], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = join_checked(spark, docs, gone, [doc_id], "left_anti").select(*columns)
     if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
+        kept = kept.where(F.col(f"`{doc_id}`").isNull()).unionByName(kept.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]))
     if found.where("doc_id is null").limit(1).count():
-        kept = kept.where(F.col(f"`{doc_id}`").isNotNull()) if not found.where("doc_id is null and component_id is null").limit(1).count() else kept
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        packed = docs.where(F.col(f"`{doc_id}`").isNull()).select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("body"))
+        told = found.where("doc_id is null and component_id is not null").select("fingerprint").distinct()
+        loose = with_fingerprint(packed, "body", ("row",), shingle).withColumn("fingerprint", _hexed("_fp"))
+        loose = loose.join(told, "fingerprint", "left_anti").dropDuplicates(["fingerprint"])
+        kept = kept.where(F.col(f"`{doc_id}`").isNotNull()).unionByName(loose.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    return kept
