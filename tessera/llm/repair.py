@@ -23,7 +23,7 @@ leaves no half file behind.
 
 Encoding is the tokenizer's own on parts of the text: its pattern always starts a new part at a
 blank that no white space follows, so such parts are encoded one by one and kept in a bounded cache.
-Texts with other white space after a blank are encoded whole.
+Texts with other white space after a blank, or with U+0000, are encoded whole.
 """
 
 from __future__ import annotations
@@ -50,14 +50,14 @@ LEAST = 12
 CACHE = 700_000
 #: Marks the first part of a text in the cache, which has no blank before it.
 FIRST = "\0"
-#: A part without white space inside; a blank that white space or the end follows.
+#: A part without white space inside; a blank that white space or the end follows, or a NUL, which in the cache is the mark above.
 WORD = re.compile(r" ?\S+")
 #: Letters of one part, and marks that make another when they follow letters.
 LETTERS = re.compile(r"\0?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words with single line feeds between them.
 LINES = re.compile(r"\S+(?:\n\S+)+")
-OPEN = re.compile(r" (?=[\s\x1c-\x1f]|$)")
+OPEN = re.compile(r" (?=[\s\x1c-\x1f]|$)|\0")
 #: Parts that go to the tokenizer in one string.
 JOINED = 1000
 _held: dict[str, "Encoder"] = {}

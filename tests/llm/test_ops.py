@@ -211,6 +211,15 @@ def test_repair_round_trip_and_contract(spark, texts):
     assert repair.round_trip(docs(spark), BPE).count() == len(ODD)
 
 
+def test_repair_ids_of_texts_with_nul():
+    with open(BPE, encoding="utf-8") as f:
+        e = repair.Encoder(f.read())
+    rows = ["abc", " \0abc", " \0 ", " \0", "\0abc", "x \0abc \0", "abc d\n\0e", "\0", "x \0\nabc"]
+    for _ in range(2):  # with an empty cache and a filled one
+        for t, ids in zip(rows, e.batch(rows)):
+            assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_shard_random_access():
     r = np.random.default_rng(3)
     docs_ids = [np.r_[r.choice([5, 6, 7, 0, 9], int(n)), 0] for n in r.integers(0, 400, 60)] + [np.r_[np.full(999, 5), 0]]
