@@ -160,6 +160,20 @@ def test_recursive_walk_and_media(spark):
     assert [tuple(x) for x in feed.url_evidence(df).collect()] == [("https://t.co/a", "https://e.com/x", "quoted_entity", "9")]
 
 
+def test_links_and_media_at_any_depth(spark):
+    link = '"entities":{"urls":[{"url":" https://t.co/%d ","expanded_url":"https://e.com/%d"},{"url":""},7]}'
+    raw = '{"id":"61",%s,"extended_entities":{"media":[{"type":" Animated_GIF "},{"type":"poll"},"x"]}}' % (link % (61, 61))
+    for k in range(60, 0, -1):
+        raw = '{"id":%s,%s,"%s":%s}' % (f'"{k}"' if k % 2 else k, link % (k, k), "quoted_tweet" if k % 2 else "retweeted_tweet", raw)
+    odd = '{"id_str":"s","entities":{"urls":[{"url":"https://t.co/s"}]},"card":[{"extendedEntities":{"media":[{"type":"VIDEO"}]}},"see HTTPS://x.com/I/Spaces/1"],"quoted_tweet":{"quoted_tweet":%s},"extendedEntities":5,"extended_entities":{"media":{}}}' % raw
+    df = spark.createDataFrame([(0, raw), (1, odd), (2, "[]"), (3, None)], "k int, j string").select("k", F.parse_json("j").alias("raw"))
+    want = [(f"https://t.co/{k}", f"https://e.com/{k}", "entity" if k == 1 else "retweeted_entity" if k % 2 else "quoted_entity", str(k)) for k in range(1, 62)]
+    got = [tuple(r) for r in feed.url_evidence(df).collect()]
+    assert sorted(got) == sorted([*want, ("https://t.co/s", "https://t.co/s", "entity", "s")])
+    media = {r.k: r.m for r in df.select("k", feed.media_types(F.col("raw")).alias("m")).collect()}
+    assert media == {0: ["animated_gif"], 1: ["animated_gif", "audio", "video"], 2: [], 3: []}
+
+
 def test_pages_of_posts(spark):
     rows = [('{"data":{"tweets":[{"id":"1"},5]},"has_next_page":false,"next_cursor":"c"}',), ('{"tweets":[{"id":"2"}],"next_cursor":"c"}',), ("broken",), (None,)]
     df = spark.createDataFrame(rows, "body string")
