@@ -2,14 +2,16 @@
 
 A text is brought to a canonical form: lower case, no copyright lines, equivalent spellings made one,
 everything but letters and digits made one blank. The SHA-256 of that form is hash-joined with the
-digests of known licences. Whole texts are looked up, and so is every line that speaks of a licence,
-since documents state their licence in a line of its own.
+digests of known licences. Whole texts are looked up, and so is every line that has a letter or a
+digit, since documents state their licence in a line of its own.
 
 The table of known digests is broadcast only if it is small (it is counted first), else shuffled.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ SPELLINGS = (
     ("http://", "https://"),
     ("&", " and "),
 )
+#: Lines that the SQL looks up; scan() looks up all.
 TRIGGER = "licen[sc]e|permission|public domain"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -83,6 +86,38 @@ KNOWN = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
+#: Identifiers of the whole texts in the folder licence_texts, by file.
+TEXTS = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "BSD": "BSD-3-Clause",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2-only",
+    "GFDL-1.3": "GFDL-1.3-only",
+    "GPL-1": "GPL-1.0-only",
+    "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only",
+    "LGPL-2": "LGPL-2.0-only",
+    "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-3": "LGPL-3.0-only",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+#: What ends the terms of a text; the advice on how to apply them that follows is often left out.
+CLOSING = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text): KNOWN, and the texts of TEXTS, where they have a closing line also cut behind and before it."""
+    out = [*KNOWN]
+    for name, license_id in TEXTS.items():
+        text = (Path(__file__).with_name("licence_texts") / name).read_text(encoding="utf-8")
+        out.append((license_id, text))
+        terms, closing, _ = text.partition(CLOSING)
+        if closing:
+            out += [(license_id, terms + closing), (license_id, terms)]
+    return out
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text column."""
@@ -98,11 +133,11 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license_id), one row per digest: of a DataFrame (license_id, text), by default KNOWN.
+    """(digest, license_id), one row per digest: of a DataFrame (license_id, text), by default known_texts().
 
     Of several identifiers with one digest the least stays.
     """
-    known = spark.createDataFrame([*KNOWN], "license_id string, text string") if known is None else known
+    known = spark.createDataFrame(known_texts(), "license_id string, text string") if known is None else known
     rows = known.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null and license_id is not null")
     return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
@@ -118,8 +153,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     spark = docs.sparkSession
     table = known_digests(spark, known)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    speaks = F.filter(F.split("_text", "\n"), lambda x: F.lower(x).rlike(TRIGGER))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), digest(F.col("_text")).alias("digest"), F.transform(speaks, digest).alias("_lines"))
+    lines = F.array_compact(F.transform(F.split("_text", "\n"), digest))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), digest(F.col("_text")).alias("digest"), lines.alias("_lines"))
     units = rows.select("doc_id", "_row", F.col("digest").alias("_whole"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("w"), F.col("digest").alias("d"))), F.coalesce(F.transform("_lines", lambda x: F.struct(F.lit(False).alias("w"), x.alias("d"))), F.array().cast("array<struct<w:boolean,d:string>>")))).alias("u"))
     units = units.select("doc_id", "_row", "_whole", F.col("u.w").alias("_is_whole"), F.col("u.d").alias("digest"))
     found = join_checked(spark, units, table, ["digest"], "left", BROADCAST_ROWS)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -81,6 +82,23 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0 and licences.scan(docs(spark)).count() == len(ODD)
 
 
+def test_licences_of_common_texts_and_lines_of_any_words(spark):
+    folder = Path(licences.__file__).with_name("licence_texts")
+    assert {p.name for p in folder.iterdir()} == set(licences.TEXTS)
+    names = [*licences.TEXTS]
+    whole = [(folder / n).read_text(encoding="utf-8") for n in names]
+    rows = [(k, t) for k, t in enumerate(whole)] + [(100 + k, "\n".join(x.strip(" ") for x in t.upper().split("\n"))) for k, t in enumerate(whole)]
+    rows += [(200 + k, t.split("END OF TERMS AND CONDITIONS")[0]) for k, t in enumerate(whole)]
+    got = {r.doc_id: r.license_id for r in licences.scan(docs(spark, rows)).collect()}
+    assert got == {100 * m + k: licences.TEXTS[n] for m in range(3) for k, n in enumerate(names)}
+    body = licences._BSD2.replace("\n", " ")
+    r = licences.scan(docs(spark, [(1, f"one\n{body}\n\n--\ntwo")])).first()
+    assert (r.license_id, r.n_license_lines, r.line_licenses) == (None, 1, "BSD-2-Clause")
+    own = spark.createDataFrame([("own", "Use it as you like.")], "license_id string, text string")
+    r = licences.scan(docs(spark, [(1, "a\nuse it, as you like\nb\nUse it as you like!")]), own).first()
+    assert (r.license_id, r.n_license_lines, r.line_licenses) == (None, 2, "own")
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div class="cookie-consent">We use cookies. Accept.</div><header><a href="/">Site</a></header>
 <nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="ad">Buy this now, cheap.</div><article><h1>Head &amp; line</h1><p>First paragraph of the text, with a
  <b>bold</b> word, and more.<br>Then on.<p>Second paragraph, not closed. It goes on &lt;for&gt; a while.<script>var x = "</p>";</script></article>
