@@ -2,10 +2,11 @@
 
 Texts are encoded, ordered by id over the whole table and cut into shards of some ``SHARD`` tokens.
 In a shard the most frequent pairs of neighbouring symbols are replaced by new symbols, round after
-round, until no pair is frequent (``LEAST`` times) or ``ROUNDS`` are over. A round counts all pairs
-exactly, takes the ``PER_ROUND`` most frequent, and where chosen pairs overlap the more frequent one
-goes first; rules that would be used less than twice are taken back. The end id closes every document and
-takes part in no pair, so documents begin at symbol borders.
+round, until no pair occurs so often that a rule for it would make the shard smaller. A round counts
+all pairs exactly, takes those at least a quarter (``SHARE``) as frequent as the most frequent, and where
+chosen pairs overlap the more frequent one goes first; rules that would not pay are taken back and
+counted anew in the next round. Symbols outgrow 16 bits if that makes the shard smaller. The end id
+closes every document and takes part in no pair, so documents begin at symbol borders.
 
 A shard is one binary value:
 
@@ -43,9 +44,10 @@ from tessera.session import Scratch, bounded_batches
 MAGIC = 0x52507231
 END = 0
 SHARD = 1 << 21
-ROUNDS = 6
-PER_ROUND = 2500
-LEAST = 12
+#: A round takes pairs of at least this share of the highest count.
+SHARE = 0.25
+#: Bytes of a rule: two symbols and its length.
+RULE = 12
 #: Parts of texts that a worker keeps with their ids, at some 200 bytes each.
 CACHE = 700_000
 #: Marks the first part of a text in the cache, which has no blank before it.
@@ -181,57 +183,83 @@ class Encoder:
         return out
 
 
-def replace_pairs(seq: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def replace_pairs(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): seq with frequent pairs replaced; rule k makes symbol base + k. END is never in a pair.
 
-    If all symbols fit in 16 bits, a pair is one 32-bit number, which halves the work of counting.
+    Ends when no pair can be replaced so often that the bytes saved exceed those of its rule. As long
+    as all symbols fit in 16 bits, a pair is one 32-bit number, which halves the work of counting.
+    When these run out the replacement goes on with wider ones, and the smaller outcome stays.
     """
-    narrow = base + rounds * per_round <= 1 << 16
-    wide, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    low = wide((1 << shift) - 1)
-    seq = seq.astype(wide)
+    seq = seq.astype(np.uint32)
     rules = np.empty((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = (seq[:-1] << wide(shift)) | seq[1:]  # pairs with END are 0 in one half
+    kept = None
+    while len(seq) > 1:
+        room = (1 << 16) - base - len(rules)
+        if kept is None and 0 <= base <= 1 << 16 and room <= 0:
+            kept = seq.copy(), rules
+        narrow = room > 0
+        width = _width(base + len(rules) + 1)
+        least = RULE // width + 1
+        wide, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+        low = wide((1 << shift) - 1)
+        code = (seq[:-1].astype(wide) << wide(shift)) | seq[1:]  # pairs with END are 0 in one half
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(first, append=len(ordered))
         values = ordered[first]
         good = np.flatnonzero(count >= least)
-        good = good[(values[good] >> wide(shift) != END) & (values[good] & low != END)]
-        if not len(good):
+        values, count = values[good], count[good]
+        good = (values >> wide(shift) != END) & (values & low != END)
+        values, count = values[good], count[good]
+        twin = np.flatnonzero(values >> wide(shift) == values & low)
+        if len(twin):  # a pair of equal symbols overlaps itself
+            at = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+            pairs = np.diff(at, append=len(seq)) // 2
+            own = np.bincount(seq[at], pairs, base + len(rules)).astype(np.int64)
+            count[twin] = own[(values[twin] & low).astype(np.int64)]
+        top = count.max(initial=0)
+        if top < least:
             break
-        good = good[np.argsort(-count[good], kind="stable")[:per_round]]
-        chosen = values[good]  # by rank
+        good = np.flatnonzero(count >= max(least, top * SHARE))
+        good = good[np.argsort(-count[good], kind="stable")]
+        chosen = values[good[:room] if narrow else good]  # by rank
         place, rank = _matches(code, chosen)
-        take = _settle(place, rank)
-        used = np.bincount(rank[take], minlength=len(chosen))
-        if (used < 2).any():
-            live = used[rank] >= 2
-            place, rank = place[live], rank[live]
+        while True:  # the first rank has all its matches, so that some rule remains
             take = _settle(place, rank)
             used = np.bincount(rank[take], minlength=len(chosen))
+            live = used[rank] >= least
+            if live.all():
+                break
+            place, rank = place[live], rank[live]
         live = np.flatnonzero(used)
-        if not len(live):
-            break
-        symbol = np.zeros(len(chosen), wide)
+        symbol = np.zeros(len(chosen), np.uint32)
         symbol[live] = base + len(rules) + np.arange(len(live))
         rules = np.concatenate([rules, np.stack([chosen[live] >> wide(shift), chosen[live] & low], axis=1).astype(np.int64)])
         keep = np.ones(len(seq), bool)
         keep[place[take] + 1] = False
         seq[place[take]] = symbol[rank[take]]
         seq = seq[keep]
+    if kept is not None and _size(*kept, base) <= _size(seq, rules, base):
+        seq, rules = kept
     return seq.astype(np.int64), rules
 
 
+def _width(symbols: int) -> int:
+    """Bytes of a symbol, of so many different ones."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
+def _size(seq: np.ndarray, rules: np.ndarray, base: int) -> int:
+    return RULE * len(rules) + _width(base + len(rules)) * len(seq)
+
+
 def _matches(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, ranks) of the chosen pairs in code, by a table of slots; of two pairs in a slot the first stays."""
-    slots = 1 << 18
+    bits = 18
     kind = code.dtype.type
-    mix = lambda x: ((x * kind(2654435761)) >> kind(10)) & kind(slots - 1)
-    table = np.full(slots, -1, np.int32)
+    factor, shift = (2654435761, 32 - bits) if kind is np.uint32 else (0x9E3779B97F4A7C15, 64 - bits)
+    mix = lambda x: (x * kind(factor)) >> kind(shift)
+    table = np.full(1 << bits, -1, np.int32)
     table[mix(chosen[::-1])] = np.arange(len(chosen), dtype=np.int32)[::-1]
     rank = table[mix(code)]
     place = np.flatnonzero(rank >= 0)
@@ -243,20 +271,25 @@ def _matches(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _settle(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the matches are replaced: no two overlap, and of neighbours the lower rank goes first.
 
-    In a run of one pair (a symbol repeated) every second match from the run's start is meant.
+    A match is left out only if it overlaps one that is replaced. In a run of one pair (a symbol
+    repeated) every second match from the run's first free one is meant.
     """
-    if not len(place):
-        return np.empty(0, np.int64)
-    near = place[1:] - place[:-1] == 1  # match k and k + 1 overlap
-    good = np.ones(len(place), bool)
-    later, sooner = near & (rank[1:] > rank[:-1]), near & (rank[1:] < rank[:-1])
-    good[1:] &= ~later
-    good[:-1] &= ~sooner
-    same = near & ~later & ~sooner
-    if same.any():
+    good = np.zeros(len(place), bool)
+    left = np.arange(len(place))
+    while len(left):
+        p, r = place[left], rank[left]
+        near = p[1:] - p[:-1] == 1  # match k and k + 1 overlap
+        same = near & (r[1:] == r[:-1])
         start = np.flatnonzero(np.concatenate([[True], ~same]))
-        run = np.repeat(start, np.diff(start, append=len(place)))
-        good &= (np.arange(len(place)) - run) % 2 == 0
+        size = np.diff(start, append=len(left))
+        waits = np.concatenate([[False], near & (r[1:] > r[:-1])])  # for the match before
+        pick = np.repeat(~waits[start], size) & ((np.arange(len(left)) - np.repeat(start, size)) % 2 == 0)
+        pick[:-1] &= ~(near & (r[1:] < r[:-1]))
+        good[left[pick]] = True
+        gone = pick.copy()
+        gone[1:] |= near & pick[:-1]
+        gone[:-1] |= near & pick[1:]
+        left = left[~gone]
     return np.flatnonzero(good)
 
 
@@ -280,7 +313,7 @@ def pack(ids: np.ndarray, tokens_per_doc: np.ndarray, base: int) -> bytes:
         lengths = np.r_[np.ones(base, np.int64), rule_lengths(rules, base)]
         ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(tokens_per_doc))
     per_doc = np.diff(np.r_[-1, ends])
-    width = 2 if base + len(rules) <= 1 << 16 else 3 if base + len(rules) <= 1 << 24 else 4
+    width = _width(base + len(rules))
     head = np.array([MAGIC, base, len(rules), len(symbols), len(per_doc), len(ids), width, 0], "<u4")
     body = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
     return b"".join([head.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules, base).astype("<u4").tobytes(), per_doc.astype("<u4").tobytes(), np.ascontiguousarray(body).tobytes()])

@@ -238,6 +238,42 @@ def test_repair_ids_of_texts_with_nul():
             assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_repair_settles_overlaps_exactly():
+    assert repair._settle(np.array([0, 1, 2]), np.array([3, 2, 1])).tolist() == [0, 2]
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        place = sorted(rng.sample(range(50), n))
+        rank = [rng.randrange(rng.choice([1, 2, 3, 9])) for _ in place]
+        taken = set()
+        for r, p in sorted(zip(rank, place)):
+            if not {p - 1, p + 1} & taken:
+                taken.add(p)
+        assert [place[k] for k in repair._settle(np.array(place), np.array(rank))] == sorted(taken)
+
+
+@pytest.mark.parametrize("base", [300, 65_500, 70_000])
+def test_repair_goes_on_while_rules_pay(base):
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, base, 400)
+    mixed = np.concatenate([x for k in range(3000) for x in (passage, rng.integers(1, base, 3), [0])] + [rng.integers(1, 60, 40_000), np.full(5000, 7), [0]])
+    symbols, rules = repair.replace_pairs(mixed, base)
+    lengths = repair.rule_lengths(rules, base)
+    assert lengths.max() >= 400 and len(symbols) < 3000 * 6 + 40_000
+    flat = [x for x in symbols.tolist()]
+    counts, k = Counter(), 0
+    for k in range(len(flat) - 1):  # no pair is left that pays: without overlaps
+        if flat[k] and flat[k + 1]:
+            counts[flat[k], flat[k + 1]] += 1
+    width = 2 if base + len(rules) < 1 << 16 else 3
+    full = base < 1 << 16 == base + len(rules)
+    assert full or all(n * width <= 12 for (a, b), n in counts.items() if a != b)
+    sizes = np.diff(np.r_[-1, np.flatnonzero(mixed == 0)])
+    s = repair.Shard(repair.pack(mixed, sizes, base))
+    assert (s.ids() == mixed).all() and (s.doc_tokens() == sizes).all() and (s.doc(17) == mixed[17 * 404 : 18 * 404]).all()
+    assert s.token(17, 200) == mixed[17 * 404 + 200]
+
+
 def test_shard_random_access():
     r = np.random.default_rng(3)
     docs_ids = [np.r_[r.choice([5, 6, 7, 0, 9], int(n)), 0] for n in r.integers(0, 400, 60)] + [np.r_[np.full(999, 5), 0]]
