@@ -1,17 +1,18 @@
-"""SimHash near-duplicates by pivot distance tables.
+"""SimHash near-duplicates by blocks of bits and hubs in crowds.
 
 A fingerprint holds 64 majority bits of the XXH64 hashes of a document's word shingles.
 Fingerprints that differ in at most ``RADIUS`` bits are linked, and linked documents, directly or
 through others, form a component.
 
-Every distinct fingerprint gets a table of Hamming distances to reference fingerprints (pivots).
-The pivots come in two kinds. Block pivots measure the distance inside one block of bits: for a
-block of w bits the w + 1 distances to the zero word and to the w unit words determine the block,
-so the block itself is stored in their stead. Global pivots measure the distance over all bits.
-Two fingerprints at distance r have block distances that add up to r, so at r <= 2 at least two of
-the four blocks show no difference in any coordinate: the pairs of blocks are the equi-join keys.
-Inside a key, a pair is discarded if any global coordinate differs by more than r (the triangle
-inequality), and survivors are verified by their exact distance.
+Blocks and hubs stand in for the tables of Hamming distances to reference fingerprints (pivots): no
+such table is computed or stored. For a block of w bits the w + 1 distances to the zero word and to
+the w unit words would determine the block, so the block itself is used in their stead. Two
+fingerprints at distance r have block distances that add up to r, so at r <= 2 at least two of
+the four blocks show no difference: the pairs of blocks are the equi-join keys, which distances
+to pivots over all bits, known up to r only, could not be. Inside a key the distances to a few such
+global pivots are computed for each pair, a pair is discarded if one differs by more than r (the
+triangle inequality), and survivors are verified by their exact distance. That check alone decides:
+without the global pivots the result would be the same.
 
 A key that holds more than ``CROWD`` fingerprints is not paired: each of its fingerprints names the
 65 fingerprints at distance 0 or 1 from it, and two fingerprints lie within distance 2 exactly if
