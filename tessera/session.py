@@ -1,4 +1,4 @@
-"""Session helpers: the shared scratch folder, written tables and bounded Arrow batches."""
+"""Session helpers: the shared scratch folder, written tables, slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -87,12 +87,27 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts do not meet in one batch."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches, column: int, most: int = 8_000_000):
+    """Arrow batches cut so that the texts of a column have at most ``most`` bytes together; a longer text is by itself.
+
+    Spark bounds its batches by rows and bytes (spark.sql.execution.arrow.maxBytesPerBatch); these
+    bound what an operator makes of a batch.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if b.column(column).nbytes <= most or b.num_rows < 2:
+            yield b
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(column).cast(pa.large_binary())), 0).to_pylist()
+        begin = held = 0
+        for k, n in enumerate(size):
+            if held + n > most and k > begin:
+                yield b.slice(begin, k - begin)
+                begin, held = k, 0
+            held += n
+        yield b.slice(begin)
 
 
 def join_checked(spark: SparkSession, left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = 1_000_000) -> DataFrame:
