@@ -8,23 +8,27 @@ block as main text or not; its weights for features and for neighbouring labels
 maximum likelihood (forward-backward, L2 penalty) on labelled pages and the best labelling is
 decoded by Viterbi.
 
-The labelled pages are made here from a grammar of page layouts with a fixed seed, so the model is
-the same in every run; fit() takes any other labelled pages as well.
+The labelled pages are made here from a grammar of page layouts with a fixed seed; the weights that
+fit() finds on them are kept in a file beside this module, which ``python -m tessera.llm.html_crf``
+writes anew. fit() takes any other labelled pages as well.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import bounded_batches
+from tessera.session import ship
 
 #: Element names by how they are treated.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,12 +49,14 @@ CUES = {
     "main": "article content post entry story main body text page copy",
 }
 _CUE = {w: g for g, ws in CUES.items() for w in ws.split()}
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_QUOTE = re.compile("[>\"']")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: Elements that features name; all others count as one, so that an element has a bounded number of features.
+NAMED = frozenset("html body main article section header footer nav aside div p ul ol li dl dt dd table thead tbody tfoot tr td th form fieldset figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 address details summary center legend".split())
 PENALTY, STEPS, RATE = 0.02, 150, 0.2
-
-Path = tuple[tuple[str, frozenset], ...]
+WEIGHTS = Path(__file__).with_name("html_crf_weights.json")
 
 
 def _attributes(raw: str) -> tuple[frozenset, str | None]:
@@ -66,38 +72,112 @@ def _attributes(raw: str) -> tuple[frozenset, str | None]:
     return frozenset(groups), label
 
 
+class Element:
+    """An open element: what its ancestors say is held in a set that it shares with its parent unless it adds to it."""
+
+    __slots__ = ("tag", "label", "depth", "inside", "main", "own")
+
+    def __init__(self, tag: str, groups: frozenset, label: str | None, parent: Element | None):
+        self.tag = tag
+        self.label = label if label is not None or parent is None else parent.label
+        self.depth = parent.depth + 1 if parent else 1
+        self.main = bool(parent and parent.main) or tag in ("article", "main") or "main" in groups and tag not in ("html", "body")
+        shown = tag if tag in NAMED else "other"
+        adds = {f"in={shown}", *(f"cue={g}" for g in groups)}
+        before = parent.inside if parent else frozenset()
+        self.inside: frozenset = before if adds <= before else before | adds
+        self.own = (f"tag={shown}", *sorted(f"own={g}" for g in groups))
+
+    def features(self) -> list[str]:
+        return [*self.own, *self.inside, f"deep={min(self.depth, 8)}"]
+
+
 class Block:
-    """A leaf block: its text, its ancestors, characters inside links, and the label of a training page."""
+    """A leaf block: its text, its element, characters inside links."""
+
+    __slots__ = ("text", "element", "linked")
+
+    def __init__(self, text: str, element: Element | None, linked: int):
+        self.text, self.element, self.linked = text, element, linked
 
-    __slots__ = ("text", "path", "linked", "label")
+    @property
+    def label(self) -> str | None:
+        """The label of a training page."""
+        return self.element.label if self.element else None
 
-    def __init__(self, text: str, path: Path, linked: int, label: str | None):
-        self.text, self.path, self.linked, self.label = text, path, linked, label
+
+class Tags:
+    """The tags of a page in order: (start, end, closing, name, attributes); name is empty for comments and the like.
+
+    Every character is looked at a bounded number of times. A quote hides ``>``; once a quote is
+    found to run to the end of the page, quotes hide nothing in the rest of it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.closers = page, True, {}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, (end + 3 if end >= 0 else len(page)), False, "", ""
+            if page[at + 1 : at + 2] in ("!", "?") and at + 1 < len(page):
+                end = page.find(">", at)
+                return None if end < 0 else (at, end + 1, False, "", "")
+            m = _NAME.match(page, at + 1)
+            if m is None:
+                at += 1
+                continue
+            end = self._end(m.end())
+            if end < 0:
+                return None
+            return at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag; -1 if there is none."""
+        page, k = self.page, at
+        while self.quotes:
+            m = _QUOTE.search(page, k)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                k = page.find(m[0], m.end()) + 1
+                if not k:
+                    self.quotes = False
+        return page.find(">", at)
+
+    def closing(self, name: str, at: int) -> int:
+        """The place of the next ``</name``; -1 if there is none."""
+        seen = self.closers.get(name)
+        if seen is None or 0 <= seen < at:
+            m = _closing(name).search(self.page, at)
+            seen = self.closers[name] = m.start() if m else -1
+        return seen
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order; markup errors are read as browsers roughly do."""
+    """The leaf blocks of a page, in order; markup errors are read as browsers roughly do. Time is linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, str | None]] = []
+    stack: list[Element] = []
+    open_now: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = 0
-    path: Path = ()
-    label: str | None = None
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, path, linked, label))
+                out.append(Block(text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
-    def moved() -> None:
-        nonlocal path, label
-        path = tuple((t, g) for t, g, _ in stack)
-        label = next((y for _, _, y in reversed(stack) if y is not None), None)
-
     def say(raw: str) -> None:
         nonlocal linked
         if "&" in raw:
@@ -106,38 +186,38 @@ def blocks(page: str) -> list[Block]:
             linked += len(raw.strip())
         parts.append(raw)
 
-    at = 0
+    def pop() -> str:
+        gone = stack.pop().tag
+        open_now[gone] -= 1
+        return gone
+
+    at, tags = 0, Tags(page)
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        start, end, closes, name, raw = tag
+        if start > at:
+            say(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if closes:
             if name in INLINE:
                 in_link = max(0, in_link - (name == "a"))
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close()
-                    del stack[k:]
-                    in_link = 0
-                    moved()
-                    break
+            elif open_now[name]:
+                close()
+                while pop() != name:
+                    pass
+                in_link = 0
             continue
-        if name in SKIPPED and not m[3].endswith("/"):
-            closing = _closing(name).search(page, at)
-            end = closing.start() if closing else -1
-            if end < 0 and name == "head":
+        if name in SKIPPED and not raw.endswith("/"):
+            shut = tags.closing(name, at)
+            if shut < 0 and name == "head":
                 continue
             # Only raw text runs to the end of a page that does not close it.
-            stop = page.find(">", end) + 1 if end >= 0 else 0
+            stop = page.find(">", shut) + 1 if shut >= 0 else 0
             at = stop or (len(page) if name in ("script", "style", "textarea") else at)
             if name not in ("button", "select"):
                 close()
@@ -154,11 +234,10 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         in_link = 0
-        while stack and stack[-1][0] in CLOSED_BY and (CLOSED_BY[stack[-1][0]] is None or name in CLOSED_BY[stack[-1][0]]):
-            stack.pop()
-        groups, y = _attributes(m[3])
-        stack.append((name, groups, y))
-        moved()
+        while stack and stack[-1].tag in CLOSED_BY and (CLOSED_BY[stack[-1].tag] is None or name in CLOSED_BY[stack[-1].tag]):
+            pop()
+        stack.append(Element(name, *_attributes(raw), stack[-1] if stack else None))
+        open_now[name] += 1
     close()
     return out
 
@@ -168,27 +247,15 @@ def _closing(name: str) -> re.Pattern:
     return re.compile("</" + re.escape(name) + r"(?=[\s/>])", re.I)
 
 
-@cache
-def _path_features(path: Path) -> tuple[str, ...]:
-    tags = [t for t, _ in path]
-    groups = set().union(*(g for _, g in path)) if path else set()
-    own = path[-1] if path else ("none", frozenset())
-    return tuple({f"tag={own[0]}", *(f"in={t}" for t in tags), *(f"cue={g}" for g in groups), *(f"own={g}" for g in own[1]), f"deep={min(len(tags), 8)}"})
-
-
-def _is_main(path: Path) -> bool:
-    return any(t in ("article", "main") or "main" in g and t not in ("html", "body") for t, g in path)
-
-
 def features(page: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
-    some = any(_is_main(b.path) for b in page)
+    some = any(b.element and b.element.main for b in page)
     out = []
     for k, b in enumerate(page):
         n = len(b.text.split())
         share = b.linked / len(b.text)
         marks = sum(b.text.count(c) for c in ".,;:!?")
-        f = [*_path_features(b.path)]
+        f = b.element.features() if b.element else ["tag=none"]
         f.append(f"words={0 if n < 3 else 3 if n < 6 else 6 if n < 12 else 12 if n < 30 else 30 if n < 80 else 80}")
         f.append(f"linked={0 if not share else 1 if share < 0.3 else 2 if share < 0.7 else 3}")
         f.append(f"marks={0 if not marks else 1 if marks < n / 20 else 2}")
@@ -196,11 +263,12 @@ def features(page: list[Block]) -> list[list[str]]:
         if "©" in b.text or "copyright" in b.text.lower():
             f.append("rights")
         if some:
-            f.append("inside" if _is_main(b.path) else "outside")
-        if k == 0:
-            f.append("first")
-        if k == len(page) - 1:
-            f.append("last")
+            f.append("inside" if b.element and b.element.main else "outside")
+        if len(page) > 1:
+            if k == 0:
+                f.append("first")
+            if k == len(page) - 1:
+                f.append("last")
         out.append(f)
     return out
 
@@ -382,7 +450,33 @@ class Layouts:
         }
         return {k: f() for k, f in made.items()}
 
+    def plain(self) -> str:
+        """A page of text alone, with few cues or none: paragraphs in the body or in plain boxes, sometimes a heading and a menu of links."""
+        ps = [self.sentences(1, 6) for _ in range(int(self.r.integers(1, 7)))]
+        kind = self.r.random()
+        if kind < 0.4:
+            inner = "".join(f'<p data-y="1">{x}</p>' for x in ps)
+        elif kind < 0.5:
+            inner = f'<div data-y="1">{"<br><br>".join(ps)}</div>'
+        elif kind < 0.75:
+            inner = "".join(f'<div data-y="1">{x}</div>' for x in ps)
+        elif kind < 0.85:
+            inner = f'<pre data-y="1">{ps[0]}</pre>'
+        else:
+            inner = f'<table><tr><td data-y="1">{"".join(f"<p>{x}</p>" for x in ps)}</td></tr></table>'
+        if self.chance(0.4):
+            inner = f'<h1 data-y="1">{self.phrase(9)}</h1>' + inner
+        for _ in range(int(self.r.integers(0, 3))):
+            inner = f"<{(t := self.one('div', 'section', 'center'))}>{inner}</{t}>"
+        if self.chance(0.3):
+            inner = f"<div>{self.links(3, 8)}</div>" + inner
+        if self.chance(0.2):
+            inner += f"<div>{self.links(3, 8)}</div>"
+        return inner if self.chance(0.4) else f"<html><head><title>{self.phrase(6)}</title></head><body>{inner}</body></html>"
+
     def page(self) -> str:
+        if self.chance(0.3):
+            return self.plain()
         a, art = self.around(), self.article()
         p = {"header": 0.5, "nav": 0.9, "notice": 0.3, "ad": 0.6, "side": 0.5, "comments": 0.4, "form": 0.3, "newsletter": 0.3, "share": 0.3, "footer": 0.95}
         use = {k: v for k, v in a.items() if self.chance(p[k])}
@@ -409,12 +503,26 @@ def labelled_pages(count: int, seed: int) -> list[tuple[list[Block], list[int]]]
     return out
 
 
-@cache
-def model(pages: int = 400, seed: int = 11) -> Field:
-    """The field trained on pages of the grammar; made once per process."""
+def trained(pages: int = 600, seed: int = 11) -> Field:
+    """The field trained on pages of the grammar."""
     return fit(labelled_pages(pages, seed))
 
 
+@cache
+def model() -> Field:
+    """trained(), from the file of its weights."""
+    w = json.loads(WEIGHTS.read_text(encoding="utf-8"))
+    return Field(list(w["emit"]), np.array(list(w["emit"].values())), np.array(w["step"]), np.array(w["start"]))
+
+
+def save(field: Field, path: Path = WEIGHTS) -> None:
+    """Write a field's weights."""
+    names = sorted(field.index, key=field.index.__getitem__)
+    emit = {x: np.round(v, 5).tolist() for x, v in zip(names, field.emit)}
+    rest = {"step": np.round(field.step, 5).tolist(), "start": np.round(field.start, 5).tolist()}
+    path.write_text(json.dumps({"emit": emit} | rest, indent=0) + "\n", encoding="utf-8")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", field: Field | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
@@ -422,7 +530,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     joined by one blank; empty if there is none. A null html counts as empty. Repeated rows stay.
     """
     spark = pages.sparkSession
-    bounded_batches(spark, 500)
+    ship(spark)
     shared = spark.sparkContext.broadcast(field or model())
     src = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{body}`").cast("string").alias("_html"))
     schema = src.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
@@ -434,3 +542,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
     return src.mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    save(trained())
