@@ -8,9 +8,9 @@ and leaves that conversation without spans. Inside a turn's span the text is loc
 opening that the template writes for the assistant, and the closing that is left when the turn is
 rendered with an empty text, enclose it.
 
-Rendering every prefix costs the square of a conversation's length. So beyond ``DIRECT`` turns, what a
-turn adds is first rendered after its last ``CONTEXT`` turns only; if all that was added, put
-together, is the rendering of the whole conversation, the spans hold, else the prefixes decide.
+Every prefix is rendered, whatever the length: a template may do otherwise at any turn, so fewer
+renderings could not tell. That costs the square of a conversation's length, of which the built-in
+template keeps the larger part low by holding on to the turns it has just written.
 
 The built-in template marks turns with control strings and escapes them, and other templates' control
 strings, inside texts and roles, so that texts can be read back exactly.
@@ -21,19 +21,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import bounded_batches
+from tessera.session import ship
 
 OPEN, CLOSE, GAP = "<|turn|>", "<|end|>\n", "\n"
 #: Strings that a text must not hold as they are: this template's and common ones of others.
 CONTROL = (OPEN, "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Marks escapes: it is put after the first character of a control string, and doubled where it stands in a text.
 ESCAPE = "\\"
-DIRECT, CONTEXT = 64, 3
+#: Turns that the built-in template holds on to, and characters of the longest of them.
+HELD, LONGEST = 4096, 4096
 _CONTROL = re.compile("|".join(re.escape(ESCAPE) if c is None else re.escape(c) for c in (None, *sorted(CONTROL, key=len, reverse=True))))
 _ESCAPED = re.compile("|".join([re.escape(ESCAPE + ESCAPE), *(re.escape(c[0] + ESCAPE + c[1:]) for c in sorted(CONTROL, key=len, reverse=True))]))
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + GAP + "(.*?)" + re.escape(CLOSE), re.S)
@@ -63,9 +65,16 @@ def _role_back(role: str) -> str:
     return "".join(out) + role[at:]
 
 
+def _turn(role: str, text: str) -> str:
+    return f"{OPEN}{_role(role)}{GAP}{escape(text)}{CLOSE}"
+
+
+_held_turn = lru_cache(HELD)(_turn)
+
+
 def turns_template(messages: list[Message], open_assistant: bool = False) -> str:
     """The built-in template."""
-    out = [f"{OPEN}{_role(r)}{GAP}{escape(t)}{CLOSE}" for r, t in messages]
+    out = [_held_turn(r, t) if len(t) + len(r) <= LONGEST else _turn(r, t) for r, t in messages]
     if open_assistant:
         out.append(f"{OPEN}assistant{GAP}")
     return "".join(out)
@@ -84,8 +93,7 @@ class Rendered:
         self.loss: list[tuple[int, int]] = []
         self.rewrites = False
         self.text = template(messages, False)
-        added = self._local(messages, template) if len(messages) > DIRECT else None
-        added = added if added is not None else self._prefixes(messages, template)
+        added = self._prefixes(messages, template)
         if added is None:
             self.rewrites = True
             return
@@ -118,21 +126,10 @@ class Rendered:
             before = after
         return out
 
-    def _local(self, messages: list[Message], template: Template) -> list[str] | None:
-        """What each turn adds after its last turns; None unless that makes up the whole."""
-        out = []
-        for k in range(len(messages)):
-            context = messages[max(0, k - CONTEXT) : k]
-            part = self._step(template(context, False), template([*context, messages[k]], False))
-            if part is None:
-                return None
-            out.append(part)
-        return out if "".join(out) == self.text else None
-
     @staticmethod
     def _inside(messages: list[Message], k: int, part: str, template: Template) -> tuple[int, int] | None:
         """Where the text lies in what turn k adds."""
-        context = messages[max(0, k - CONTEXT) : k]
+        context = messages[:k]
         before = template(context, False)
         opened = template(context, True)
         empty = Rendered._step(before, template([*context, (messages[k][0], "")], False))
@@ -156,7 +153,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     Rows are dealt by conversation and sorted; a worker holds one conversation at a time.
     """
     spark = turns.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     src = turns.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = src.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
