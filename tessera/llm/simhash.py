@@ -1,23 +1,20 @@
-"""SimHash near-duplicates by blocks of bits and hubs in crowds.
+"""SimHash near-duplicates by pivot distance tables.
 
 A fingerprint holds 64 majority bits of the XXH64 hashes of a document's word shingles.
 Fingerprints that differ in at most ``RADIUS`` bits are linked, and linked documents, directly or
 through others, form a component.
 
-Blocks and hubs stand in for the tables of Hamming distances to reference fingerprints (pivots): no
-such table is computed or stored. For a block of w bits the w + 1 distances to the zero word and to
-the w unit words would determine the block, so the block itself is used in their stead. Two
-fingerprints at distance r have block distances that add up to r, so at r <= 2 at least two of
-the four blocks show no difference: the pairs of blocks are the equi-join keys, which distances
-to pivots over all bits, known up to r only, could not be. Inside a key the distances to a few such
-global pivots are computed for each pair, a pair is discarded if one differs by more than r (the
-triangle inequality), and survivors are verified by their exact distance. That check alone decides:
-without the global pivots the result would be the same.
-
-A key that holds more than ``CROWD`` fingerprints is not paired: each of its fingerprints names the
-65 fingerprints at distance 0 or 1 from it, and two fingerprints lie within distance 2 exactly if
-they name a common one. Those that name the same are linked to the least of them, which loses no
-link and makes 65 rows per fingerprint however large the crowd is.
+A table is written that holds, for each distinct fingerprint, its Hamming distances to 45 reference
+fingerprints. Candidate pairs come from that table: most references have bits in one of four blocks
+only, so that what these distances say about a block can be told apart, and two fingerprints within two bits
+agree on what they say about some pair of blocks (see candidates()). A pair with any coordinate that differs by more
+than the radius is discarded, and survivors are verified by their exact distance.
+
+Pairing a key costs the square of its fingerprints, so the pairs of a key that holds more than
+``CROWD`` are not made. The exact way for these: each of their fingerprints is within 1 of 65
+reference fingerprints of its own (itself and what one flipped bit makes of it), and two fingerprints
+lie within 2 exactly if they share such a reference. Those that share one are linked to the
+least of them: no link is lost, and a fingerprint makes 65 rows however large the crowd is.
 """
 
 from __future__ import annotations
@@ -33,21 +30,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import LOWER, as_bytes
 from tessera.operators.graph import components
-from tessera.session import Scratch, bounded_batches, join_checked
+from tessera.session import Scratch, ship, join_checked
 
 SEED = 42
 RADIUS = 2
 BLOCKS = 4
 CROWD = 48
+#: Rows of one fingerprint beyond which its rows are not dealt by fingerprint; there are fewer such fingerprints than rows by this factor.
+HOT = 10_000
 #: Hashes whose bits are unpacked at once; bounds memory for texts of any length.
 SLICE = 1 << 19
 
 
-def pivots(count: int = 12) -> list[int]:
-    """Reference fingerprints: XXH64 of their own index, as signed longs."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7)).astype(np.int64)) for i in range(count)]
-
-
 def hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle of words of the lower-cased text, repeats included."""
     w = text.translate(LOWER).split()
@@ -98,7 +92,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
     Null and empty texts, and texts of white space only, get fingerprint 0.
     """
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     schema = src.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema
 
@@ -110,31 +104,62 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     return src.mapInArrow(run, schema)
 
 
-def _within(x: str, y: str, radius: int, refs: list[int]):
-    """The pivot test on every global coordinate, then the exact distance."""
-    away = [F.abs(F.bit_count(F.col(x).bitwiseXOR(F.lit(p))) - F.bit_count(F.col(y).bitwiseXOR(F.lit(p)))) for p in refs]
-    return (F.greatest(*away) <= radius) & (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius)
+def references(blocks: int = BLOCKS, each: int = 8, others: int = 12) -> list[int]:
+    """Reference fingerprints, as signed longs: the zero word, ``each`` per block that have half the block's bits and no other, and ``others`` of random bits.
 
+    They are drawn from XXH64 of their own index, so they are the same in every run.
+    """
+    width, out = 64 // blocks, [0]
+    for b in range(blocks):
+        for k in range(each):
+            bits = sorted(range(width), key=lambda i: xxhash.xxh64_intdigest(bytes([b, k, i]), 7))[: width // 2]  # noqa: B023
+            out.append(sum(1 << (width * b + i) for i in bits))
+    out += [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 7) for i in range(others)]
+    return [x - (1 << 64) if x >> 63 else x for x in out]
 
-def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """(u, v): links among the fingerprints of ``distinct`` (_fp) that make the components of all links within radius 0, 1 or 2.
 
-    A written table is asked for: it is read once per use.
+def pivot_table(distinct: DataFrame, refs: list[int]) -> DataFrame:
+    """(_fp, _d): each fingerprint of ``distinct`` with its Hamming distances to the references."""
+    return distinct.select("_fp", F.array(*[F.bit_count(F.col("_fp").bitwiseXOR(F.lit(r))).cast("byte") for r in refs]).alias("_d"))
+
+
+def candidates(spark: SparkSession, table: DataFrame, crowd: int = CROWD, each: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, many) of a written pivot table: candidate pairs (u, v, _du, _dv), and the fingerprints (_fp) of crowded keys.
+
+    A block's reference differs from the zero word in that block alone, so the difference of the two
+    distances depends on that block's bits alone, and two bits change those differences in two
+    blocks at most. So the differences of some pair of blocks are equal, and each pair of blocks
+    makes an equi-join key. A key of more than ``crowd`` fingerprints is not paired.
     """
+    zero = F.element_at("_d", 1)
+    block = [F.transform(F.slice("_d", 2 + each * b, each), lambda x: x - zero) for b in range(BLOCKS)]
+    keys = [F.struct(F.lit(k).alias("c"), F.xxhash64(block[i], block[j]).alias("k")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+    keyed = table.select("_fp", F.explode(F.array(*keys)).alias("key")).select("_fp", "key.c", "key.k")
+    scratch = Scratch(spark)
+    keyed = scratch.write(keyed, "keyed")
+    shared = scratch.write(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = scratch.write(join_checked(spark, keyed, shared, ["c", "k"], "inner"), "rows")
+    few = rows.where(F.col("n") <= crowd).select("c", "k", "_fp")
+    told = few.select("_fp").distinct().join(table, "_fp")
+    few = few.join(told, "_fp")
+    left, right = (few.select("c", "k", F.col("_fp").alias(x), F.col("_d").alias(f"_d{x}")) for x in ("u", "v"))
+    pairs = left.join(right, ["c", "k"]).where(F.col("u") < F.col("v")).drop("c", "k")
+    return pairs, rows.where(F.col("n") > crowd).select("_fp").distinct()
+
+
+def apart(most: int):
+    """Whether two rows of the table are more than ``most`` apart in some coordinate: then the fingerprints are, too, by the triangle inequality."""
+    return F.array_max(F.zip_with("_du", "_dv", lambda x, y: F.abs(x - y))) > most
+
+
+def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links among the fingerprints of ``distinct`` (_fp) that make the components of all links within radius 0, 1 or 2."""
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    width = 64 // BLOCKS
-    part = [F.shiftrightunsigned("_fp", width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
-    keys = [F.struct(F.lit(k).alias("c"), (F.shiftleft(part[i], width) + part[j]).alias("k")) for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    keyed = distinct.select("_fp", F.explode(F.array(*keys)).alias("key")).select("_fp", "key.c", "key.k")
-    shared = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    scratch = Scratch(spark)
-    dense = scratch.write(shared, "keys")
-    rows = scratch.write(keyed.join(dense, ["c", "k"]), "keyed")
-    few = rows.where(F.col("n") <= crowd)
-    left, right = few.select("c", "k", F.col("_fp").alias("u")), few.select("c", "k", F.col("_fp").alias("v"))
-    paired = left.join(right, ["c", "k"]).where(F.col("u") < F.col("v")).where(_within("u", "v", radius, pivots())).select("u", "v")
-    many = rows.where(F.col("n") > crowd).select("_fp").distinct()
+    table = Scratch(spark).write(pivot_table(distinct, references()), "pivots")
+    pairs, many = candidates(spark, table, crowd)
+    verified = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
+    paired = pairs.where(~apart(radius)).where(verified).select("u", "v")
     flips = [F.col("_fp")] + [F.col("_fp").bitwiseXOR(F.lit(np.int64(np.uint64(1 << b)).item() if b < 63 else -(1 << 63))) for b in range(64)]
     if radius < 2:
         flips = flips[: 1 + 64 * radius]
@@ -163,12 +188,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.write(with_fingerprint(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
-    classes = scratch.write(rows.groupBy("_fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = scratch.write(rows.groupBy("_fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     comp = components(spark, links(spark, classes.select("_fp"), radius, crowd)).withColumnRenamed("node", "_fp")
     grouped = classes.join(comp, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(best, "component").select("_fp", "component_id")
-    return rows.join(ids, "_fp").select("doc_id", _hexed("_fp").alias("fingerprint"), "component_id")
+    ids = scratch.write(grouped.join(best, "component").select("_fp", "n", "component_id"), "ids")
+    hot, rest = ids.where(F.col("n") > HOT).select("_fp", "component_id"), ids.where(F.col("n") <= HOT).select("_fp", "component_id")
+    few = join_checked(spark, rows, hot.select("_fp"), ["_fp"], "left_anti")
+    out = few.join(rest, "_fp").unionByName(join_checked(spark, rows, hot, ["_fp"], "inner"))
+    return out.select("doc_id", _hexed("_fp").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
