@@ -3,7 +3,7 @@
 Texts are encoded, ordered by id over the whole table and cut into shards of some ``SHARD`` tokens.
 In a shard the most frequent pairs of neighbouring symbols are replaced by new symbols, round after
 round, until no pair occurs so often that a rule for it would make the shard smaller. A round counts
-all pairs exactly, takes those at least a quarter (``SHARE``) as frequent as the most frequent, and where
+all pairs exactly, takes those at least a twentieth (``SHARE``) as frequent as the most frequent, and where
 chosen pairs overlap the more frequent one goes first; rules that would not pay are taken back and
 counted anew in the next round. Symbols outgrow 16 bits if that makes the shard smaller. The end id
 closes every document and takes part in no pair, so documents begin at symbol borders.
@@ -12,6 +12,7 @@ A shard is one binary value:
 
   header   8 unsigned 32-bit numbers: magic, base (first rule's symbol), rules, symbols, documents,
            tokens, bytes per symbol, 0
+  ids      the id of each symbol below base: those that the shard has, so that few bits do
   rules    two unsigned 32-bit symbols each, those of earlier rounds first
   lengths  the expansion length of each rule, unsigned 32-bit
   docs     symbols of each document, unsigned 32-bit
@@ -23,207 +24,224 @@ file system takes and whose writer commits a task's output as a whole, so that a
 leaves no half file behind.
 
 Encoding is the tokenizer's own on parts of the text: its pattern always starts a new part at a
-blank that no white space follows, so such parts are encoded one by one and kept in a bounded cache.
-Texts with other white space after a blank, or with U+0000, are encoded whole.
+blank that no white space follows, and makes a part of a line feed between other characters. So the
+distinct parts of some texts are encoded one by one and kept in a cache of a bounded size in bytes.
+Texts with other white space, or with an added token of the file, are encoded whole, and so are all
+texts where the file's rules are others.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import Scratch, bounded_batches
+from tessera.session import Scratch, ship, slices
 
 MAGIC = 0x52507231
 END = 0
 SHARD = 1 << 21
 #: A round takes pairs of at least this share of the highest count.
-SHARE = 0.25
+SHARE = 0.05
 #: Bytes of a rule: two symbols and its length.
 RULE = 12
-#: Parts of texts that a worker keeps with their ids, at some 200 bytes each.
-CACHE = 700_000
-#: Marks the first part of a text in the cache, which has no blank before it.
-FIRST = "\0"
-#: A part without white space inside; a blank that white space or the end follows, or a NUL, which in the cache is the mark above.
-WORD = re.compile(r" ?\S+")
+#: Bytes of parts with their ids that a worker keeps, and characters of the longest such part.
+CACHE_BYTES, LONGEST = 200_000_000, 64
+#: Characters of texts that are encoded at once; a longer text is by itself.
+SLICE = 8_000_000
 #: Letters of one part, and marks that make another when they follow letters.
-LETTERS = re.compile(r"\0?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words with single line feeds between them.
-LINES = re.compile(r"\S+(?:\n\S+)+")
-OPEN = re.compile(r" (?=[\s\x1c-\x1f]|$)|\0")
-#: Parts that go to the tokenizer in one string.
-JOINED = 1000
-_held: dict[str, "Encoder"] = {}
+#: White space that parts do not provide for: other than blanks and line feeds, a blank beside white space or at the end, three line feeds or two at the end.
+UNUSUAL = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n\n|\n\n\z| \z"
+#: The character that stands for a byte in a byte-level vocabulary: itself if it can be printed, else those from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+_held: dict[tuple, "Encoder"] = {}
 
 
 class Encoder:
-    """Exact ids of a tokenizer file, part by part."""
+    """Exact ids of a tokenizer file, part by part where the file's rules allow it.
 
-    def __init__(self, data: str):
+    ``special_as_text`` takes the strings of special tokens in a text for ordinary text; otherwise they
+    are special tokens, as they are to the library by default.
+    """
+
+    def __init__(self, data: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True
-        self.feed = self._feed()
-        self.cache: dict[str, bytes] = {FIRST: b""}
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        spec = json.loads(data)
+        added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        #: Texts that are encoded whole.
+        self.whole = "|".join([UNUSUAL, *map(_literal, added)]) if self._by_parts(spec) else ""
+        self.cache: dict[str, bytes] = {"": self._plain([" "])[0]}
         self.marks: dict[str, bytes] = {}
+        self.held = 0
 
-    def _feed(self) -> int:
-        """The id of a line feed, which joins parts; -1 if it has no id of its own."""
-        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        return ids[0] if len(ids) == 1 else -1
+    @staticmethod
+    def _by_parts(spec: dict) -> bool:
+        """Whether the file's rules are those that parts rely on: byte-level merges, cut by the usual pattern, nothing else."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges"))
+        return usual and spec.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not odd
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts. Those without white space inside go to the tokenizer joined by line feeds, each of which is a part of its own."""
-        if not parts:
-            return []
-        simple = [p for p in parts if WORD.fullmatch(p)]
-        out: dict[str, bytes] = {}
-        for k in range(0, len(simple), JOINED):
-            some = simple[k : k + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) != len(some) - 1:
-                out |= zip(some, self._plain(some))
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * ends + 4).tolist(), 4 * len(ids) + 4]
-            out |= {p: raw[x : y - 4] for p, x, y in zip(some, at, at[1:])}
-        rest = [p for p in parts if p not in out]
-        out |= zip(rest, self._plain(rest))
-        return [out[p] for p in parts]
-
-    def _solve(self, new: dict[str, bytes]) -> None:
-        """Fill in the ids of new parts.
-
-        Three things are parts of their own to the tokenizer: a line feed between other characters,
-        letters, and the marks that follow them. So a part is put together from the ids of such
-        pieces, and only pieces that are new as well are encoded.
-        """
-        get, made, bare = self.cache.get, {}, {}
-        marks, feed = self.marks, self._marks("\n")
-
-        def word(p: str) -> list:
-            core = p.rstrip(MARKS)
-            if core == p or not LETTERS.fullmatch(core):
-                core = p
-            ids = get(core)
-            if ids is None:
-                bare[core] = b""
-                ids = core
-            return [ids] if core is p else [ids, self._marks(p[len(core) :])]
-
-        for p in new:
-            if LINES.fullmatch(p):
-                first, *more = p.split("\n")
-                pieces = word(first)
-                for x in more:
-                    pieces += [feed, *word(FIRST + x)]
-                made[p] = pieces
-            else:
-                made[p] = word(p)
-        plain = list(bare)
-        bare.update(zip(plain, self._parts([p[1:] if p[:1] == FIRST else " " + p for p in plain])))
-        for p, pieces in made.items():
-            new[p] = b"".join([x if x.__class__ is bytes else bare[x] for x in pieces])
-        if len(marks) > 10_000:
-            marks.clear()
-        for core in bare.keys() - new.keys():
-            if len(self.cache) < CACHE:
-                self.cache[core] = bare[core]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _marks(self, x: str) -> bytes:
         got = self.marks.get(x)
         if got is None:
-            got = self.marks[x] = self._plain([x])[0]
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            got = self._plain([x])[0]
+            if len(x) <= LONGEST:
+                self.marks[x] = got
         return got
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        out: list = [None] * len(texts)
-        cache, get = self.cache, self.cache.get
-        found, open_at, whole, new = {}, [], [], {}
-        for i, t in enumerate(texts):
-            if OPEN.search(t):
-                whole.append(i)
+    def _keep(self, part: str, ids: bytes) -> None:
+        """A full cache stays as it is: frequent parts come early. Long parts are not kept."""
+        cost = 180 + len(part) + len(ids)
+        if self.held + cost <= CACHE_BYTES and len(part) <= LONGEST:
+            self.held += cost
+            self.cache[part] = ids
+
+    def _merged(self, letters: str, feed: bool) -> bytes:
+        """Letters behind a blank or a line feed go to the library's merges directly: they are one part to it, with the blank."""
+        raw = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = array("I", [t.id for t in self.model.tokenize(raw if feed else "Ġ" + raw)]).tobytes()
+        return self._marks("\n") + ids if feed else ids
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each with the blank before it; one that begins with a line feed has none."""
+        cache, keep = self.cache, self._keep
+        out = list(map(cache.get, parts))
+        lost = []
+        for k, ids in enumerate(out):
+            if ids is not None:
                 continue
-            parts = t.split(" ")
-            parts[0] = FIRST + parts[0]
-            ids = list(map(get, parts))
-            found[i] = ids
-            if None in ids:
-                at = [k for k, x in enumerate(ids) if x is None]
-                lost = [parts[k] for k in at]
-                open_at.append((ids, at, lost))
-                new.update(dict.fromkeys(lost))
-        if new:
-            self._solve(new)
-            fresh = list(new)
-            for ids, at, lost in open_at:
-                for k, p in zip(at, lost):
-                    ids[k] = new[p]
-            for p in fresh[: max(0, CACHE - len(cache))]:  # a full cache stays as it is: frequent parts come early
-                cache[p] = new[p]
-        for i, ids in found.items():
-            out[i] = b"".join(ids)
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
-            out[i] = ids
+            p = parts[k]
+            feed = p[0] == "\n"  # the empty part is always in the cache
+            core = p.rstrip(MARKS)
+            word = core[1:] if feed else core
+            if not (word.isalpha() and (word.isascii() or LETTERS.fullmatch(word))):
+                lost.append(k)
+                continue
+            if len(core) == len(p):
+                ids = self._merged(word, feed)
+            else:
+                ids = cache.get(core)
+                if ids is None:
+                    ids = self._merged(word, feed)
+                    keep(core, ids)
+                ids += self._marks(p[len(core) :])
+            keep(p, ids)
+            out[k] = ids
+        for k, ids in zip(lost, self._plain([parts[k] if parts[k][0] == "\n" else " " + parts[k] for k in lost])):
+            out[k] = ids
+            keep(parts[k], ids)
+        return out
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none), without an end id."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        whole = np.flatnonzero(odd).tolist()
+        for i, ids in zip(whole, self._plain(texts.take(pa.array(whole, pa.int64())).to_pylist())):
+            out[i] = np.frombuffer(ids, "<u4")
+        simple = np.flatnonzero(~odd)
+        if not len(simple):
+            return out
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(simple)), "\n", " \n"), " ")
+        borders = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        ids = self.parts(coded.dictionary.to_pylist())
+        heads = split.flatten().take(pa.array(borders[:-1])).to_pylist()  # no blank before these
+        number[borders[:-1]] = np.arange(len(ids), len(ids) + len(heads))
+        at = [k for k, p in enumerate(heads) if p]
+        first = [b""] * len(heads)
+        for k, x in zip(at, self._plain([heads[k] for k in at])):
+            first[k] = x
+        ids += first
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin, wide = (np.cumsum(size) - size)[number], size[number]
+        ends = np.cumsum(wide)
+        got = flat[np.repeat(begin - (ends - wide), wide) + np.arange(ends[-1])]
+        cuts = np.r_[0, ends][borders]
+        for i, a, b in zip(simple.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = got[a:b]
         return out
 
 
+def _literal(text: str) -> str:
+    """A pattern for exactly this text."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def replace_pairs(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): seq with frequent pairs replaced; rule k makes symbol base + k. END is never in a pair.
 
     Ends when no pair can be replaced so often that the bytes saved exceed those of its rule. As long
     as all symbols fit in 16 bits, a pair is one 32-bit number, which halves the work of counting.
     When these run out the replacement goes on with wider ones, and the smaller outcome stays.
+
+    A count of a pair never grows unless one of its symbols is new. So once a round has taken all
+    pairs that pay, the next one only counts pairs with a symbol that is newer than that round.
     """
     seq = seq.astype(np.uint32)
     rules = np.empty((0, 2), np.int64)
     kept = None
+    fresh = 0  # pairs of older symbols only are known not to pay
     while len(seq) > 1:
-        room = (1 << 16) - base - len(rules)
+        symbols = base + len(rules)
+        room = (1 << 16) - symbols
         if kept is None and 0 <= base <= 1 << 16 and room <= 0:
-            kept = seq.copy(), rules
+            kept, fresh = (seq.copy(), rules), 0
         narrow = room > 0
-        width = _width(base + len(rules) + 1)
+        width = _width(symbols + 1)
         least = RULE // width + 1
         wide, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
         low = wide((1 << shift) - 1)
-        code = (seq[:-1].astype(wide) << wide(shift)) | seq[1:]  # pairs with END are 0 in one half
-        ordered = np.sort(code)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(first, append=len(ordered))
-        values = ordered[first]
-        good = np.flatnonzero(count >= least)
-        values, count = values[good], count[good]
+        at = None
+        if fresh:
+            new = seq >= fresh
+            at = np.flatnonzero(new[:-1] | new[1:])
+            code = (seq[at].astype(wide) << wide(shift)) | seq[at + 1]
+        else:
+            code = (seq[:-1].astype(wide) << wide(shift)) | seq[1:]  # pairs with END are 0 in one half
+        values, count = _counts(code, least)
         good = (values >> wide(shift) != END) & (values & low != END)
         values, count = values[good], count[good]
         twin = np.flatnonzero(values >> wide(shift) == values & low)
-        if len(twin):  # a pair of equal symbols overlaps itself
-            at = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
-            pairs = np.diff(at, append=len(seq)) // 2
-            own = np.bincount(seq[at], pairs, base + len(rules)).astype(np.int64)
-            count[twin] = own[(values[twin] & low).astype(np.int64)]
+        if len(twin):
+            count[twin] = _twin_counts(seq, symbols)[(values[twin] & low).astype(np.int64)]
         top = count.max(initial=0)
         if top < least:
             break
-        good = np.flatnonzero(count >= max(least, top * SHARE))
+        floor = max(least, int(top * SHARE))
+        good = np.flatnonzero(count >= floor)
         good = good[np.argsort(-count[good], kind="stable")]
         chosen = values[good[:room] if narrow else good]  # by rank
-        place, rank = _matches(code, chosen)
+        place, rank, whole = _matches(code, chosen)
+        if at is not None:
+            place = at[place]
+        every = place, rank
         while True:  # the first rank has all its matches, so that some rule remains
             take = _settle(place, rank)
             used = np.bincount(rank[take], minlength=len(chosen))
@@ -233,17 +251,45 @@ def replace_pairs(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             place, rank = place[live], rank[live]
         live = np.flatnonzero(used)
         symbol = np.zeros(len(chosen), np.uint32)
-        symbol[live] = base + len(rules) + np.arange(len(live))
+        symbol[live] = symbols + np.arange(len(live))
         rules = np.concatenate([rules, np.stack([chosen[live] >> wide(shift), chosen[live] & low], axis=1).astype(np.int64)])
-        keep = np.ones(len(seq), bool)
+        keep = np.ones(len(seq) + 1, bool)
         keep[place[take] + 1] = False
+        lost = len(rank) < len(every[1]) and _still_pays(*every, keep, used, least)
         seq[place[take]] = symbol[rank[take]]
-        seq = seq[keep]
+        seq = seq[keep[:-1]]
+        if floor == least and whole and len(chosen) == len(good) and not lost:
+            fresh = symbols
     if kept is not None and _size(*kept, base) <= _size(seq, rules, base):
         seq, rules = kept
     return seq.astype(np.int64), rules
 
 
+def _still_pays(place: np.ndarray, rank: np.ndarray, keep: np.ndarray, used: np.ndarray, least: int) -> bool:
+    """Whether a pair without a rule has so many matches left that it may pay yet: what overlapped them was taken back as well."""
+    free = (used[rank] == 0) & keep[place] & keep[place + 1] & keep[np.minimum(place + 2, len(keep) - 1)]
+    return bool((np.bincount(rank[free]) >= least).any())
+
+
+def _counts(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of the codes that occur ``least`` times or more, in order."""
+    ordered = np.sort(code)
+    if len(ordered) < least:
+        return ordered[:0], np.empty(0, np.int64)
+    often = np.flatnonzero(ordered[least - 1 :] == ordered[: len(ordered) - least + 1])  # starts of such runs, and places inside them
+    values = ordered[often]
+    first = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]])
+    return values[first], np.diff(first, append=len(values)) + (least - 1)
+
+
+def _twin_counts(seq: np.ndarray, symbols: int) -> np.ndarray:
+    """Per symbol, how many pairs of it beside itself can be replaced: a run of n places overlaps itself."""
+    place = np.flatnonzero(seq[1:] == seq[:-1])
+    first = np.flatnonzero(np.r_[True, place[1:] - place[:-1] != 1]) if len(place) else place
+    size = np.diff(first, append=len(place))
+    return np.bincount(seq[place[first]], (size + 1) // 2, symbols).astype(np.int64)
+
+
 def _width(symbols: int) -> int:
     """Bytes of a symbol, of so many different ones."""
     return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
@@ -253,19 +299,21 @@ def _size(seq: np.ndarray, rules: np.ndarray, base: int) -> int:
     return RULE * len(rules) + _width(base + len(rules)) * len(seq)
 
 
-def _matches(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, ranks) of the chosen pairs in code, by a table of slots; of two pairs in a slot the first stays."""
+def _matches(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(places, ranks) of the chosen pairs in code by a table of slots, and whether it has them all: of two pairs in a slot the first stays."""
     bits = 18
     kind = code.dtype.type
     factor, shift = (2654435761, 32 - bits) if kind is np.uint32 else (0x9E3779B97F4A7C15, 64 - bits)
     mix = lambda x: (x * kind(factor)) >> kind(shift)
     table = np.full(1 << bits, -1, np.int32)
-    table[mix(chosen[::-1])] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    slots = mix(chosen)
+    table[slots[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    whole = bool((table[slots] == np.arange(len(chosen))).all())
     rank = table[mix(code)]
     place = np.flatnonzero(rank >= 0)
     rank = rank[place]
     same = chosen[rank] == code[place]
-    return place[same], rank[same]
+    return place[same], rank[same], whole
 
 
 def _settle(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -305,18 +353,25 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, tokens_per_doc: np.ndarray, base: int) -> bytes:
+def pack(ids: np.ndarray, tokens_per_doc: np.ndarray) -> bytes:
     """A shard of documents that each close with END."""
-    symbols, rules = replace_pairs(ids, base)
+    used = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    used[END] = True  # END is the least id and so stays symbol 0
+    used[ids] = True
+    own = np.flatnonzero(used)
+    base = len(own)
+    number = np.zeros(len(used), np.uint32)
+    number[own] = np.arange(base)
+    symbols, rules = replace_pairs(number[ids], base)
+    lengths = rule_lengths(rules, base)
     ends = np.flatnonzero(symbols == END)
     if len(ends) != len(tokens_per_doc):  # END is also an ordinary id of the vocabulary: find the borders by length
-        lengths = np.r_[np.ones(base, np.int64), rule_lengths(rules, base)]
-        ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(tokens_per_doc))
+        ends = np.searchsorted(np.cumsum(np.r_[np.ones(base, np.int64), lengths][symbols]), np.cumsum(tokens_per_doc))
     per_doc = np.diff(np.r_[-1, ends])
     width = _width(base + len(rules))
     head = np.array([MAGIC, base, len(rules), len(symbols), len(per_doc), len(ids), width, 0], "<u4")
     body = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
-    return b"".join([head.tobytes(), rules.astype("<u4").tobytes(), rule_lengths(rules, base).astype("<u4").tobytes(), per_doc.astype("<u4").tobytes(), np.ascontiguousarray(body).tobytes()])
+    return b"".join([*(x.astype("<u4").tobytes() for x in (head, own, rules, lengths, per_doc)), np.ascontiguousarray(body).tobytes()])
 
 
 class Shard:
@@ -328,6 +383,8 @@ class Shard:
             raise ValueError("not a shard")
         _, self.base, n_rules, n_symbols, self.docs, self.tokens, width, _ = head.tolist()
         at = 32
+        self.own = np.frombuffer(raw, "<u4", self.base, at).astype(np.int64)
+        at += 4 * self.base
         self.rules = np.frombuffer(raw, "<u4", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
         at += 8 * n_rules
         self.lengths = np.frombuffer(raw, "<u4", n_rules, at).astype(np.int64)
@@ -368,11 +425,11 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids of the shard."""
-        return self._expand(self.symbols, *self._expanded())
+        return self.own[self._expand(self.symbols, *self._expanded())]
 
     def doc(self, k: int) -> np.ndarray:
         """The ids of one document, its end id included; only its symbols are expanded."""
-        return self._expand(self.symbols[self.borders[k] : self.borders[k + 1]], *self._expanded())
+        return self.own[self._expand(self.symbols[self.borders[k] : self.borders[k + 1]], *self._expanded())]
 
     def token(self, k: int, place: int) -> int:
         """One id of document k: lengths are added up to its symbol, which is then walked down."""
@@ -384,7 +441,7 @@ class Shard:
             left, right = self.rules[symbol - self.base].tolist()
             wide = int(self._width(np.array([left]))[0])
             symbol, place = (left, place) if place < wide else (right, place - wide)
-        return symbol
+        return int(self.own[symbol])
 
     def doc_tokens(self) -> np.ndarray:
         """Tokens of each document, from the lengths alone."""
@@ -392,7 +449,7 @@ class Shard:
         return np.diff(total[self.borders])
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, shard: int = SHARD) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, shard: int = SHARD, special_as_text: bool = False) -> None:
     """Write docs as shards to ``path``, ordered by doc_id over all parts.
 
     The table has a row per shard: part, seq (of the shard in its part), start (tokens of the part
@@ -401,9 +458,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
     takes it to ``shard`` tokens or more, so a document is never split.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500)
+    ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    key = (hash(data), special_as_text)
+    shared = spark.sparkContext.broadcast(data)
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = src.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
@@ -412,19 +471,20 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e = _held.get("encoder")
+        e = _held.get(key)
         if e is None:
-            e = _held["encoder"] = Encoder(shared.value)
-        base = e.tokenizer.get_vocab_size(with_added_tokens=True)
+            _held.clear()
+            e = _held[key] = Encoder(shared.value, special_as_text)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list = []
         sizes: list[int] = []
+        end = np.array([END], "<u4")
 
         def made() -> pa.RecordBatch:
             nonlocal seq, start
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            row = [[part], [seq], [start], [len(flat)], [names[0]], [list(names)], [pack(flat, np.array(sizes, np.int64), base)]]
+            flat = np.concatenate(ids)
+            row = [[part], [seq], [start], [len(flat)], [names[0]], [list(names)], [pack(flat, np.array(sizes, np.int64))]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             seq, start = seq + 1, start + len(flat)
             for x in (ids, names, sizes):
@@ -432,12 +492,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "start", "tokens", "first_doc", "doc_ids", "data"])
 
         held = 0
-        for b in batches:
-            names_in = b.column(0).to_pylist()
-            for name, raw in zip(names_in, e.batch([t or "" for t in b.column(1).to_pylist()])):
-                ids.append(raw + b"\0\0\0\0")
+        for b in slices(batches, 1, SLICE):
+            for name, own in zip(b.column(0).to_pylist(), e.batch(b.column(1))):
+                ids += (own, end)
                 names.append(name)
-                sizes.append(len(raw) // 4 + 1)
+                sizes.append(len(own) + 1)
                 held += sizes[-1]
                 if held >= shard:
                     yield made()
@@ -460,8 +519,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for part, tokens in totals:
         before[part] = at
         at += tokens
-    bounded_batches(spark)
-    width = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ship(spark)
     shared = spark.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +532,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[x:y].data) for x, y in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins + start + shared.value[part]), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", width)
     return table.select("part", "start", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
