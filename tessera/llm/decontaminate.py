@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import ALNUM, as_bytes
-from tessera.session import bounded_batches
+from tessera.session import ship
 
 WINDOW = 10
 #: Words of items in one automaton: at some 300 bytes a state, under 200 MB.
@@ -219,7 +219,7 @@ def _through(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     spans has a list (start, end, start, ...) of windows per row, items the set of ids found.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     shared = [spark.sparkContext.broadcast(SuffixAutomaton(x, window)) for x in blocks(items, item_id, item_text)]
     shared = shared or [spark.sparkContext.broadcast(SuffixAutomaton([], window))]
     at = docs.columns.index(text)

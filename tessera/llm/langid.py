@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.llm.words import LOWER, as_bytes
-from tessera.session import Scratch, bounded_batches, join_checked
+from tessera.session import Scratch, ship, join_checked
 
 LANGUAGES = ("en", "fr", "de", "es")
 SAMPLE = 500
@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
     Rows of other or no declared language are left out. A language without rows gets the mean of
     the others and is never the best by its text alone.
     """
-    bounded_batches(labelled.sparkSession)
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1)).alias("_lang")).where(F.col("_lang").isin(*languages) & F.col("_id").isNotNull())
     order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     ids = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id").distinct()  # at most sample rows a language
@@ -141,7 +141,7 @@ def _evidence(model: TextModel, declared: str | None, suffix: str) -> np.ndarray
 def _score(docs: DataFrame, model: TextModel, text: F.Column, declared: F.Column, host: F.Column, keep: list[str]) -> DataFrame:
     """keep, the host parts, and per row: _log (log evidence without host), _mean (of trigrams, per language), _n."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     h, site, suffix = _host_parts(host)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], h.alias("_host"), site.alias("_site"), suffix.alias("_suffix"), declared.cast("string").alias("_declared"), text.cast("string").alias("_body"))

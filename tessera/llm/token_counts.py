@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import Pieces, chunks
 from tessera.llm.transducer import model_bytes
-from tessera.session import bounded_batches
+from tessera.session import ship
 
 #: Chunks that a worker keeps with their counts, at some 200 bytes each.
 CACHE = 500_000
@@ -100,7 +100,7 @@ def count(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text
     Repeated rows stay.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     data = model_bytes(spark, model)
     key = hash(data)
     shared = spark.sparkContext.broadcast(data)

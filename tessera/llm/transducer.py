@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import BLANK, BYTE, CONTROL, UNKNOWN, Pieces, chunks
-from tessera.session import bounded_batches
+from tessera.session import ship
 
 #: Chunks that a worker keeps with their ids; at some 250 bytes each, 100 MB at most.
 CACHE = 500_000
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     which decodes to a blank. A null text counts as empty: no ids. Repeated rows stay.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     data = model_bytes(spark, model)
     key = hash(data)
     shared = spark.sparkContext.broadcast(data)
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """encoded with the column ``out``: the text of its ids (null for null ids)."""
     spark = encoded.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     data = model_bytes(spark, model)
     key = hash(data)
     shared = spark.sparkContext.broadcast(data)
