@@ -12,17 +12,15 @@ from tessera.operators.graph import components
 from tessera.operators.upserts import pick
 
 
-def candidates(observed: DataFrame, url: str = "url", expanded: str | None = None, plain: bool = False) -> DataFrame:
-    """observed with decision, reason, canonical_url, artifact_kind and artifact_id of each address.
-
-    plain keeps to built-in functions, for addresses known to be of the usual shape.
-    """
-    seen = F.trim(F.col(url))
+def candidates(observed: DataFrame, url: str = "url", expanded: str | None = None) -> DataFrame:
+    """observed with decision, reason, canonical_url, artifact_kind and artifact_id of each address."""
+    seen = F.trim(F.coalesce(F.col(url), F.lit("")))
     full = F.coalesce(F.nullif(F.trim(F.col(expanded)), F.lit("")), seen) if expanded else seen
     s = observed.withColumns({"_seen": seen, "_full": full})
-    s = s.withColumn("_c", urls.canonical_plain(F.col("_full")) if plain else urls.canonical(F.col("_full")))
-    s = s.withColumns({"_h": urls.host(F.col("_c")), "_p": urls.path(F.col("_c"))})
-    out = s.withColumn("_d", urls.decide(*map(F.col, ("_seen", "_full", "_c", "_h", "_p")))).select(*observed.columns, "_d.*")
+    s = s.withColumns({"_first": urls.parsed(F.col("_seen")), "_parts": urls.parsed(F.col("_full"))})
+    s = s.withColumns({"_name": urls.ascii_host(F.col("_first")), "_host": urls.ascii_host(F.col("_parts"))})
+    s = s.withColumn("_c", urls.put_together(F.col("_parts"), F.col("_host")))
+    out = s.withColumn("_d", urls.decide(*map(F.col, ("_seen", "_full", "_parts", "_name", "_c")))).select(*observed.columns, "_d.*")
     return out.withColumn("artifact_id", F.when(F.col("canonical_url").isNotNull(), urls.artifact_id(F.col("canonical_url"))))
 
 

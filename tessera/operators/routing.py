@@ -27,21 +27,21 @@ def prune(sources: DataFrame, day: Column) -> DataFrame:
     return s.withColumn("relation", relation).drop("_ok", "_posts", "_root", "_k")
 
 
-def is_visible(plain: bool = False) -> Column:
+def is_visible() -> Column:
     """Whether a source is read: artifacts, roots, independent originals, and continuations that say something."""
-    shown = text.display_text(F.col("text"), plain)
+    shown = text.display_text(F.col("text"), F.col("source_type") == "x_post")
     return (F.col("source_type") == "artifact") | F.col("relation").isin("root", "independent_original") | ((F.col("relation") == "same_author_continuation") & (F.coalesce(shown, F.lit("")) != ""))
 
 
-def gate(sources: DataFrame, plain: bool = False) -> DataFrame:
+def gate(sources: DataFrame) -> DataFrame:
     """(packet, code, words) of packets; code null goes on to a model.
 
     Media that nothing reads end it (unsupported_media). One short root post alone (30 words at
     most) ends it too: with an address in it for want of that evidence, else for want of text.
     """
-    v = sources.where(is_visible(plain))
+    v = sources.where(is_visible())
     post = F.col("source_type") == "x_post"
-    words = text.substantive_words(F.col("text"), plain)
+    words = text.substantive_words(F.col("text"))
     g = v.groupBy("packet").agg(
         F.max(F.size(F.coalesce("media_types", F.array()))).alias("_m"),
         F.count("*").alias("_n"),

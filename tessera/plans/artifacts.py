@@ -23,17 +23,57 @@ def _pages(spark, sf_dir):
     return ad.table(spark, sf_dir, "pages").select("page_id", "url")
 
 
+# Addresses made from a page's number, each with its canonical form (null: none), decision, reason and kind; Spark and DuckDB read the expressions alike.
+MADE = (
+    ("concat('HTTP://Bücher.Example:80/a', page_id, '?utm_x=1&b=', page_id, '%20c&d#top')", "concat('http://xn--bcher-kva.example/a', page_id, '?b=', page_id, '+c&d=')", "accepted", "external_http_url", "other"),
+    ("concat('https://example.org./', page_id, '?q=a*b~c%zz')", "concat('https://example.org/', page_id, '?q=a%2Ab~c%25zz')", "accepted", "external_http_url", "other"),
+    ("concat('http://example.org:443/news/', page_id)", "concat('http://example.org:443/news/', page_id)", "accepted", "external_http_url", "article"),
+    ("concat('https://someone@example.org/', page_id)", "null", "failed", "invalid_url", ""),
+    ("concat('https://example.org:8080/', page_id)", "null", "failed", "invalid_url", ""),
+    ("concat('https://a..b/', page_id)", "null", "failed", "invalid_url", ""),
+    ("concat('ftp://example.org/', page_id)", "null", "failed", "unsupported_scheme", ""),
+    ("concat('no address ', page_id)", "null", "failed", "invalid_url", ""),
+    ("concat('https://t.co/', page_id)", "concat('https://t.co/', page_id)", "excluded", "unresolved_short_url", ""),
+    ("concat('https://x.com/i/article/', page_id)", "concat('https://x.com/i/article/', page_id)", "accepted", "x_longform_article", "article"),
+    ("concat('https://twitter.com/a/statuses/', page_id, '/photo/1')", "concat('https://twitter.com/a/statuses/', page_id, '/photo/1')", "excluded", "ordinary_x_status", ""),
+    ("concat('https://x.com/i/broadcasts/', page_id)", "concat('https://x.com/i/broadcasts/', page_id)", "excluded", "x_broadcast_deferred", ""),
+    ("concat('https://x.com/u', page_id, '/')", "concat('https://x.com/u', page_id, '/')", "excluded", "x_profile", ""),
+    ("concat('https://x.com/i/spaces/', page_id)", "concat('https://x.com/i/spaces/', page_id)", "excluded", "x_internal_url", ""),
+    ("concat('https://pbs.twimg.com/', page_id)", "concat('https://pbs.twimg.com/', page_id)", "excluded", "x_media", ""),
+    ("concat('https://example.org/Search/?q=', page_id)", "concat('https://example.org/Search/?q=', page_id)", "excluded", "search_navigation", ""),
+    ("concat('https://discord.com/invite/', page_id)", "concat('https://discord.com/invite/', page_id)", "excluded", "invite_url", ""),
+    ("concat('https://github.com/u', page_id)", "concat('https://github.com/u', page_id)", "excluded", "external_profile", ""),
+    ("concat('https://github.com/u', page_id, '/r')", "concat('https://github.com/u', page_id, '/r')", "accepted", "external_http_url", "repository"),
+    ("concat('https://youtube.com/@c', page_id)", "concat('https://youtube.com/@c', page_id)", "excluded", "external_profile", ""),
+    ("concat('https://youtu.be/', page_id, '?si=1&t=2')", "concat('https://youtu.be/', page_id, '?t=2')", "accepted", "external_http_url", "video"),
+    ("concat('https://medium.com/', page_id, '?source=x')", "concat('https://medium.com/', page_id)", "accepted", "external_http_url", "other"),
+    ("concat('https://www.arxiv.org/PDF/', page_id, '.1v2.pdf?x=1')", "concat('https://arxiv.org/abs/', page_id, '.1v2?x=1')", "accepted", "external_http_url", "paper"),
+    ("concat('https://www.linkedin.com/in/', page_id)", "concat('https://www.linkedin.com/in/', page_id)", "excluded", "external_profile", ""),
+    ("concat('https://example.org/launch/', page_id)", "concat('https://example.org/launch/', page_id)", "accepted", "external_http_url", "announcement"),
+)
+MADE_SQL = "made AS (" + " UNION ALL ".join(f"SELECT page_id, {k} AS place, {a} AS url, {c} AS canonical_url, '{d}' AS decision, '{r}' AS reason, '{x}' AS kind FROM pages" for k, (a, c, d, r, x) in enumerate(MADE, 1)) + ")"
+
+
+def _addresses(spark, sf_dir):
+    """Each page's address (place 0) and those made from its number."""
+    own = ad.table(spark, sf_dir, "pages")
+    made = F.array(F.struct(F.lit(0).alias("place"), F.col("url").alias("url")), *[F.struct(F.lit(k).alias("place"), F.expr(m[0]).alias("url")) for k, m in enumerate(MADE, 1)])
+    return own.select("page_id", F.explode(made).alias("x")).select("page_id", "x.place", "x.url")
+
+
 def canonical_urls(spark, sf_dir):
-    c = art.candidates(_pages(spark, sf_dir), plain=True)
-    return c.select("page_id", "canonical_url", "artifact_id", urls.is_merge_anchor(F.col("canonical_url")).alias("merge_anchor"))
+    c = urls.canonical(_addresses(spark, sf_dir), F.col("url"))
+    none = F.lit("")
+    return c.select("page_id", "place", F.coalesce("canonical_url", none).alias("canonical_url"), F.coalesce(urls.artifact_id(F.col("canonical_url")), none).alias("artifact_id"), urls.is_merge_anchor(F.col("canonical_url")).alias("merge_anchor"))
 
 
 def url_decisions(spark, sf_dir):
-    return art.candidates(_pages(spark, sf_dir)).select("page_id", "decision", "reason", F.coalesce("artifact_kind", F.lit("")).alias("artifact_kind"))
+    c = art.candidates(_addresses(spark, sf_dir))
+    return c.select("page_id", "place", "decision", "reason", F.coalesce("artifact_kind", F.lit("")).alias("artifact_kind"), F.coalesce("canonical_url", F.lit("")).alias("canonical_url"))
 
 
 def artifact_aliases(spark, sf_dir):
-    c = art.candidates(_pages(spark, sf_dir), plain=True).where("canonical_url is not null")
+    c = art.candidates(_pages(spark, sf_dir)).where("canonical_url is not null")
     return c.groupBy("artifact_id").agg(F.count("*").alias("observed"), F.min("url").alias("least_url"), F.min("page_id").alias("first_page"))
 
 
@@ -124,8 +164,23 @@ def pruned_packets(spark, sf_dir):
     return routing.prune(_sources(spark, sf_dir), F.lit("2024-01-10")).select("packet", "place", "source_type", "relation")
 
 
+# What is put behind texts: character references, letters to be composed, handles and addresses. Four words are left of it.
+TAIL = " caf&eacute; R&amp;D cafe\u0301 @Jos\u00e9_1 (@ab) x@y &lt;https://t.co/q"
+
+
+def _words_sql(x: str) -> str:
+    said = f"nfc_normalize(replace(replace(replace({x}, '&eacute;', 'é'), '&amp;', '&'), '&lt;', '<'))"
+    bare = f"regexp_replace(regexp_replace({said}, 'https?://\\S+', ' ', 'gi'), '(^|[^\\p{{L}}\\p{{N}}_])@[\\p{{L}}\\p{{N}}_]+', '\\1 ', 'g')"
+    return f"len(regexp_extract_all({bare}, '[\\p{{L}}\\p{{N}}]+(?:[''’.\\-][\\p{{L}}\\p{{N}}]+)*'))::BIGINT"
+
+
+def _marked(df, key):
+    """df with TAIL behind every second text, by its key."""
+    return df.withColumn("text", F.when(F.col(key) % 2 == 0, F.concat("text", F.lit(TAIL))).otherwise(F.col("text")))
+
+
 def gated_packets(spark, sf_dir):
-    return routing.gate(_sources(spark, sf_dir), plain=True).select("packet", F.coalesce("code", F.lit("")).alias("code"), "words")
+    return routing.gate(_marked(_sources(spark, sf_dir), "packet")).select("packet", F.coalesce("code", F.lit("")).alias("code"), "words")
 
 
 def packet_hashes(spark, sf_dir):
@@ -155,16 +210,22 @@ def run_telemetry(spark, sf_dir):
 
 
 def substantive_words(spark, sf_dir):
-    d = ad.table(spark, sf_dir, "documents")
-    return d.select("doc_id", text.substantive_words(F.col("text"), plain=True).alias("words"))
+    d = _marked(ad.table(spark, sf_dir, "documents"), "doc_id")
+    return d.select("doc_id", text.substantive_words(F.col("text")).alias("words"))
 
 
 QUERIES = [
-    ("canonical_urls", canonical_urls, f"WITH {URLS} SELECT page_id, canonical_url, sha256(canonical_url) AS artifact_id, rtrim(path, '/') <> '' AS merge_anchor FROM canon"),
+    (
+        "canonical_urls",
+        canonical_urls,
+        f"""WITH {URLS}, {MADE_SQL}, a AS (SELECT page_id, 0 AS place, canonical_url, rtrim(path, '/') <> '' AS merge_anchor FROM canon UNION ALL SELECT page_id, place, canonical_url, canonical_url IS NOT NULL FROM made)
+        SELECT page_id, place, coalesce(canonical_url, '') AS canonical_url, coalesce(sha256(canonical_url), '') AS artifact_id, merge_anchor FROM a""",
+    ),
     (
         "url_decisions",
         url_decisions,
-        f"""WITH {URLS} SELECT page_id, 'accepted' AS decision, 'external_http_url' AS reason, CASE WHEN lower(path) LIKE '%.pdf' THEN 'paper' WHEN regexp_matches(lower(path), '/(blog|news|article|research)/') THEN 'article' WHEN regexp_matches(lower(path), 'announce|release|launch') THEN 'announcement' ELSE 'other' END AS artifact_kind FROM canon""",
+        f"""WITH {URLS}, {MADE_SQL} SELECT page_id, place, decision, reason, kind AS artifact_kind, CASE decision WHEN 'accepted' THEN canonical_url ELSE '' END AS canonical_url FROM made
+        UNION ALL SELECT page_id, 0, 'accepted', 'external_http_url', CASE WHEN lower(path) LIKE '%.pdf' THEN 'paper' WHEN regexp_matches(lower(path), '/(blog|news|article|research)/') THEN 'article' WHEN regexp_matches(lower(path), 'announce|release|launch') THEN 'announcement' ELSE 'other' END, canonical_url FROM canon""",
     ),
     ("artifact_aliases", artifact_aliases, f"WITH {URLS} SELECT sha256(canonical_url) AS artifact_id, count(*) AS observed, min(url) AS least_url, min(page_id) AS first_page FROM canon GROUP BY 1"),
     ("website_counts", website_counts, f"WITH {URLS} SELECT regexp_replace(host, '^www\\.', '') AS website, count(*) AS pages FROM p GROUP BY 1"),
@@ -226,7 +287,7 @@ QUERIES = [
     (
         "gated_packets",
         gated_packets,
-        f"""WITH {SOURCES}, v AS (SELECT *, len(regexp_extract_all(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'gi'), '(^|[^\\p{{L}}\\p{{N}}_])@[A-Za-z0-9_]{{1,15}}', '\\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+(?:[''’.\\-][\\p{{L}}\\p{{N}}]+)*')) AS w FROM s WHERE source_type = 'artifact' OR relation = 'root' OR trim(text) <> ''),
+        f"""WITH {SOURCES}, m AS (SELECT * REPLACE (CASE WHEN packet % 2 = 0 THEN text || '{TAIL}' ELSE text END AS text) FROM s), v AS (SELECT *, {_words_sql("text")} AS w FROM m WHERE source_type = 'artifact' OR relation = 'root' OR trim(text) <> ''),
         g AS (SELECT packet, bool_or(media) AS m, count(*) AS n, count(*) FILTER (source_type = 'x_post') AS p, count(*) FILTER (source_type = 'x_post' AND relation = 'root') AS r, sum(CASE WHEN source_type = 'x_post' THEN w ELSE 0 END)::BIGINT AS words, bool_or(source_type = 'x_post' AND regexp_matches(text, 'https?://\\S+')) AS u FROM v GROUP BY 1)
         SELECT packet, CASE WHEN m THEN 'unsupported_media' WHEN n = 1 AND p = 1 AND r = 1 AND words <= 30 THEN CASE WHEN u THEN 'unavailable_linked_or_media_evidence' ELSE 'short_unsupported_text' END ELSE '' END AS code, words FROM g""",
     ),
@@ -260,6 +321,6 @@ QUERIES = [
     (
         "substantive_words",
         substantive_words,
-        "SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'gi'), '(^|[^\\p{L}\\p{N}_])@[A-Za-z0-9_]{1,15}', '\\1 ', 'g'), '[\\p{L}\\p{N}]+(?:[''’.\\-][\\p{L}\\p{N}]+)*'))::BIGINT AS words FROM documents",
+        f"SELECT doc_id, {_words_sql(f"CASE WHEN doc_id % 2 = 0 THEN text || '{TAIL}' ELSE text END")} AS words FROM documents",
     ),
 ]
