@@ -11,14 +11,15 @@ declared  the primary subtag of the declared markup language: right with 1 - ``D
 suffix    the last label of the host: country labels speak for languages, see SUFFIX.
 host      the prior of the host, smoothed towards that of its site (its last two labels), which is
           smoothed towards its suffix, which is smoothed towards the whole corpus. The counts are
-          sums of the posteriors without host evidence over all rows, by grouped aggregation.
+          sums of the posteriors without host evidence over all other rows, by grouped aggregation:
+          a row's own posterior is taken out of each sum before its prior is made.
 
 A row is kept if its best language has at least ``LEAST_POSTERIOR`` and its text looks like that
 language: the mean log likelihood of its trigrams is not under the model's own by more than a margin
 for its length. Texts under ``LEAST_TRIGRAMS`` trigrams are not held to the second test.
 
 The text model is fitted on a bounded sample of labelled rows: per language the ``SAMPLE`` rows with
-the least hash of their id.
+the least hash of their id (of rows that share an id, the greatest text).
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tessera.session import Scratch, ship, join_checked
 
 LANGUAGES = ("en", "fr", "de", "es")
 SAMPLE = 500
+#: Parts in which a language's rows are cut to the sample first.
+PARTS = 64
 SLOTS = 1 << 16
 DAMP = 4.0
 DECLARED_ERROR = 0.05
@@ -92,11 +95,15 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
     """
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1)).alias("_lang")).where(F.col("_lang").isin(*languages) & F.col("_id").isNotNull())
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id").distinct()  # at most sample rows a language
+    order = [F.xxhash64("_id"), F.col("_id")]
+    first = rows.distinct().withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+    for by in (["_lang", "_part"], ["_lang"]):  # a language's rows meet in one task only when each part has been cut
+        first = first.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= sample)
+    ids = first.select("_id", "_lang")  # at most sample rows a language
     code = F.lower(F.substring_index(F.col(f"`{lang}`"), "-", 1))
     labelled_rows = labelled.select(F.col(f"`{doc_id}`").alias("_id"), code.alias("_lang"), F.col(f"`{text}`").cast("string").alias("_text")).where(F.col("_lang").isin(*languages))
-    taken = labelled_rows.join(F.broadcast(ids), "_id", "left_semi").select("_lang", "_text")
+    taken = labelled_rows.join(F.broadcast(ids), ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.max("_text").alias("_text"))
+    taken = Scratch(labelled.sparkSession).write(taken.select("_lang", "_text"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {}
@@ -108,7 +115,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([own.astype("<i4").tobytes()], pa.binary())], ["lang", "counts"])
 
     counts = {x: np.zeros(SLOTS) for x in languages}
-    for name, raw in taken.coalesce(8).mapInArrow(run, "lang string, counts binary").collect():
+    for name, raw in taken.repartition(8).mapInArrow(run, "lang string, counts binary").collect():
         counts[name] += np.frombuffer(bytes(raw), "<i4")
     total = sum(counts.values())
     base = (total + 0.05) / (total.sum() + 0.05 * SLOTS)
@@ -165,39 +172,42 @@ def _score(docs: DataFrame, model: TextModel, text: F.Column, declared: F.Column
     return src.mapInArrow(run, schema)
 
 
-def _sums(df: DataFrame, by: list[str], width: int, value: str) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.sum(F.col(value)[k]).alias(f"_c{k}") for k in range(width)])
+LEVELS = ("corpus", "suffix", "site", "host")
 
 
-def host_priors(spark: SparkSession, scored: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(_host, _prior array): priors per host, smoothed host -> site -> suffix -> corpus."""
-    width = len(languages)
-    e = F.transform("_log", lambda x: F.exp(x - F.array_max("_log")))
-    posterior = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
-    hosts = scored.withColumn("_p", posterior)
-    hosts = _sums(hosts, ["_host", "_site", "_suffix"], width, "_p")
+def _posterior(logs: F.Column) -> F.Column:
+    """Log evidence as probabilities."""
+    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def host_counts(scored: DataFrame, width: int) -> DataFrame:
+    """(_host, corpus, suffix, site, host): per host, the sums of the rows' posteriors at each level, as arrays."""
     c = [f"_c{k}" for k in range(width)]
-    def up(df: DataFrame, by: list[str], to: str) -> DataFrame:
-        return df.groupBy(*by).agg(*[F.sum(x).alias(f"{to}{k}") for k, x in enumerate(c)])
+    hosts = scored.withColumn("_p", _posterior(F.col("_log"))).groupBy("_host", "_site", "_suffix").agg(*[F.sum(F.col("_p")[k]).alias(x) for k, x in enumerate(c)])
+
+    def up(by: list[str], to: str) -> DataFrame:
+        return hosts.groupBy(*by).agg(F.array(*[F.sum(x) for x in c]).alias(to))
 
-    corpus = up(hosts, [], "_a").first()
-    sites, suffixes = up(hosts, ["_site"], "_s"), up(hosts, ["_suffix"], "_x")
-    joined = hosts.join(sites, "_site").join(suffixes, "_suffix").withColumns({f"_a{k}": F.lit(corpus[k] or 0.0) for k in range(width)})
+    total = hosts.agg(*[F.sum(x).alias(x) for x in c]).first()
+    joined = hosts.join(up(["_suffix"], "suffix"), "_suffix").join(up(["_site"], "site"), "_site")
+    return joined.select("_host", F.array(*[F.lit(total[x] or 0.0) for x in c]).alias("corpus"), "suffix", "site", F.array(*c).alias("host"))
 
-    def drawn(name: str, parent: list[F.Column]) -> list[F.Column]:
-        total = sum((F.col(f"{name}{k}") for k in range(width)), F.lit(0.0))
-        return [(F.col(f"{name}{k}") + SMOOTHING * parent[k]) / (total + SMOOTHING) for k in range(width)]
 
-    p = [F.lit(1.0 / width)] * width
-    for name in ("_a", "_x", "_s", "_c"):
-        joined = joined.withColumns({f"_prior{name}{k}": x for k, x in enumerate(drawn(name, p))})
-        p = [F.col(f"_prior{name}{k}") for k in range(width)]
-    return joined.select("_host", F.array(*p).alias("_prior"))
+def _prior(own: F.Column, width: int) -> F.Column:
+    """The prior of a row's host without the row itself, drawn from level to level towards the one above."""
+    p = F.array(*[F.lit(1.0 / width)] * width)
+    for level in LEVELS:
+        rest = F.zip_with(level, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        size = F.aggregate(rest, F.lit(0.0), lambda a, y: a + y)
+        p = F.zip_with(rest, p, lambda x, y: (x + SMOOTHING * y) / (size + SMOOTHING))  # noqa: B023
+    return p
 
 
 def _decide(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows of _score with _prior -> lang, posterior, _likely, kept."""
+    """rows of _score with host_counts -> lang, posterior, _likely, kept."""
     width = len(model.languages)
+    rows = rows.withColumn("_own", _posterior(F.col("_log"))).withColumn("_prior", _prior(F.col("_own"), width))
     total = F.zip_with("_log", "_prior", lambda x, y: x + F.log(y))
     rows = rows.withColumn("_total", total).withColumn("_top", F.array_max("_total"))
     rows = rows.withColumn("_best", F.array_position("_total", F.col("_top")).cast("int") - 1)
@@ -225,8 +235,8 @@ def identify(docs: DataFrame, text: str = "text", declared: F.Column | None = No
         model = fit(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), declared.alias("lang")), languages)
     scratch = Scratch(spark)
     scored = scratch.write(_score(docs, model, F.col(f"`{text}`"), declared, host, [doc_id]), "scored")
-    priors = scratch.write(host_priors(spark, scored, model.languages), "priors")
-    out = _decide(join_checked(spark, scored, priors, ["_host"], "inner", 200_000), model)
+    counts = scratch.write(host_counts(scored, len(model.languages)), "counts")
+    out = _decide(join_checked(spark, scored, counts, ["_host"], "inner", 200_000), model)
     return out.select(F.col(f"`{doc_id}`"), "lang", F.round("posterior", 6).alias("posterior"), F.round("shortfall", 6).alias("shortfall"), F.col("_n").alias("n_trigrams"), "kept")
 
 
@@ -240,10 +250,11 @@ def keep_known(docs: DataFrame, text: str = "text", declared: str = "lang", host
     spark = docs.sparkSession
     scratch = Scratch(spark)
     found = identify(docs, text, F.col(f"`{declared}`"), F.col(f"`{host}`"), doc_id, None, languages)
-    found = scratch.write(found.select(doc_id, "lang", "posterior", "kept"), "languages")
-    best = found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max_by("lang", F.struct("posterior", "lang")).alias("_lang"), F.max("kept").alias("_kept"))
-    stated = docs.select(F.col(f"`{doc_id}`").alias("_d"), F.lower(F.col(f"`{declared}`")).alias("_l"))
-    changed = best.join(stated, best[doc_id] == F.col("_d")).where(~F.col("_kept") | ~F.col("_lang").eqNullSafe(F.col("_l"))).select(doc_id, "_lang", "_kept").dropDuplicates([doc_id])
+    found = scratch.write(found.select(F.col(f"`{doc_id}`").alias("id"), "lang", "posterior", "kept"), "languages")
+    best = found.where("id is not null").groupBy("id").agg(F.max_by("lang", F.struct("posterior", "lang")).alias("told"), F.max("kept").alias("keep"))
+    packed = docs.select(F.col(f"`{doc_id}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stated = packed.select("id", F.lower(F.col(f"row.`{declared}`")).alias("l"))
+    changed = best.join(stated, "id").where(~F.col("keep") | ~F.col("told").eqNullSafe(F.col("l"))).select("id", "told", "keep").dropDuplicates(["id"])
     changed = scratch.write(changed, "changed")
-    out = join_checked(spark, docs, changed, [doc_id], "left").where(F.coalesce("_kept", F.lit(True)))
-    return out.select(*[F.coalesce("_lang", F.col(f"`{c}`")).alias(c) if c == declared else F.col(f"`{c}`") for c in docs.columns])
+    out = join_checked(spark, packed, changed, ["id"], "left").where(F.coalesce("keep", F.lit(True)))
+    return out.select(*[F.coalesce("told", F.col(f"row.`{c}`")).alias(c) if c == declared else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
