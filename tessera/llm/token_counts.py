@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import Pieces, chunks
 from tessera.llm.transducer import model_bytes
-from tessera.session import ship
+from tessera.session import ship, slices
 
-#: Chunks that a worker keeps with their counts, at some 200 bytes each.
-CACHE = 500_000
+#: Bytes of chunks with their counts that a worker keeps, and characters of the longest such chunk.
+CACHE_BYTES, LONGEST = 120_000_000, 64
 _held: dict[int, "Counter"] = {}
 
 
@@ -43,6 +43,7 @@ class Counter:
             self.auto.add_word(name, (len(name), score))
         self.auto.make_automaton()
         self.cache: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def chunk(self, s: str) -> tuple[int, float]:
         """(tokens, score) of the best segmentation of s."""
@@ -79,7 +80,9 @@ class Counter:
         got = self.cache.get(s)
         if got is None:
             got = self.chunk(s)
-            if len(self.cache) < CACHE:  # a full cache stays as it is: frequent chunks come early
+            cost = 240 + 2 * len(s)
+            if self.held + cost <= CACHE_BYTES and len(s) <= LONGEST:  # a full cache stays as it is: frequent chunks come early
+                self.held += cost
                 self.cache[s] = got
         return got
 
@@ -113,7 +116,7 @@ def count(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text
         if c is None:
             _held.clear()
             c = _held[key] = Counter(Pieces(shared.value))
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
             got = [c.text(x) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.float64())], schema.names)

@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import BLANK, BYTE, CONTROL, UNKNOWN, Pieces, chunks
-from tessera.session import ship
+from tessera.session import ship, slices
 
-#: Chunks that a worker keeps with their ids; at some 250 bytes each, 100 MB at most.
-CACHE = 500_000
+#: Bytes of chunks with their ids that a worker keeps, and characters of the longest such chunk.
+CACHE_BYTES, LONGEST = 120_000_000, 64
 #: Pairs of pieces that a worker keeps with their stability.
 PAIRS = 1_000_000
 _held: dict[int, "Transducer"] = {}
@@ -66,6 +66,7 @@ class Transducer:
             node[""] = (-score, pieces.id[name])
         self.penalty = -pieces.unknown_score
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.text: list[bytes] = []
         for i, (name, kind) in enumerate(zip(pieces.names, pieces.types)):
             if kind == BYTE:
@@ -164,7 +165,9 @@ class Transducer:
         got = self.cache.get(chunk)
         if got is None:
             got = np.array(self.path(chunk), "<i4").tobytes()
-            if len(self.cache) < CACHE:  # a full cache stays as it is: frequent chunks come early
+            cost = 180 + 2 * len(chunk) + len(got)
+            if self.held + cost <= CACHE_BYTES and len(chunk) <= LONGEST:  # a full cache stays as it is: frequent chunks come early
+                self.held += cost
                 self.cache[chunk] = got
         return got
 
@@ -217,7 +220,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = loaded(key, shared.value)
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
             ids = [t.encode(x) for x in texts]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -335,7 +335,7 @@ def test_language_id(spark, real):
 
 def test_language_priors_and_suffix_move_the_posterior(spark, real):
     m = langid.fit(real)
-    rows = [(i, "le la les et une", "fr", f"a{i % 2}.site.example") for i in range(80)] + [(900, "xx", None, "a1.site.example"), (901, "xx", None, "b.other.example"), (902, "xx", None, "b.other.de")]
+    rows = [(i, "le la les et une", "fr", f"a{i % 2}.site.example") for i in range(80)] + [(200 + i, "der die und das ist", "de", "c.third.example") for i in range(80)] + [(900, "xx", None, "a1.site.example"), (901, "xx", None, "b.other.example"), (902, "xx", None, "b.other.de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
     p = {r.doc_id: r for r in langid.identify(df, "text", F.col("lang"), F.col("host"), model=m).where("doc_id >= 900").collect()}
     assert p[900].lang == "fr" and p[902].lang == "de"
@@ -345,8 +345,59 @@ def test_language_id_on_odd_rows(spark):
     out = langid.identify(docs(spark), "text", F.col("lang"), F.col("source"))
     assert out.count() == len(ODD) and not out.where("doc_id in (2, 3, 4) and kept").count()
     assert langid.identify(docs(spark, []), "text", F.col("lang"), F.col("source")).count() == 0
-    kept = langid.keep_known(docs(spark))
-    assert kept.columns == docs(spark).columns
+    for name in ("_lang", "_kept", "keep", "told", "id", "row", "_log", "_host"):
+        d = docs(spark).withColumn(name, F.lit("x"))
+        kept = langid.keep_known(d)
+        assert kept.columns == d.columns and {r[name] for r in kept.collect()} == {"x"}
+    assert langid.keep_known(docs(spark, [])).count() == 0
+
+
+def brute_languages(rows, m):
+    """(lang, posterior, kept) of rows (text, declared, host), one after another in NumPy."""
+    width, damp = len(m.languages), langid.DAMP
+    logs, sizes, means, keys = [], [], [], []
+    for t, d, h in rows:
+        g = langid.trigrams((t or "").encode())
+        total = m.logs[g].astype(np.float64).sum(axis=0) if len(g) else np.zeros(width)
+        h = re.sub(r":\d+$", "", h or "").lower()
+        suffix = h.rsplit(".", 1)[-1] if "." in h else ""
+        logs.append(total / damp + langid._evidence(m, d, suffix))
+        sizes.append(len(g))
+        means.append(total / max(1, len(g)))
+        keys.append(("", suffix, ".".join(h.split(".")[-2:]), h))
+    own = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    out = []
+    for i in range(len(rows)):
+        p = np.full(width, 1 / width)
+        for level in range(4):
+            n = sum((own[j] for j in range(len(rows)) if j != i and keys[j][level] == keys[i][level]), np.zeros(width))
+            p = (n + langid.SMOOTHING * p) / (n.sum() + langid.SMOOTHING)
+        total = logs[i] + np.log(p)
+        z = np.exp(total - total.max())
+        best = int(total.argmax())
+        short = m.mean[best] - means[i][best]
+        unlike = sizes[i] >= langid.LEAST_TRIGRAMS and short > langid.MARGIN + langid.MARGIN_ROOT / max(1, sizes[i]) ** 0.5
+        out.append((m.languages[best], round(1 / z.sum(), 5), bool(1 / z.sum() >= langid.LEAST_POSTERIOR and sizes[i] > 0 and not unlike)))
+    return out
+
+
+def test_language_queries_equal_brute_force(spark, real):
+    m = langid.fit(real)
+    some = [(r.doc_id, r.text, r.lang, r.source) for r in real.orderBy("doc_id").limit(150).collect()]
+    hosts = [None, "a.site.fr:80", "b.site.fr", "x.de", "plain", ""]
+    some += [(10_000 + k, t, [None, "de-AT", "xx", "FR_ca"][k % 4], hosts[k % 6]) for k, (_, t, _, _) in enumerate(some[:60])] + [(20_000, None, "es", "b.site.fr"), (20_001, "", None, None), (20_002, "zzz qqq " * 40, None, None)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string, host string")
+    got = {r.doc_id: (r.lang, round(r.posterior, 5), r.kept) for r in langid.identify(df, "text", F.col("lang"), F.col("host"), model=m).collect()}
+    for (i, *_), want in zip(some, brute_languages([x[1:] for x in some], m)):
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 2e-5 and got[i][2] == want[2], (i, got[i], want)
+
+
+def test_language_of_pages_query(spark):
+    from tessera.llm.registry import queries
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = queries()["language_id_pages"](spark, DATA)
+    assert got.count() == pages.count() and got.where("lang is not null").count() == got.count()
 
 
 def brute_fp(t, n=3):
