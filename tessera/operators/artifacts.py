@@ -20,7 +20,9 @@ def candidates(observed: DataFrame, url: str = "url", expanded: str | None = Non
     s = s.withColumns({"_first": urls.parsed(F.col("_seen")), "_parts": urls.parsed(F.col("_full"))})
     s = s.withColumns({"_name": urls.ascii_host(F.col("_first")), "_host": urls.ascii_host(F.col("_parts"))})
     s = s.withColumn("_c", urls.put_together(F.col("_parts"), F.col("_host")))
-    out = s.withColumn("_d", urls.decide(*map(F.col, ("_seen", "_full", "_parts", "_name", "_c")))).select(*observed.columns, "_d.*")
+    decided = urls.decide(*map(F.col, ("_seen", "_full", "_parts", "_name", "_c")))
+    # Out of a generator of one row: a filter on the decision would otherwise be pushed below and repeat all of this.
+    out = s.select(*observed.columns, F.explode(F.array(decided)).alias("_d")).select(*observed.columns, "_d.*")
     return out.withColumn("artifact_id", F.when(F.col("canonical_url").isNotNull(), urls.artifact_id(F.col("canonical_url"))))
 
 
