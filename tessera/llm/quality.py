@@ -9,8 +9,10 @@ for language).
 The document takes the language whose two distances have the least sum, so a wrong declaration does
 no harm.
 
-Short documents stray from any reference by chance. So documents under ``GUARD_CHARS`` characters or
-``MIN_WORDS`` words are not judged by distance, and the limits fall with the root of the length.
+A document that declares a language without a reference is not judged by distance: what is far from
+all four languages may be good text of a fifth. Short documents stray from any reference by chance.
+So documents under ``GUARD_CHARS`` characters or ``MIN_WORDS`` words are not judged by distance, and
+the limits fall with the root of the length.
 
 The base rules come first: fewer than ``MIN_WORDS`` words, or over half of the words in three-word
 windows that repeat.
@@ -58,16 +60,18 @@ def once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
 def _repeated(words: Column) -> Column:
     """Words that lie in three-word windows found twice or more, from an array of words.
 
-    Windows are compared by the 64-bit hash of their words. Sorting brings equal windows together,
-    so a text of n words costs n log n.
+    Windows are compared by the 64-bit hash of their words, and where it is equal by the words.
+    Sorting brings equal windows together, so a text of n words costs n log n.
     """
 
     def windows(ws):
-        one = lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("p"))
+        three = lambda i: [F.get(ws, i + k) for k in range(3)]
+        one = lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.concat_ws(" ", *three(i)).alias("g"), i.alias("p"))
         return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), one))
 
     def starts(s):
-        same = lambda x, i: x.h.eqNullSafe(F.get(s, i - 1).h) | x.h.eqNullSafe(F.get(s, i + 1).h)
+        equal = lambda x, y: x.h.eqNullSafe(y.h) & x.g.eqNullSafe(y.g)
+        same = lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1))
         return F.sort_array(F.transform(F.filter(s, same), lambda x: x.p))
 
     def covered(p):
@@ -107,14 +111,18 @@ def histograms(docs: DataFrame, text: str = "text", base: bool = True) -> DataFr
     return once(df, docs.columns, made)
 
 
+def _code(lang: str) -> Column:
+    """The primary subtag of a declared language."""
+    return F.lower(F.substring_index(F.col(f"`{lang}`").cast("string"), "-", 1))
+
+
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
     """Language -> (character classes, common words), summed over the whole corpus.
 
     At most one row per supported language comes to the driver. A language without documents of
     ``MIN_WORDS`` words has no reference.
     """
-    code = F.lower(F.substring_index(F.col(f"`{lang}`").cast("string"), "-", 1))
-    src = docs.select(code.alias("_lang"), F.col(f"`{text}`").alias("_text")).where(F.col("_lang").isin(*COMMON))
+    src = docs.select(_code(lang).alias("_lang"), F.col(f"`{text}`").alias("_text")).where(F.col("_lang").isin(*COMMON))
     h = histograms(src, "_text", base=False)
     h = h.where((F.col("_n_words") >= MIN_WORDS) & (F.col("_chars")[CLASSES.index("symbols")] * REFERENCE_SYMBOLS <= F.col("_n_words")))
     sums = h.groupBy("_lang").agg(*[F.sum(F.col("_chars")[k]) for k in range(len(CLASSES))], *[F.sum(F.col("_common")[k]) for k in range(len(WORDS) + 1)])
@@ -138,7 +146,7 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, refs: dict[str, tuple[list[int], list[int]]], text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, refs: dict[str, tuple[list[int], list[int]]], text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _nearest, _js_chars, _js_words, _kept."""
     h = histograms(docs, text)
     chars, n = F.col("_chars"), F.col("_n_words")
@@ -163,18 +171,21 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[int], list[int]]], text: s
         h = h.withColumns({"_nearest": F.lit(None).cast("string"), "_js_chars": F.lit(None).cast("double"), "_js_words": F.lit(None).cast("double")})
     limit = lambda x: x[0] + x[1] / F.sqrt(n)
     strays = (F.col("_js_chars") > limit(LIMIT_CHARS)) | (F.col("_js_words") > limit(LIMIT_WORDS))
-    judged = (F.col("_n_chars") >= GUARD_CHARS) & F.col("_js_chars").isNotNull()
+    stated = _code(lang)
+    judged = (F.col("_n_chars") >= GUARD_CHARS) & F.col("_js_chars").isNotNull() & (stated.isNull() | stated.isin("", *refs))
     return h.withColumn("_kept", ~F.col("_base_failed") & ~F.coalesce(judged & strays, F.lit(False))).drop("_chars", "_common")
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", refs: dict[str, tuple[list[int], list[int]]] | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang_nearest, js_chars, js_words).
 
     One row for every row of docs, repeated rows included. A null or blank text has no words and
     fails the base rules; its distances are null. Without any reference (no document declares a
-    supported language) only the base rules count.
+    supported language) only the base rules count. refs takes references of another, trusted corpus;
+    by default they are those of docs.
     """
-    rows = judge(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text")), references(docs, text, lang), "_text")
+    refs = references(docs, text, lang) if refs is None else refs
+    rows = judge(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang")), refs, "_text", "_lang")
     return rows.select(
         "doc_id",
         *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
@@ -185,13 +196,13 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     )
 
 
-def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", refs: dict[str, tuple[list[int], list[int]]] | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with their columns, whatever those are called.
 
     The verdict passes once(), so that the filter is not pushed into the judgement.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    judged = once(judge(packed, references(docs, text, lang), "_text"), ["_row"], {"_keep": F.col("_kept")})
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
+    judged = once(judge(packed, references(docs, text, lang) if refs is None else refs, "_text", "_lang"), ["_row"], {"_keep": F.col("_kept")})
     return judged.where("_keep").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -224,11 +235,11 @@ jc AS (SELECT r, qc.l, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (
 jw AS (SELECT x.r, x.l, sqrt(greatest((sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + coalesce(q, 0))) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(coalesce(q, 0))) / 2, 0)) AS b
   FROM (SELECT r, l, k, p FROM pw, langs) AS x LEFT JOIN qw ON qw.l = x.l AND qw.k = x.k GROUP BY x.r, x.l),
 best AS (SELECT r, min(struct_pack(s := round(round(a, 6) + round(b, 6), 6), l := l, a := round(a, 6), b := round(b, 6))) AS m FROM jc JOIN jw USING (r, l) GROUP BY r),
-f AS (SELECT cls.r, doc_id, cls.n AS n_chars, coalesce(nw.n, 0) AS n_words, cls.n - c3 AS word_chars, c4 AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+f AS (SELECT cls.r, doc_id, cls.l, cls.n AS n_chars, coalesce(nw.n, 0) AS n_words, cls.n - c3 AS word_chars, c4 AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
   m.l AS lang_nearest, m.a AS js_chars, m.b AS js_words
   FROM cls LEFT JOIN nw USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN best USING (r)),
 g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_chars >= {GUARD_CHARS} AND (js_chars > {LIMIT_CHARS[0]} + {LIMIT_CHARS[1]} / sqrt(n_words) OR js_words > {LIMIT_WORDS[0]} + {LIMIT_WORDS[1]} / sqrt(n_words)), false) AS kept,
+  NOT base_failed AND NOT coalesce(n_chars >= {GUARD_CHARS} AND (l IS NULL OR l = '' OR l IN (SELECT l FROM langs)) AND (js_chars > {LIMIT_CHARS[0]} + {LIMIT_CHARS[1]} / sqrt(n_words) OR js_words > {LIMIT_WORDS[0]} + {LIMIT_WORDS[1]} / sqrt(n_words)), false) AS kept,
   lang_nearest, js_chars, js_words FROM g
 """
