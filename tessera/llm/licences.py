@@ -148,23 +148,32 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     digest is that of the whole text (null for a null text and for one without letters and digits),
     license_id the known licence it is, or null. n_license_lines counts the lines that are known
     licences or notices, line_licenses has their identifiers, distinct and sorted, joined by commas
-    (empty if none). Repeated rows stay.
+    (empty if none).
+
+    Rows are told apart by their id and the digest of their text as it is, so a task that runs again
+    finds the same groups. Repeated rows stay: they make one group, which is written out as often as
+    it has whole texts.
     """
     spark = docs.sparkSession
+    units_type = "array<struct<w:boolean,d:string>>"
     table = known_digests(spark, known)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     lines = F.array_compact(F.transform(F.split("_text", "\n"), digest))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), digest(F.col("_text")).alias("digest"), lines.alias("_lines"))
-    units = rows.select("doc_id", "_row", F.col("digest").alias("_whole"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("w"), F.col("digest").alias("d"))), F.coalesce(F.transform("_lines", lambda x: F.struct(F.lit(False).alias("w"), x.alias("d"))), F.array().cast("array<struct<w:boolean,d:string>>")))).alias("u"))
-    units = units.select("doc_id", "_row", "_whole", F.col("u.w").alias("_is_whole"), F.col("u.d").alias("digest"))
+    whole = F.struct(F.lit(True).alias("w"), F.col("_digest").alias("d"))
+    part = F.transform("_lines", lambda x: F.struct(F.lit(False).alias("w"), x.alias("d")))
+    rows = rows.select("doc_id", F.sha2(F.col("_text").cast("binary"), 256).alias("_row"), digest(F.col("_text")).alias("_digest"), lines.alias("_lines"))
+    units = rows.select("doc_id", "_row", "_digest", F.explode(F.concat(F.array(whole), F.coalesce(part, F.array().cast(units_type)))).alias("u"))
+    units = units.select("doc_id", "_row", "_digest", F.col("u.w").alias("_is_whole"), F.col("u.d").alias("digest"))
     found = join_checked(spark, units, table, ["digest"], "left", BROADCAST_ROWS)
     line = ~F.col("_is_whole") & F.col("license_id").isNotNull()
-    out = found.groupBy("_row", "doc_id", "_whole").agg(
+    out = found.groupBy("doc_id", "_row", "_digest").agg(
+        F.count_if("_is_whole").alias("_rows"),
         F.max(F.when(F.col("_is_whole"), F.col("license_id"))).alias("license_id"),
-        F.count_if(line).alias("n_license_lines"),
+        F.count_if(line).alias("_n"),
         F.array_join(F.sort_array(F.collect_set(F.when(line, F.col("license_id")))), ",").alias("line_licenses"),
     )
-    return out.select("doc_id", F.col("_whole").alias("digest"), "license_id", "n_license_lines", "line_licenses")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    return out.select("doc_id", F.col("_digest").alias("digest"), "license_id", F.expr("_n div _rows").alias("n_license_lines"), "line_licenses")
 
 
 def _sql_canonical(x: str) -> str:

@@ -72,12 +72,22 @@ def test_quality_keeps_good_and_drops_junk(spark, real):
     assert rate[1] > 0.95 and rate.get(0, 0) < 0.2
 
 
+def test_quality_leaves_other_languages_unjudged(spark, real):
+    far = "これは日本語の長い文章です " * 3 + " ".join(f"語{k} 文{k * 7} 話{k * 3}" for k in range(200))
+    rows = spark.createDataFrame([(1, far, "ja"), (2, far, "en"), (3, far, None)], "doc_id long, text string, lang string")
+    refs = quality.references(real)
+    assert {r.doc_id: r.kept for r in quality.report(rows, refs=refs).collect()} == {1: True, 2: False, 3: False}
+    assert {r.doc_id for r in quality.keep_good(rows, refs=refs).collect()} == {1}
+
+
 def test_licences(spark):
     mit = licences.KNOWN[0][1]
     rows = [(1, "Copyright (c) 2020 A\n" + mit.upper().replace(".", " ;")), (2, mit + " x"), (3, None), (4, "."), (5, "text\nReleased under the MIT LICENCE!\nLicensed under CC BY-NC 4.0"), (6, ""), (6, "")]
     got = {}
     for r in licences.scan(docs(spark, rows)).collect():
         got[r.doc_id] = (r.license_id, r.n_license_lines, r.line_licenses)
+    twice = licences.scan(docs(spark, rows[4:5] * 3 + rows[:1])).collect()
+    assert Counter((r.doc_id, r.license_id, r.n_license_lines) for r in twice) == {(5, None, 2): 3, (1, "MIT", 0): 1}
     assert got == {1: ("MIT", 0, ""), 2: (None, 0, ""), 3: (None, 0, ""), 4: (None, 0, ""), 5: (None, 2, "CC-BY-NC-4.0,MIT"), 6: (None, 0, "")}
     own = spark.createDataFrame([("own", "Some  licence, text")], "license_id string, text string")
     assert licences.scan(docs(spark, [(1, "some license text")]), own).first().license_id == "own"
