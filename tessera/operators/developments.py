@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import content_id
@@ -47,3 +47,20 @@ def participant_counts(people: DataFrame) -> DataFrame:
     poster = F.array_contains("roles", "post")
     amp = F.arrays_overlap("roles", F.array(F.lit("quote"), F.lit("retweet")))
     return people.groupBy("development_id").agg(F.count_if(poster).alias("posters"), F.count_if(amp).alias("amplifiers"), F.count("*").alias("attention"))
+
+
+def ordered_roles(roles: Column, priority: tuple[str, ...]) -> Column:
+    """The distinct roles, those of ``priority`` first in its order, others by name."""
+    place = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), x), F.lit(0)), F.lit(len(priority) + 1))
+    return F.transform(F.array_sort(F.transform(F.array_distinct(roles), lambda x: F.struct(place(x).alias("p"), x.alias("r")))), lambda s: s.r)
+
+
+def shown_artifacts(bundled: DataFrame, inner: tuple[str, ...] = ("source_rank", "merge_anchor", "first_event_day")) -> DataFrame:
+    """(development_id, artifact_id, artifact, is_merge_basis, n_events): an artifact as it is shown, without the fields that only ranked it.
+
+    bundled: development_id, event_id, artifact (struct with artifact_id, merge_anchor and others).
+    An artifact is the basis of a merge if several events share it and it may merge.
+    """
+    g = bundled.groupBy("development_id", F.col("artifact.artifact_id").alias("artifact_id")).agg(F.min_by("artifact", "event_id").alias("artifact"), F.count_distinct("event_id").alias("n_events"))
+    basis = (F.col("n_events") > 1) & F.col("artifact.merge_anchor")
+    return g.select("development_id", "artifact_id", F.col("artifact").dropFields(*inner).alias("artifact"), basis.alias("is_merge_basis"), "n_events")

@@ -173,6 +173,37 @@ def forest_rows(mem: DataFrame, links: DataFrame, posts: DataFrame) -> DataFrame
     return j.select("root", "post_id", "parent_id", relation.alias("relation"), "depth", F.coalesce("parent_captured", F.lit(False)).alias("parent_captured"))
 
 
+def forest_order(spark: SparkSession, rows: DataFrame, rounds: int = 40) -> DataFrame:
+    """rows with sort_path, shown_depth and parent_missing: sorted by (root, sort_path) they read parents before children.
+
+    rows: root, post_id, parent_id (null: none), relation, published. Below the root come its
+    captured descendants, siblings by time and id; then posts whose parent isn't captured, with
+    theirs; retweets last. A path is the chain of (time, id) from the top, found by pointer doubling:
+    each round joins the chain of a post with that of the post it points to.
+    """
+    key = F.concat(F.date_format("published", "yyyyMMddHHmmssSSSSSS"), F.lit(":"), F.lpad(F.col("post_id").cast("string"), 20, "0"))
+    told = rows.where("relation <> 'retweet' and post_id <> root").select("root", "post_id", "parent_id", key.alias("_key"))
+    known = told.select(F.col("post_id").alias("parent_id"), "root", F.lit(True).alias("_told"))
+    p = told.join(known, ["root", "parent_id"], "left")
+    top = F.col("parent_id").eqNullSafe(F.col("root"))
+    p = p.select("root", "post_id", F.when(F.col("_told").isNotNull() & ~top, F.col("parent_id")).alias("up"), F.array("_key").alias("path"), F.coalesce(~top & F.col("_told").isNull(), F.lit(False)).alias("loose"))
+    scratch = Scratch(spark)
+    now = scratch.write(p, "paths")
+    for _ in range(rounds):
+        if not now.where("up is not null").limit(1).count():
+            break
+        far = now.select("root", F.col("post_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("loose").alias("_loose"))
+        now = scratch.write(now.join(far, ["root", "up"], "left").select("root", "post_id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"), (F.col("loose") | F.coalesce("_loose", F.lit(False))).alias("loose")), "paths")
+    else:
+        raise BrokenForest("a cycle among parents")
+    found = now.select("root", "post_id", F.array_join(F.concat(F.array(F.when(F.col("loose"), "1").otherwise("0")), "path"), "/").alias("_sort"), F.size("path").cast("long").alias("_depth"))
+    j = rows.join(found, ["root", "post_id"], "left").join(known.select("root", "parent_id", "_told"), ["root", "parent_id"], "left")
+    retweet = F.col("relation") == "retweet"
+    sort_path = F.when(retweet, F.concat(F.lit("2/"), key)).otherwise(F.coalesce("_sort", F.lit("")))
+    missing = (F.col("relation") == "reply") & (F.col("post_id") != F.col("root")) & ~F.col("parent_id").eqNullSafe(F.col("root")) & F.col("_told").isNull()
+    return j.select(*rows.columns, sort_path.alias("sort_path"), F.when(retweet, F.lit(0)).otherwise(F.coalesce("_depth", F.lit(0))).cast("long").alias("shown_depth"), missing.alias("parent_missing"))
+
+
 def week(daily: DataFrame, last_day: str, length: int = 7) -> DataFrame:
     """One row per event of the days up to last_day: its best (rank, day), its richest revision, its active days.
 

@@ -88,3 +88,16 @@ def telemetry_delta(before: DataFrame, after: DataFrame, keys: list[str], values
     b = before.select(*keys, *[F.col(v).alias(f"_b_{v}") for v in values])
     j = after.select(*keys, *values).join(b, keys, "full_outer")
     return j.select(*keys, *[(F.coalesce(v, F.lit(0)) - F.coalesce(f"_b_{v}", F.lit(0))).alias(v) for v in values])
+
+
+def parsed_results(runs: DataFrame) -> DataFrame:
+    """(run_id, headline, decision, n_connections, companies, n_memo_calls) from results kept as JSON text; broken text gives nulls.
+
+    runs: run_id, decision, final_json, trace_json, calls_json. companies has the name of each
+    packet's company, or its ticker where it has none.
+    """
+    final = F.from_json("final_json", "headline string, connections array<string>")
+    packets = F.from_json(F.get_json_object("trace_json", "$.memo_packets"), "map<string,struct<company:struct<name:string>>>")
+    names = F.transform(F.array_sort(F.map_entries(packets)), lambda e: F.coalesce(F.nullif(e["value"]["company"]["name"], F.lit("")), e["key"]))
+    calls = F.size(F.from_json("calls_json", "array<string>"))
+    return runs.select("run_id", final.headline.alias("headline"), "decision", F.coalesce(F.size(final.connections), F.lit(0)).alias("n_connections"), F.coalesce(names, F.array().cast("array<string>")).alias("companies"), F.coalesce(calls, F.lit(0)).alias("n_memo_calls"))

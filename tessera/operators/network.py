@@ -46,11 +46,6 @@ def positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return s.join(F.broadcast(lv), "support").withColumn("position", position(F.col("below"), F.col("total")))
 
 
-def order(column: str, *more: str) -> W:
-    """A window over all rows, greatest first; further columns break ties upwards."""
-    return W.orderBy(F.desc(column), *(more or ("s_suppkey",)))
-
-
 def overlap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """support() with position (no ties: by label, then node), dense_rank, and share of all sources.
 

@@ -139,3 +139,70 @@ def ambiguous_names(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     n = names.select("company", F.lower("name").alias("_n")).distinct()
     return wanted.select("name", F.lower("name").alias("_n")).distinct().join(n, "_n", "left").groupBy("name").agg(F.when(F.count_distinct("company") == 1, F.max("company")).alias("company"), F.count_distinct("company").alias("matches"))
+
+
+PROTECTED = ("protected", "isProtected", "isPrivate", "private")
+
+
+def admission(profiles: DataFrame, floor: int) -> DataFrame:
+    """profiles with outcome and reason: too few followers first, then protected accounts; a missing count is told apart.
+
+    profiles: followers and the provider's flags, as far as it has them.
+    """
+    flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in PROTECTED if c in profiles.columns]
+    hidden = F.lit(False)
+    for f in flags:
+        hidden = hidden | f
+    reason = F.when(F.col("followers").isNull(), "follower_count_missing").when(F.col("followers") < floor, "below_follower_floor").when(hidden, "protected_account")
+    return profiles.withColumns({"reason": reason, "outcome": F.when(reason.isNull(), "admitted").when(reason == "follower_count_missing", "failed").otherwise("rejected")})
+
+
+def channel_key(kind: Column, value: Column) -> Column:
+    """The key of a channel: handles without @ or address in lower case, other values as they are."""
+    t = F.trim(value)
+    bare = F.lower(F.regexp_replace(F.regexp_replace(t, "^@", ""), "^https://github[.]com/", ""))
+    return F.when(kind.isin("x", "github"), bare).otherwise(t)
+
+
+def channel_url(kind: Column, key: Column) -> Column:
+    """The address of a channel, null for kinds without one."""
+    return F.when(kind == "x", F.concat(F.lit("https://x.com/"), key)).when(kind == "github", F.concat(F.lit("https://github.com/"), key)).when(kind.isin("blog", "website"), key)
+
+
+def unique_slugs(named: DataFrame, key: str, name: str) -> DataFrame:
+    """named with slug: where several names have one, all but the first by key get a digest of their name behind it."""
+    s = named.withColumn("slug", text.slug(F.col(name)))
+    first = s.groupBy("slug").agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
+    tail = F.concat(F.col("slug"), F.lit("-"), F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), name).cast("binary"), 256), 1, 10))
+    return s.join(first, "slug").withColumn("slug", F.when((F.col("_n") > 1) & (F.col(key) != F.col("_first")), tail).otherwise(F.col("slug"))).drop("_first", "_n")
+
+
+def promote(entities: DataFrame, results: DataFrame, contract: str) -> DataFrame:
+    """entities with the kinds that results give to all unknown ones; raises if one of them has no result for its present input.
+
+    entities: entity_id, kind, input_sha256. results: entity_id, input_sha256, contract, kind,
+    finished_at, run_id. The last result counts.
+    """
+    unknown = entities.where("kind = 'unknown'").select("entity_id", "input_sha256")
+    own = results.where(F.col("contract") == contract).join(unknown, ["entity_id", "input_sha256"], "left_semi")
+    last = own.groupBy("entity_id").agg(F.max_by("kind", F.struct("finished_at", "run_id")).alias("_kind"))
+    if unknown.join(last, "entity_id", "left_anti").limit(1).count():
+        raise ValueError("an unknown entity has no result for its present input")
+    j = entities.join(last, "entity_id", "left")
+    return j.select(*[F.coalesce("_kind", "kind").alias(c) if c == "kind" else F.col(c) for c in entities.columns])
+
+
+def group_faults(manifest: DataFrame, entities: DataFrame) -> DataFrame:
+    """(group_id, fault): what keeps a manifest of groups (group_id, name, member) from being applied: unknown or repeated members, empty or several names."""
+    g = manifest.groupBy("group_id").agg(F.count_distinct("name").alias("_names"), F.bool_or(F.coalesce(F.trim("name"), F.lit("")) == "").alias("_empty"))
+    named = g.select("group_id", F.explode(F.array_compact(F.array(F.when(F.col("_names") > 1, "several_names"), F.when(F.col("_empty"), "empty_name")))).alias("fault"))
+    lost = manifest.join(entities.select(F.col("entity_id").alias("member")), "member", "left_anti").select("group_id", F.lit("unknown_member").alias("fault"))
+    twice = manifest.groupBy("member").agg(F.count("*").alias("n"), F.min("group_id").alias("group_id")).where("n > 1").select("group_id", F.lit("repeated_member").alias("fault"))
+    return named.unionByName(lost).unionByName(twice).distinct()
+
+
+def apply_groups(entities: DataFrame, manifest: DataFrame) -> DataFrame:
+    """entities with group_id and group_name of a manifest that is sound as a whole; otherwise raises and nothing is changed."""
+    if group_faults(manifest, entities).limit(1).count():
+        raise ValueError("the manifest of groups is not sound")
+    return entities.join(manifest.select(F.col("member").alias("entity_id"), "group_id", F.col("name").alias("group_name")), "entity_id", "left")

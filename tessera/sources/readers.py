@@ -64,8 +64,12 @@ def snapshot_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blobs(rows: DataFrame, body: str, path: str) -> None:
-    """Write texts once per content, in folders by the first two digits of their digest."""
+    """Write texts once per content, in folders by the first two digits of their digest; contents that are there already are not written again."""
+    spark = rows.sparkSession
     d = rows.select(F.sha2(F.col(body).cast("binary"), 256).alias("sha256"), F.col(body).alias("body")).dropDuplicates(["sha256"])
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        d = d.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
     d.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
 
 
