@@ -185,7 +185,7 @@ def canonical_relations(spark, sf_dir):
 
 def recovered_replies(spark, sf_dir):
     p = posts(spark, sf_dir)
-    return feed.recovered(p, p.where("day >= '2024-01-10'"), "2024-01-10").select("post_id", "conversation_id")
+    return feed.recovered(p, p.where("in_reply_to is null"), "2024-01-10").select("post_id", "conversation_id")
 
 
 def supported_rows(spark, sf_dir):
@@ -467,7 +467,7 @@ QUERIES = [
     (
         "recovered_replies",
         recovered_replies,
-        f"""WITH {POSTS} SELECT post_id, conversation_id FROM posts p WHERE in_reply_to IS NOT NULL AND day < '2024-01-10' AND EXISTS (SELECT 1 FROM posts q WHERE q.post_id = p.conversation_id AND q.in_reply_to IS NULL AND q.day >= '2024-01-10')""",
+        f"""WITH {POSTS} SELECT post_id, conversation_id FROM posts p WHERE in_reply_to IS NOT NULL AND day < '2024-01-10' AND EXISTS (SELECT 1 FROM posts q WHERE q.post_id = p.conversation_id AND q.in_reply_to IS NULL)""",
     ),
     ("supported_rows", supported_rows, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
     ("latest_values", latest_values, "SELECT i AS entity_id, coalesce(arg_max(event_type, struct_pack(t := ts, e := event_id)), '') AS bio FROM range(200) AS r(i) LEFT JOIN events ON user_id = i GROUP BY 1"),
