@@ -60,17 +60,21 @@ def once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
 def _repeated(words: Column) -> Column:
     """Words that lie in three-word windows found twice or more, from an array of words.
 
-    Windows are compared by the 64-bit hash of their words, and where it is equal by the words.
-    Sorting brings equal windows together, so a text of n words costs n log n.
+    Sorting by the 64-bit hash of their words brings equal windows together, so a text of n words
+    costs n log n; neighbours of equal hash are then compared by their words.
     """
 
     def windows(ws):
-        three = lambda i: [F.get(ws, i + k) for k in range(3)]
-        one = lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.concat_ws(" ", *three(i)).alias("g"), i.alias("p"))
+        one = lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("p"))
         return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), one))
 
-    def starts(s):
-        equal = lambda x, y: x.h.eqNullSafe(y.h) & x.g.eqNullSafe(y.g)
+    def starts(ws, s):
+        def equal(x, y):
+            out = x.h.eqNullSafe(y.h)
+            for k in range(3):
+                out = out & F.get(ws, x.p + k).eqNullSafe(F.get(ws, y.p + k))
+            return out
+
         same = lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1))
         return F.sort_array(F.transform(F.filter(s, same), lambda x: x.p))
 
@@ -78,7 +82,7 @@ def _repeated(words: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(3), x - F.get(p, i - 1)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(F.size(words) >= 3, let(let(let(words, windows), starts), covered)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) >= 3, let(let(words, lambda ws: let(windows(ws), lambda s: starts(ws, s))), covered)).otherwise(F.lit(0).cast("long"))
 
 
 def _removed(text: Column, pattern: str) -> Column:

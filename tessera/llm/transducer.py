@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three transducers are compiled from a model file and composed:
+Three transducers make it up:
 
-  N  the normaliser: maps a blank to U+2581 and every other character to itself;
+  N  the normaliser: the file's map of characters, its rules for white space, blanks as U+2581
+     (pieces.Normaliser);
   L  the lexicon: a trie of pieces whose last arc writes the piece's id with weight -score and
      returns to the start state;
-  B  the fallback: for a character that is no piece by itself, a path that writes the ids of its
-     UTF-8 bytes (or the unknown id) with the penalty of an unknown character.
+  B  the fallback: from the start state and back, for any character, a path that writes the ids of
+     its UTF-8 bytes (or the unknown id) with the penalty of an unknown character.
 
-The result T = N o closure(L | B) is kept as a deterministic trie over input characters whose final
-arcs carry (weight, output). Composing an input (a chain of characters) with T is done on the fly:
-the arcs out of a position are found by one walk of the trie. The chain has no cycle, so the
-shortest path in the tropical semiring (min, +) is one pass over positions in order.
+T = N o closure(L | B). L | B is a deterministic trie over characters whose final arcs carry (weight,
+ids); the paths of B for a character are put into it when an input first has that character, since
+there are as many as characters. Composing an input with N gives a chain of characters, and
+composing that with closure(L | B) is done on the fly: the arcs out of a position are found by one
+walk of the trie. The chain has no cycle, so the shortest path in the tropical semiring (min, +) is
+one pass over positions in order.
 
 For a unigram file the weight of an arc is its piece's negative score and the states of the
 composition are positions; of equal weights the arc that starts first wins, see pieces.py.
@@ -22,7 +25,7 @@ piece and merging those of each two neighbours gives the two back. (Merges acros
 its two sides only, and the first merge that would cross a border of the sequence would cross it in
 that pair as well.) So T gets a state for the last piece written and an arc from a to b only if the
 pair is stable; each arc weighs 1. Every prefix of the input then has one path, that of its own
-encoding, so a state per position is enough, and the shortest path is the encoding.
+encoding, so a state per position is enough and the weights have nothing to decide.
 
 No piece holds a blank after another character. So each chunk of a text (a word with the blank
 before it) starts at a state of every path, the shortest path of a text is the chain of those of
@@ -57,13 +60,14 @@ class Transducer:
         self.pieces = pieces
         self.arcs: dict = {}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.covered: set[str] = set()
         for name, score in pieces.score.items():
             if pieces.merges and len(pieces.merged(name)) > 1:
                 continue  # no merge makes this piece
             node = self.arcs
-            for ch in self._inverse_normal(name):
+            for ch in name:
                 node = node.setdefault(ch, {})
-            node[""] = (-score, pieces.id[name])
+            node[""] = (-score, pieces.id[name], (pieces.id[name],))
         self.penalty = -pieces.unknown_score
         self.cache: dict[str, bytes] = {}
         self.held = 0
@@ -78,15 +82,15 @@ class Transducer:
             else:
                 self.text.append(name.replace(BLANK, " ").encode())
 
-    @staticmethod
-    def _inverse_normal(name: str) -> str:
-        """N leaves characters as they are once the text's blanks are written as U+2581."""
-        return name
-
-    def fallback(self, ch: str) -> list[int]:
-        if not self.pieces.fallback:
-            return [self.pieces.unknown]
-        return [self.pieces.bytes[b] for b in ch.encode("utf-8", "surrogatepass")]
+    def add_fallback(self, text: str) -> None:
+        """Put the paths of B for the characters of ``text`` into the machine; single pieces need none, being lighter than any."""
+        for ch in set(text) - self.covered:
+            self.covered.add(ch)
+            node = self.arcs.setdefault(ch, {})
+            if "" not in node:
+                p = self.pieces
+                ids = tuple(p.bytes[b] for b in ch.encode("utf-8", "surrogatepass")) if p.fallback else (p.unknown,)
+                node[""] = (self.penalty, -1, ids)
 
     def pair(self, a: int, b: int) -> bool:
         """Whether pieces a and b may stand side by side; unknown characters (-1) are next to anything."""
@@ -104,14 +108,13 @@ class Transducer:
         """The shortest path through states (position, last piece); each position has one."""
         n, start, pair = len(chunk), self.arcs, self.pair
         weight: list[float] = [0.0] + [float("inf")] * n
-        last: list[int] = [-1] * (n + 1)
+        last: list = [(0.0, -1, ())] + [None] * n
         back: list[int] = [-1] * (n + 1)
-        score = self.pieces.score
         for i in range(n):
             here = weight[i] + 1.0
             if here == float("inf"):
                 continue  # no path ends here
-            node, k, before = start, i, last[i]
+            node, k, before = start, i, last[i][1]
             while k < n:
                 node = node.get(chunk[k])
                 if node is None:
@@ -119,26 +122,30 @@ class Transducer:
                 k += 1
                 out = node.get("")
                 if out is not None and here < weight[k] and pair(before, out[1]):
-                    weight[k], last[k], back[k] = here, out[1], i
-            if chunk[i] not in score and here < weight[i + 1]:
-                weight[i + 1], last[i + 1], back[i + 1] = here, -1, i
-        out_ids: list[int] = []
-        k = n
+                    weight[k], last[k], back[k] = here, out, i
+        return self._trace(last, back)
+
+    @staticmethod
+    def _trace(last: list, back: list[int]) -> list[int]:
+        """The ids that a path writes, from where it ends."""
+        out: list[tuple[int, ...]] = []
+        k = len(back) - 1
         while k:
-            i = back[k]
-            out_ids.extend([last[k]] if last[k] >= 0 else self.fallback(chunk[i])[::-1])
-            k = i
-        return out_ids[::-1]
+            out.append(last[k][2])
+            k = back[k]
+        return [i for ids in reversed(out) for i in ids]
 
     def path(self, chunk: str) -> list[int]:
         """Output ids of the shortest path of T composed with one chunk."""
+        self.add_fallback(chunk)
         if self.pieces.merges:
             return self.merge_path(chunk)
-        n, start, penalty = len(chunk), self.arcs, self.penalty
+        n, start = len(chunk), self.arcs
         best: list[float] = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
+        last: list = [None] * (n + 1)
+        back: list[int] = [-1] * (n + 1)
         for i in range(n):
-            here, node, k, single = best[i], start, i, False
+            here, node, k = best[i], start, i
             while k < n:
                 node = node.get(chunk[k])
                 if node is None:
@@ -146,19 +153,10 @@ class Transducer:
                 k += 1
                 out = node.get("")
                 if out is not None:
-                    single = single or k == i + 1
                     w = here + out[0]
                     if w < best[k]:
-                        best[k], back[k] = w, (i, out[1])
-            if not single and here + penalty < best[i + 1]:
-                best[i + 1], back[i + 1] = here + penalty, (i, -1)
-        out_ids: list[int] = []
-        k = n
-        while k:
-            i, piece = back[k]
-            out_ids.extend([piece] if piece >= 0 else self.fallback(chunk[i])[::-1])
-            k = i
-        return out_ids[::-1]
+                        best[k], last[k], back[k] = w, out, i
+        return self._trace(last, back)
 
     def coded(self, chunk: str) -> bytes:
         """path() as little-endian 32-bit ids, through the cache."""
@@ -174,9 +172,13 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         parts = chunks(self.pieces.normalised(text))
         try:
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), "<i4")
+            raw = b"".join(map(self.cache.__getitem__, parts))
         except KeyError:
-            return np.frombuffer(b"".join([self.coded(p) for p in parts]), "<i4")
+            raw = b"".join([self.coded(p) for p in parts])
+        ids = np.frombuffer(raw, "<i4")
+        if not self.pieces.fallback and len(ids):  # a run of unknown characters is one unknown piece
+            ids = ids[np.r_[True, (ids[1:] != self.pieces.unknown) | (ids[:-1] != self.pieces.unknown)]]
+        return ids
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.text.__getitem__, ids))
@@ -206,8 +208,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_chars, n_tokens, ids array<int>, round_trip) for every row of docs.
 
     round_trip tells whether decoding the ids gives the text back; it does for every text with byte
-    fallback (the leading blank is put on and taken off), but for text that itself holds U+2581,
-    which decodes to a blank. A null text counts as empty: no ids. Repeated rows stay.
+    fallback and no map of characters (the leading blank is put on and taken off), but for text that
+    itself holds U+2581, which decodes to a blank. A null text counts as empty: no ids. Repeated rows stay.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -217,6 +217,44 @@ def test_transducer_equals_the_library(model, texts):
         assert t.decode(got) == x.replace("▁", " ")
 
 
+def made_model(kind, rule, fallback, prefix=True):
+    """A small model file put together by hand: its vocabulary is given, its map of characters is the library's of that name."""
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.normalizer_spec.add_dummy_prefix = prefix
+    m.normalizer_spec.escape_whitespaces = True
+    m.normalizer_spec.remove_extra_whitespaces = rule != "identity"
+    m.trainer_spec.model_type = kind
+    m.trainer_spec.byte_fallback = fallback
+    del m.pieces[:]
+    add = lambda piece, score, type_=1: m.pieces.add(piece=piece, score=score, type=type_)
+    add("<unk>", 0, 2), add("<s>", 0, 3), add("</s>", 0, 3)
+    for b in range(256 if fallback else 0):
+        add(f"<0x{b:02X}>", 0, 6)
+    r = random.Random(5)
+    words = ["▁" + w for w in "the then there he her here en er re th".split()] + "the he er re en th hen ere".split()
+    for k, w in enumerate([*words, *"▁ t h e r n a b c".split()]):
+        add(w, -float(k) if kind == 2 else -r.uniform(2, 9) - (4 if len(w) == 1 else 0))
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_transducer_equals_the_library_on_made_models(kind, rule, fallback):
+    import sentencepiece as spm
+
+    data = made_model(kind, rule, fallback)
+    library, t = spm.SentencePieceProcessor(model_proto=data), transducer.Transducer(pieces.Pieces(data))
+    r = random.Random(7)
+    texts = ["".join(r.choice("therenabc  \tＴＨÉéﬁ①ß日☃\u200b\u00a0") for _ in range(r.randrange(0, 30))) for _ in range(300)] + ["", " ", "   ", "the  then ", " there", "ｔｈｅ　ｒｅ", "x" * 9]
+    for x in texts:
+        assert t.encode(x).tolist() == library.encode(x), repr(x)
+
+
 def test_counter_equals_the_library(unigram, texts):
     from tokenizers import models
 
