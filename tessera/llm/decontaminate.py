@@ -11,8 +11,16 @@ item, the longest match falls to one word at most. So the words are mapped to id
 pairs are looked up for a whole batch at once, and only runs of neighbours long enough to hold a
 window, or with a word that begins a shorter item, go through the automaton.
 
-Items come from a table that is read in blocks of at most ``BLOCK_WORDS`` words; each block's
-automaton is a broadcast of that bounded size and the documents pass the blocks one after another.
+Items are cut into words by tasks; an item longer than ``SEGMENT`` words becomes segments that overlap
+by a window less one word, which have the same windows. If all segments together have at most
+``BLOCK_WORDS`` words, their automaton is a broadcast of that bounded size and documents pass once.
+Beyond that the segments are dealt to blocks of about that size, and documents are joined with blocks:
+each window of a segment has an anchor, its pair of neighbours with the longest words (a single word
+has itself); a document that holds the window holds the anchor. Documents meet the anchors through a
+bitmap of fixed size first, and what passes is joined with them, which gives the pairs of document
+and block. A block's documents are split into parts of at most about ``PART_CHARS`` characters, and
+each part is streamed through the block's automaton, which its task builds. No broadcast and nothing on
+the driver grows with the items.
 """
 
 from __future__ import annotations
@@ -24,15 +32,20 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import ALNUM, as_bytes
-from tessera.session import ship
+from tessera.session import Scratch, ship, slices
 
 WINDOW = 10
 #: Words of items in one automaton: at some 300 bytes a state, under 200 MB.
 BLOCK_WORDS = 300_000
+#: Words of a segment of a long item.
+SEGMENT = 50_000
+#: Bits of the bitmap of anchors (16 MB), and characters of documents that one task streams through a block's automaton.
+ANCHOR_BITS, PART_CHARS = 1 << 27, 64_000_000
 #: Slots of the table of neighbour pairs, a power of two.
 PAIR_SLOTS = 1 << 24
 #: A document is dropped by clean() if benchmark spans cover more than this share of its words.
@@ -196,65 +209,159 @@ class SuffixAutomaton:
         return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items as (id as string, words), in blocks of at most ``most`` words (a longer item has its own)."""
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    rows = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`").cast("string"))
-    for name, t in rows.toLocalIterator():
-        ws = words((t or "").encode("utf-8", "surrogatepass"))
-        if block and held + len(ws) > most:
-            yield block
-            block, held = [], 0
-        if ws and name is not None:
-            block.append((name, ws))
-            held += len(ws)
-    if block:
-        yield block
+def segments(items: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int | None = None) -> DataFrame:
+    """(item, n, words): items with an id and words, cut into segments; words are joined by blanks."""
+    most = most or SEGMENT
+    src = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("_text")).where("item is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for name, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                ws = words(t)
+                for k in range(0, max(1, len(ws) - window + 1), most):
+                    part = ws[k : k + most + window - 1]
+                    if part:
+                        out.append((name, len(part), b" ".join(part).decode("utf-8", "surrogatepass")))
+            kinds = (pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(3)], ["item", "n", "words"])
+
+    return src.mapInArrow(run, "item string, n long, words string")
+
+
+def _listed(rows) -> list[tuple[str, list[bytes]]]:
+    return [(name, t.encode("utf-8", "surrogatepass").split(b" ")) for name, t in rows]
+
+
+def _hashed(ws: list[bytes]) -> np.ndarray:
+    """A hash for each word, as signed 64-bit integers."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws)).view(np.int64)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """A hash for each pair of neighbours."""
+    return h[:-1] * np.int64(0x5851F42D4C957F2D) ^ (h[1:] + np.int64(0x14057B7EF767814F))
+
+
+def anchors(ws: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """The anchors of all windows of a segment: the pair with the longest words of each, or the only word."""
+    h = _hashed(ws)
+    if len(ws) == 1:
+        return h
+    pairs = _pairs(h)
+    size = np.fromiter(map(len, ws), np.int64, len(ws))
+    # Longer pairs first, then the greater hash, so that a pair's rank does not depend on its place.
+    rank = ((size[:-1] + size[1:]) << np.int64(40)) | (pairs.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+    wide = min(window - 1, len(pairs))
+    seen = np.lib.stride_tricks.sliding_window_view(rank, wide)
+    return np.unique(pairs[np.arange(len(seen)) + seen.argmax(axis=1)])
+
+
+def _bitmap(spark, found: DataFrame) -> np.ndarray:
+    """The slots of the anchors (a) as bits; at most ANCHOR_BITS / 64 rows come to the driver."""
+    slot = F.col("a").bitwiseAND(F.lit(ANCHOR_BITS - 1))
+    rows = found.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(a & {63} as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = rows.toArrow()
+    bits = np.zeros(ANCHOR_BITS // 64, np.int64)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return bits
+
+
+def _through_blocks(docs: DataFrame, cut: DataFrame, total: int, text: str, window: int, most: int) -> DataFrame:
+    """(_row, _spans, _items) of the rows of ``docs`` (with _row) in which windows occur, block by block."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    count = -(-total // most)
+    dealt = scratch.write(cut.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count)).cast("int")), "segments")
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [anchors(ws, window) for _, ws in _listed(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))]
+            at = np.repeat(np.array(b.column(2).to_pylist(), np.int32), [len(x) for x in got])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.empty(0, np.int64)), pa.array(at)], ["a", "block"])
+
+    marks = scratch.write(dealt.select("item", "words", "block").mapInArrow(anchored, "a long, block int").distinct(), "anchors")
+    bits = spark.sparkContext.broadcast(_bitmap(spark, marks.select("a")))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for b in slices(batches, 1):
+            names, rows = [], []
+            for row, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                ws = words(t)
+                if not ws:
+                    continue
+                h = _hashed(ws)
+                every = np.unique(np.concatenate([h, _pairs(h)]))
+                slot = every & (ANCHOR_BITS - 1)
+                names.append(every[(table[slot >> 6] >> (every & 63)) & 1 == 1])
+                rows.append(row)
+            sizes = [len(x) for x in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), sizes)), pa.array(np.concatenate(names) if names else np.empty(0, np.int64))], ["_row", "a"])
+
+    seen = docs.select("_row", F.col(f"`{text}`").cast("string").alias("_text"))
+    pairs = scratch.write(seen.mapInArrow(met, "_row long, a long").join(marks, "a").select("_row", "block").distinct(), "pairs")
+    each = pairs.join(seen.select("_row", F.length("_text").alias("_size")), "_row")
+    parts = each.groupBy("block").agg(F.ceil(F.sum("_size") / PART_CHARS).cast("int").alias("parts"))
+    parts = scratch.write(parts.withColumn("parts", F.greatest("parts", F.lit(1))), "parts")
+    left = pairs.join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int")).join(seen, "_row").select("block", "part", "_row", "_text")
+    right = dealt.join(F.broadcast(parts), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "item", "words")
+
+    def matched(rows: pa.Table, own: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        auto = SuffixAutomaton(_listed(zip(own.column("item").to_pylist(), own.column("words").to_pylist())), window)
+        for b in slices(rows.combine_chunks().to_batches(), 3):
+            ids = b.column(2).to_pylist()
+            for row, (spans, found) in zip(ids, auto.batch([words(t) for t in as_bytes(b.column(3))])):
+                if spans:
+                    out[0].append(row)
+                    out[1].append([x for pair in spans for x in pair])
+                    out[2].append([auto.names[x] for x in found])
+        return pa.table([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))], ["_row", "_spans", "_items"])
+
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(matched, "_row long, _spans array<long>, _items array<string>")
+    return hits.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
 
 
 def _through(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, finish, schema) -> DataFrame:
-    """Pass docs through the automaton of every block; with the last, finish(batch, words, spans, items) makes the result.
+    """Find the items' windows in docs and let finish(batch, words, spans, items) make the result.
 
-    spans has a list (start, end, start, ...) of windows per row, items the set of ids found.
+    spans has a list (start, end, start, ...) of windows per row, items the ids found.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = [spark.sparkContext.broadcast(SuffixAutomaton(x, window)) for x in blocks(items, item_id, item_text)]
-    shared = shared or [spark.sparkContext.broadcast(SuffixAutomaton([], window))]
+    scratch = Scratch(spark)
+    cut = scratch.write(segments(items, item_id, item_text, window), "items")
+    total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     at = docs.columns.index(text)
-    out = docs
-    if len(shared) > 1:
-        out = out.withColumn("_window_spans_", F.array().cast("array<long>")).withColumn("_window_items_", F.array().cast("array<string>"))
-
-    def match(b: pa.RecordBatch, auto: SuffixAutomaton, carried: bool):
-        docs_words = [words(t) for t in as_bytes(b.column(at))]
-        spans = b.column(b.num_columns - 2).to_pylist() if carried else [[] for _ in docs_words]
-        names = b.column(b.num_columns - 1).to_pylist() if carried else [[] for _ in docs_words]
-        for k, (s, i) in enumerate(auto.batch(docs_words)):
-            if s:
-                spans[k] = spans[k] + [x for pair in s for x in pair]
-                names[k] = names[k] + [auto.names[x] for x in i]
-        return docs_words, spans, names
-
-    for one in shared[:-1]:
-
-        def carry(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                _, spans, names = match(b, one.value, True)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], b.schema.names)
-
-        out = out.mapInArrow(carry, out.schema)
-    carried = len(shared) > 1
-
-    def last(batches: Iterator[pa.RecordBatch], one=shared[-1]) -> Iterator[pa.RecordBatch]:
+    if total <= BLOCK_WORDS:
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(_listed(cut.select("item", "words").collect()), window))
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = shared.value
+            for b in slices(batches, at):
+                docs_words = [words(t) for t in as_bytes(b.column(at))]
+                spans, names = [], []
+                for s, i in auto.batch(docs_words):
+                    spans.append([x for pair in s for x in pair])
+                    names.append([auto.names[x] for x in i])
+                yield finish(b, docs_words, spans, names)
+
+        return docs.mapInArrow(once, schema)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "documents")
+    flat = rows.select("_row", F.col(f"_doc.`{text}`").alias("_body"))
+    hits = scratch.write(_through_blocks(flat, cut, total, "_body", window, BLOCK_WORDS), "hits")
+    none = lambda kind: F.array().cast(kind)
+    joined = rows.join(hits, "_row", "left").select("_doc", F.coalesce("_spans", none("array<long>")).alias("_spans"), F.coalesce("_items", none("array<string>")).alias("_items"))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs_words, spans, names = match(b, one.value, carried)
-            if carried:
-                b = pa.RecordBatch.from_arrays(b.columns[:-2], b.schema.names[:-2])
-            yield finish(b, docs_words, spans, names)
+            doc = b.column(0)
+            own = pa.RecordBatch.from_arrays(doc.flatten(), [f.name for f in doc.type])
+            yield finish(own, [words(t) for t in as_bytes(own.column(at))], b.column(1).to_pylist(), b.column(2).to_pylist())
 
-    return out.mapInArrow(last, schema)
+    return joined.mapInArrow(last, schema)
 
 
 def merged(flat: list[int]) -> list[tuple[int, int]]:

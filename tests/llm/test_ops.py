@@ -624,10 +624,11 @@ def brute_hits(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("most", [10**6, 60])
-def test_decontamination_equals_brute_force(spark, texts, monkeypatch, most):
+@pytest.mark.parametrize("most,segment,part", [(10**6, 50_000, 10**6), (10**6, 7, 10**6), (60, 50_000, 10**6), (60, 12, 2000)])
+def test_decontamination_equals_brute_force(spark, texts, monkeypatch, most, segment, part):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (most,))
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    monkeypatch.setattr(decontaminate, "PART_CHARS", part)
     r = random.Random(9)
     v = "a b c d e".split()
     say = lambda n: " ".join(r.choice(v) for _ in range(n))
@@ -640,7 +641,9 @@ def test_decontamination_equals_brute_force(spark, texts, monkeypatch, most):
     assert decontaminate.report(docs(spark, []), bench).count() == 0
 
 
-def test_decontamination_removes_spans(spark):
+@pytest.mark.parametrize("most", [10**6, 5])
+def test_decontamination_removes_spans(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
     item = "one two three four five six seven eight nine ten eleven"
     rest = " ".join(f"z{k}" for k in range(30))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -648,4 +651,7 @@ def test_decontamination_removes_spans(spark):
     d = docs(spark, rows)
     got = {r.doc_id: r for r in decontaminate.clean(d, bench).collect()}
     assert decontaminate.clean(d, bench).columns == d.columns and 2 not in got
+    odd = d.withColumn("_window_spans_", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("_doc", F.lit(3)).withColumn("_body", F.lit(4))
+    assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == len(got)
+    assert decontaminate.clean(docs(spark, []), bench).count() == 0 and decontaminate.clean(d, bench.limit(0)).count() == len(rows)
     assert got[1].text == f"Before, ! {rest}" and got[1].n_chars == len(got[1].text) and got[3].text == rest and got[4].text is None and item not in got[5].text
