@@ -55,8 +55,8 @@ def day_observations(obs: DataFrame) -> DataFrame:
 
 def best_normalised(ranked: DataFrame) -> DataFrame:
     """Best candidate per artifact by (rank - 1) / (n - 1) of its day. ranked: artifact_id, day, rank, obs_id."""
-    n = F.count("*").over(W.partitionBy("day"))
-    r = ranked.withColumn("score", F.round(numbers.normalised_rank(F.col("rank"), n), 6))
+    sizes = ranked.groupBy("day").agg(F.count("*").alias("_n"))
+    r = ranked.join(F.broadcast(sizes), "day").withColumn("score", F.round(numbers.normalised_rank(F.col("rank"), F.col("_n")), 6)).drop("_n")
     return pick(r, ["artifact_id"], [F.asc("score"), F.asc("day"), F.asc("obs_id")])
 
 

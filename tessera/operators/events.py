@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessera.functions.hashing import content_id
 from tessera.session import Scratch
@@ -154,8 +153,8 @@ def assign_later(spark: SparkSession, frozen: DataFrame, later_links: DataFrame,
 
 def canonical_day(items: DataFrame) -> DataFrame:
     """Items on their component's first direct day only. items: event, post_id, day, direct."""
-    least = F.min(F.when(F.col("direct"), F.col("day"))).over(W.partitionBy("event"))
-    return items.withColumn("_d", least).where("day = _d").drop("_d")
+    least = items.where("direct").groupBy("event").agg(F.min("day").alias("day"))
+    return items.join(least, ["event", "day"], "left_semi")
 
 
 def singletons(posts: DataFrame, mem: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.session import Scratch
+
 
 def support(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct sources per node, nodes without any at 0.
@@ -46,18 +48,30 @@ def positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return s.join(F.broadcast(lv), "support").withColumn("position", position(F.col("below"), F.col("total")))
 
 
-def overlap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """support() with position (no ties: by label, then node), dense_rank, and share of all sources.
+def ranked(rows: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """rows with ``out``: the place of each row in a total order, from 1.
 
-    Positions come without a sort in one task: rows are ranked inside their level of support and
-    moved down by the rows of greater levels.
+    No task sees all rows: they are cut into ranges of the order, ranked inside their range and moved
+    down by the rows of the ranges before. The ranges are written, since a second look at the data
+    might cut them otherwise.
     """
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = Scratch(spark).write(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = cut.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return inside.join(F.broadcast(before), "_range").withColumn(out, (F.col("_before") + F.col("_k")).cast("long")).drop("_range", "_k", "_before")
+
+
+def overlap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """support() with position (no ties: by label, then node), dense_rank, and share of all sources."""
     s = support(nodes, edges)
-    lv = levels(s)
+    placed = ranked(s, [F.desc("support"), F.asc("label"), F.asc("node")])
+    lv = levels(placed).select("support", "below", "n", "total", "dense_rank")
     total = edges.where("target is not null").agg(F.count_distinct("source").alias("_sources"))
-    inside = F.row_number().over(W.partitionBy("support").orderBy("label", "node"))
-    j = s.withColumn("_k", inside).join(F.broadcast(lv), "support").join(F.broadcast(total))
-    return j.withColumns({"position": (F.col("total") - F.col("below") - F.col("n") + F.col("_k")).cast("long"), "share": F.col("support") / F.nullif("_sources", F.lit(0).cast("long"))}).drop("_k", "_sources")
+    j = placed.join(F.broadcast(lv), "support").join(F.broadcast(total))
+    return j.withColumn("share", F.col("support") / F.nullif("_sources", F.lit(0).cast("long"))).drop("_sources")
 
 
 def entity_union(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text
+from tessera.operators.network import ranked
 from tessera.operators.upserts import pick
 
 
@@ -40,13 +41,10 @@ def representative_channel(channels: DataFrame) -> DataFrame:
 
 
 def reach_rank(entities: DataFrame) -> DataFrame:
-    """entities with reach_rank (null without followers) and total. entities: entity_id, name, followers.
-
-    Ranked rows meet in one sort; where that is too much, rank levels as network.levels() does.
-    """
-    w = W.orderBy(F.desc_nulls_last("followers"), F.lower("name"), "entity_id")
+    """entities with reach_rank (null without followers) and total. entities: entity_id, name, followers."""
     n = entities.agg(F.count("*").alias("total"))
-    return entities.withColumn("_k", F.row_number().over(w).cast("long")).join(F.broadcast(n)).withColumn("reach_rank", F.when(F.col("followers").isNotNull(), F.col("_k"))).drop("_k")
+    placed = ranked(entities, [F.desc_nulls_last("followers"), F.lower("name").asc(), F.asc("entity_id")], "_place")
+    return placed.join(F.broadcast(n)).withColumn("reach_rank", F.when(F.col("followers").isNotNull(), F.col("_place"))).drop("_place")
 
 
 def kind_counts(entities: DataFrame, kinds: list[str]) -> DataFrame:

@@ -127,7 +127,7 @@ def rendered_packets(spark, sf_dir):
     kind = F.when(F.col("turn") == 2, "artifact").otherwise("x_post")
     rel = F.when(F.col("turn") == 0, "root").when(F.col("turn") == 1, "independent_original").otherwise("same_author_continuation")
     said = F.when(F.col("turn") == 1, "https://h.example/only").otherwise(F.concat(F.lit("m"), "conv_id", F.lit("\n\nt"), "turn"))
-    s = c.where("turn < 5").select(F.col("conv_id").alias("packet"), F.lit("2024-01-10").alias("day"), F.col("turn").alias("place"), kind.alias("source_type"), rel.alias("relation"), F.when(F.col("turn") != 3, F.concat(F.lit("A "), "role")).alias("author"), F.when(F.col("conv_id") % 2 == 0, F.lit("T  x")).alias("title"), said.alias("text"))
+    s = c.select(F.col("conv_id").alias("packet"), F.lit("2024-01-10").alias("day"), F.col("turn").alias("place"), kind.alias("source_type"), rel.alias("relation"), F.when(F.col("turn") != 3, F.concat(F.lit("A "), "role")).alias("author"), F.when(F.col("conv_id") % 2 == 0, F.lit("T  x")).alias("title"), said.alias("text"))
     return packets.render(s)
 
 
@@ -219,8 +219,9 @@ def portfolio(spark, sf_dir):
 
 def telemetry_change(spark, sf_dir):
     e = ad.table(spark, sf_dir, "events")
-    part = lambda where: e.where(where).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("event_id")).alias("ids"))
-    return insights.telemetry_delta(part("ts < '2024-01-02'"), part("ts < '2024-01-04' and user_id % 9 <> 0"), ["user_id"], ["n", "ids"])
+    part = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("event_id")).alias("ids"))
+    other = e.withColumn("user_id", F.when(F.col("user_id") % 9 == 0, F.col("user_id") + 10_000).otherwise(F.col("user_id")))
+    return insights.telemetry_delta(part(e.where("ts < '2024-01-16'")), part(other), ["user_id"], ["n", "ids"])
 
 
 def relation_counts(spark, sf_dir):
@@ -430,7 +431,7 @@ QUERIES = [
     (
         "rendered_packets",
         rendered_packets,
-        """WITH s AS (SELECT conv_id, turn, role, '> m' || conv_id || chr(10) || '>' || chr(10) || '> t' || turn AS q FROM conversations WHERE turn < 5),
+        """WITH s AS (SELECT conv_id, turn, role, '> m' || conv_id || chr(10) || '>' || chr(10) || '> t' || turn AS q FROM conversations),
         g AS (SELECT conv_id, count(*) FILTER (turn < 2) AS np, string_agg(CASE WHEN turn < 2 THEN chr(10) || chr(10) || '### ' || (turn + 1) || '. A ' || role || chr(10) || chr(10) || CASE turn WHEN 0 THEN q ELSE '> No substantive post text ' || CASE WHEN n > 2 THEN 'beyond the supporting artifact link.' ELSE 'was available.' END END END, '' ORDER BY turn) AS p,
           count(*) FILTER (turn > 2) AS nu, string_agg(CASE WHEN turn > 2 THEN chr(10) || chr(10) || '### ' || (turn - 2) || '. ' || CASE turn WHEN 3 THEN 'Unknown author' ELSE 'A ' || role END || chr(10) || chr(10) || q END, '' ORDER BY turn) AS u, max(CASE WHEN turn = 2 THEN q END) AS a FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM s) GROUP BY 1)
         SELECT conv_id AS packet, '# Evidence about one development' || chr(10) || chr(10) || 'Date: 2024-01-10' || chr(10) || chr(10) || '## Source posts (' || np || ')' || p || CASE WHEN nu > 0 THEN chr(10) || chr(10) || '## Author updates (' || nu || ')' || u ELSE '' END
@@ -485,7 +486,7 @@ QUERIES = [
     (
         "telemetry_change",
         telemetry_change,
-        "WITH b AS (SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS s FROM events WHERE ts < '2024-01-02' GROUP BY 1), a AS (SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS s FROM events WHERE ts < '2024-01-04' AND user_id % 9 <> 0 GROUP BY 1) SELECT user_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS n, coalesce(a.s, 0) - coalesce(b.s, 0) AS ids FROM a FULL JOIN b USING (user_id)",
+        "WITH b AS (SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS s FROM events WHERE ts < '2024-01-16' GROUP BY 1), a AS (SELECT CASE WHEN user_id % 9 = 0 THEN user_id + 10000 ELSE user_id END AS user_id, count(*) AS n, sum(event_id)::BIGINT AS s FROM events GROUP BY 1) SELECT user_id, coalesce(a.n, 0) - coalesce(b.n, 0) AS n, coalesce(a.s, 0) - coalesce(b.s, 0) AS ids FROM a FULL JOIN b USING (user_id)",
     ),
     (
         "relation_counts",

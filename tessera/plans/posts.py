@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import events as ev
 from tessera.operators import feed, upserts
 from tessera.plans import adapters as ad
+from tessera.session import Scratch
 
 POSTS = """
 e AS (SELECT *, (props::JSON->>'k')::BIGINT AS k, CASE WHEN event_id % 10 = 0 THEN 'purchase' ELSE event_type END AS t FROM events),
@@ -58,17 +59,20 @@ def relations(spark, sf_dir):
     return e.where(F.col("t").isin("click", "signup") & (i > k % 20)).select(_pid(i).alias("source_id"), F.when(F.col("t") == "click", "retweet").otherwise("quote").alias("relation_type"), target.alias("target_id"), F.col("ts").alias("discovered_at"))
 
 
-def _links(spark, sf_dir):
-    from tessera.session import Scratch
+def _links(spark, sf_dir, p=None):
+    """Links of the posts, which are parsed and written once."""
+    p = _written(spark, sf_dir) if p is None else p
+    return Scratch(spark).write(ev.all_links(spark, p, relations(spark, sf_dir)), "links")
 
-    return Scratch(spark).write(ev.all_links(spark, posts(spark, sf_dir), relations(spark, sf_dir)), "links")
 
+def _written(spark, sf_dir):
+    return Scratch(spark).write(posts(spark, sf_dir), "posts")
 
-def _members(spark, sf_dir, links=None):
-    from tessera.session import Scratch
 
-    links = _links(spark, sf_dir) if links is None else links
-    return Scratch(spark).write(ev.members(spark, posts(spark, sf_dir), links), "members")
+def _members(spark, sf_dir, links=None, p=None):
+    p = _written(spark, sf_dir) if p is None else p
+    links = _links(spark, sf_dir, p) if links is None else links
+    return Scratch(spark).write(ev.members(spark, p, links), "members")
 
 
 def structural_links(spark, sf_dir):
@@ -80,7 +84,8 @@ def event_members(spark, sf_dir):
 
 
 def event_clusters(spark, sf_dir):
-    out = ev.clusters(posts(spark, sf_dir), _members(spark, sf_dir))
+    p = _written(spark, sf_dir)
+    out = ev.clusters(p, _members(spark, sf_dir, None, p))
     return out.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
@@ -102,8 +107,6 @@ def cutoff_components(spark, sf_dir):
 
 
 def later_members(spark, sf_dir):
-    from tessera.session import Scratch
-
     p, links = posts(spark, sf_dir), _links(spark, sf_dir)
     none = spark.createDataFrame([], "author string")
     frozen = Scratch(spark).write(ev.roots(spark, ev.visible_links(p, links, "2024-01-12", none)), "frozen")
@@ -140,14 +143,15 @@ def widened(spark, sf_dir):
 
 def changed_rows(spark, sf_dir):
     e = base(spark, sf_dir)
-    one = lambda d: upserts.latest(e.where(d), ["user_id"], "ts", "event_id").select("user_id", F.when(F.col("k") % 4 != 0, F.col("k") % 4).alias("k"))
-    return upserts.changed(one("ts < '2024-01-10' and user_id % 5 <> 0"), one("ts < '2024-01-20'"), ["user_id"], ["k"]).withColumn("k", F.coalesce("k", F.lit(-1).cast("long")))
+    one = lambda d: upserts.latest(d, ["user_id"], "ts", "event_id").select("user_id", F.when(F.col("k") % 4 != 0, F.col("k") % 4).alias("k"))
+    old = one(e.where("ts < '2024-01-10'")).withColumn("user_id", F.when(F.col("user_id") % 5 == 0, -F.col("user_id") - 1).otherwise(F.col("user_id")))
+    return upserts.changed(old, one(e), ["user_id"], ["k"]).withColumn("k", F.coalesce("k", F.lit(-1).cast("long")))
 
 
 def reconciled(spark, sf_dir):
     e = ad.table(spark, sf_dir, "events")
-    half = lambda a, b: e.where(f"ts >= '{a}' and ts < '{b}'").select("user_id", "event_type")
-    return upserts.reconcile(half("2024-01-01", "2024-01-03"), half("2024-01-03", "2024-01-05"), ["user_id", "event_type"])
+    half = lambda when: e.where(when).select("user_id", "event_type", F.hour("ts").cast("long").alias("hour"))
+    return upserts.reconcile(half("ts < '2024-01-16'"), half("ts >= '2024-01-16'"), ["user_id", "event_type", "hour"])
 
 
 def insert_new_counts(spark, sf_dir):
@@ -240,14 +244,14 @@ QUERIES = [
         "changed_rows",
         changed_rows,
         f"""WITH {POSTS}, s AS (SELECT user_id, ts, event_id, CASE WHEN k % 4 <> 0 THEN k % 4 END AS k FROM e),
-        o AS (SELECT user_id, k FROM s WHERE ts < '2024-01-10' AND user_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
-        n AS (SELECT user_id, k FROM s WHERE ts < '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        o AS (SELECT CASE WHEN user_id % 5 = 0 THEN -user_id - 1 ELSE user_id END AS user_id, k FROM s WHERE ts < '2024-01-10' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+        n AS (SELECT user_id, k FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
         SELECT n.user_id, coalesce(n.k, -1)::BIGINT AS k, CASE WHEN o.user_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM n LEFT JOIN o USING (user_id) WHERE o.user_id IS NULL OR n.k IS DISTINCT FROM o.k""",
     ),
     (
         "reconciled_keys",
         reconciled,
-        """WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-03'), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= '2024-01-03' AND ts < '2024-01-05')
+        """WITH k AS (SELECT user_id, event_type, hour(ts) AS hour, ts < '2024-01-16' AS early FROM events), a AS (SELECT DISTINCT user_id, event_type, hour FROM k WHERE early), b AS (SELECT DISTINCT user_id, event_type, hour FROM k WHERE NOT early)
         SELECT *, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     ),
     (

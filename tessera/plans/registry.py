@@ -66,7 +66,7 @@ def customer_facts(spark, sf_dir):
 
 def account_lookup(spark, sf_dir):
     c = ad.table(spark, sf_dir, "customer")
-    acc = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("x_id"), F.concat(F.lit("h"), F.col("c_custkey") % 50).alias("handle"), F.col("c_nationkey").cast("long").alias("entity_id"))
+    acc = c.select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("x_id"), F.concat(F.lit("h"), F.col("c_custkey") % 50).alias("handle"), F.col("c_nationkey").cast("long").alias("entity_id"))
     rows = c.select(F.col("c_custkey").alias("x_id"), F.concat(F.lit("H"), F.col("c_custkey") % 60).alias("handle"))
     return registry.lookup(rows, acc).select("x_id", F.coalesce("entity_id", F.lit(-1).cast("long")).alias("entity_id"))
 
@@ -90,19 +90,18 @@ def followers_of(spark, sf_dir):
 
 def rank_comparison(spark, sf_dir):
     s = network.overlap(ad.supplier_nodes(spark, sf_dir), ad.support_edges(spark, sf_dir)).select("node", F.col("position").alias("rank"))
-    other = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.row_number().over(network.order("s_acctbal")).cast("long").alias("rank")).where("rank % 3 <> 0")
+    other = network.ranked(ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_acctbal"), [F.desc("s_acctbal"), F.asc("node")], "rank")
     return network.compare(s, other)
 
 
 def support_pagerank(spark, sf_dir):
-    """Customers folded onto suppliers; rounded, since sums of parts have no fixed order."""
-    line = ad.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select("l_orderkey", "l_suppkey")
-    orders = ad.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    n = ad.table(spark, sf_dir, "supplier").count()
-    edges = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % n).alias("source"), F.col("l_suppkey").alias("target")).where("source <> target").distinct()
-    nodes = spark.range(1, n + 1).select(F.col("id").alias("node"))
-    seeds = spark.range(1, 6).select(F.col("id").alias("node"), F.col("id").cast("double").alias("weight"))
-    return pagerank(spark, edges, nodes, seeds, tolerance=1e-8).select("node", F.round("score", 6).alias("score"))
+    """All returned lines, customers folded onto suppliers; rounded, since sums of parts have no fixed order."""
+    suppliers = ad.table(spark, sf_dir, "supplier")
+    n = suppliers.count()
+    edges = ad.support_edges(spark, sf_dir).select((F.col("source") % n).alias("source"), "target").where("source <> target").distinct()
+    nodes = suppliers.select(F.col("s_suppkey").alias("node"))
+    seeds = suppliers.where("s_suppkey between 1 and 5").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").cast("double").alias("weight"))
+    return pagerank(spark, edges, nodes, seeds).select("node", F.round("score", 6).alias("score"))
 
 
 def insight_days(spark, sf_dir):
@@ -121,7 +120,7 @@ def canonical_runs(spark, sf_dir):
 
 def result_faults(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents")
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, (F.col("doc_id") % 25 + 1).cast("int")), " ")
+    head = F.concat_ws("  ", "source", "lang", F.array_repeat(F.lit("word"), (F.col("doc_id") % 25).cast("int")))
     r = d.select(F.col("doc_id").alias("result_id"), head.alias("headline"), F.when(F.col("doc_id") % 3 == 0, "surface").otherwise("hold").alias("decision"), F.slice(F.array(F.col("source"), F.col("lang"), F.col("source")), 1, (F.col("doc_id") % 4).cast("int")).alias("connections"))
     return insights.result_faults(r).select("result_id", F.array_join("faults", ",").alias("faults"))
 
@@ -187,7 +186,7 @@ QUERIES = [
     (
         "account_lookup",
         account_lookup,
-        """WITH a AS (SELECT c_custkey AS x, 'h' || (c_custkey % 50) AS h, c_nationkey::BIGINT AS e FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT h, arg_max(e, x) AS e FROM a GROUP BY 1)
+        """WITH a AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS x, 'h' || (c_custkey % 50) AS h, c_nationkey::BIGINT AS e FROM customer), b AS (SELECT h, arg_max(e, x) AS e FROM a GROUP BY 1)
         SELECT c_custkey AS x_id, coalesce(a.e, b.e, -1) AS entity_id FROM customer LEFT JOIN a ON a.x = c_custkey LEFT JOIN b ON b.h = 'h' || (c_custkey % 60)""",
     ),
     (
@@ -212,10 +211,17 @@ QUERIES = [
     (
         "rank_comparison",
         rank_comparison,
-        f"""WITH {EDGES}, a AS (SELECT node, row_number() OVER (ORDER BY support DESC, lower(s_name), node) AS rank FROM s JOIN supplier ON s_suppkey = node), b AS (SELECT * FROM (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier) WHERE rank % 3 <> 0)
+        f"""WITH {EDGES}, a AS (SELECT node, row_number() OVER (ORDER BY support DESC, lower(s_name), node) AS rank FROM s JOIN supplier ON s_suppkey = node), b AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier)
         SELECT node, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS gain FROM a JOIN b USING (node)""",
     ),
-    ("support_pagerank", support_pagerank, None),
+    (
+        "support_pagerank",
+        support_pagerank,
+        f"""WITH RECURSIVE {EDGES}, g AS (SELECT DISTINCT source % (SELECT count(*) FROM supplier) AS a, target AS b FROM edges WHERE source % (SELECT count(*) FROM supplier) <> target), d AS (SELECT a, count(*) AS n FROM g GROUP BY 1),
+        f AS (SELECT g.a, g.b, 1.0::DOUBLE / n AS x FROM g JOIN d USING (a) WHERE a IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_suppkey, 0.0 FROM supplier), w AS (SELECT s_suppkey AS node, s_suppkey / 15.0::DOUBLE AS w FROM supplier WHERE s_suppkey BETWEEN 1 AND 5),
+        r(it, node, rank) AS (SELECT 0, node, w FROM w UNION ALL SELECT it + 1, node, 0.85::DOUBLE * got + coalesce(w, 0) * (1 - 0.85::DOUBLE * sum(got) OVER ()) FROM (SELECT it, b AS node, sum(rank * x) AS got FROM r JOIN f ON f.a = r.node WHERE it < 60 GROUP BY 1, 2) LEFT JOIN w USING (node))
+        SELECT node, round(rank, 6) AS score FROM r WHERE it = 60""",
+    ),
     (
         "insight_days",
         insight_days,
@@ -233,7 +239,7 @@ QUERIES = [
     (
         "result_faults",
         result_faults,
-        r"""WITH r AS (SELECT doc_id AS result_id, len(list_filter(string_split_regex(trim(array_to_string(string_split_regex(text, '\s+')[1:doc_id % 25 + 1], ' ')), '\s+'), lambda x: x <> '')) AS n, doc_id % 3 = 0 AS s, doc_id % 4 AS c FROM documents),
+        r"""WITH r AS (SELECT doc_id AS result_id, 2 + doc_id % 25 AS n, doc_id % 3 = 0 AS s, doc_id % 4 AS c FROM documents),
         f AS (SELECT result_id, list_filter([CASE WHEN n > 18 THEN 'long_headline' END, CASE WHEN c = 3 THEN 'repeated_connection' END, CASE WHEN s AND c = 0 THEN 'surface_without_connection' END, CASE WHEN NOT s AND c > 0 THEN 'connection_without_surface' END], lambda x: x IS NOT NULL) AS f FROM r)
         SELECT result_id, array_to_string(f, ',') AS faults FROM f WHERE len(f) > 0""",
     ),

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,12 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written below the shared folder, so that they outlive any executor; drop() removes them."""
 
+    #: Those that this thread has opened since swept() began.
+    opened = threading.local()
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        getattr(self.opened, "since", []).append(self)
         self.root = f"{shared_root(spark)}/tessera/{uuid.uuid4().hex}"
         self.made: list[str] = []
         self.count = 0
@@ -76,6 +82,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept():
+    """Drop at the end all scratch tables that this thread makes inside, so what they led to has to be written elsewhere by then."""
+    before = getattr(Scratch.opened, "since", None)
+    Scratch.opened.since = []
+    try:
+        yield
+    finally:
+        made, Scratch.opened.since = Scratch.opened.since, before or []
+        for s in made:
+            s.drop()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: by PYTHONPATH where the driver has it, else as a zip file."""
     root = Path(__file__).resolve().parent
