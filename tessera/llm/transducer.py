@@ -47,9 +47,9 @@ from tessera.llm.pieces import BLANK, BYTE, CONTROL, UNKNOWN, Pieces, chunks
 from tessera.session import ship, slices
 
 #: Bytes of chunks with their ids that a worker keeps, and characters of the longest such chunk.
-CACHE_BYTES, LONGEST = 120_000_000, 64
+CACHE_BYTES, LONGEST = 90_000_000, 64
 #: Pairs of pieces that a worker keeps with their stability.
-PAIRS = 1_000_000
+PAIRS = 400_000
 _held: dict[int, "Transducer"] = {}
 
 
