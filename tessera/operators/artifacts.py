@@ -97,13 +97,23 @@ def quota_cohort(rows: DataFrame, quotas: dict[str, int], limit: int, per_host:
     """A cohort of ``limit`` rows by quotas per stratum, with caps per host and event, then filled up in order.
 
     rows: artifact_id, stratum, host, event, score. Quotas are scaled by limit / 30 and are 1 at
-    least. The choice is sequential, so the candidates of all strata meet in one task; they are
-    first cut, in parallel, to what the caps can let through: per stratum and host the best
-    ``per_host`` rows of each of the best events cannot be beaten by later ones.
+    least. The choice is sequential and made by one task, from what it can come to, which is cut out in
+    parallel. A row is passed over only if its host or event is used up. At most limit / per_host
+    hosts and limit / per_event events ever are; of a host the first limit + per_host rows are enough, since
+    no more than limit of them can belong to events that are used up, and of an event likewise. So of a
+    stratum, and of all rows, some (limit / per_host)(limit + per_host) + (limit / per_event)(limit +
+    per_event) + 2 limit rows decide, however many there are.
     """
     order = [F.asc("score"), F.asc("artifact_id")]
-    near = rows.withColumn("_k", F.row_number().over(W.partitionBy("stratum", "host", "event").orderBy(*order))).where(f"_k <= {per_event}")
-    near = near.withColumn("_k", F.row_number().over(W.partitionBy("stratum", "host").orderBy(*order))).where(f"_k <= {limit * per_host}").drop("_k")
+    enough = -(-limit // per_host) * (limit + per_host) + -(-limit // per_event) * (limit + per_event) + 2 * limit
+
+    def first(df: DataFrame, by: list[str]) -> DataFrame:
+        for keys, most in ((["host", "event"], min(per_host, per_event)), (["host"], limit + per_host), (["event"], limit + per_event)):
+            df = df.withColumn("_k", F.row_number().over(W.partitionBy(*by, *keys).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+        return df
+
+    own = first(rows, ["stratum"]).where(F.col("stratum").isin(*quotas)).withColumn("_k", F.row_number().over(W.partitionBy("stratum").orderBy(*order))).where(F.col("_k") <= enough).drop("_k")
+    near = own.unionByName(first(rows, []).orderBy(*order).limit(enough)).dropDuplicates(["artifact_id"])
     scaled = {k: max(1, round(v * limit / 30)) for k, v in quotas.items()}
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -48,13 +48,16 @@ def page_order(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(source, cursor, place, complete): the place of each page in its source's chain, from 1; complete if the chain ends with a last page.
 
     A page points to the one with its next cursor. Pages that no chain from a first page (an empty
-    cursor) reaches are left out; a cycle raises BrokenForest. This is how captured responses are
+    cursor) reaches are left out; a cycle, or a page that two point to, raises BrokenForest. This is how captured responses are
     replayed: no request is made.
     """
     more = F.col("has_next") & (F.coalesce("next_cursor", F.lit("")) != "")
     name = lambda c: F.to_json(F.array(F.col("source").cast("string"), F.col(c) if isinstance(c, str) else c))
     p = pages.select("source", "cursor", F.when(more, F.col("next_cursor")).alias("next_cursor")).distinct()
     links = p.where("next_cursor is not null").select(name("next_cursor").alias("source_id"), name("cursor").alias("target_id"))
+    links = Scratch(spark).write(links, "links")
+    if links.groupBy("source_id").count().where("count > 1").limit(1).count():
+        raise BrokenForest("several pages point to one")
     found = Scratch(spark).write(roots(spark, links), "chains")
     placed = p.select("source", "cursor", "next_cursor", name("cursor").alias("node"), name(F.lit("")).alias("first")).join(found, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node")).where("root = first").withColumn("place", F.coalesce("depth", F.lit(0)) + 1)

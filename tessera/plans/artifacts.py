@@ -138,8 +138,7 @@ def document_bundles(spark, sf_dir):
     ev = docs.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("event_id"), (F.col("doc_id") % 4 == 0).alias("is_organisation"), F.col("n_chars").alias("daily_rank"))
     first = F.when(F.md5("text").substr(1, 1) < "8", F.lit("2024-01-01").cast("date")).otherwise(F.lit("2023-12-31").cast("date"))
     links = docs.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("event_id"), F.md5("text").alias("artifact_id"), F.md5("text").alias("url"), (F.col("doc_id") % 3).alias("source_rank"), F.lit(True).alias("merge_anchor"), first.alias("first_day"))
-    out = dev.bundles(spark, ev, links, "2024-01-01")
-    return out.select("development_id", "primary_event", "anchor", "n_events", F.array_join("events", ",").alias("events"))
+    return dev.bundle_events(spark, ev, links, "2024-01-01")
 
 
 def development_participants(spark, sf_dir):
@@ -268,8 +267,8 @@ QUERIES = [
         "document_bundles",
         document_bundles,
         """WITH d AS (SELECT lpad(doc_id::VARCHAR, 10, '0') AS e, doc_id % 4 <> 0 AS o, n_chars AS r, md5(text) AS a FROM documents),
-        g AS (SELECT a, count(*) AS n, first(e ORDER BY o, r, e) AS p, string_agg(e, ',' ORDER BY e) AS es FROM d GROUP BY a)
-        SELECT sha256('["development","' || CASE WHEN n > 1 THEN 'artifact","' || a ELSE 'event","' || p END || '"]') AS development_id, p AS primary_event, CASE WHEN n > 1 THEN a ELSE '' END AS anchor, n AS n_events, es AS events FROM g WHERE n = 1 OR a[1] < '8'""",
+        g AS (SELECT a, count(*) AS n, first(e ORDER BY o, r, e) AS p FROM d GROUP BY a)
+        SELECT sha256('["development","' || CASE WHEN n > 1 THEN 'artifact","' || a ELSE 'event","' || p END || '"]') AS development_id, p AS primary_event, CASE WHEN n > 1 THEN a ELSE '' END AS anchor, n AS n_events, e AS event_id FROM g JOIN d USING (a) WHERE n = 1 OR a[1] < '8'""",
     ),
     (
         "development_participants",

@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch: long texts do not meet in one, and the JVM's buffers stay small.
+ARROW_KEY, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 
 def build(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -96,7 +98,13 @@ def swept():
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: by PYTHONPATH where the driver has it, else as a zip file."""
+    """Let Python workers import this package: by PYTHONPATH where the driver has it, else as a zip file.
+
+    Also bounds Arrow batches by bytes (ARROW_BYTES) where the session says nothing about that: Spark
+    reads this setting when a plan runs, so it can't be given to one operator alone.
+    """
+    if spark.conf.get(ARROW_KEY, None) is None:
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
     root = Path(__file__).resolve().parent
     sc = spark.sparkContext
     if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tessera_shipped", False):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,112 @@ def test_insight_helpers(spark):
     assert tuple(df.select(insights.relationship_counts(F.col("i"))).first()[0]) == (1, 1, 0, 1)
     ranked = spark.createDataFrame([("a", 1), ("a", 3)], "day string, daily_rank long")
     assert insights.contiguous_ranks(ranked).count() == 1
+
+
+def test_quota_cohort_equals_the_choice_over_all_rows(spark):
+    rng = random.Random(3)
+    quotas, limit, per_host, per_event = {"a": 10, "b": 6, "c": 4}, 15, 2, 3
+    for hosts, events in ((3, 400), (400, 4), (60, 60)):
+        rows = [(k, rng.choice("abcd"), f"h{rng.randrange(hosts)}", f"e{rng.randrange(events)}", float(rng.randrange(300))) for k in range(1500)]
+        df = spark.createDataFrame(rows, "artifact_id long, stratum string, host string, event string, score double")
+        got = [r.artifact_id for r in artifacts.quota_cohort(df, quotas, limit, per_host, per_event).orderBy("place").collect()]
+        taken, h, e = [], Counter(), Counter()
+        ordered = sorted(rows, key=lambda r: (r[4], r[0]))
+
+        def take(some, most):
+            for r in some:
+                if len(taken) >= most:
+                    return
+                if r[0] not in taken and h[r[2]] < per_host and e[r[3]] < per_event:
+                    taken.append(r[0])
+                    h[r[2]] += 1
+                    e[r[3]] += 1
+
+        for stratum, quota in quotas.items():
+            take([r for r in ordered if r[1] == stratum], len(taken) + min(max(1, round(quota * limit / 30)), limit - len(taken)))
+        take(ordered, limit)
+        assert got == taken
+
+
+def test_ranked_places_all_rows_in_order(spark):
+    from tessera.operators.network import ranked
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(5), rng.choice("xyz")) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, n long, name string")
+    got = {r.id: r.place for r in ranked(df, [F.desc("n"), F.asc("name"), F.asc("id")], "place").collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2], r[0])), 1)}
+    assert ranked(df.limit(0), [F.asc("id")]).count() == 0
+
+
+def test_page_chains_faults_and_conflicts(spark):
+    from tessera.operators import snapshots
+
+    acc = [(1, "a")]
+    schema = "source long, cursor string, next_cursor string, has_next boolean, body string, accounts array<struct<x_id:long,handle:string>>"
+    good = [(1, "", "p", True, "b1", acc), (1, "p", "", False, "b2", acc), (2, "", "q", True, "b3", acc), (3, "lost", "", False, "b4", acc)]
+    pages = spark.createDataFrame(good, schema)
+    assert sorted(tuple(r) for r in snapshots.page_order(spark, pages).collect()) == [(1, "", 1, True), (1, "p", 2, True), (2, "", 1, False)]
+    assert not snapshots.page_faults(pages).count()
+    again = spark.createDataFrame([(1, "p", "", False, "b2", acc), (2, "q", "", False, "b5", acc)], schema)
+    assert [r.body for r in snapshots.record_pages(pages, again).collect()] == ["b5"]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.record_pages(pages, spark.createDataFrame([(1, "p", "", False, "other", acc)], schema))
+    with pytest.raises(Exception, match="several pages"):
+        snapshots.page_order(spark, spark.createDataFrame([(1, "", "p", True, "x", acc), (1, "p", "q", True, "x", acc), (1, "q", "p", True, "x", acc)], schema))
+
+
+def test_manifests_are_applied_as_a_whole(spark):
+    ents = spark.createDataFrame([(1, "unknown", "h1"), (2, "person", "h2")], "entity_id long, kind string, input_sha256 string")
+    res = spark.createDataFrame([(1, "old", "v", "org", 1, 1), (1, "h1", "w", "org", 1, 1)], "entity_id long, input_sha256 string, contract string, kind string, finished_at long, run_id long")
+    with pytest.raises(ValueError):
+        registry.promote(ents, res, "v")
+    assert sorted(tuple(r) for r in registry.promote(ents, res, "w").select("entity_id", "kind").collect()) == [(1, "org"), (2, "person")]
+    groups = spark.createDataFrame([(7, "g", 1), (7, "g", 9)], "group_id long, name string, member long")
+    with pytest.raises(ValueError):
+        registry.apply_groups(ents, groups)
+    assert registry.apply_groups(ents, groups.where("member = 1")).where("group_id = 7").count() == 1
+
+
+def test_messages_are_sent_once(spark, tmp_path):
+    from tessera.sources import messages
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "key long, body string").coalesce(1)
+    folder = str(tmp_path)
+
+    def send(part):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("".join(r.body for r in part))
+
+    sent = messages.deliver(rows, spark.createDataFrame([(2,)], "key long"), "key", send)
+    assert sorted(r.key for r in sent.collect()) == [1, 3]
+    assert "".join(sorted("".join(p.read_text() for p in tmp_path.iterdir()))) == "ac"
+    long = spark.createDataFrame([("2024-01-01", 1, "a<b", "x" * 7 + " yy z & w")], "day string, place long, headline string, body string")
+    parts = [r.block for r in messages.blocks(long, 8).orderBy("part").collect()]
+    assert "".join(parts).replace(" ", "") == "*a&lt;b*" + "x" * 7 + "yyz&amp;w" and all(len(p) <= 8 for p in parts)
+
+
+def test_leases_equal_a_replay_by_hand(spark):
+    import pandas as pd
+
+    from tessera.streaming import streams
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(12), pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randrange(120)), k, rng.choice(["claim", "claim", "done", "fail"])) for k in range(200)]
+    got = {r.item: (r.status, r.attempts) for r in streams.leases(spark.createDataFrame(pd.DataFrame(rows, columns=["item", "at", "seq", "event"]))).collect()}
+    for item in {r[0] for r in rows}:
+        status, attempts, until = "pending", 0, None
+        for _, at, _, what in sorted((r for r in rows if r[0] == item), key=lambda r: (r[1], r[2])):
+            late = status == "in_progress" and at >= until
+            if what == "claim" and (status in ("pending", "failed_retryable") or late):
+                if attempts < 3:
+                    status, attempts, until = "in_progress", attempts + 1, at + pd.Timedelta(minutes=10)
+                elif late:
+                    status = "failed_terminal"
+            elif what == "done" and status == "in_progress":
+                status = "complete"
+            elif what == "fail" and status == "in_progress":
+                status = "failed_terminal" if attempts == 3 else "failed_retryable"
+        assert got[item] == (status, attempts)
