@@ -35,9 +35,10 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     now = scratch.write(edges.select("u", "v").where("u is not null and v is not null").distinct(), "edges")
     loops = now.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     mark = None
-    live = now.where("u != v")
+    live, stars = now.where("u != v"), Scratch(spark)
     for _ in range(rounds):
-        live = scratch.write(_small_star(_large_star(live)).distinct(), "stars")
+        live = stars.write(_small_star(_large_star(live)).distinct(), "stars")
+        stars.drop(keep=1)
         row = live.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == mark:
             break

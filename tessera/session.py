@@ -92,7 +92,11 @@ def swept():
     try:
         yield
     finally:
-        made, Scratch.opened.since = Scratch.opened.since, before or []
+        made = Scratch.opened.since
+        if before is None:
+            del Scratch.opened.since
+        else:
+            Scratch.opened.since = before
         for s in made:
             s.drop()
 

@@ -363,3 +363,17 @@ def test_leases_equal_a_replay_by_hand(spark):
             elif what == "fail" and status == "in_progress":
                 status = "failed_terminal" if attempts == 3 else "failed_retryable"
         assert got[item] == (status, attempts)
+
+
+def test_swept_tables_go_and_others_stay(spark):
+    from tessera import session
+
+    outer = session.Scratch(spark)
+    kept = outer.write(spark.range(3), "kept")
+    with session.swept():
+        inner = session.Scratch(spark)
+        again = outer.write(inner.write(spark.range(5), "gone"), "again")
+        gone = inner.made[0]
+    assert kept.count() == 3 and again.count() == 5 and not inner.made
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone).count()
