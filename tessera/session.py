@@ -84,6 +84,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(batches, column: int, most: int = 8_000_000):
+    """Arrow batches put together, or cut, so that the texts of a column have about ``most`` bytes together."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in slices(batches, column, most):
+        if held and size + b.column(column).nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.column(column).nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 @contextmanager
 def swept():
     """Drop at the end all scratch tables that this thread makes inside, so what they led to has to be written elsewhere by then."""

@@ -164,3 +164,18 @@ def test_text_helpers(spark):
     assert tuple(one(spark, text.role_company, "VP, Research, Acme")) == ("VP, Research", "Acme")
     assert one(spark, text.chunk_words(5), "ab cd efghijkl m") == ["ab cd", "efghi", "jkl m"]
     assert one(spark, text.folded, "ＡB") == "ab"
+
+
+def test_batches_are_cut_and_put_together_by_bytes():
+    import pyarrow as pa
+
+    from tessera.session import gathered, slices
+
+    batches = [pa.record_batch({"a": list(range(n)), "t": ["x" * 10] * n}) for n in (0, 3, 1, 50, 2, 0, 9)]
+    rows = [r for b in batches for r in b.column(0).to_pylist()]
+    for f in (slices, gathered):
+        out = list(f(iter(batches), 1, 200))
+        assert [r for b in out for r in b.column(0).to_pylist()] == rows and max(b.num_rows for b in out) <= 20
+    assert len(list(gathered(iter(batches), 1, 10_000))) == 1 and not list(gathered(iter([]), 1))
+    long = pa.record_batch({"a": [1, 2, 3], "t": ["x" * 500, None, "y"]})
+    assert [b.num_rows for b in slices(iter([long]), 1, 200)] == [1, 2]
