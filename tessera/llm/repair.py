@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import Scratch, ship, slices
+from tessera.session import Scratch, gathered, ship
 
 MAGIC = 0x52507231
 END = 0
@@ -492,7 +492,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "start", "tokens", "first_doc", "doc_ids", "data"])
 
         held = 0
-        for b in slices(batches, 1, SLICE):
+        for b in gathered(batches, 1, SLICE):
             for name, own in zip(b.column(0).to_pylist(), e.batch(b.column(1))):
                 ids += (own, end)
                 names.append(name)
