@@ -55,7 +55,7 @@ SHARE = 0.05
 #: Bytes of a rule: two symbols and its length.
 RULE = 12
 #: Bytes of parts with their ids that a worker keeps, and characters of the longest such part.
-CACHE_BYTES, LONGEST = 200_000_000, 64
+CACHE_BYTES, LONGEST = 260_000_000, 64
 #: Characters of texts that are encoded at once; a longer text is by itself.
 SLICE = 8_000_000
 #: Letters of one part, and marks that make another when they follow letters.
