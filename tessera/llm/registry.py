@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_crf, langid, licences, quality, repair, simhash, token_counts, transducer
+from tessera.llm import chat, decontaminate, dualtree, html_crf, langid, licences, negatives, quality, repair, simhash, token_counts, transducer, warc
 
 
 def _table(spark, sf_dir, name):
@@ -73,6 +73,20 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_dual_tree_lloyd(spark, sf_dir):
+    return dualtree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_chain(spark, sf_dir):
+    return warc.page_records(_table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = (
     (op1_quality_divergence, quality.SQL),
     (op2_licence_digests, licences.SQL),
@@ -84,6 +98,9 @@ QUERIES = (
     (op8_simhash, None),
     (op9_chat_format, chat.SQL),
     (op10_decontaminate, decontaminate.SQL),
+    (op11_dual_tree_lloyd, dualtree.SQL),
+    (op12_warc_chain, warc.SQL),
+    (op13_hard_negatives, negatives.SQL),
     (language_id_pages, None),
 )
 
