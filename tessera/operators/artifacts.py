@@ -53,11 +53,15 @@ def day_observations(obs: DataFrame) -> DataFrame:
     return o.where("_k = 1").drop("_k")
 
 
-def best_normalised(ranked: DataFrame) -> DataFrame:
-    """Best candidate per artifact by (rank - 1) / (n - 1) of its day. ranked: artifact_id, day, rank, obs_id."""
-    sizes = ranked.groupBy("day").agg(F.count("*").alias("_n"))
-    r = ranked.join(F.broadcast(sizes), "day").withColumn("score", F.round(numbers.normalised_rank(F.col("rank"), F.col("_n")), 6)).drop("_n")
-    return pick(r, ["artifact_id"], [F.asc("score"), F.asc("day"), F.asc("obs_id")])
+def best_normalised(candidates: DataFrame) -> DataFrame:
+    """Best candidate per artifact by score = (rank - 1) / (n - 1) of its day, as it is; then own disclosures, event, address.
+
+    candidates: artifact_id, rank, day_candidates, source_id, disclosure_id, event_id, expanded_url. Those accepted are the caller's choice.
+    """
+    own = F.coalesce(F.col("source_id") == F.col("disclosure_id"), F.lit(False))
+    r = candidates.withColumn("score", numbers.normalised_rank(F.col("rank").cast("double"), F.col("day_candidates")))
+    return pick(r, ["artifact_id"], [F.asc("score"), F.desc(own), F.asc("event_id"), F.asc("expanded_url")])
+
 
 
 def first_days(*tables: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _bundled(spark: SparkSession, events: DataFrame, artifacts: DataFrame, day:
     shared = art.groupBy("component", "artifact_id", "url").agg(F.count_distinct("event_id").alias("_n"), F.min("source_rank").alias("source_rank"), F.min("first_day").alias("first_day")).where("_n > 1")
     anchor = shared.groupBy("component").agg(F.min(F.struct("source_rank", "url", "artifact_id", "first_day")).alias("a"))
     top = named.groupBy("component").agg(F.min(F.struct(F.when(F.col("is_organisation"), 0).otherwise(1).alias("o"), "daily_rank", "event_id")).alias("p"), F.count("*").alias("n_events"))
-    out = top.join(anchor, "component", "left").where(F.col("a").isNull() | (F.col("a.first_day") >= F.lit(day).cast("date")))
+    out = top.join(anchor, "component", "left").where(F.col("a").isNull() | (F.coalesce("a.first_day", F.lit(day).cast("date")) >= F.lit(day).cast("date")))
     kind, name = F.when(F.col("a").isNull(), "event").otherwise("artifact"), F.coalesce("a.artifact_id", "p.event_id")
     return out.select("component", content_id(F.lit("development"), kind, name).alias("development_id"), F.col("p.event_id").alias("primary_event"), F.coalesce("a.artifact_id", F.lit("")).alias("anchor"), "n_events"), named
 
@@ -32,7 +32,7 @@ def bundles(spark: SparkSession, events: DataFrame, artifacts: DataFrame, day: s
     events: event_id, is_organisation, daily_rank. artifacts: event_id, artifact_id, url,
     source_rank, merge_anchor, first_day. Events that share an artifact that may merge are one
     component. Its anchor is the shared artifact of least (rank, address); if that was first seen
-    before the day, the component is left out, since it was told already. The primary event is an
+    before the day, the component is left out, since it was told already (one without a first day counts as of the day). The primary event is an
     organisation's, then of best rank, then of least id.
     """
     return _bundled(spark, events, artifacts, day)[0].drop("component")

@@ -9,7 +9,7 @@ relations: source_id, relation_type, target_id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import content_id
@@ -68,28 +68,54 @@ def roots(spark: SparkSession, links: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select("node", F.col("up").alias("root"), F.col("steps").alias("depth")).union(tops)
 
 
-def reply_links(posts: DataFrame, source_roots: DataFrame) -> DataFrame:
+def _same_author(a_id: str, a: str, b_id: str, b: str) -> Column:
+    """Equal ids where both have one, else equal handles."""
+    both = (F.coalesce(a_id, F.lit("")) != "") & (F.coalesce(b_id, F.lit("")) != "")
+    return F.coalesce(F.when(both, F.col(a_id) == F.col(b_id)).otherwise(F.col(a) == F.col(b)), F.lit(False))
+
+
+def reply_links(posts: DataFrame, source_roots: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, link_type) of replies by the author of their conversation's root.
 
     A reply hangs on the post it answers if that is by the same author (reply_parent), else on the
-    root (primary_thread). Replies of others, or in conversations that aren't captured, make no link.
+    root (primary_thread). Replies of others, or in conversations that aren't captured, make no link. Authors are the same
+    by author_x_id where both posts have one, else by author; posts need not have the column author_x_id.
     """
-    who = posts.select("post_id", "author")
-    replies = posts.where("in_reply_to is not null and conversation_id is not null").select("post_id", "author", "in_reply_to", "conversation_id")
-    captured = replies.join(who.select(F.col("post_id").alias("conversation_id")), "conversation_id")
+    posts = posts if "author_x_id" in posts.columns else posts.withColumn("author_x_id", F.lit(None).cast("string"))
+    replies = (posts if replies is None else replies).where("in_reply_to is not null and conversation_id is not null")
+    named = lambda x, p: posts.select(F.col("post_id").alias(x), F.col("author_x_id").alias(f"_{p}i"), F.col("author").alias(f"_{p}a"))
+    own = replies.select("post_id", "in_reply_to", "conversation_id").join(named("post_id", "s"), "post_id")
+    captured = own.join(posts.select(F.col("post_id").alias("conversation_id")), "conversation_id")
     top = captured.join(source_roots.select(F.col("node").alias("conversation_id"), "root"), "conversation_id", "left").withColumn("root", F.coalesce("root", "conversation_id"))
-    same = top.join(who.select(F.col("post_id").alias("root"), F.col("author").alias("_ra")), "root").where("author = _ra")
-    parent = same.join(who.select(F.col("post_id").alias("in_reply_to"), F.col("author").alias("_pa")), "in_reply_to", "left")
-    mine = F.coalesce(F.col("_pa") == F.col("_ra"), F.lit(False))
+    same = top.join(named("root", "r"), "root").where(_same_author("_si", "_sa", "_ri", "_ra"))
+    parent = same.join(named("in_reply_to", "p"), "in_reply_to", "left")
+    mine = F.col("_pa").isNotNull() & _same_author("_pi", "_pa", "_ri", "_ra")
     return parent.select(F.col("post_id").alias("source_id"), F.when(mine, F.col("in_reply_to")).otherwise(F.col("root")).alias("target_id"), F.when(mine, "reply_parent").otherwise("primary_thread").alias("link_type"))
 
 
 def all_links(spark: SparkSession, posts: DataFrame, relations: DataFrame) -> DataFrame:
-    """Links of quotes, retweets and replies; raises if a post has several parents."""
+    """Links of quotes, retweets and replies; raises if a post has several parents.
+
+    The conversation of a reply may itself be a reply. Those that name one wait until it is linked, or known to
+    make no link, so that their root is the root of what it hangs on. Replies that wait for each other keep the
+    conversation that they name as root.
+    """
     if several_parents(posts, relations).limit(1).count():
         raise BrokenForest("a post has several structural parents")
-    first = Scratch(spark).write(source_links(posts, relations), "links")
-    return first.union(reply_links(posts, roots(spark, first)))
+    scratch = Scratch(spark)
+    links = scratch.write(source_links(posts, relations), "links")
+    waiting = posts.where("in_reply_to is not null and conversation_id is not null")
+    while True:
+        held = waiting.select(F.col("post_id").alias("conversation_id")).distinct()
+        own = F.col("conversation_id") == F.col("post_id")
+        later = scratch.write(waiting.where(~own).join(held, "conversation_id", "left_semi").select(*waiting.columns), "waiting")
+        ready = waiting.where(own).unionByName(waiting.where(~own).join(held, "conversation_id", "left_anti").select(*waiting.columns))
+        stuck = not ready.limit(1).count()
+        made = reply_links(posts, roots(spark, links), waiting if stuck else ready).where("source_id <> target_id")
+        links = scratch.write(links.unionByName(made), "links")
+        if stuck or not later.limit(1).count():
+            return links
+        waiting = later
 
 
 def members(spark: SparkSession, posts: DataFrame, links: DataFrame) -> DataFrame:
@@ -107,10 +133,13 @@ def members(spark: SparkSession, posts: DataFrame, links: DataFrame) -> DataFram
 def clusters(posts: DataFrame, mem: DataFrame) -> DataFrame:
     """(event_id, root, representative, members, links, first_day, last_day, n_days) per component.
 
-    The representative is the root if captured, else the captured post discovered first.
+    The representative is the root if captured, else of its direct children (of all, if there are none) the one
+    discovered first, then published first, then observed directly, then of least id. posts: post_id, discovered_at,
+    published_at, direct, day.
     """
-    m = mem.join(posts.select("post_id", "discovered_at", "day"), "post_id", "left")
-    rep = F.min_by("post_id", F.when(F.col("captured"), F.struct(F.when(F.col("depth") == 0, 0).otherwise(1), "discovered_at", "post_id")))
+    m = mem.join(posts.select("post_id", "discovered_at", "published_at", "direct", "day"), "post_id", "left")
+    order = F.struct(F.least("depth", F.lit(2)), "discovered_at", "published_at", ~F.coalesce("direct", F.lit(False)), "post_id")
+    rep = F.min_by("post_id", F.when(F.col("captured"), order))
     return m.groupBy("root").agg(
         rep.alias("representative"),
         F.count_if("captured").alias("members"),
@@ -205,15 +234,16 @@ def forest_order(spark: SparkSession, rows: DataFrame, rounds: int = 40) -> Data
     return j.select(*rows.columns, sort_path.alias("sort_path"), F.when(retweet, F.lit(0)).otherwise(F.coalesce("_depth", F.lit(0))).cast("long").alias("shown_depth"), missing.alias("parent_missing"))
 
 
-def week(daily: DataFrame, last_day: str, length: int = 7) -> DataFrame:
+def week(daily: DataFrame, last_day: str, length: int = 7, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per event of the days up to last_day: its best (rank, day), its richest revision, its active days.
 
-    daily: event, day, daily_rank, member_count.
+    daily: event, day, daily_rank, member_count, activity_days (null: the day alone) and the columns ``carried``. The
+    richest revision is the row of most members, of equal ones the latest; member_count, revision_day
+    and what is carried are that row's. Active days are the activity days of all rows that lie within the window.
     """
-    d = F.lit(last_day).cast("date")
-    w = daily.where(F.col("day").between(F.date_sub(d, length - 1), d))
-    return w.groupBy("event").agg(
-        F.min(F.struct("daily_rank", "day")).alias("_b"),
-        F.max("member_count").alias("member_count"),
-        F.sort_array(F.collect_set("day")).alias("active_days"),
-    ).select("event", F.col("_b.daily_rank").alias("best_rank"), F.col("_b.day").alias("best_day"), "member_count", "active_days")
+    d, begin = F.lit(last_day).cast("date"), F.date_sub(F.lit(last_day).cast("date"), length - 1)
+    w = daily.where(F.col("day").between(begin, d)).withColumn("_days", F.filter(F.coalesce("activity_days", F.array("day")), lambda x: x.between(begin, d)))
+    rich = F.max_by(F.struct("member_count", F.col("day").alias("revision_day"), *carried), F.struct("member_count", "day")).alias("_r")
+    found = w.groupBy("event").agg(F.min(F.struct("daily_rank", "day")).alias("_b"), rich)
+    active = w.select("event", F.explode("_days").alias("_d")).groupBy("event").agg(F.sort_array(F.collect_set("_d")).alias("_a"))
+    return found.join(active, "event", "left").select("event", F.col("_b.daily_rank").alias("best_rank"), F.col("_b.day").alias("best_day"), "_r.*", F.coalesce("_a", F.array().cast("array<date>")).alias("active_days"))

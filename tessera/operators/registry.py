@@ -32,12 +32,12 @@ def lookup(rows: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def representative_channel(channels: DataFrame) -> DataFrame:
-    """One channel per entity: key equal to the slug, then to the name, then followers, then key.
+    """One channel per entity: key equal to the slug, then shown name (else label) equal to the name, both in any case, then followers (none: 0), then key.
 
-    channels: entity_id, slug, name, channel_key, followers.
+    channels: entity_id, slug, name, channel_key, display_name, label, followers.
     """
-    k = F.lower("channel_key")
-    return pick(channels, ["entity_id"], [F.desc(k == F.col("slug")), F.desc(k == text.organisation_key(F.col("name"))), F.desc_nulls_last("followers"), F.asc("channel_key")])
+    shown = F.lower(F.coalesce("display_name", "label", F.lit("")))
+    return pick(channels, ["entity_id"], [F.desc(F.lower("channel_key") == F.lower("slug")), F.desc(shown == F.lower("name")), F.desc(F.coalesce("followers", F.lit(0))), F.asc("channel_key")])
 
 
 def reach_rank(entities: DataFrame) -> DataFrame:
@@ -167,12 +167,17 @@ def channel_url(kind: Column, key: Column) -> Column:
     return F.when(kind == "x", F.concat(F.lit("https://x.com/"), key)).when(kind == "github", F.concat(F.lit("https://github.com/"), key)).when(kind.isin("blog", "website"), key)
 
 
-def unique_slugs(named: DataFrame, key: str, name: str) -> DataFrame:
-    """named with slug: where several names have one, all but the first by key get a digest of their name behind it."""
-    s = named.withColumn("slug", text.slug(F.col(name)))
-    first = s.groupBy("slug").agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
-    tail = F.concat(F.col("slug"), F.lit("-"), F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), name).cast("binary"), 256), 1, 10))
-    return s.join(first, "slug").withColumn("slug", F.when((F.col("_n") > 1) & (F.col(key) != F.col("_first")), tail).otherwise(F.col("slug"))).drop("_first", "_n")
+def unique_slugs(named: DataFrame, order: str, kind: str, key: str, taken: DataFrame | None = None) -> DataFrame:
+    """named with slug: the kind and the readable key; where that is taken (slug), or another row before by ``order`` has it, cut and with a digest of kind and key behind it."""
+    s = named.withColumn("slug", text.slug(F.col(kind), F.col(key)))
+    first = s.groupBy("slug").agg(F.min(order).alias("_first"))
+    if taken is not None:
+        first = first.join(taken.select("slug", F.lit(True).alias("_t")).distinct(), "slug", "left")
+    else:
+        first = first.withColumn("_t", F.lit(None).cast("boolean"))
+    tail = F.substring(F.sha2(F.concat_ws(":", kind, key).cast("binary"), 256), 1, 10)
+    clash = F.col("_t").isNotNull() | (F.col(order) != F.col("_first"))
+    return s.join(first, "slug").withColumn("slug", F.when(clash, F.concat(F.substring("slug", 1, 69), F.lit("-"), tail)).otherwise(F.col("slug"))).drop("_first", "_t")
 
 
 def promote(entities: DataFrame, results: DataFrame, contract: str) -> DataFrame:

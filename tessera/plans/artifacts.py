@@ -129,14 +129,17 @@ def best_candidates(spark, sf_dir):
     from pyspark.sql.window import Window as W
 
     f = _fetches(spark, sf_dir)
-    r = f.select("artifact_id", "day", F.row_number().over(W.partitionBy("day").orderBy("attempt_id")).alias("rank"), F.col("attempt_id").alias("obs_id"))
-    return art.best_normalised(r).select("artifact_id", F.col("day").cast("string").alias("day"), F.col("rank").cast("long").alias("rank"), "obs_id", "score")
+    w = W.partitionBy("day")
+    url = F.concat(F.lit("https://e.example/"), F.col("attempt_id") % 97)
+    r = f.select("artifact_id", "day", F.row_number().over(w.orderBy("attempt_id")).alias("rank"), F.count("*").over(w).alias("day_candidates"), (F.col("attempt_id") % 4).alias("source_id"), (F.col("attempt_id") % 3).alias("disclosure_id"), (F.col("attempt_id") % 5).alias("event_id"), url.alias("expanded_url"))
+    first = r.withColumn("rank", F.when(F.col("artifact_id") % 3 == 0, 1).otherwise(F.col("rank")))
+    return art.best_normalised(first).select("artifact_id", "event_id", "expanded_url", F.round("score", 9).alias("score"))
 
 
 def document_bundles(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents")
     ev = docs.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("event_id"), (F.col("doc_id") % 4 == 0).alias("is_organisation"), F.col("n_chars").alias("daily_rank"))
-    first = F.when(F.md5("text").substr(1, 1) < "8", F.lit("2024-01-01").cast("date")).otherwise(F.lit("2023-12-31").cast("date"))
+    first = F.when(F.md5("text").substr(1, 1) < "8", F.lit("2024-01-01").cast("date")).when(F.md5("text").substr(1, 1) < "c", F.lit("2023-12-31").cast("date"))
     links = docs.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("event_id"), F.md5("text").alias("artifact_id"), F.md5("text").alias("url"), (F.col("doc_id") % 3).alias("source_rank"), F.lit(True).alias("merge_anchor"), first.alias("first_day"))
     return dev.bundle_events(spark, ev, links, "2024-01-01")
 
@@ -260,15 +263,15 @@ QUERIES = [
     (
         "best_candidates",
         best_candidates,
-        f"""WITH {FETCH}, r AS (SELECT artifact_id, day, row_number() OVER (PARTITION BY day ORDER BY attempt_id) AS rank, count(*) OVER (PARTITION BY day) AS n, attempt_id AS obs_id FROM f),
-        x AS (SELECT *, round((rank - 1) / greatest(n - 1, 1), 6) AS score FROM r) SELECT artifact_id, day::VARCHAR AS day, rank, obs_id, score FROM x QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY score, day, obs_id) = 1""",
+        f"""WITH {FETCH}, r AS (SELECT artifact_id, CASE WHEN artifact_id % 3 = 0 THEN 1 ELSE row_number() OVER (PARTITION BY day ORDER BY attempt_id) END AS rank, count(*) OVER (PARTITION BY day) AS n, attempt_id % 4 = attempt_id % 3 AS own, attempt_id % 5 AS event_id, 'https://e.example/' || (attempt_id % 97) AS expanded_url FROM f),
+        x AS (SELECT *, (rank - 1)::DOUBLE / greatest(n - 1, 1) AS score FROM r) SELECT artifact_id, event_id, expanded_url, round(score, 9) AS score FROM x QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY score, own DESC, event_id, expanded_url) = 1""",
     ),
     (
         "document_bundles",
         document_bundles,
         """WITH d AS (SELECT lpad(doc_id::VARCHAR, 10, '0') AS e, doc_id % 4 <> 0 AS o, n_chars AS r, md5(text) AS a FROM documents),
         g AS (SELECT a, count(*) AS n, first(e ORDER BY o, r, e) AS p FROM d GROUP BY a)
-        SELECT sha256('["development","' || CASE WHEN n > 1 THEN 'artifact","' || a ELSE 'event","' || p END || '"]') AS development_id, p AS primary_event, CASE WHEN n > 1 THEN a ELSE '' END AS anchor, n AS n_events, e AS event_id FROM g JOIN d USING (a) WHERE n = 1 OR a[1] < '8'""",
+        SELECT sha256('["development","' || CASE WHEN n > 1 THEN 'artifact","' || a ELSE 'event","' || p END || '"]') AS development_id, p AS primary_event, CASE WHEN n > 1 THEN a ELSE '' END AS anchor, n AS n_events, e AS event_id FROM g JOIN d USING (a) WHERE n = 1 OR a[1] < '8' OR a[1] >= 'c'""",
     ),
     (
         "development_participants",

@@ -202,37 +202,66 @@ def report_rows(spark, sf_dir):
     return messages.report_rows(o).withColumn("day", F.col("day").cast("string"))
 
 
-POST = """concat('{"id":"', event_id, '","text":" ', event_type, '\\n x","createdAt":"2024-01-02T03:04:05Z","author":{"userName":"@U', user_id, '","id":"', user_id, '"},"likeCount":', event_id % 3, ',"like_count":7,"replyCount":"2"',
- CASE event_id % 5 WHEN 0 THEN ',"retweeted_tweet":{"id":"r"}' WHEN 1 THEN ',"inReplyToId":"p","quoted_tweet":{"id":"q"}' WHEN 2 THEN ',"quoted_tweet":{"id":"q"},"isQuote":true' WHEN 3 THEN ',"isReply":true' ELSE '' END, '}')"""
+# The fields of a post by event; a type in five has an embedded post, a reply or both, and an author in four is told in another way.
+POST_AUTHOR = """CASE event_id % 4 WHEN 1 THEN concat('{"name":" N ","username":"@U', user_id, '"}') WHEN 2 THEN '{}' ELSE concat('{"id":"', user_id, '","userName":"@U', user_id, '"}') END"""
+POST_FIELDS = (
+    ("author", POST_AUTHOR),
+    ("bookmarkCount", "CAST(event_id % 2 AS VARCHAR(9))"),
+    ("createdAt", """'"2024-01-02T03:04:05Z"'"""),
+    ("id", """concat('"', event_id, '"')"""),
+    ("inReplyToId", """CASE WHEN event_id % 5 = 1 THEN '"p"' END"""),
+    ("isQuote", "CASE WHEN event_id % 5 = 2 THEN 'true' END"),
+    ("isReply", "CASE WHEN event_id % 5 = 3 THEN 'true' END"),
+    ("likeCount", "CAST(event_id % 3 AS VARCHAR(9))"),
+    ("like_count", "'7'"),
+    ("quotedTweet", """CASE WHEN event_id % 5 = 2 THEN '{"id":"q"}' END"""),
+    ("quoted_tweet", """CASE event_id % 5 WHEN 1 THEN '{"id":"q"}' WHEN 2 THEN '{}' END"""),
+    ("replyCount", """'"2"'"""),
+    ("retweeted_tweet", """CASE WHEN event_id % 5 = 0 THEN '{"id":"r"}' END"""),
+    ("text", """concat('" ', event_type, '\\t x"')"""),
+    ("twitterUrl", """CASE WHEN event_id % 4 = 3 THEN concat('"https://t.example/', event_id, '"') END"""),
+)
+
+
+def _post(fields) -> str:
+    """SQL of a JSON object, read alike by Spark and DuckDB; fields that are null are left out."""
+    return "concat('{', concat_ws(',', " + ", ".join(f"""'"{name}":' || ({value})""" for name, value in fields) + "), '}')"
 
 
 def normalised_posts(spark, sf_dir):
-    raw = ad.table(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(POST.replace("\\n", "\\\\n"))).alias("raw"))
+    backwards = _post(reversed(POST_FIELDS)).replace("\\t", "\\\\t")
+    raw = ad.table(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(backwards)).alias("raw"))
     n = raw.select("event_id", "raw", *[c.alias(k) for k, c in feed.normalised(F.col("raw")).items()])
     n = n.withColumn("raw_type", feed.raw_type(F.col("raw"), F.col("text")))
-    rich = F.substring(feed.priority(n), 1, 39)
-    return n.select("event_id", "post_id", "author", "text", "url", "post_type", "raw_type", F.col("day").cast("string").alias("day"), "likes", "replies", rich.alias("priority"), time.in_window(F.col("published_at"), "2024-01-01", "2024-01-02").alias("inside"))
+    return n.select("event_id", "post_id", "author", F.coalesce("author_x_id", F.lit("")).alias("author_x_id"), F.coalesce("author_name", F.lit("")).alias("author_name"), "text", "url", "post_type", "raw_type", F.col("day").cast("string").alias("day"), "likes", "replies", F.coalesce("bookmarks", F.lit(-1).cast("long")).alias("bookmarks"), feed.priority(F.col("raw")).alias("priority"), time.in_window(F.col("published_at"), "2024-01-01", "2024-01-02").alias("inside"))
+
+
+# A post that quotes a post that retweets it, and retweets another; every other quoted one has no time and so is opaque.
+NEST = """concat('{"id":"', event_id, '","createdAt":"2024-01-02T03:04:05Z","entities":{"urls":[{"url":"https://t.co/a","expanded_url":"https://h.example/', event_id, '"}]},"extendedEntities":{"media":[{"type":"image"}]},
+ "quoted_tweet":{"id":"q', event_id % 9, '",', CASE WHEN event_id % 2 = 0 THEN '"created_at":"2024-01-01T00:00:00Z",' ELSE '' END, '"extended_entities":{"media":[{"type":"video"},{"type":"other"}]},"entities":{"urls":[{"url":"https://t.co/b"}]},"retweeted_tweet":{"id":"', event_id, '","createdAt":"2024-01-02T03:04:05Z","note":"https://x.com/i/Spaces/1","quoted_tweet":{"id":"never"}}},
+ "', CASE WHEN event_id % 3 = 0 THEN 'retweetedTweet' ELSE 'retweeted_tweet' END, '":{"', CASE WHEN event_id % 5 = 0 THEN 'tweetId' ELSE 'id' END, '":"r', event_id % 7, '"}}')"""
 
 
-NEST = """concat('{"id":"', event_id, '","entities":{"urls":[{"url":"https://t.co/a","expanded_url":"https://h.example/', event_id, '"}]},"extendedEntities":{"media":[{"type":"image"}]},
- "quoted_tweet":{"id":"q', event_id % 9, '","extended_entities":{"media":[{"type":"video"},{"type":"other"}]},"entities":{"urls":[{"url":"https://t.co/b"}]},"retweeted_tweet":{"id":"', event_id, '","note":"https://x.com/i/Spaces/1"}},
- "retweeted_tweet":{"id":"r', event_id % 7, '"}}')"""
+def _nested(spark, sf_dir):
+    return ad.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("discovered_at"), F.try_parse_json(F.expr(NEST)).alias("raw"))
 
 
 def walked_payloads(spark, sf_dir):
-    p = ad.table(spark, sf_dir, "events").select("event_id", "ts", F.try_parse_json(F.expr(NEST)).alias("raw"), F.col("ts").alias("discovered_at"))
-    _, relations = feed.walk(p.select("raw", "discovered_at"))
-    return relations.select("source_id", "relation_type", "target_id", "disclosure_id")
+    return feed.walk(_nested(spark, sf_dir))[1].select("source_id", "relation_type", "target_id", "disclosure_id")
+
+
+def opaque_targets(spark, sf_dir):
+    nodes, _ = feed.walk(_nested(spark, sf_dir))
+    return nodes.groupBy("id").agg(F.bool_and("opaque").alias("opaque"), F.max("level").cast("long").alias("deepest"))
 
 
 def payload_media(spark, sf_dir):
-    p = ad.table(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(NEST)).alias("raw"))
-    return p.select("event_id", F.array_join(feed.media_types(F.col("raw")), ",").alias("media"))
+    found = feed.media_types(_nested(spark, sf_dir), "event_id")
+    return found.select("event_id", F.array_join("media", ",").alias("media"))
 
 
 def payload_links(spark, sf_dir):
-    p = ad.table(spark, sf_dir, "events").select(F.try_parse_json(F.expr(NEST)).alias("raw"))
-    return feed.url_evidence(p)
+    return feed.url_evidence(_nested(spark, sf_dir))
 
 
 # Bodies of a fetch by document: HTML with a title and a canonical link, plain text, JSON, PDF, an image, a shell.
@@ -397,15 +426,24 @@ QUERIES = [
     (
         "normalised_posts",
         normalised_posts,
-        """WITH t AS (SELECT event_id, 'u' || user_id AS author, event_type || ' x' AS text, CASE event_id % 5 WHEN 0 THEN 'retweet' WHEN 1 THEN 'reply' WHEN 2 THEN 'quote' WHEN 3 THEN 'reply' ELSE 'original' END AS post_type,
-        CASE event_id % 5 WHEN 2 THEN 'quote' WHEN 3 THEN 'reply' ELSE 'original' END AS raw_type, CASE WHEN event_id % 3 = 0 THEN 7 ELSE event_id % 3 END AS likes FROM events)
-        SELECT event_id, event_id::VARCHAR AS post_id, author, text, 'https://x.com/' || author || '/status/' || event_id AS url, post_type, raw_type, '2024-01-02' AS day, likes, 2 AS replies,
-        printf('%04d:%04d:%08d:%020d', CASE WHEN event_id % 5 = 1 THEN 1 ELSE 0 END, 4, length(text), likes + 2) AS priority, true AS inside FROM t""",
+        f"""WITH t AS (SELECT event_id, CASE WHEN event_id % 4 = 2 THEN 'unknown' ELSE 'u' || user_id END AS author, CASE WHEN event_id % 4 IN (0, 3) THEN user_id::VARCHAR ELSE '' END AS author_x_id, CASE WHEN event_id % 4 = 1 THEN 'N' ELSE '' END AS author_name,
+        event_type || ' x' AS text, CASE event_id % 5 WHEN 0 THEN 'retweet' WHEN 1 THEN 'reply' WHEN 2 THEN 'quote' WHEN 3 THEN 'reply' ELSE 'original' END AS post_type,
+        CASE event_id % 5 WHEN 2 THEN 'quote' WHEN 3 THEN 'reply' ELSE 'original' END AS raw_type, CASE WHEN event_id % 3 = 0 THEN 7 ELSE event_id % 3 END AS likes, sha256({_post(POST_FIELDS)}) AS digest FROM events)
+        SELECT event_id, event_id::VARCHAR AS post_id, author, author_x_id, author_name, text, CASE WHEN event_id % 4 = 3 THEN 'https://t.example/' || event_id ELSE 'https://x.com/' || author || '/status/' || event_id END AS url, post_type, raw_type, '2024-01-02' AS day, likes, 2 AS replies, CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END AS bookmarks,
+        printf('%04d:%04d:%08d:%020d:%s', CASE WHEN event_id % 5 IN (0, 1, 2) THEN 1 ELSE 0 END, CASE event_id % 4 WHEN 2 THEN 3 WHEN 3 THEN 5 ELSE 4 END + CASE WHEN event_id % 5 = 1 THEN 1 ELSE 0 END, length(text), event_id % 3 + 2 + event_id % 2, digest) AS priority, true AS inside FROM t""",
     ),
     (
         "walked_payloads",
         walked_payloads,
-        """SELECT event_id::VARCHAR AS source_id, 'quote' AS relation_type, 'q' || (event_id % 9) AS target_id, event_id::VARCHAR AS disclosure_id FROM events UNION SELECT event_id::VARCHAR, 'retweet', 'r' || (event_id % 7), event_id::VARCHAR FROM events""",
+        """WITH q AS (SELECT event_id, ts FROM events WHERE event_id % 2 = 0)
+        SELECT event_id::VARCHAR AS source_id, 'quote' AS relation_type, 'q' || (event_id % 9) AS target_id, event_id::VARCHAR AS disclosure_id FROM events UNION SELECT event_id::VARCHAR, 'retweet', 'r' || (event_id % 7), event_id::VARCHAR FROM events
+        UNION SELECT 'q' || (event_id % 9), 'retweet', event_id::VARCHAR, event_id::VARCHAR FROM q""",
+    ),
+    (
+        "opaque_targets",
+        opaque_targets,
+        """WITH n AS (SELECT event_id::VARCHAR AS id, false AS opaque, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS level FROM events UNION ALL SELECT 'q' || (event_id % 9), event_id % 2 = 1, 1 FROM events UNION ALL SELECT 'r' || (event_id % 7), true, 1 FROM events)
+        SELECT id, bool_and(opaque) AS opaque, max(level)::BIGINT AS deepest FROM n GROUP BY 1""",
     ),
     ("payload_media", payload_media, "SELECT event_id, 'audio,photo,video' AS media FROM events"),
     (

@@ -59,9 +59,11 @@ def top_ranked(spark, sf_dir):
 
 
 def rolling_week(spark, sf_dir):
-    d = _ranked(spark, sf_dir).select((F.regexp_extract("item", r"(\d+)", 1).cast("long") % 40).alias("event"), F.to_date("day").alias("day"), "daily_rank", F.col("trusted_votes").alias("member_count"))
-    out = ev.week(d, "2024-01-14")
-    return out.select("event", "best_rank", F.col("best_day").cast("string").alias("best_day"), "member_count", F.array_join(F.transform("active_days", lambda x: x.cast("string")), ",").alias("active_days"))
+    d = _ranked(spark, sf_dir).select((F.regexp_extract("item", r"(\d+)", 1).cast("long") % 40).alias("event"), F.to_date("day").alias("day"), "daily_rank", F.col("trusted_votes").alias("member_count"), F.col("item").alias("snapshot"))
+    d = d.groupBy("event", "day").agg(F.min("daily_rank").alias("daily_rank"), F.max("member_count").alias("member_count"), F.max("snapshot").alias("snapshot"))
+    seen = F.when(F.col("event") % 3 != 0, F.array("day", F.date_sub("day", 2), F.date_add("day", 3)))
+    out = ev.week(d.withColumn("activity_days", seen), "2024-01-14", carried=("snapshot",))
+    return out.select("event", "best_rank", F.col("best_day").cast("string").alias("best_day"), "member_count", F.col("revision_day").cast("string").alias("revision_day"), "snapshot", F.array_join(F.transform("active_days", lambda x: x.cast("string")), ",").alias("active_days"))
 
 
 RUNS = "runs AS (SELECT user_id, (min(ts))::DATE AS date_from, (min(ts))::DATE + (count(*) % 4)::INTEGER AS date_to FROM events GROUP BY user_id, event_id % 3)"
@@ -137,8 +139,9 @@ QUERIES = [
     (
         "rolling_week",
         rolling_week,
-        f"""WITH {VOTES}, d AS (SELECT regexp_extract(item, '[0-9]+')::BIGINT % 40 AS event, day, daily_rank, trusted_votes FROM ranked WHERE day BETWEEN '2024-01-08' AND '2024-01-14')
-        SELECT event, min(daily_rank) AS best_rank, first(day ORDER BY daily_rank, day) AS best_day, max(trusted_votes) AS member_count, string_agg(DISTINCT day, ',' ORDER BY day) AS active_days FROM d GROUP BY 1""",
+        f"""WITH {VOTES}, d AS (SELECT regexp_extract(item, '[0-9]+')::BIGINT % 40 AS event, day::DATE AS day, min(daily_rank) AS daily_rank, max(trusted_votes) AS m, max(item) AS snapshot FROM ranked WHERE day BETWEEN '2024-01-08' AND '2024-01-14' GROUP BY 1, 2),
+        a AS (SELECT DISTINCT event, (day + k)::DATE AS x FROM d, (SELECT unnest([0, -2, 3])::INTEGER AS k) WHERE k = 0 OR event % 3 <> 0), g AS (SELECT event, string_agg(x::VARCHAR, ',' ORDER BY x) AS active_days FROM a WHERE x BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1)
+        SELECT event, min(daily_rank) AS best_rank, first(day::VARCHAR ORDER BY daily_rank, day) AS best_day, max(m) AS member_count, first(day::VARCHAR ORDER BY m DESC, day DESC) AS revision_day, first(snapshot ORDER BY m DESC, day DESC) AS snapshot, any_value(active_days) AS active_days FROM d JOIN g USING (event) GROUP BY 1""",
     ),
     (
         "covered_days",

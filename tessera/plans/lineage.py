@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing
+from tessera.functions import hashing, text
 from tessera.operators import artifacts as art
 from tessera.operators import developments as dev
 from tessera.operators import events as ev
@@ -291,8 +291,9 @@ def group_faults(spark, sf_dir):
 
 
 def unique_slugs(spark, sf_dir):
-    c = ad.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Seg "), "c_mktsegment", F.lit("!")).alias("name"))
-    return registry.unique_slugs(c, "c_custkey", "name").select("c_custkey", "slug")
+    c = ad.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "x").otherwise("blog").alias("kind"), F.concat(F.lit("Seg "), "c_mktsegment", F.repeat(F.lit("!z"), 40)).alias("key"))
+    taken = c.where("kind = 'blog' and key like 'Seg BUILDING%'")
+    return registry.unique_slugs(c, "c_custkey", "kind", "key", taken.select(text.slug(F.col("kind"), F.col("key")).alias("slug"))).select("c_custkey", "slug")
 
 
 def admissions(spark, sf_dir):
@@ -516,12 +517,15 @@ QUERIES = [
     (
         "group_faults",
         group_faults,
-        "SELECT 1::BIGINT AS group_id, 'empty_name' AS fault UNION ALL SELECT 2, 'several_names' UNION ALL SELECT 3, 'unknown_member' UNION ALL SELECT 4, 'repeated_member'",
+        """WITH m AS (SELECT s_suppkey % 7 AS g, CASE s_suppkey % 7 WHEN 1 THEN ' ' WHEN 2 THEN s_name ELSE 'g' END AS name, CASE s_suppkey % 7 WHEN 3 THEN s_suppkey + 1000000000 WHEN 4 THEN 4 ELSE s_suppkey END AS member FROM supplier)
+        SELECT DISTINCT g AS group_id, 'empty_name' AS fault FROM m WHERE trim(name) = '' UNION SELECT g, 'several_names' FROM m GROUP BY g HAVING count(DISTINCT name) > 1
+        UNION SELECT g, 'unknown_member' FROM m WHERE member NOT IN (SELECT s_suppkey FROM supplier) UNION SELECT min(g), 'repeated_member' FROM m GROUP BY member HAVING count(*) > 1""",
     ),
     (
         "unique_slugs",
         unique_slugs,
-        f"WITH c AS (SELECT c_custkey, 'Seg ' || c_mktsegment || '!' AS name FROM customer), s AS (SELECT *, {_SLUG} AS slug FROM c) SELECT c_custkey, CASE WHEN c_custkey = min(c_custkey) OVER (PARTITION BY slug) THEN slug ELSE slug || '-' || substr(sha256(c_custkey || ':' || name), 1, 10) END AS slug FROM s",
+        f"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'blog' END AS kind, 'Seg ' || c_mktsegment || repeat('!z', 40) AS name FROM customer), s AS (SELECT *, kind || '-' || substr({_SLUG}, 1, 72) AS slug FROM c)
+        SELECT c_custkey, CASE WHEN c_custkey = min(c_custkey) OVER (PARTITION BY slug) AND NOT (kind = 'blog' AND name LIKE 'Seg BUILDING%') THEN slug ELSE substr(slug, 1, 69) || '-' || substr(sha256(kind || ':' || name), 1, 10) END AS slug FROM s""",
     ),
     (
         "admissions",

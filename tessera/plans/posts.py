@@ -15,7 +15,7 @@ posts AS (SELECT lpad(event_id::VARCHAR, 10, '0') AS post_id, 'a' || (user_id %
   CASE t WHEN 'click' THEN 'retweet' WHEN 'signup' THEN 'quote' WHEN 'view' THEN 'reply' ELSE 'original' END AS post_type,
   CASE WHEN t = 'view' AND event_id > k % 5 THEN lpad((event_id - 1 - k % 5)::VARCHAR, 10, '0') END AS in_reply_to,
   CASE WHEN t = 'view' AND event_id > k % 5 THEN lpad((event_id - event_id % 10)::VARCHAR, 10, '0') END AS conversation_id,
-  ts AS discovered_at, ts::DATE AS day FROM e),
+  ts AS discovered_at, ts::DATE AS day, date_trunc('day', ts) - to_hours((k % 3)::INTEGER) AS published_at, event_id % 3 = 0 AS direct FROM e),
 relations AS (SELECT lpad(event_id::VARCHAR, 10, '0') AS source_id, CASE t WHEN 'click' THEN 'retweet' ELSE 'quote' END AS relation_type,
   CASE WHEN k % 10 = 0 THEN 'x' || (event_id % 50) ELSE lpad((event_id - 1 - k % 20)::VARCHAR, 10, '0') END AS target_id, ts AS discovered_at
   FROM e WHERE t IN ('click', 'signup') AND event_id > k % 20)
@@ -50,7 +50,7 @@ def posts(spark, sf_dir):
     e, i, k = base(spark, sf_dir), F.col("event_id"), F.col("k")
     kind = F.when(F.col("t") == "click", "retweet").when(F.col("t") == "signup", "quote").when(F.col("t") == "view", "reply").otherwise("original")
     reply = (F.col("t") == "view") & (i > k % 5)
-    return e.select(_pid(i).alias("post_id"), F.concat(F.lit("a"), F.col("user_id") % 7).alias("author"), kind.alias("post_type"), F.when(reply, _pid(i - 1 - k % 5)).alias("in_reply_to"), F.when(reply, _pid(i - i % 10)).alias("conversation_id"), F.col("ts").alias("discovered_at"), F.to_date("ts").alias("day"))
+    return e.select(_pid(i).alias("post_id"), F.concat(F.lit("a"), F.col("user_id") % 7).alias("author"), kind.alias("post_type"), F.when(reply, _pid(i - 1 - k % 5)).alias("in_reply_to"), F.when(reply, _pid(i - i % 10)).alias("conversation_id"), F.col("ts").alias("discovered_at"), F.to_date("ts").alias("day"), (F.date_trunc("day", "ts") - F.expr("make_interval(0, 0, 0, 0, cast(k % 3 as int))")).alias("published_at"), (i % 3 == 0).alias("direct"))
 
 
 def relations(spark, sf_dir):
@@ -201,7 +201,7 @@ QUERIES = [
     (
         "event_clusters",
         event_clusters,
-        f"""{W}{ROOTS} SELECT sha256('["x","' || root || '"]') AS event_id, root, first(post_id ORDER BY (depth > 0), discovered_at, post_id) FILTER (captured) AS representative,
+        f"""{W}{ROOTS} SELECT sha256('["x","' || root || '"]') AS event_id, root, first(post_id ORDER BY least(depth, 2), discovered_at, published_at, NOT direct, post_id) FILTER (captured) AS representative,
         count(*) FILTER (captured) AS members, count(*) FILTER (depth > 0) AS links, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(DISTINCT day) AS n_days
         FROM mem LEFT JOIN posts USING (post_id) GROUP BY root""",
     ),

@@ -39,7 +39,10 @@ def kind_counts(spark, sf_dir):
 
 def representative_channels(spark, sf_dir):
     c = ad.table(spark, sf_dir, "customer")
-    ch = c.select(F.col("c_nationkey").cast("long").alias("entity_id"), F.concat(F.lit("key"), F.col("c_nationkey")).alias("slug"), F.concat(F.lit("Seg "), F.col("c_mktsegment"), F.lit(" Inc")).alias("name"), F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("KEY"), F.col("c_nationkey"))).otherwise(F.concat(F.lit("k"), "c_custkey")).alias("channel_key"), F.floor("c_acctbal").alias("followers"))
+    n = F.col("c_custkey")
+    label = F.when(n % 13 == 0, F.concat(F.lit("SEG "), "c_mktsegment", F.lit(" inc")))
+    key = F.when(n % 11 == 0, F.concat(F.lit("kEY"), F.col("c_nationkey"))).otherwise(F.concat(F.lit("k"), n))
+    ch = c.select(F.col("c_nationkey").cast("long").alias("entity_id"), F.concat(F.lit("Key"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("x")).alias("slug"), F.concat(F.lit("Seg "), "c_mktsegment", F.lit(" Inc")).alias("name"), key.alias("channel_key"), F.when(n % 26 == 0, F.lit("shown")).alias("display_name"), label.alias("label"), F.when(n % 7 != 0, F.floor("c_acctbal")).alias("followers"))
     return registry.representative_channel(ch).select("entity_id", "channel_key")
 
 
@@ -143,7 +146,7 @@ def page_credits(spark, sf_dir):
 
 def content_ids(spark, sf_dir):
     d = ad.table(spark, sf_dir, "documents")
-    return d.select("doc_id", hashing.content_id(F.lit("x"), F.col("source"), F.col("lang")).alias("content_id"), text.slug(F.concat_ws(" & ", "source", "lang")).alias("slug"))
+    return d.select("doc_id", hashing.content_id(F.lit("x"), F.col("source"), F.col("lang")).alias("content_id"), text.slug(F.lit("doc"), F.concat_ws(" & ", "source", "lang")).alias("slug"))
 
 
 QUERIES = [
@@ -167,8 +170,9 @@ QUERIES = [
     (
         "representative_channels",
         representative_channels,
-        """WITH c AS (SELECT c_nationkey::BIGINT AS entity_id, 'key' || c_nationkey AS slug, 'seg' || lower(c_mktsegment) AS nk, CASE WHEN c_custkey % 11 = 0 THEN 'KEY' || c_nationkey ELSE 'k' || c_custkey END AS channel_key, floor(c_acctbal) AS followers FROM customer)
-        SELECT entity_id, channel_key FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY lower(channel_key) = slug DESC, lower(channel_key) = nk DESC, followers DESC NULLS LAST, channel_key) = 1""",
+        """WITH c AS (SELECT c_nationkey::BIGINT AS entity_id, 'key' || CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE 'x' END AS slug, CASE WHEN c_custkey % 11 = 0 THEN 'kEY' || c_nationkey ELSE 'k' || c_custkey END AS channel_key,
+        c_custkey % 13 = 0 AND c_custkey % 26 <> 0 AS named, CASE WHEN c_custkey % 7 <> 0 THEN floor(c_acctbal) ELSE 0 END AS followers FROM customer)
+        SELECT entity_id, channel_key FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY lower(channel_key) = slug DESC, named DESC, followers DESC, channel_key) = 1""",
     ),
     (
         "latest_facts",
@@ -260,6 +264,6 @@ QUERIES = [
     (
         "content_ids",
         content_ids,
-        """SELECT doc_id, sha256('["x","' || source || '","' || lang || '"]') AS content_id, trim(regexp_replace(lower(source || ' & ' || lang), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""",
+        """SELECT doc_id, sha256('["x","' || source || '","' || lang || '"]') AS content_id, 'doc-' || trim(regexp_replace(lower(source || ' & ' || lang), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""",
     ),
 ]

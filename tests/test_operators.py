@@ -79,7 +79,8 @@ def test_pagerank_that_does_not_converge_raises(spark):
 
 
 def posts(spark, rows):
-    return spark.createDataFrame(rows, "post_id string, author string, post_type string, in_reply_to string, conversation_id string, discovered_at timestamp, day date")
+    df = spark.createDataFrame(rows, "post_id string, author string, post_type string, in_reply_to string, conversation_id string, discovered_at timestamp, day date")
+    return df.withColumns({"published_at": F.col("discovered_at"), "direct": F.lit(True)})
 
 
 def test_event_golden(spark):
@@ -150,14 +151,15 @@ def test_deciding_layers(spark):
 
 
 def test_recursive_walk_and_media(spark):
-    inner = '{"id":"9","text":"in","author":{"userName":"Out"},"extendedEntities":{"media":[{"type":"image"}]},"entities":{"urls":[{"url":"https://t.co/a","expanded_url":"https://e.com/x"}]}}'
+    inner = '{"id":"9","created_at":"2026-07-01T00:00:00Z","text":"in","author":{"userName":"Out"},"extendedEntities":{"media":[{"type":"image"}]},"entities":{"urls":[{"url":"https://t.co/a","expanded_url":"https://e.com/x"}]}}'
     raw = '{"id":"3","createdAt":"2026-07-11T10:00:00Z","text":" a  b ","author":{"userName":"@Carol","id":"7"},"likeCount":0,"like_count":4,"quoted_tweet":%s,"retweeted_tweet":{"id":"3"}}' % inner
     df = spark.createDataFrame([(raw, dt.datetime(2026, 7, 12))], "j string, discovered_at timestamp").select(F.parse_json("j").alias("raw"), "discovered_at")
     nodes, rel = feed.walk(df)
     assert [(r.source_id, r.relation_type, r.target_id) for r in rel.collect()] == [("3", "quote", "9")]
     assert nodes.count() == 2
-    r = df.select(*[c.alias(k) for k, c in feed.normalised(F.col("raw")).items()], feed.media_types(F.col("raw")).alias("m")).first()
-    assert (r.post_id, r.author, r.text, r.likes, r.m) == ("3", "carol", "a b", 4, ["photo"])
+    r = df.select(*[c.alias(k) for k, c in feed.normalised(F.col("raw")).items()], F.lit(1)).first()
+    assert (r.post_id, r.author, r.text, r.likes) == ("3", "carol", "a b", 4)
+    assert [r.media for r in feed.media_types(df.withColumn("k", F.lit(1)), "k").collect()] == [["photo"]]
     assert [tuple(x) for x in feed.url_evidence(df).collect()] == [("https://t.co/a", "https://e.com/x", "quoted_entity", "9")]
 
 
@@ -171,10 +173,70 @@ def test_links_and_media_at_any_depth(spark):
     want = [(f"https://t.co/{k}", f"https://e.com/{k}", "entity" if k == 1 else "retweeted_entity" if k % 2 else "quoted_entity", str(k)) for k in range(1, 62)]
     got = [tuple(r) for r in feed.url_evidence(df).collect()]
     assert sorted(got) == sorted([*want, ("https://t.co/s", "https://t.co/s", "entity", "s")])
-    media = {r.k: r.m for r in df.select("k", feed.media_types(F.col("raw")).alias("m")).collect()}
+    media = {r.k: r.media for r in feed.media_types(df, "k").collect()}
     assert media == {0: ["animated_gif"], 1: ["animated_gif", "audio", "video"], 2: [], 3: []}
 
 
+def _raw(spark, *payloads):
+    rows = [(p, dt.datetime(2026, 7, 12 + k)) for k, p in enumerate(payloads)]
+    return spark.createDataFrame(rows, "j string, discovered_at timestamp").select(F.parse_json("j").alias("raw"), "discovered_at")
+
+
+def test_walk_keeps_relations_that_lead_back(spark):
+    t = '"createdAt":"2026-07-11T10:00:00Z"'
+    df = _raw(spark, '{"id":"A",%s,"quotedTweet":{"tweetId":"B",%s,"quoted_tweet":{"id":"A",%s,"quoted_tweet":{"id":"Z",%s}}}}' % (t, t, t, t), '{"id":"C",%s,"retweetedTweet":{"id":"D"},"quoted_tweet":{"id":"C",%s}}' % (t, t))
+    nodes, rel = feed.walk(df)
+    assert sorted(tuple(r)[:3] for r in rel.collect()) == [("A", "quote", "B"), ("B", "quote", "A"), ("C", "retweet", "D")]
+    assert {r.id for r in nodes.where("opaque").collect()} == {"D"}
+    assert {r.disclosure_id for r in rel.where("source_id = 'B'").collect()} == {"A"}
+
+
+def test_walk_has_no_depth_limit_and_the_first_disclosure_counts(spark):
+    t = '"createdAt":"2026-07-11T10:00:00Z"'
+    raw = '{"id":"p30",%s}' % t
+    for k in range(29, -1, -1):
+        raw = '{"id":"p%d",%s,"quoted_tweet":%s}' % (k, t, raw)
+    again = '{"id":"p3",%s,"quoted_tweet":{"id":"p4",%s}}' % (t, t)
+    rel = {(r.source_id, r.target_id): r.disclosure_id for r in feed.walk(_raw(spark, raw, again))[1].collect()}
+    assert rel == {(f"p{k}", f"p{k + 1}"): "p0" for k in range(30)}
+
+
+def test_priority_follows_the_payload(spark):
+    import hashlib
+    import json
+
+    post = {"id": "1", "createdAt": "2026-07-11T10:00:00Z", "text": " a  b ", "author": {"id": "5", "name": " "}, "twitterUrl": "u", "likeCount": 3, "bookmarkCount": 0, "view_count": 99, "quotedTweet": {"id": "2"}, "retweeted_tweet": {}}
+    want = f"0001:0004:{3:08d}:{3:020d}:" + hashlib.sha256(json.dumps(post, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    r = _raw(spark, json.dumps(post)).select(feed.priority(F.col("raw")).alias("p"), *[c.alias(k) for k, c in feed.normalised(F.col("raw"), "Known").items()]).first()
+    assert r.p == want and (r.author, r.author_x_id, r.author_name, r.url, r.post_type, r.views, r.bookmarks) == ("known", "5", None, "u", "quote", 99, None)
+
+
+def test_representative_is_a_child_of_an_uncaptured_root(spark):
+    d, t = dt.date(2026, 7, 11), lambda h: dt.datetime(2026, 7, 11, h)
+    p = posts(spark, [("b", "x", "quote", None, "b", t(9), d), ("c", "y", "quote", None, "c", t(9), d), ("a", "z", "quote", None, "a", t(8), d)])
+    p = p.withColumns({"published_at": F.when(F.col("post_id") == "b", F.lit(t(7))).otherwise(F.lit(t(6))), "direct": F.col("post_id") == "a"})
+    rel = spark.createDataFrame([("b", "quote", "9"), ("c", "quote", "9"), ("a", "quote", "b")], "source_id string, relation_type string, target_id string")
+    links = events.all_links(spark, p, rel)
+    assert [r.representative for r in events.clusters(p, events.members(spark, p, links)).collect()] == ["c"]
+
+
+def test_authors_by_id_and_conversations_that_are_replies(spark):
+    d, t = dt.date(2026, 7, 11), dt.datetime(2026, 7, 11)
+    p = posts(spark, [("1", "old", "original", None, "1", t, d), ("2", "new", "reply", "1", "1", t, d), ("3", "new", "reply", "x", "2", t, d), ("4", "new", "reply", "x", "3", t, d), ("5", "old", "reply", "1", "1", t, d), ("6", "old", "reply", "7", "7", t, d), ("7", "old", "reply", "6", "6", t, d)])
+    p = p.withColumn("author_x_id", F.when(F.col("post_id") == "5", "other").otherwise("same"))
+    rel = spark.createDataFrame([], "source_id string, relation_type string, target_id string")
+    got = {tuple(r) for r in events.all_links(spark, p, rel).collect()}
+    assert got == {("2", "1", "reply_parent"), ("3", "1", "primary_thread"), ("4", "1", "primary_thread"), ("6", "7", "reply_parent"), ("7", "6", "reply_parent")}
+
+
+def test_week_takes_activity_days_and_the_richest_revision(spark):
+    d = lambda k: dt.date(2024, 1, k)
+    rows = [("e", d(8), 4, 3, [d(1), d(8), d(9)], "s8"), ("e", d(10), 2, 3, None, "s10"), ("e", d(12), 2, 1, [d(12), d(20)], "s12"), ("e", d(7), 1, 99, None, "early")]
+    df = spark.createDataFrame(rows, "event string, day date, daily_rank long, member_count long, activity_days array<date>, snapshot string")
+    r = events.week(df, "2024-01-14", carried=("snapshot",)).first()
+    assert (r.best_rank, r.best_day, r.member_count, r.revision_day, r.snapshot, r.active_days) == (2, d(10), 3, d(10), "s10", [d(8), d(9), d(10), d(12)])
+
+
 def test_pages_of_posts(spark):
     rows = [('{"data":{"tweets":[{"id":"1"},5]},"has_next_page":false,"next_cursor":"c"}',), ('{"tweets":[{"id":"2"}],"next_cursor":"c"}',), ("broken",), (None,)]
     df = spark.createDataFrame(rows, "body string")
@@ -190,6 +252,7 @@ def test_bundle_golden(spark):
     assert run(dt.date(2024, 1, 2), True) == [("a", 2), ("c", 1)]
     assert run(dt.date(2024, 1, 1), True) == [("c", 1)]
     assert run(dt.date(2024, 1, 2), False) == [("a", 1), ("b", 1), ("c", 1)]
+    assert run(None, True) == [("a", 2), ("c", 1)]
 
 
 def test_gate(spark):
