@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by alternating star contraction."""
+"""Connected components of an undirected graph by alternating star contraction, and walks along chains by pointer doubling."""
 
 from __future__ import annotations
 
@@ -48,3 +48,25 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     roots = live.select(F.col("v").alias("node"), F.col("v").alias("component"))
     leaves = live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(roots).union(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def walked(spark: SparkSession, steps: DataFrame, starts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, node, ordinal) of the first ``most`` nodes that a walk from each start meets; a start has ordinal 1.
+
+    steps: keys, node, next (null, or no node of steps: the walk ends); a node has one row. starts: keys, node.
+    Each round doubles the length of all pointers and of all walks, so it takes log2(most) rounds,
+    however many walks there are. In a circle a node keeps the ordinal of its first visit.
+    """
+    scratch = Scratch(spark)
+    at = [*keys, "node"]
+    jumps = scratch.write(steps.select(*at, F.col("next").alias("jump")), "jumps")
+    met = scratch.write(jumps.select(*at).join(starts.select(*at).distinct(), at, "left_semi").withColumn("ordinal", F.lit(1).cast("long")), "met")
+    length = 1
+    while length < most and jumps.where("jump is not null").limit(1).count():
+        ahead = met.join(jumps, at).where("jump is not null").select(*keys, F.col("jump").alias("node"), (F.col("ordinal") + length).alias("ordinal"))
+        known = ahead.join(jumps.select(*at), at, "left_semi").where(F.col("ordinal") <= most)
+        met = scratch.write(met.unionByName(known).groupBy(*at).agg(F.min("ordinal").alias("ordinal")), "met")
+        far = jumps.select(*keys, F.col("node").alias("jump"), F.col("jump").alias("_far"))
+        jumps = scratch.write(jumps.join(far, [*keys, "jump"], "left").select(*at, F.col("_far").alias("jump")), "jumps")
+        length *= 2
+    return met

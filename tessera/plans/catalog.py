@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import artifacts, captures, daily, lineage, network, posts, registry
+from tessera.plans import artifacts, captures, chains, daily, lineage, network, posts, registry
 
 FLAGSHIP = "entity_support_positions"
-MODULES = (network, posts, daily, artifacts, registry, captures, lineage)
+MODULES = (network, posts, daily, artifacts, registry, captures, lineage, chains)
 
 
 def _rows():

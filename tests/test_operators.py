@@ -1,6 +1,7 @@
 """Small graphs, logs and packets with known results."""
 
 import datetime as dt
+import os
 import random
 from collections import Counter
 
@@ -290,10 +291,120 @@ def test_publication(spark, tmp_path):
     assert [publication.materialise(df, root, run) for _ in range(2)] == [False, True]
     days = spark.createDataFrame([(1, "r1")], "day long, run_id string")
     done = spark.createDataFrame([("r1",)], "run_id string")
-    publication.publish(spark, days.limit(0), days, done, f"file://{tmp_path}/pointer")
-    assert spark.read.parquet(f"file://{tmp_path}/pointer").collect() == days.collect()
+    assert publication.publish(spark, days, done, f"file://{tmp_path}/pointer") == 1
+    assert [tuple(r) for r in publication.published(spark, f"file://{tmp_path}/pointer").collect()] == [("1", "r1")]
     with pytest.raises(ValueError):
-        publication.publish(spark, days, spark.createDataFrame([(2, "r9")], "day long, run_id string"), done, f"file://{tmp_path}/pointer")
+        publication.publish(spark, spark.createDataFrame([(2, "r9")], "day long, run_id string"), done, f"file://{tmp_path}/pointer")
+
+
+def _cohorts(spark, root, items, days=None, **named):
+    runs = spark.createDataFrame([(f"2024-01-0{d}", f"x{k}", k, "p1") for d in range(1, 7) for k in range(1, 7)], "day string, development_id string, daily_rank long, prompt_version string")
+    df = spark.createDataFrame(items, publication.ITEM)
+    return publication.publish_cohorts(df, runs, root, "p1", "now", "readers", "top", 5, days, **named)
+
+
+def _shown(spark, root):
+    return sorted((r.day, r.development_id, r.daily_rank) for r in publication.published_cohorts(spark, root).collect())
+
+
+def test_cohorts_that_do_not_hold_change_nothing(spark, tmp_path):
+    root, one = f"file://{tmp_path}/cohorts", [("2024-01-01", "x1", 1)]
+    assert _shown(spark, root) == [] and _cohorts(spark, root, one) == 1
+    for fault, items, days in (
+        ("repeated_development", [("2024-01-02", "x2", 2), ("2024-01-02", "x2", 3)], None),
+        ("repeated_rank", [("2024-01-02", "x2", 2), ("2024-01-02", "x3", 2)], None),
+        ("several_days", [("2024-01-02", "x2", 2), ("2024-01-03", "x2", 2)], None),
+        ("other_day", [("2024-01-02", "x1", 1)], None),
+        ("no_completed_run", [("2024-01-02", "x2", 3)], None),
+        ("no_candidates", [("2024-01-02", "x2", 2)], ["2024-01-02", "2024-01-03"]),
+    ):
+        with pytest.raises(ValueError, match=fault):
+            _cohorts(spark, root, items, days)
+        assert _shown(spark, root) == one
+    assert _cohorts(spark, root, [("2024-01-01", "x2", 2), ("2024-01-02", "x1", 1)]) == 2
+    assert _shown(spark, root) == [("2024-01-01", "x2", 2), ("2024-01-02", "x1", 1)]
+
+
+def test_a_publication_that_stops_anywhere_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    root, one = f"file://{tmp_path}/cohorts", [("2024-01-01", "x1", 1)]
+    _cohorts(spark, root, one)
+    put, link = publication._put_if_absent, os.link
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    for step in ((publication, "cohorts"), (publication, "_put_if_absent"), (publication.os, "link")):
+        with monkeypatch.context() as m:
+            m.setattr(*step, dies)
+            with pytest.raises(KeyboardInterrupt):
+                _cohorts(spark, root, [("2024-01-01", "x2", 2)])
+        assert _shown(spark, root) == one
+
+    def dies_after(*x):
+        assert put(*x)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(publication, "_put_if_absent", dies_after)
+        with pytest.raises(KeyboardInterrupt):
+            _cohorts(spark, root, [("2024-01-01", "x2", 2)])
+    assert os.link is link and _shown(spark, root) == [("2024-01-01", "x2", 2)]
+
+
+def test_concurrent_publications_all_count_and_readers_never_see_none(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = publication.DayLog(spark, f"file://{tmp_path}/log")
+    log.commit({"first": {"run_id": "r"}})
+    empty = []
+    with ThreadPoolExecutor(8) as pool:
+        work = [pool.submit(log.commit, {f"d{k}": {"run_id": str(k)}}) for k in range(40)]
+        reads = [pool.submit(lambda: empty.append(1) if not log.read()[1] else None) for _ in range(40)]
+        versions = sorted(w.result() for w in work)
+        [r.result() for r in reads]
+    version, days = log.read()
+    assert versions == list(range(2, 42)) and version == 41 and len(days) == 41 and not empty
+    with pytest.raises(publication.Conflict):
+        log.commit({"d3": {"run_id": "z"}}, base=1)
+    assert log.commit({"new": {"run_id": "z"}}, base=1) == 42
+
+    def refuses(others):
+        raise ValueError(len(others))
+
+    with pytest.raises(ValueError, match="41"):
+        log.commit({"new": {}}, refuses)
+
+
+def test_walks_of_any_length_and_circles(spark):
+    from tessera.operators.graph import walked
+
+    steps = [("a", k, k + 1) for k in range(1, 200)] + [("b", 1, 2), ("b", 2, 3), ("b", 3, 2), ("c", 1, 9)]
+    df = spark.createDataFrame(steps, "key string, node long, next long")
+    starts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 1)], "key string, node long")
+    got = {(r.key, r.node): r.ordinal for r in walked(spark, df, starts, ["key"], 150).collect()}
+    assert got == {("a", k): k for k in range(1, 151)} | {("b", 1): 1, ("b", 2): 2, ("b", 3): 3, ("c", 1): 1}
+
+
+def test_coverage_proofs(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    page = lambda h, c, nxt, oldest=5, **o: (h, c, o.get("at", t(20)), f"{h}{c}{o.get('at')}", o.get("posts", True), o.get("bad", False), t(oldest + 1), t(oldest), o.get("more", True), nxt)
+    rows = [page("start", None, "a"), page("start", "a", "b", 1), page("end", None, "a"), page("end", "a", None, more=False), page("stale", None, "a", at=t(10)), page("gone", "", "a"), page("posts", None, "a"), page("posts", "a", "b", posts=False)]
+    rows += [page("time", None, "a"), page("time", "a", "b", bad=True), page("none", None, " ".strip()), page("loop", None, "a"), page("loop", "a", "b", 4), page("loop", "b", "a", 3), page("long", None, "1")] + [page("long", str(k), str(k + 1)) for k in range(1, 9)]
+    rows += [page("new", None, "z", at=t(19), posts=False), page("new", None, None, more=False)]
+    pages = spark.createDataFrame(rows, "handle string, cursor string, fetched_at timestamp, response_id string, has_posts boolean, bad_time boolean, newest timestamp, oldest timestamp, has_next boolean, next_cursor string")
+    asked = spark.createDataFrame([(h, dt.date(2024, 1, 2), dt.date(2024, 1, 10)) for h in ("start", "end", "stale", "gone", "posts", "time", "none", "loop", "long", "new", "absent")], "handle string, start_day date, end_day date")
+    got = {r.handle: (r.complete, r.reason, r.pages) for r in coverage.proven(spark, pages, asked, 6).collect()}
+    assert got == {"start": (True, "boundary", 2), "end": (True, "terminal", 2), "stale": (False, "base_missing", 0), "gone": (False, "cursor_missing", 1), "posts": (False, "no_posts", 1), "time": (False, "bad_time", 1), "none": (False, "no_cursor", 1), "loop": (False, "repeated_cursor", 3), "long": (False, "too_many_pages", 6), "new": (True, "terminal", 1), "absent": (False, "base_missing", 0)}
+    assert {r.reason for r in coverage.proven(spark, pages.where("handle = 'loop'"), asked.where("handle = 'loop'"), 3).collect()} == {"repeated_cursor"}
+
+
+def test_runs_are_chosen_by_their_end(spark):
+    d = lambda k: dt.date(2024, 1, k)
+    runs = [("k", "short", d(1), d(3)), ("k", "long", d(2), d(5)), ("k", "late", d(6), d(9)), ("k", "tie", d(5), d(9)), ("k", "odd", d(9), d(8)), ("g", "one", d(1), d(2)), ("g", "two", d(4), d(9)), ("w", "all", d(1), d(31))]
+    df = spark.createDataFrame(runs, "key string, run_id string, date_from date, date_to date")
+    asked = spark.createDataFrame([("k", d(2), d(9)), ("g", d(1), d(9)), ("w", d(3), d(4)), ("n", d(1), d(2)), ("e", d(3), d(2))], "key string, start_day date, end_day date")
+    got = {r.key: (r.complete, r.first_uncovered_day, r.run_ids) for r in coverage.chosen_runs(spark, df, asked).collect()}
+    assert got == {"k": (True, None, ["long", "tie"]), "g": (False, d(3), ["one"]), "w": (True, None, ["all"]), "n": (False, d(1), []), "e": (True, None, [])}
 
 
 def test_registry_claims_and_manifest(spark):
