@@ -380,11 +380,31 @@ def streamed_once(spark, sf_dir):
     return spark.read.parquet(root).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def work_leases(spark, sf_dir):
+def _leased(spark, sf_dir):
     e = ad.table(spark, sf_dir, "events")
-    what = F.when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "purchase", "done").otherwise("fail")
-    return streams.leases(e.select(F.col("user_id").alias("item"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), what.alias("event")))
+    what = F.when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("reject")
+    return e.select((F.col("event_id") % 1000).alias("item"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), what.alias("event"))
+
+
+def work_leases(spark, sf_dir):
+    return streams.leases(_leased(spark, sf_dir))
+
 
+def completed_runs(spark, sf_dir):
+    items = _leased(spark, sf_dir).select((F.col("item") % 20).alias("run_id"), "item")
+    return streams.completed_runs(items, streams.leases(_leased(spark, sf_dir)))
+
+
+#: A machine over each item's events in order, ten minutes a lease, three attempts.
+LEASES = """n AS (SELECT event_id % 1000 AS item, ts, CASE WHEN event_type IN ('view', 'click') THEN 'claim' WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'error' THEN 'failed_retryable' ELSE 'failed_terminal' END AS x, row_number() OVER (PARTITION BY event_id % 1000 ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT DISTINCT item, 0::BIGINT AS k, 'pending' AS status, 0 AS attempts, NULL::TIMESTAMP AS until, '' AS reason FROM n
+  UNION ALL SELECT item, k,
+    CASE WHEN x <> 'claim' THEN CASE WHEN s = 'in_progress' OR r = 'lease_expired' THEN x ELSE s END WHEN takes THEN 'in_progress' WHEN late THEN 'failed_retryable' ELSE s END,
+    CASE WHEN takes THEN attempts + 1 ELSE attempts END, CASE WHEN takes THEN ts + INTERVAL 10 MINUTE WHEN x = 'claim' AND NOT late THEN until END,
+    CASE WHEN x <> 'claim' THEN CASE WHEN s = 'in_progress' OR r = 'lease_expired' THEN '' ELSE r END WHEN takes THEN '' WHEN late THEN 'lease_expired' ELSE r END
+  FROM (SELECT w.item, n.k, n.x, n.ts, w.status AS s, w.attempts, w.until, w.reason AS r, n.x = 'claim' AND w.status = 'in_progress' AND n.ts > w.until AS late,
+    n.x = 'claim' AND w.attempts < 3 AND (w.status IN ('pending', 'failed_retryable') OR w.status = 'in_progress' AND n.ts > w.until) AS takes FROM w JOIN n ON n.item = w.item AND n.k = w.k + 1)),
+leased AS (SELECT item, status, attempts::BIGINT AS attempts, reason FROM w QUALIFY row_number() OVER (PARTITION BY item ORDER BY k DESC) = 1)"""
 
 _SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
 _FOREST = f"""{ROOTS}, fr AS (SELECT m.root, m.post_id, l.target_id AS parent, CASE WHEN l.link_type IN ('reply_parent', 'primary_thread') THEN 'reply' WHEN l.link_type IN ('quote', 'retweet') THEN l.link_type WHEN m.depth = 0 THEN 'root' ELSE 'related' END AS relation,
@@ -554,5 +574,10 @@ QUERIES = [
     ),
     ("streamed_firsts", streamed_firsts, "SELECT DISTINCT user_id, event_type FROM events"),
     ("streamed_once", streamed_once, "SELECT event_type, count(*) * CASE event_type WHEN 'error' THEN 2 ELSE 1 END AS n FROM events GROUP BY 1"),
-    ("work_leases", work_leases, None),
+    ("work_leases", work_leases, f"WITH RECURSIVE {LEASES} SELECT * FROM leased"),
+    (
+        "completed_runs",
+        completed_runs,
+        f"""WITH RECURSIVE {LEASES} SELECT item % 20 AS run_id, count(*) AS expected, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status NOT IN ('success', 'failed_terminal')) AS failed_retryable, count(*) FILTER (status = 'failed_terminal') AS failed_terminal FROM leased GROUP BY 1""",
+    ),
 ]

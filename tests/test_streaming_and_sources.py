@@ -1,8 +1,10 @@
 """Streams end as the batch operators do; readers of raw captures."""
 
 import datetime as dt
+import time
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -42,21 +44,74 @@ def test_first_rows_and_once_sink(spark, tmp_path):
     assert spark.read.parquet(root).count() == 4
 
 
-def test_leases_replay_and_stream(spark, tmp_path):
+LEASE_LOG = "item long, at timestamp, seq long, event string"
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_leases_replay_and_stream(spark, tmp_path, rocks):
     t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    rows = [(1, t(0), 0, "claim"), (1, t(1), 1, "done"), (2, t(0), 0, "claim"), (2, t(5), 1, "claim"), (2, t(11), 2, "claim"), (2, t(12), 3, "fail"), (2, t(13), 4, "claim"), (2, t(14), 5, "fail"), (2, t(15), 6, "claim"), (3, t(0), 0, "done")]
-    log = spark.createDataFrame(rows, "item long, at timestamp, seq long, event string")
-    want = {(1, "complete", 1), (2, "failed_terminal", 3), (3, "pending", 0)}
+    rows = [(1, t(0), 0, "claim"), (1, t(1), 1, "done"), (2, t(0), 0, "claim"), (2, t(5), 1, "claim"), (2, t(11), 2, "claim"), (2, t(12), 3, "fail"), (2, t(13), 4, "claim"), (2, t(14), 5, "fail"), (2, t(15), 6, "claim"), (3, t(0), 0, "done"), (4, t(0), 0, "claim"), (4, t(1), 1, "reject"), (4, t(2), 2, "claim"), (5, t(0), 0, "claim"), (5, t(10), 1, "claim")]
+    log = spark.createDataFrame(rows, LEASE_LOG)
+    want = {(1, "success", 1, ""), (2, "failed_retryable", 3, ""), (3, "pending", 0, ""), (4, "failed_terminal", 1, ""), (5, "in_progress", 1, "")}
     assert {tuple(r) for r in streams.leases(log).collect()} == want
     log.coalesce(1).write.parquet(f"{tmp_path}/log")
-    got = drain(streams.lease_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")), "leases", "update")
-    assert {tuple(r) for r in got.collect()} == want
-
-
-def test_replay_takes_state_up_again():
-    a = pd.DataFrame({"at": [pd.Timestamp("2024-01-01")], "event": ["claim"]})
-    b = pd.DataFrame({"at": [pd.Timestamp("2024-01-01 00:01")], "event": ["fail"]})
-    assert streams.replay(b, streams.replay(a))[:2] == ("failed_retryable", 1)
+    stream = streams.lease_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"))
+    query = stream.writeStream.format("memory").queryName("leases").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:  # batches go on without data, since a timer may be due in each
+        deadline = time.time() + 90
+        while spark.table("leases").count() < len(want) and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert {tuple(r) for r in spark.table("leases").collect()} == want
+
+
+def test_silence_alone_ends_a_lease(spark, tmp_path, rocks):
+    now = dt.datetime(2024, 1, 1)
+    folder = f"{tmp_path}/log"
+    add = lambda *rows: spark.createDataFrame(rows, LEASE_LOG).coalesce(1).write.mode("append").parquet(folder)
+    add((1, now, 0, "claim"), (2, now, 0, "claim"), (2, now, 1, "done"))
+    stream = streams.lease_stream(spark.readStream.schema(LEASE_LOG).parquet(folder), lease=0.05)
+    query = stream.writeStream.format("memory").queryName("silent").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    seen = lambda: [tuple(r)[1:] for r in spark.table("silent").where("item = 1").collect()]
+    try:
+        deadline = time.time() + 90
+        while len(seen()) < 2 and time.time() < deadline:
+            time.sleep(0.5)
+        assert seen() == [("in_progress", 1, ""), ("failed_retryable", 1, "lease_expired")]
+        assert [tuple(r)[1:] for r in spark.table("silent").where("item = 2").collect()] == [("success", 1, "")]
+        add((1, now, 1, "claim"), (1, now, 2, "done"))
+        while len(seen()) < 3 and time.time() < deadline:
+            time.sleep(0.5)
+        assert seen()[2] == ("success", 2, "")
+    finally:
+        query.stop()
+
+
+def test_replay_takes_state_up_again_and_late_reports_count():
+    events = lambda *rows: pd.DataFrame(rows, columns=["at", "event"])
+    t = pd.Timestamp("2024-01-01")
+    claimed = streams.replay(events((t, "claim")))
+    assert streams.replay(events((t, "fail")), claimed) == ("failed_retryable", 1, None, "")
+    expired = ("failed_retryable", 1, None, "lease_expired")
+    assert streams.replay(events((t, "done")), expired)[0] == "success"
+    assert streams.replay(events((t, "claim")), expired)[:2] == ("in_progress", 2)
+    assert streams.replay(events((t + pd.Timedelta(minutes=11), "claim")), ("in_progress", 3, t, "")) == ("failed_retryable", 3, None, "lease_expired")
+
+
+def test_runs_are_completed_from_their_items(spark):
+    items = spark.createDataFrame([("r", k) for k in range(5)] + [("r", 0), ("s", 1)], "run_id string, item long")
+    states = spark.createDataFrame([(0, "success", 1), (0, "failed_terminal", 2), (1, "failed_terminal", 1), (1, "failed_retryable", 2), (2, "failed_retryable", 1), (3, "in_progress", 1), (9, "success", 1)], "item long, status string, attempts long")
+    got = {r.run_id: tuple(r)[1:] for r in streams.completed_runs(items, states).collect()}
+    assert got == {"r": (5, 1, 3, 1), "s": (1, 0, 0, 1)}
 
 
 def test_feeds(spark):
