@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import DATA
-from tests.llm.test_ops import WORDS, brute_fp, brute_hits, lower, reach
+from tests.llm.test_ops import WORDS, brute_hits, lower
+from tests.llm.test_similar import brute
 from tessera.llm import langid, quality
 
 
@@ -19,11 +20,7 @@ def test_stages(spark):
     ok = {r.doc_id for r in quality.report(one).where("kept").collect()}
     assert {r.doc_id for r in two.collect()} == ok and two.columns == docs.columns
     three = stage["near_dedup"](spark, two, DATA).cache()
-    fp = {r.doc_id: brute_fp(r.text) for r in two.collect()}
-    root, least = reach(set(fp.values()), 2), {}
-    for i, f in fp.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    assert {r.doc_id for r in three.collect()} == set(least.values())
+    assert {r.doc_id for r in three.collect()} == {least for _, least in brute([(r.doc_id, r.text) for r in two.collect()])}
     four = stage["benchmark_decontamination"](spark, three, DATA).cache()
     bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     hits = {x[0]: x for x in brute_hits([(r.doc_id, r.text) for r in three.collect()], bench)}
