@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from tessera.functions.hashing import fingerprint
@@ -219,3 +220,19 @@ def published_cohorts(spark: SparkSession, root: str) -> DataFrame:
     marks = [(d, v["selection_limit"], v["candidate_count"], v["selection_sha256"], v["published_at"]) for d, v in days.items()]
     about = spark.createDataFrame(marks, "day string, selection_limit long, candidate_count long, selection_sha256 string, published_at string")
     return _cohort_items(spark, days).join(about, "day")
+
+
+def publish_tables(root: str, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    """Replace several tables at once and return the version: all are written to folders of their own before one version of the log names them."""
+    spark, changes = next(iter(tables.values())).sparkSession, {}
+    for name, df in tables.items():
+        folder = f"{root.rstrip('/')}/data/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        changes[name] = {"folder": folder, "schema": df.schema.json()}
+    return DayLog(spark, root).commit(changes, base=base)
+
+
+def published_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the last version, by name; all are of one version."""
+    _, named = DayLog(spark, root).read()
+    return {n: spark.read.schema(StructType.fromJson(json.loads(v["schema"]))).parquet(v["folder"]) for n, v in named.items()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text
+from tessera.operators.events import roots
 from tessera.operators.network import ranked
 from tessera.operators.upserts import pick
+from tessera.session import Scratch
 
 
 def identities(accounts: DataFrame, channels: DataFrame, owners: DataFrame, entities: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -117,6 +119,50 @@ def claim(owners: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFram
     return j.select("channel_id", F.when(F.col("_c").isNotNull() & free, F.col("_c")).otherwise(F.col("entity_id")).alias("entity_id"))
 
 
+MERGE_FAULTS = ("same_entity", "unknown_canonical", "unknown_duplicate", "other_kind", "several_canonicals", "partial_audit")
+
+
+def merge_faults(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """(duplicate_id, fault): what keeps merges from being applied.
+
+    entities: entity_id, kind. merges: canonical_id, duplicate_id, reason, source, evidence_url; the last three are given together or not at all.
+    """
+    kind = lambda c: entities.select(F.col("entity_id").alias(f"{c}_id"), F.col("kind").alias(f"_{c}"))
+    given = [F.col(c).isNotNull().cast("int") for c in ("reason", "source", "evidence_url")]
+    n = F.count_distinct("canonical_id").alias("_n")
+    j = merges.join(kind("canonical"), "canonical_id", "left").join(kind("duplicate"), "duplicate_id", "left").join(merges.groupBy("duplicate_id").agg(n), "duplicate_id")
+    tests = (F.col("canonical_id") == F.col("duplicate_id"), F.col("_canonical").isNull(), F.col("_duplicate").isNull(), F.col("_canonical") != F.col("_duplicate"), F.col("_n") > 1, (given[0] + given[1] + given[2]).isin(1, 2))
+    found = F.array_compact(F.array(*[F.when(t, f) for t, f in zip(tests, MERGE_FAULTS, strict=True)]))
+    return j.select("duplicate_id", F.explode(found).alias("fault")).distinct()
+
+
+def merge_entities(spark: SparkSession, entities: DataFrame, channels: DataFrame, merges: DataFrame, merged_at: str) -> dict[str, DataFrame]:
+    """entities, channels and audit after all merges, or ValueError (a fault) or BrokenForest (a circle), and nothing is changed.
+
+    entities: entity_id, kind, slug, name, updated_at and others; channels: entity_id and others. A duplicate goes and its channels move to
+    the entity that it is merged into; where that is a duplicate, too, they go on to the one that stays, by pointer
+    doubling, however long the chain and whatever the order of merges. The one that stays is what merges declare, not the
+    least. Those that take something in are updated. audit has a row per merge that gives its reason: the canonical entity named, and
+    the id, slug, name and kind of what was removed.
+    """
+    found = {r.fault for r in merge_faults(entities, merges).select("fault").distinct().collect()}
+    if found:
+        raise ValueError(f"entities cannot be merged: {next(f for f in MERGE_FAULTS if f in found)}")
+    ends = roots(spark, merges.select(F.col("duplicate_id").alias("source_id"), F.col("canonical_id").alias("target_id")).distinct()).where("depth > 0")
+    ends = Scratch(spark).write(ends.select(F.col("node").alias("entity_id"), F.col("root").alias("_to")), "survivors")
+    gone, kept = ends.select("entity_id"), ends.select(F.col("_to").alias("entity_id")).distinct().withColumn("_took", F.lit(True))
+    left = entities.join(gone, "entity_id", "left_anti").join(kept, "entity_id", "left")
+    fresh = F.when(F.col("_took"), F.lit(merged_at)).otherwise(F.col("updated_at")).alias("updated_at")
+    removed = entities.select(F.col("entity_id").alias("duplicate_id"), *[F.col(c).alias(f"removed_{c}") for c in ("slug", "name", "kind")])
+    audit = merges.where("reason is not null").distinct().join(removed, "duplicate_id").withColumn("merged_at", F.lit(merged_at))
+    moved = channels.join(ends, "entity_id", "left")
+    return {
+        "entities": left.select(*[fresh if c == "updated_at" else F.col(c) for c in entities.columns]),
+        "channels": moved.select(*[F.coalesce("_to", "entity_id").alias(c) if c == "entity_id" else F.col(c) for c in channels.columns]),
+        "audit": audit,
+    }
+
+
 def apply_manifest(entities: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rename and re-kind by a manifest (entity_id, name, kind); nothing changes unless every row is good.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, numbers, text
-from tessera.operators import insights, network, registry, upserts
+from tessera.operators import insights, network, publication, registry, upserts
 from tessera.operators.pagerank import pagerank
 from tessera.plans import adapters as ad
 from tessera.plans.network import EDGES
+from tessera.session import Scratch
 
 
 def _entities(spark, sf_dir):
@@ -149,6 +150,36 @@ def content_ids(spark, sf_dir):
     return d.select("doc_id", hashing.content_id(F.lit("x"), F.col("source"), F.col("lang")).alias("content_id"), text.slug(F.lit("doc"), F.concat_ws(" & ", "source", "lang")).alias("slug"))
 
 
+def _customers(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") % 5).cast("string").alias("kind"), F.concat(F.lit("s"), "c_custkey").alias("slug"), F.col("c_name").alias("name"), F.lit("old").alias("updated_at"))
+
+
+def merged_entities(spark, sf_dir):
+    """Customers of a block of forty and of equal remainder are merged along a chain, each into the next; orders are their channels."""
+    entities = _customers(spark, sf_dir)
+    channels = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("channel_id"), F.col("o_custkey").alias("entity_id"))
+    told = lambda c: F.when(F.col("duplicate_id") % 2 == 0, c)
+    merges = entities.where("entity_id % 40 < 35").select((F.col("entity_id") + 5).alias("canonical_id"), F.col("entity_id").alias("duplicate_id")).join(entities.select(F.col("entity_id").alias("canonical_id")), "canonical_id")
+    merges = merges.select("*", told("same person").alias("reason"), told("review").alias("source"), told("https://e.example").alias("evidence_url"))
+    root = Scratch(spark).path("registry")
+    publication.publish_tables(root, registry.merge_entities(spark, entities, channels, merges, "new"))
+    now = publication.published_tables(spark, root)
+    owned = now["channels"].groupBy("entity_id").agg(F.count("*").alias("channels"))
+    removed = now["audit"].groupBy(F.col("canonical_id").alias("entity_id")).agg(F.max("removed_slug").alias("removed_slug"))
+    out = now["entities"].join(owned, "entity_id", "left").join(removed, "entity_id", "left")
+    return out.select("entity_id", "updated_at", F.coalesce("channels", F.lit(0).cast("long")).alias("channels"), F.coalesce("removed_slug", F.lit("")).alias("removed_slug"))
+
+
+def merge_faults(spark, sf_dir):
+    n = F.col("s_suppkey")
+    s = ad.table(spark, sf_dir, "supplier")
+    merges = s.select(F.when(n % 6 == 0, n).when(n % 6 == 1, -n).otherwise(n + 1).alias("canonical_id"), F.when(n % 6 == 2, n + 10**6).otherwise(n).alias("duplicate_id"), F.when(n % 6 == 3, "r").alias("reason"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("evidence_url"))
+    more = merges.where("duplicate_id % 6 = 4").withColumn("canonical_id", F.col("canonical_id") + 1)
+    kinds = s.select(n.alias("entity_id"), F.floor(n / 5).cast("string").alias("kind"))
+    return registry.merge_faults(kinds, merges.union(more)).groupBy("fault").agg(F.count("*").alias("n"), F.min("duplicate_id").alias("first"))
+
+
 QUERIES = [
     (
         "registry_identities",
@@ -266,4 +297,20 @@ QUERIES = [
         content_ids,
         """SELECT doc_id, sha256('["x","' || source || '","' || lang || '"]') AS content_id, 'doc-' || trim(regexp_replace(lower(source || ' & ' || lang), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""",
     ),
+    (
+        "merged_entities",
+        merged_entities,
+        """WITH c AS (SELECT c_custkey AS k, max(c_custkey) OVER (PARTITION BY c_custkey // 40, c_custkey % 5) AS top, count(*) OVER (PARTITION BY c_custkey // 40, c_custkey % 5) AS n FROM customer),
+        o AS (SELECT top, count(*) AS channels FROM orders JOIN c ON k = o_custkey GROUP BY 1)
+        SELECT k AS entity_id, CASE WHEN n > 1 THEN 'new' ELSE 'old' END AS updated_at, coalesce(channels, 0) AS channels, CASE WHEN n > 1 AND (k - 5) % 2 = 0 THEN 's' || (k - 5) ELSE '' END AS removed_slug FROM c LEFT JOIN o USING (top) WHERE k = c.top""",
+    ),
+    (
+        "merge_faults",
+        merge_faults,
+        """WITH s AS (SELECT s_suppkey AS n FROM supplier), m AS (SELECT CASE n % 6 WHEN 0 THEN n WHEN 1 THEN -n ELSE n + 1 END AS c, CASE WHEN n % 6 = 2 THEN n + 1000000 ELSE n END AS d, n % 6 = 3 AS part FROM s),
+        a AS (SELECT * FROM m UNION ALL SELECT c + 1, d, part FROM m WHERE d % 6 = 4),
+        f AS (SELECT d, 'same_entity' AS fault FROM a WHERE c = d UNION SELECT d, 'unknown_canonical' FROM a WHERE c NOT IN (SELECT n FROM s) UNION SELECT d, 'unknown_duplicate' FROM a WHERE d NOT IN (SELECT n FROM s)
+          UNION SELECT d, 'other_kind' FROM a WHERE c IN (SELECT n FROM s) AND d IN (SELECT n FROM s) AND c // 5 <> d // 5 UNION SELECT d, 'several_canonicals' FROM a GROUP BY d HAVING count(DISTINCT c) > 1 UNION SELECT d, 'partial_audit' FROM a WHERE part)
+        SELECT fault, count(*) AS n, min(d) AS first FROM f GROUP BY 1""",
+    ),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import threading
@@ -38,10 +39,12 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from ``spark.checkpoint.dir``; only where that is unset (tests, a local shell) a
-    folder of this process is made and remembered in the session.
+    folder of this process is made and remembered in the session. On a cluster it has to be set.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(CHECKPOINT_KEY, root)
         spark.sparkContext.setCheckpointDir(root)

@@ -551,3 +551,36 @@ def test_swept_tables_go_and_others_stay(spark):
     assert kept.count() == 3 and again.count() == 5 and not inner.made
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(gone).count()
+
+
+def test_merges_follow_chains_and_refuse_as_a_whole(spark, tmp_path):
+    ent = spark.createDataFrame([(k, "person" if k < 8 else "organization", f"s{k}", f"n{k}", "old") for k in range(1, 10)], "entity_id long, kind string, slug string, name string, updated_at string")
+    ch = spark.createDataFrame([(10 + k, k) for k in range(1, 10)] + [(99, None)], "channel_id long, entity_id long")
+    merge = lambda *rows: spark.createDataFrame([(c, d, *(r or (None,) * 3)) for c, d, *r in ((*x[:2], *x[2:]) for x in rows)], "canonical_id long, duplicate_id long, reason string, source string, evidence_url string")
+    out = registry.merge_entities(spark, ent, ch, merge((3, 1), (7, 3, "r", "s", "u"), (3, 2), (5, 6)), "new")
+    assert {(r.entity_id, r.updated_at) for r in out["entities"].collect()} == {(4, "old"), (5, "new"), (7, "new"), (8, "old"), (9, "old")}
+    assert {r.channel_id: r.entity_id for r in out["channels"].collect()} == {11: 7, 12: 7, 13: 7, 14: 4, 15: 5, 16: 5, 17: 7, 18: 8, 19: 9, 99: None}
+    assert [(r.canonical_id, r.duplicate_id, r.removed_slug, r.merged_at) for r in out["audit"].collect()] == [(7, 3, "s3", "new")]
+    with pytest.raises(events.BrokenForest):
+        registry.merge_entities(spark, ent, ch, merge((1, 2), (2, 3), (3, 1)), "new")
+    for fault, rows in (("other_kind", [(9, 1)]), ("unknown_canonical", [(50, 1)]), ("unknown_duplicate", [(1, 50)]), ("same_entity", [(1, 1)]), ("several_canonicals", [(2, 1), (3, 1)]), ("partial_audit", [(2, 1, "r", None, None)])):
+        with pytest.raises(ValueError, match=fault):
+            registry.merge_entities(spark, ent, ch, merge(*rows), "new")
+    root = f"file://{tmp_path}/registry"
+    assert publication.publish_tables(root, out) == 1 and publication.published_tables(spark, root)["entities"].count() == 5
+    with pytest.raises(publication.Conflict):
+        publication.publish_tables(root, {"entities": ent}, base=0)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tessera import session
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Conf)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_root(Cluster)
