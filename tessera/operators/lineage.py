@@ -19,6 +19,7 @@ METHODS = {"jina-reader-v1": "Jina Reader", "bounded-public-v1": "Direct fetch",
 TYPES = {"paper": "document", "repository": "repository", "video": "video"}
 DEFERRED = ("docs.google.com", "forms.gle", "linkedin.com", "paperform.co", "twitter.com", "x.com", "youtu.be", "youtube.com")
 READABLE = ("announcement", "article", "other")
+from tessera.session import join_checked
 
 
 def primary_posts(posts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def lineage_faults(runs: DataFrame, accepted: DataFrame, posts: DataFrame, evide
     """
     none = F.lit("")
     text = lambda c: F.coalesce(F.col(c).cast("string"), none)
-    by_run = accepted.join(F.broadcast(runs.select("run_id", "feed_run")), "run_id", "left")
+    by_run = join_checked(accepted.sparkSession, accepted, runs.select("run_id", "feed_run"), ["run_id"], "left")
     source = posts.select("feed_run", F.col("post_id").alias("source_id"), F.col("author_id").alias("_author"), F.coalesce(F.nullif("conversation_id", none), "post_id").alias("root_id"), F.col("post_type").alias("_type"), F.col("raw_sha256").alias("_sha"))
     root = posts.select("feed_run", F.col("post_id").alias("root_id"), F.coalesce("author_id", none).alias("_root_author"), F.coalesce(F.nullif("conversation_id", none), "post_id").alias("_root_conversation"))
     bound = evidence.select("feed_run", F.col("post_id").alias("source_id"), "expanded_url", F.lit(True).alias("_bound")).distinct()

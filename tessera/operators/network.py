@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.functions.hashing import fingerprint
 from tessera.session import Scratch
 
 
@@ -45,7 +46,7 @@ def positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """support() with dense rank and position; a node's position counts those strictly below it."""
     s = support(nodes, edges)
     lv = levels(s)
-    return s.join(F.broadcast(lv), "support").withColumn("position", position(F.col("below"), F.col("total")))
+    return s.join(lv, "support").withColumn("position", position(F.col("below"), F.col("total")))
 
 
 def ranked(rows: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
@@ -70,7 +71,7 @@ def overlap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     placed = ranked(s, [F.desc("support"), F.asc("label"), F.asc("node")])
     lv = levels(placed).select("support", "below", "n", "total", "dense_rank")
     total = edges.where("target is not null").agg(F.count_distinct("source").alias("_sources"))
-    j = placed.join(F.broadcast(lv), "support").join(F.broadcast(total))
+    j = placed.join(lv, "support").join(F.broadcast(total))
     return j.withColumn("share", F.col("support") / F.nullif("_sources", F.lit(0).cast("long"))).drop("_sources")
 
 
@@ -83,7 +84,7 @@ def entity_union(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> Da
     got = pairs.groupBy("target_entity").agg(F.count("*").alias("support"))
     every = targets.groupBy("target_entity").agg(F.count_distinct("target").alias("channels"))
     s = every.join(got, "target_entity", "left").withColumn("support", F.coalesce("support", F.lit(0).cast("long")))
-    return s.join(F.broadcast(levels(s).select("support", "dense_rank")), "support").select("target_entity", "support", "channels", "dense_rank")
+    return s.join(levels(s).select("support", "dense_rank"), "support").select("target_entity", "support", "channels", "dense_rank")
 
 
 def followers_of(edges: DataFrame, accounts: DataFrame, target) -> DataFrame:
@@ -96,3 +97,13 @@ def followers_of(edges: DataFrame, accounts: DataFrame, target) -> DataFrame:
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(node, rank_a, rank_b, gain) of nodes in both rankings."""
     return a.select("node", F.col("rank").alias("rank_a")).join(b.select("node", F.col("rank").alias("rank_b")), "node").withColumn("gain", F.col("rank_a") - F.col("rank_b"))
+
+
+def ordered_fingerprint(rows: DataFrame, order: list[Column], *keys: str) -> DataFrame:
+    """(fingerprint): the address of all rows' keys in a total order.
+
+    Each row is taken with its place, which comes from ranges of the order, and the rows' digests are added up,
+    so that no task sees all rows. Equal sequences have equal addresses however they are partitioned, and a row
+    more, less or elsewhere changes them.
+    """
+    return ranked(rows, order, "_place").agg(fingerprint(rows, "_place", *keys).alias("fingerprint"))

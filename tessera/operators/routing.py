@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text, time
-from tessera.functions.hashing import content_id
+from tessera.functions.hashing import fingerprint
 
 SHORT = 30
 
@@ -56,10 +56,9 @@ def gate(sources: DataFrame) -> DataFrame:
 
 
 def packet_hash(sources: DataFrame) -> DataFrame:
-    """(packet, evidence_sha256): the address of a packet's texts in order; times of posting don't count."""
-    one = F.struct("place", F.to_json(F.array("relation", "source_type", F.coalesce("text", F.lit("")))).alias("j"))
-    g = sources.groupBy("packet").agg(F.sort_array(F.collect_list(one)).alias("s"))
-    return g.select("packet", content_id(F.array_join(F.transform("s", lambda x: x.j), "\n")).alias("evidence_sha256"))
+    """(packet, evidence_sha256): the address of a packet's texts with their places, added up, so that no packet is gathered; times of posting don't count."""
+    said = sources.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return said.groupBy("packet").agg(fingerprint(said, "place", "relation", "source_type", "text_sha256").alias("evidence_sha256"))
 
 
 def reuse(pending: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("event_id", "evidence_sha256", "input_sha256")) -> DataFrame:

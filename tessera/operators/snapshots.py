@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessera.operators.events import BrokenForest, roots
 from tessera.operators.upserts import pick
@@ -112,11 +113,9 @@ def run_summary(accounts: DataFrame, statuses: tuple[str, ...] = ("complete", "c
 def ranking_faults(ranked: DataFrame, sources: int, tolerance: float = 1e-15) -> DataFrame:
     """(node, fault): shares that aren't support over the number of sources, and ranks that don't follow support.
 
-    ranked: node, support, share, dense_rank. Ranks are held against the distinct levels of support.
+    ranked: node, support, share, dense_rank. Ranks are held against the distinct levels of support, which are ordered once.
     """
-    levels = ranked.select("support").distinct()
-    above = levels.select(F.col("support").alias("_s"))
-    want = levels.join(above, F.col("_s") > F.col("support"), "left").groupBy("support").agg((F.count("_s") + 1).alias("_rank"))
-    j = ranked.join(F.broadcast(want), "support")
+    want = ranked.select("support").distinct().withColumn("_rank", F.dense_rank().over(W.orderBy(F.desc("support"))))
+    j = ranked.join(want, "support")
     codes = F.array(F.when(F.abs(F.col("share") - F.col("support") / F.lit(sources)) > tolerance, "share"), F.when(F.col("dense_rank") != F.col("_rank"), "rank"))
     return j.select("node", F.explode(F.array_compact(codes)).alias("fault"))

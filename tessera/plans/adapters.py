@@ -20,3 +20,8 @@ def support_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, label, rejected): suppliers; those in debt stand for rejected entities."""
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.lower("s_name").alias("label"), (F.col("s_acctbal") < 0).alias("rejected"))
+
+
+def fingerprint_sql(digest: str) -> str:
+    """DuckDB SQL of hashing.fingerprint over rows of which ``digest`` is the SHA-256 of their JSON."""
+    return "sha256(concat_ws(':', count(*), " + ", ".join(f"sum(('0x' || substr({digest}, {a}, 15))::BIGINT::HUGEINT)" for a in (1, 16, 31, 46)) + "))"

@@ -186,7 +186,7 @@ def gated_packets(spark, sf_dir):
 
 
 def packet_hashes(spark, sf_dir):
-    return routing.packet_hash(_sources(spark, sf_dir).withColumn("text", F.md5("text")))
+    return routing.packet_hash(_sources(spark, sf_dir))
 
 
 def routing_states(spark, sf_dir):
@@ -296,8 +296,8 @@ QUERIES = [
     (
         "packet_hashes",
         packet_hashes,
-        f"""WITH {SOURCES}, j AS (SELECT packet, string_agg('["' || relation || '","' || source_type || '","' || md5(text) || '"]', chr(10) ORDER BY place) AS x FROM s GROUP BY 1)
-        SELECT packet, sha256('["' || replace(replace(x, '"', '\\"'), chr(10), '\\n') || '"]') AS evidence_sha256 FROM j""",
+        f"""WITH {SOURCES}, d AS (SELECT packet, sha256('{{"place":' || place || ',"relation":"' || relation || '","source_type":"' || source_type || '","text_sha256":"' || sha256(coalesce(text, '')) || '"}}') AS d FROM s)
+        SELECT packet, {ad.fingerprint_sql("d")} AS evidence_sha256 FROM d GROUP BY 1""",
     ),
     (
         "routing_states",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import network as op
 from tessera.plans import adapters as ad
 
@@ -16,7 +18,18 @@ def entity_support_positions(spark, sf_dir):
     return out.select("node", "support", "dense_rank", "below", "total", out.position.cast("double").alias("position"))
 
 
+def ordered_fingerprints(spark, sf_dir):
+    """The address of all customers in order of their balance."""
+    c = ad.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
+    return op.ordered_fingerprint(c, [F.desc("c_acctbal"), F.asc("c_custkey")], "c_custkey", "c_name")
+
+
 QUERIES = [
+    (
+        "ordered_fingerprints",
+        ordered_fingerprints,
+        f"""WITH d AS (SELECT sha256('{{"_place":' || row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}') AS d FROM customer) SELECT {ad.fingerprint_sql("d")} AS fingerprint FROM d""",
+    ),
     (
         "entity_support_positions",
         entity_support_positions,

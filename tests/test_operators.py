@@ -584,3 +584,11 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_root(Cluster)
+
+
+def test_ordered_fingerprint_knows_the_order_and_not_the_partitions(spark):
+    df = spark.createDataFrame([(k, f"r{k % 7}") for k in range(200)], "k long, x string")
+    mark = lambda d, order=F.col("k"): network.ordered_fingerprint(d, [order], "x").first()[0]
+    assert mark(df) == mark(df.repartition(7)) == mark(df.coalesce(1).orderBy(F.desc("k")))
+    swapped = df.withColumn("x", F.when(F.col("k") == 3, "r4").when(F.col("k") == 4, "r3").otherwise(F.col("x")))
+    assert len({mark(df), mark(df, F.desc("k")), mark(swapped), mark(df.where("k < 199"))}) == 4
