@@ -30,9 +30,9 @@ def paged_responses(spark, sf_dir):
 
 
 PAGED = f"""WITH {ORDER_PAGES}, p AS (SELECT source, k, n, substr(body, 2)::BIGINT AS o FROM pg), m AS (SELECT *, coalesce(min(CASE WHEN o % 13 = 0 THEN k END) OVER (PARTITION BY source), n + 1) AS stop FROM p)
-SELECT source, k AS place, CASE WHEN k = 1 THEN '' ELSE 'c' || k END AS cursor, CASE WHEN o % 13 = 0 THEN 0 ELSE 2 END AS items, CASE WHEN o % 13 <> 0 AND o % 5 = 0 THEN 2 ELSE 1 END AS attempts,
-  CASE WHEN o % 13 = 0 OR o % 5 <> 0 THEN 0.0 WHEN o % 2 = 0 THEN 7.5 ELSE 1.0 END AS waited, CASE WHEN o % 13 = 0 THEN 'provider_http' ELSE '' END AS fault FROM m WHERE k <= stop
-UNION ALL SELECT source, n + 1, 'c' || (n + 1), 0, 0, 0.0, 'not_recorded' FROM m WHERE k = n AND source % 3 = 0 AND stop > n"""
+SELECT source, k AS place, CASE WHEN k = 1 THEN '' ELSE 'c' || k END AS cursor, (CASE WHEN o % 13 = 0 THEN 0 ELSE 2 END)::BIGINT AS items, (CASE WHEN o % 13 <> 0 AND o % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS attempts,
+  (CASE WHEN o % 13 = 0 OR o % 5 <> 0 THEN 0.0 WHEN o % 2 = 0 THEN 7.5 ELSE 1.0 END)::DOUBLE AS waited, CASE WHEN o % 13 = 0 THEN 'provider_http' ELSE '' END AS fault FROM m WHERE k <= stop
+UNION ALL SELECT source, n + 1, 'c' || (n + 1), 0, 0, 0.0::DOUBLE, 'not_recorded' FROM m WHERE k = n AND source % 3 = 0 AND stop > n"""
 
 
 def cascaded_nodes(spark, sf_dir):
