@@ -1,7 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into leaf blocks: runs of text that no block element interrupts, each with its chain
-of ancestor elements. Features of a block are its ancestors' tags, groups of cue words in their
+of ancestor elements. A button, and an inline element named like an advert or a notice, is a leaf of its own
+inside a run, joined without a blank where the page has none. Features of a block are its ancestors' tags, groups of cue words in their
 classes, ids and roles, whether it lies outside a main element that the page has, its place in the
 page, and properties of its text (length, share of linked text, punctuation). The field labels each
 block as main text or not; its weights for features and for neighbouring labels are trained by
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from tessera.session import ship
 
 #: Element names by how they are treated.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATHS = "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+INLINE = frozenset(f"a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {MATHS}".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title svg math iframe object select textarea button canvas audio video".split())
+SKIPPED = frozenset("script style noscript template head title svg annotation annotation-xml iframe object select textarea canvas audio video".split())
+#: Those that stand in a run of text and don't end it: pictures, and what formulas carry beside what is shown.
+IN_TEXT = frozenset("svg annotation annotation-xml select canvas audio video".split())
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 #: Cue words in classes, ids and roles, by group.
 CUES = {
@@ -54,7 +58,9 @@ _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Elements that features name; all others count as one, so that an element has a bounded number of features.
-NAMED = frozenset("html body main article section header footer nav aside div p ul ol li dl dt dd table thead tbody tfoot tr td th form fieldset figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 address details summary center legend".split())
+NAMED = frozenset("html body main article section header footer nav aside div p ul ol li dl dt dd table thead tbody tfoot tr td th form fieldset figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 address details summary center legend button".split())
+#: Cue groups that make an inline element a leaf of its own.
+APART = frozenset({"ad", "notice"})
 PENALTY, STEPS, RATE = 0.02, 150, 0.2
 WEIGHTS = Path(__file__).with_name("html_crf_weights.json")
 
@@ -82,7 +88,7 @@ class Element:
         self.label = label if label is not None or parent is None else parent.label
         self.depth = parent.depth + 1 if parent else 1
         self.main = bool(parent and parent.main) or tag in ("article", "main") or "main" in groups and tag not in ("html", "body")
-        shown = tag if tag in NAMED else "other"
+        shown = tag if tag in NAMED else "inline" if tag in INLINE else "other"
         adds = {f"in={shown}", *(f"cue={g}" for g in groups)}
         before = parent.inside if parent else frozenset()
         self.inside: frozenset = before if adds <= before else before | adds
@@ -93,12 +99,12 @@ class Element:
 
 
 class Block:
-    """A leaf block: its text, its element, characters inside links."""
+    """A leaf block: its text, its element, characters inside links, and whether it goes on where the one before ended, without white space."""
 
-    __slots__ = ("text", "element", "linked")
+    __slots__ = ("text", "element", "linked", "glued")
 
-    def __init__(self, text: str, element: Element | None, linked: int):
-        self.text, self.element, self.linked = text, element, linked
+    def __init__(self, text: str, element: Element | None, linked: int, glued: bool = False):
+        self.text, self.element, self.linked, self.glued = text, element, linked, glued
 
     @property
     def label(self) -> str | None:
@@ -168,14 +174,20 @@ def blocks(page: str) -> list[Block]:
     open_now: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = 0
-
-    def close() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append(Block(text, stack[-1] if stack else None, linked))
-            parts.clear()
+    glue = False
+    #: Inline elements on the stack: [name, height, open elements of that name inside].
+    apart: list[list] = []
+
+    def close(inside_run: bool = False) -> None:
+        nonlocal linked, glue
+        raw = "".join(parts)
+        parts.clear()
+        text = " ".join(raw.split())
+        if text:
+            out.append(Block(text, stack[-1] if stack else None, linked, glue and not raw[0].isspace()))
+            glue = inside_run and not raw[-1].isspace()
+        else:
+            glue = glue and inside_run and not raw
         linked = 0
 
     def say(raw: str) -> None:
@@ -189,8 +201,14 @@ def blocks(page: str) -> list[Block]:
     def pop() -> str:
         gone = stack.pop().tag
         open_now[gone] -= 1
+        while apart and apart[-1][1] > len(stack):
+            apart.pop()
         return gone
 
+    def push(name: str, groups: frozenset, label: str | None) -> None:
+        stack.append(Element(name, groups, label, stack[-1] if stack else None))
+        open_now[name] += 1
+
     at, tags = 0, Tags(page)
     while True:
         tag = tags.next(at)
@@ -206,6 +224,13 @@ def blocks(page: str) -> list[Block]:
         if closes:
             if name in INLINE:
                 in_link = max(0, in_link - (name == "a"))
+                if apart and apart[-1][0] == name:
+                    apart[-1][2] -= 1
+                    if not apart[-1][2]:
+                        close(inside_run=True)
+                        height = apart[-1][1]
+                        while len(stack) >= height:
+                            pop()
             elif open_now[name]:
                 close()
                 while pop() != name:
@@ -219,11 +244,20 @@ def blocks(page: str) -> list[Block]:
             # Only raw text runs to the end of a page that does not close it.
             stop = page.find(">", shut) + 1 if shut >= 0 else 0
             at = stop or (len(page) if name in ("script", "style", "textarea") else at)
-            if name not in ("button", "select"):
+            if name not in IN_TEXT:
                 close()
             continue
         if name in INLINE:
             in_link += name == "a"
+            if raw.endswith("/"):
+                continue
+            groups, label = _attributes(raw)
+            if name == "button" or groups & APART:
+                close(inside_run=True)
+                push(name, groups, label)
+                apart.append([name, len(stack), 1])
+            elif apart and apart[-1][0] == name:
+                apart[-1][2] += 1
             continue
         if name == "br":
             parts.append(" ")
@@ -234,10 +268,11 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         in_link = 0
+        if apart and apart[-1][1] == len(stack) > 1 and stack[-2].tag == "p":
+            pop()
         while stack and stack[-1].tag in CLOSED_BY and (CLOSED_BY[stack[-1].tag] is None or name in CLOSED_BY[stack[-1].tag]):
             pop()
-        stack.append(Element(name, *_attributes(raw), stack[-1] if stack else None))
-        open_now[name] += 1
+        push(name, *_attributes(raw))
     close()
     return out
 
@@ -305,7 +340,13 @@ class Field:
 
     def text(self, page: str) -> str:
         found = blocks(page)
-        return " ".join(b.text for b, y in zip(found, self.label(found)) if y)
+        said, tight = [], True
+        for b, y in zip(found, self.label(found)):
+            tight = tight and b.glued
+            if y:
+                said.append(b.text if not said or tight else " " + b.text)
+                tight = True
+        return "".join(said)
 
 
 def fit(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS) -> Field:
@@ -397,7 +438,26 @@ class Layouts:
             return f'<{box}{attr} data-y="{y}">{inner}</{box}>'
         return f'<{tag}{attr} data-y="{y}">{inner}</{tag}>'
 
+    def inset(self) -> str:
+        """Something inside a run of text: a link, a button, a formula, or an advert or notice that is no part of it."""
+        kind = self.r.random()
+        if kind < 0.4:
+            return f"<a href='/y'>{self.phrase(3)}</a>"
+        if kind < 0.6:
+            return f"<button>{self.phrase(2)}</button>"
+        if kind < 0.7:
+            return f"<math><mi>{self.phrase(1)}</mi></math>"
+        name = self.one(*"ad ads advert sponsored promo banner notice alert".split())
+        tag = self.one("span", "span", "a", "small", "b")
+        return f'<{tag} class="{self.one(name, f"x1 {name}", f"{name}-inline")}" data-y="0">{self.one(self.phrase(5), self.sentences(1, 1))}</{tag}>'
+
+    def titles(self, low: int, high: int) -> str:
+        """A list of linked titles, as articles have for what they cite."""
+        rows = "".join(f"<li><a href='/z'>{self.phrase(self.one(2, 4, 9))}</a>{self.one('', '', '. ' + self.phrase(4))}</li>" for _ in range(int(self.r.integers(low, high + 1))))
+        return f"<{(t := self.one('ul', 'ol'))}>{rows}</{t}>"
+
     def article(self) -> str:
+        shape = self.r.random()
         body = [f"<h1>{self.phrase(12)}</h1>"] if self.chance(0.85) else []
         for _ in range(int(self.r.integers(1, 12))):
             kind = self.r.random()
@@ -417,15 +477,20 @@ class Layouts:
                 body.append("<table>" + "".join(f"<tr><td>{self.phrase(3)}</td><td>{self.phrase(6)}</td></tr>" for _ in range(3)) + "</table>")
             if self.chance(0.03):
                 body.append(self.advert())
+            if self.chance(0.08):
+                body.append(f"<p>{self.sentences(0, 2)}{self.one(' ', '')}{self.inset()} {self.sentences(1, 3)}</p>")
+            if shape < 0.9 and self.chance(0.05):
+                body.append(self.titles(1, 6))
+        if shape < 0.9 and self.chance(0.12):
+            body.append(f"<h2>{self.phrase(2)}</h2>{self.titles(1, 9)}")
         inner = "".join(body)
         if self.chance(0.2):
             inner = f"<div>{inner}</div>"
-        kind = self.r.random()
-        if kind < 0.5:
+        if shape < 0.5:
             return f'<article data-y="1">{inner}</article>'
-        if kind < 0.65:
+        if shape < 0.65:
             return f'<main data-y="1">{inner}</main>'
-        if kind < 0.9:
+        if shape < 0.9:
             name = self.one("content", "article-body", "post", "entry-content", "story", "main-content", "text")
             return f'<div class="{name}" data-y="1">{inner}</div>'
         return f'<div data-y="1">{inner}</div>'
@@ -435,17 +500,18 @@ class Layouts:
 
     def around(self) -> dict[str, str]:
         y = 0
+        press = lambda: f"<button>{self.phrase(2)}</button>" if self.chance(0.4) else ""
         comments = "".join(f"<{t}><p>{self.phrase(2)}</p><p>{self.sentences(1, 4)}</p></{t}>" for t in [self.one("div", "li")] for _ in range(int(self.r.integers(1, 6))))
         made = {
             "header": lambda: self.wrap(self.one(f"<p>{self.phrase(4)}</p>", f"<a href='/'>{self.phrase(2)}</a>", f"<h1>{self.phrase(3)}</h1><p>{self.phrase(8)}</p>"), "header", "header masthead branding", y),
             "nav": lambda: self.wrap(self.links(3, 10), "nav", "nav menu navbar breadcrumb navigation", y),
-            "notice": lambda: self.wrap(self.one(f"<p>{self.sentences(1, 3)}</p>", self.sentences(1, 2)), "div", "cookie consent notice alert popup gdpr", y),
+            "notice": lambda: self.wrap(self.one(f"<p>{self.sentences(1, 3)}</p>", self.sentences(1, 2)) + press(), "div", "cookie consent notice alert popup gdpr", y),
             "ad": self.advert,
             "side": lambda: self.wrap(self.one(self.links(2, 8), f"<h3>{self.phrase(3)}</h3>{self.links(2, 6)}", f"<p>{self.sentences(1, 4)}</p>"), "aside", "sidebar widget related popular", y),
-            "comments": lambda: self.wrap(f"<h3>{self.phrase(2)}</h3>{comments}", "section", "comments comment-list replies discussion disqus", y),
-            "form": lambda: f'<form data-y="0"><label>{self.phrase(2)}</label><input><p>{self.phrase(8)}</p></form>',
-            "newsletter": lambda: self.wrap(f"<p>{self.sentences(1, 2)}</p>", "div", "newsletter subscribe signup", y),
-            "share": lambda: self.wrap(self.links(2, 5), "div", "share social", y),
+            "comments": lambda: self.wrap(f"<h3>{self.phrase(2)}</h3>{comments}{press()}", "section", "comments comment-list replies discussion disqus", y),
+            "form": lambda: f'<form data-y="0"><label>{self.phrase(2)}</label><input><p>{self.phrase(8)}</p>{press()}</form>',
+            "newsletter": lambda: self.wrap(f"<p>{self.sentences(1, 2)}</p>{press()}", "div", "newsletter subscribe signup", y),
+            "share": lambda: self.wrap(self.one(self.links(2, 5), f"<button>{self.phrase(1)}</button> <button>{self.phrase(2)}</button>"), "div", "share social", y),
             "footer": lambda: self.wrap(self.one(f"&copy; {self.phrase(3)} &middot; {self.sentences(1, 1)}", f"<p>Copyright {self.phrase(4)}</p>{self.links(2, 5)}", f"<p>{self.sentences(1, 2)}</p>"), "footer", "footer legal copyright", y),
         }
         return {k: f() for k, f in made.items()}

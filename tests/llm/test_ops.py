@@ -149,6 +149,31 @@ FOREIGN = [
 ]
 
 
+#: Inside an article, between two paragraphs: what has to be in its text.
+INSIDE = [
+    ("<p>The value <math><mi>x</mi></math> is known</p>", "The value x is known"),
+    ("<p>A sum x<math><semantics><mi>y</mi><annotation encoding='tex'>zz</annotation></semantics></math>z of it.</p>", "A sum xyz of it."),
+    ("<p>Press <button>Save</button> to keep</p>", "Press Save to keep"),
+    ("<p>Press (<button class=b>Save</button>), then go on.</p>", "Press (Save), then go on."),
+    ("<p>One <span class='ad sponsored'>Buy now cheap</span> two words.</p>", "One two words."),
+    ("<p>One <span class='ad'>Buy <span>now</span> <a href=x>here</a></span> two words.</p>", "One two words."),
+    ("<p>glue<span class='ad'>Buy</span>d on to it, all of it.</p>", "glued on to it, all of it."),
+    ("<p>In the text <span class='ad'>Buy <p>Next paragraph goes on here, with words.</p>", "In the text Next paragraph goes on here, with words."),
+    ("<p>Fish <svg><title>t</title></svg>swim in it.</p>", "Fish swim in it."),
+    ("<ul><li><a href=1>Paper one</a></li><li><a href=2>Paper two</a></li></ul>", "Paper one Paper two"),
+    ("<h2>References</h2><ol><li><a href=1>A first paper</a></li><li><a href=2>A second paper on it</a></li></ol>", "References A first paper A second paper on it"),
+    ("<div class='share'><button>Share</button> <button>Like it</button></div>", ""),
+    ("<div class='newsletter'><p>Get our news by mail.</p><button>Subscribe</button></div>", ""),
+]
+
+
+@pytest.mark.parametrize("inside, want", INSIDE)
+def test_html_inside_an_article(inside, want):
+    around = "First paragraph of the text, a long one, with words.", "Last paragraph of the text, with more words in it."
+    page = f"<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>Title of it</h1><p>{around[0]}</p>{inside}<p>{around[1]}</p></article><footer>&copy; Site</footer></body></html>"
+    assert html_crf.model().text(page) == " ".join(x for x in ("Title of it", around[0], want, around[1]) if x)
+
+
 def test_html_of_other_shapes_is_not_lost():
     f = html_crf.model()
     for page, want in FOREIGN:
@@ -162,7 +187,7 @@ def test_html_weights_are_those_of_the_grammar():
     assert [again.label(p) for p, _ in pages] == [f.label(p) for p, _ in pages]
 
 
-@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", '<a "<b \'' * 40_000, "<svg>" * 40_000, "<" * 200_000, '<a href="x>y \'' * 40_000, "<div>" * 40_000 + "</span></p></foo>" * 40_000, "<!--" * 50_000, "<style>" * 9999, "<p class=" * 30_000])
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", '<a "<b \'' * 40_000, "<svg>" * 40_000, "<" * 200_000, '<a href="x>y \'' * 40_000, "<div>" * 40_000 + "</span></p></foo>" * 40_000, "<!--" * 50_000, "<style>" * 9999, "<p class=" * 30_000, "<button>x" * 40_000, "<p><b class=ad>x" * 30_000 + "</b>" * 30_000])
 def test_html_time_is_linear(page):
     began = time.process_time()
     html_crf.model().text(page)
