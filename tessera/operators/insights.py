@@ -41,6 +41,40 @@ def result_faults(results: DataFrame) -> DataFrame:
     return results.select("result_id", F.array_compact(codes).alias("faults")).where(F.size("faults") > 0)
 
 
+#: What keeps a final result from being taken, in the order in which it is looked for.
+FINAL_FAULTS = ("bad_headline", "repeated_bet", "memo_not_opened", "unknown_bet", "surface_incomplete", "suppressed_incomplete", "link_in_prose")
+
+
+def final_faults(results: DataFrame, opened: DataFrame, bets: DataFrame, words: int = 18) -> DataFrame:
+    """(result_id, faults): results that can't be taken, with all their FINAL_FAULTS in order.
+
+    results: result_id, headline, decision, no_match_reason, connections (array of struct with companies: array of struct with ticker and
+    bet_id), and any other fields, in all of which links are looked for; result_id is a key. opened: result_id, ticker of the memos that were opened.
+    bets: ticker, bet_id. A headline is one line of 1 to ``words`` words (null: none). A surfaced result has companies and
+    a null reason, any other (also a null decision) has a reason and no companies. A company or bet that is null is neither opened nor known.
+    """
+    cited = results.select("result_id", F.explode("connections").alias("c")).select("result_id", F.explode("c.companies").alias("c")).select("result_id", "c.ticker", "c.bet_id")
+    cited = cited.groupBy("result_id", "ticker", "bet_id").agg(F.count("*").alias("n"))
+    read = cited.join(opened.select("result_id", "ticker", F.lit(True).alias("_read")).distinct(), ["result_id", "ticker"], "left")
+    known = read.join(bets.select("ticker", "bet_id", F.lit(True).alias("_known")).distinct(), ["ticker", "bet_id"], "left")
+    per = known.groupBy("result_id").agg(F.bool_or(F.col("n") > 1).alias("_twice"), F.bool_or(F.col("_read").isNull()).alias("_unread"), F.bool_or(F.col("_known").isNull()).alias("_unknown"))
+    head = F.regexp_replace(F.coalesce("headline", F.lit("")), r"(?U)^\s+|\s+$", "")
+    none, reason = F.col("_twice").isNull(), F.trim(F.coalesce("no_match_reason", F.lit("")))
+    surfaced = F.coalesce(F.col("decision") == "surface", F.lit(False))
+    said = F.lower(F.to_json(F.struct(*[c for c in results.columns if c != "result_id"])))
+    met = {
+        "bad_headline": (head == "") | F.contains(head, F.lit("\n")) | (F.size(F.split(head, r"(?U)\s+")) > words),
+        "repeated_bet": F.col("_twice"),
+        "memo_not_opened": F.col("_unread"),
+        "unknown_bet": F.col("_unknown"),
+        "surface_incomplete": surfaced & (none | F.col("no_match_reason").isNotNull()),
+        "suppressed_incomplete": ~surfaced & (~none | (reason == "")),
+        "link_in_prose": F.contains(said, F.lit("http://")) | F.contains(said, F.lit("https://")) | F.contains(said, F.lit("](")),
+    }
+    codes = F.array_compact(F.array(*[F.when(met[f], f) for f in FINAL_FAULTS]))
+    return results.join(per, "result_id", "left").select("result_id", codes.alias("faults")).where(F.size("faults") > 0)
+
+
 def merge_portfolio(audited: DataFrame, current: DataFrame, top: int = 10) -> DataFrame:
     """Audited holdings united with the current top: current weights first, audited ones where there is none.
 

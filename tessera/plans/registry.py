@@ -129,6 +129,21 @@ def result_faults(spark, sf_dir):
     return insights.result_faults(r).select("result_id", F.array_join("faults", ",").alias("faults"))
 
 
+def final_faults(spark, sf_dir):
+    """Orders as final results, their lines as the companies cited, by return flag."""
+    l = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("b"))
+    company = F.struct(F.concat(F.lit("s"), "s").alias("ticker"), F.concat(F.lit("b"), "b").alias("bet_id"))
+    per = l.groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(company).alias("companies")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("title"), "companies")).alias("connections"))
+    k = F.col("o_orderkey")
+    head = F.concat(F.when(k % 37 != 0, F.lit(" Order")).otherwise(""), F.when(k % 31 == 0, "\nof").otherwise(""), F.repeat(F.lit(" word"), F.when(k % 37 != 0, (k % 25).cast("int")).otherwise(0)), F.when(k % 41 == 0, " [x](y)").otherwise(" "))
+    reason = F.when(k % 4 == 0, "nothing fits").when(k % 4 == 1, " ").when(k % 43 == 0, "see HTTPS://e.example")
+    o = ad.table(spark, sf_dir, "orders").join(per, F.col("l_orderkey") == k, "left")
+    results = o.select(k.alias("result_id"), head.alias("headline"), F.when(k % 3 == 0, "surface").otherwise("suppress").alias("decision"), reason.alias("no_match_reason"), F.when(k % 5 != 0, F.col("connections")).alias("connections"))
+    opened = l.where("s % 29 <> 0 and s % 10 <> 7").select(F.col("l_orderkey").alias("result_id"), F.concat(F.lit("s"), "s").alias("ticker"))
+    bets = l.where("(s + b) % 13 <> 0").select(F.concat(F.lit("s"), "s").alias("ticker"), F.concat(F.lit("b"), "b").alias("bet_id"))
+    return insights.final_faults(results, opened, bets).select("result_id", F.array_join("faults", ",").alias("faults"))
+
+
 def audit_violations(spark, sf_dir):
     line = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     orders = ad.table(spark, sf_dir, "orders")
@@ -278,6 +293,17 @@ QUERIES = [
         f AS (SELECT result_id, list_filter([CASE WHEN n > 18 THEN 'long_headline' END, CASE WHEN c = 3 THEN 'repeated_connection' END, CASE WHEN s AND c = 0 THEN 'surface_without_connection' END, CASE WHEN NOT s AND c > 0 THEN 'connection_without_surface' END], lambda x: x IS NOT NULL) AS f FROM r)
         SELECT result_id, array_to_string(f, ',') AS faults FROM f WHERE len(f) > 0""",
     ),
+    (
+        "final_faults",
+        final_faults,
+        """WITH c AS (SELECT l_orderkey AS k, l_suppkey AS s, l_linenumber AS b, count(*) AS n FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
+        p AS (SELECT k, bool_or(n > 1) AS twice, bool_or(s % 29 = 0 OR s % 10 = 7) AS unread, bool_or((s + b) % 13 = 0) AS unknown FROM c GROUP BY 1),
+        r AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS up, o_orderkey % 37 = 0 AND o_orderkey % 31 <> 0 AND o_orderkey % 41 <> 0 OR o_orderkey % 31 = 0 AND o_orderkey % 37 <> 0 OR CASE WHEN o_orderkey % 37 <> 0 THEN 1 + o_orderkey % 25 ELSE 0 END + CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 41 = 0 THEN 1 ELSE 0 END > 18 AS head,
+          o_orderkey % 4 = 0 AS told, o_orderkey % 4 IN (0, 1) OR o_orderkey % 43 = 0 AS given, o_orderkey % 4 > 1 AND o_orderkey % 43 = 0 AS link, o_orderkey % 41 = 0 AS cite FROM orders),
+        f AS (SELECT id, list_filter([CASE WHEN head THEN 'bad_headline' END, CASE WHEN twice THEN 'repeated_bet' END, CASE WHEN unread THEN 'memo_not_opened' END, CASE WHEN unknown THEN 'unknown_bet' END, CASE WHEN up AND (twice IS NULL OR given) THEN 'surface_incomplete' END,
+          CASE WHEN NOT up AND (twice IS NOT NULL OR NOT (told OR link)) THEN 'suppressed_incomplete' END, CASE WHEN link OR cite THEN 'link_in_prose' END], lambda x: x IS NOT NULL) AS f FROM r LEFT JOIN p ON k = id)
+        SELECT id AS result_id, array_to_string(f, ',') AS faults FROM f WHERE len(f) > 0""",
+    ),
     (
         "audit_violations",
         audit_violations,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tessera.functions import urls
-from tessera.operators import convergence, events, publication, pruning, views
+from tessera.operators import convergence, events, insights, publication, pruning, views
 from tessera.sources import allowed, pager
 
 RESPONSE = "source string, cursor string, attempt int, status int, retry_after string, body string"
@@ -215,3 +215,22 @@ def test_reads_are_held_to_a_list(spark, tmp_path):
     with pytest.raises(ValueError):
         allowed.Allowed(spark, {}, ["nation"])
     assert not (tmp_path / "out").exists() and known.table("nation").count() == 25
+
+
+def test_final_results_are_held_to_all_rules(spark):
+    schema = "result_id long, headline string, decision string, no_match_reason string, connections array<struct<mechanism:string,companies:array<struct<ticker:string,bet_id:string>>>>"
+    one = lambda *cs: [("m", list(cs))]
+    ok, long = "A headline of few words", " ".join(["w"] * 19)
+    rows = [
+        (1, ok, "surface", None, one(("A", "b1"), ("A", "b2"))), (2, f"  {' '.join(['w'] * 18)}\n", "suppress", "no fit", []), (3, long, "suppress", "no fit", None), (4, "two\nlines", "suppress", "no fit", []), (5, None, "suppress", "no fit", []),
+        (6, ok, "surface", None, one(("A", "b1")) + one(("A", "b1"))), (7, ok, "surface", None, one(("B", "b1"))), (8, ok, "surface", None, one(("A", "b9"))), (9, ok, "surface", None, one((None, None))),
+        (10, ok, "surface", None, []), (11, ok, "surface", "", one(("A", "b1"))), (12, ok, "suppress", " ", []), (13, ok, "suppress", "no fit", one(("A", "b1"))), (14, ok, None, None, None),
+        (15, ok, "surface", None, [("see [1](x)", [("A", "b1")])]), (16, ok, "suppress", "HTTP://x", []), (17, ok, "surface", None, [("m", None)]),
+    ]
+    opened = spark.createDataFrame([(k, "A") for k in range(1, 18)] * 2, "result_id long, ticker string")
+    bets = spark.createDataFrame([("A", "b1"), ("A", "b2"), ("B", "b1")], "ticker string, bet_id string")
+    found = {r.result_id: r.faults for r in insights.final_faults(spark.createDataFrame(rows, schema), opened, bets).collect()}
+    assert found == {
+        3: ["bad_headline"], 4: ["bad_headline"], 5: ["bad_headline"], 6: ["repeated_bet"], 7: ["memo_not_opened"], 8: ["unknown_bet"], 9: ["memo_not_opened", "unknown_bet"], 10: ["surface_incomplete"], 11: ["surface_incomplete"],
+        12: ["suppressed_incomplete"], 13: ["suppressed_incomplete"], 14: ["suppressed_incomplete"], 15: ["link_in_prose"], 16: ["link_in_prose"], 17: ["surface_incomplete"],
+    }
