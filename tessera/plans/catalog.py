@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import artifacts, captures, chains, daily, lineage, network, posts, registry, upkeep
+from tessera.plans import artifacts, captures, chains, daily, lineage, manifests, network, posts, registry, upkeep
 
 FLAGSHIP = "entity_support_positions"
-MODULES = (network, posts, daily, artifacts, registry, captures, lineage, chains, upkeep)
+MODULES = (network, posts, daily, artifacts, registry, captures, lineage, chains, upkeep, manifests)
 
 
 def _rows():
