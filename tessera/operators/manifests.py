@@ -20,6 +20,7 @@ from tessera.functions.hashing import fingerprint
 from tessera.operators import registry as reg
 from tessera.operators.network import ranked
 from tessera.operators.upserts import pick
+from tessera.session import Scratch
 
 #: Fixed values.
 COVERAGE_VERSION, SEEDS_VERSION = "organization-coverage-v1", "following-personalization-v1"
@@ -250,7 +251,8 @@ def apply_coverage(spark: SparkSession, manifest: dict[str, DataFrame], registry
     accounts: x_id, handle, display_name, bio, followers, first_observed_at, last_observed_at.
     """
     m = _normal(manifest)
-    _refuse(form_faults(m).unionByName(registry_faults(m, registry, accounts)))
+    _refuse(form_faults(m))
+    _refuse(registry_faults(m, registry, accounts))
     source = F.concat(F.lit("following-snapshot:"), F.lit(m["head"].first()["snapshot_id"]))
     org = m["organisations"]
 
@@ -261,15 +263,17 @@ def apply_coverage(spark: SparkSession, manifest: dict[str, DataFrame], registry
     canon = entities.select("slug", F.col("entity_id").alias("canonical_id"))
 
     found = _members(m, registry).drop("canonical_id").join(canon, "slug").select("slug", "canonical_id", F.col("entity_id").alias("duplicate_id")).distinct()
+    scratch = Scratch(spark)
     merges = found.where("canonical_id <> duplicate_id").join(org.select("slug", "reason", "evidence_url"), "slug").withColumn("source", F.lit("organization-coverage-manifest"))
+    merges = scratch.write(merges, "merges")
     merged = reg.merge_entities(spark, entities, registry["owners"], merges.drop("slug"), observed_at)
 
-    seen = m["listed"].where("kind = 'x'").select("slug", "key").join(_observed(accounts), "key")
+    seen = scratch.write(m["listed"].where("kind = 'x'").select("slug", "key").join(_observed(accounts), "key"), "seen")
     listed = pick(m["listed"], ["kind", "key"], [F.desc("place")]).join(seen.select("slug", "key", F.lit("x").alias("kind"), "display_name", "last_observed_at"), ["slug", "kind", "key"], "left")
     rows = listed.select("slug", "kind", "key", "relationship", "evidence_url", F.coalesce("display_name", "label").alias("label"), F.coalesce("last_observed_at", F.lit(observed_at)).alias("last_seen_at"))
     had = registry["channels"].select("kind", "key", "channel_id")
     new = _numbered(rows.join(had, ["kind", "key"], "left_anti").select("kind", "key"), ["kind", "key"], had, "channel_id")
-    rows = rows.join(had.unionByName(new), ["kind", "key"]).join(canon, "slug").join(org.select("slug", F.col("reason").alias("notes")), "slug")
+    rows = scratch.write(rows.join(had.unionByName(new), ["kind", "key"]).join(canon, "slug").join(org.select("slug", F.col("reason").alias("notes")), "slug"), "rows")
     was = registry["channels"].select("channel_id", F.col("last_seen_at").alias("_was"))
     put = rows.join(was, "channel_id", "left").select("channel_id", "kind", "key", F.nullif("label", F.lit("")).alias("label"), F.greatest("last_seen_at", "_was").alias("last_seen_at"))
     channels = _put(registry["channels"], put, ["channel_id", "kind", "key"], ("label",))
@@ -283,7 +287,7 @@ def apply_coverage(spark: SparkSession, manifest: dict[str, DataFrame], registry
     account = upserted.select(F.col("key").alias("handle"), "x_id", "display_name", "bio", "followers", F.least("first_observed_at", "_first").alias("first_seen_at"), F.greatest("last_observed_at", "_last").alias("last_seen_at"))
     url = F.concat(F.lit("https://x.com/"), "key").alias("evidence_url")
     fact = seen.select(F.col("key").alias("handle"), source.alias("source"), F.lit("organization_coverage").alias("fact"), F.col("slug").alias("value"), F.col("last_observed_at").alias("observed_at"), url)
-    told = seen.withColumn("kind", F.lit("x")).join(had.unionByName(new), ["kind", "key"])
+    told = seen.join(rows.where("kind = 'x'").select("key", "channel_id"), "key")
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f).cast("string").alias("value")) for c, f in (("followers_count", "followers"), ("bio", "bio"))])
     measured = told.select("channel_id", source.alias("source"), F.col("last_observed_at").alias("observed_at"), url, F.inline(pairs)).where("value is not null")
 
