@@ -524,18 +524,15 @@ def test_leases_equal_a_replay_by_hand(spark):
     rows = [(rng.randrange(12), pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randrange(120)), k, rng.choice(["claim", "claim", "done", "fail"])) for k in range(200)]
     got = {r.item: (r.status, r.attempts) for r in streams.leases(spark.createDataFrame(pd.DataFrame(rows, columns=["item", "at", "seq", "event"]))).collect()}
     for item in {r[0] for r in rows}:
-        status, attempts, until = "pending", 0, None
+        status, attempts, until, lapsed = "pending", 0, None, False
         for _, at, _, what in sorted((r for r in rows if r[0] == item), key=lambda r: (r[1], r[2])):
-            late = status == "in_progress" and at >= until
-            if what == "claim" and (status in ("pending", "failed_retryable") or late):
-                if attempts < 3:
-                    status, attempts, until = "in_progress", attempts + 1, at + pd.Timedelta(minutes=10)
-                elif late:
-                    status = "failed_terminal"
-            elif what == "done" and status == "in_progress":
-                status = "complete"
-            elif what == "fail" and status == "in_progress":
-                status = "failed_terminal" if attempts == 3 else "failed_retryable"
+            if what == "claim":
+                if status == "in_progress" and at > until:
+                    status, lapsed = "failed_retryable", True
+                if status in ("pending", "failed_retryable") and attempts < 3:
+                    status, attempts, until, lapsed = "in_progress", attempts + 1, at + pd.Timedelta(minutes=10), False
+            elif status == "in_progress" or lapsed:
+                status, lapsed = {"done": "success", "fail": "failed_retryable"}[what], False
         assert got[item] == (status, attempts)
 
 
