@@ -212,8 +212,8 @@ def registry_faults(manifest: dict[str, DataFrame], registry: dict[str, DataFram
     out = out.unionByName(_told(own, by_channel, owners))
 
     if "labs" in registry:
-        names = m["organisations"].where("lab_slug is not null").select("slug", "lab_slug", F.explode(F.array("lab_slug", "slug")).alias("_s"))
-        n = names.join(registry["labs"].select(F.col("slug").alias("_s"), F.lit(1).alias("_l")).distinct(), "_s", "left").groupBy("slug").agg(F.count("_l").alias("_n"))
+        names = m["organisations"].where("lab_slug is not null").select("pos", "slug", F.explode(F.array("lab_slug", "slug")).alias("_s"))
+        n = names.join(registry["labs"].select(F.col("slug").alias("_s"), F.lit(1).alias("_l")).distinct(), "_s", "left").groupBy("pos", "slug").agg(F.count("_l").alias("_n"))
         out = out.unionByName(_told(n, by_org, {"lab_missing": F.col("_n") == 0, "lab_twice": F.col("_n") > 1}))
     return out.distinct()
 

@@ -210,3 +210,12 @@ def test_seeds_are_reviewed_complete_and_active(spark):
     assert digest(ann, bo) == digest(("2", "@Bo", "press", "1", "r"), ("1", "ann", "lab", "3.0", "r")) != digest(ann, ann) and len(digest()) == 64
     with pytest.raises(manifests.ManifestFault, match="incomplete"):
         manifests.seeds(make(("1", "ann", "", "1", "r")), fetched, who, nodes)
+
+
+def test_labs_of_a_repeated_slug_are_told_apart(spark, tmp_path):
+    def told(*labs):
+        m = read(spark, tmp_path, *[organisation("dup", "Acme", channels=[], merge_handles=[], legacy_lab_slug=x) for x in labs])
+        return [t for t in as_set(manifests.registry_faults(m, registry(spark), snapshot(spark))) if t[2].startswith("lab_")]
+
+    assert told("acme-lab", "bo") == []
+    assert told("acme-lab", "none") == [("dup", "", "lab_missing")]
