@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tessera.operators.graph import walked
 from tessera.operators.upserts import pick
-from tessera.session import Scratch
+from tessera.session import Scratch, shuffled
 
 
 def covered_days(runs: DataFrame, start: str, end: str) -> DataFrame:
@@ -63,7 +63,7 @@ def proven(spark: SparkSession, pages: DataFrame, asked: DataFrame, max_pages: i
     """
     scratch = Scratch(spark)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    own = pages.withColumns({"cursor": blank("cursor"), "next_cursor": blank("next_cursor")}).join(asked, "handle")
+    own = pages.withColumns({"cursor": blank("cursor"), "next_cursor": blank("next_cursor")}).join(shuffled(asked), "handle")
     late = own.where(F.col("fetched_at") >= F.date_add("end_day", 1).cast("timestamp"))
     fresh = pick(late, ["handle", "cursor"], [F.desc("fetched_at"), F.desc("response_id")])
     stop = (
@@ -75,13 +75,13 @@ def proven(spark: SparkSession, pages: DataFrame, asked: DataFrame, max_pages: i
     )
     nodes = scratch.write(fresh.select("handle", F.col("cursor").alias("node"), stop.alias("stop"), "next_cursor", "newest", "oldest"), "nodes")
     steps = nodes.select("handle", "node", F.when(F.col("stop").isNull(), F.col("next_cursor")).alias("next"))
-    met = scratch.write(walked(spark, steps, asked.select("handle", F.lit("").alias("node")), ["handle"], max_pages).join(nodes, ["handle", "node"]), "met")
+    met = scratch.write(walked(spark, steps, asked.select("handle", F.lit("").alias("node")), ["handle"], max_pages).join(shuffled(nodes), ["handle", "node"]), "met")
     read = ~F.coalesce(F.col("stop").isin("no_posts", "bad_time"), F.lit(False))
     seen = met.groupBy("handle").agg(F.count_if(read).alias("pages"), F.max(F.when(read, F.col("newest"))).alias("newest"), F.min(F.when(read, F.col("oldest"))).alias("oldest"), F.max_by(F.struct("stop", "next_cursor", "ordinal"), "ordinal").alias("last"))
-    ends = seen.select("*", F.col("last.next_cursor").alias("node")).join(met.select("handle", "node", F.lit(True).alias("again")), ["handle", "node"], "left")
+    ends = seen.select("*", F.col("last.next_cursor").alias("node")).join(shuffled(met.select("handle", "node", F.lit(True).alias("again"))), ["handle", "node"], "left")
     open_end = F.when(F.coalesce("again", F.lit(False)), "repeated_cursor").when(F.col("last.ordinal") >= max_pages, "too_many_pages").otherwise("cursor_missing")
     told = ends.select("handle", F.coalesce("last.stop", open_end).alias("reason"), "pages", "newest", "oldest")
-    out = asked.select("handle").join(told, "handle", "left").fillna({"reason": "base_missing", "pages": 0})
+    out = asked.select("handle").join(shuffled(told), "handle", "left").fillna({"reason": "base_missing", "pages": 0})
     return out.select("handle", F.col("reason").isin("boundary", "terminal").alias("complete"), "reason", "pages", "newest", "oldest")
 
 
@@ -105,7 +105,7 @@ def chosen_runs(spark: SparkSession, runs: DataFrame, asked: DataFrame) -> DataF
     after = F.date_add("best.date_to", 1)
     nodes = scratch.write(best.select("key", F.col("day").alias("node"), covered.alias("covered"), F.col("best.run_id").alias("run_id"), F.when(covered & (after <= F.col("end_day")), after).alias("next")), "days")
     most = nodes.groupBy("key").count().agg(F.max("count")).first()[0] or 1
-    met = walked(spark, nodes.select("key", "node", "next"), asked.select("key", F.col("start_day").alias("node")), ["key"], most).join(nodes, ["key", "node"])
+    met = walked(spark, nodes.select("key", "node", "next"), asked.select("key", F.col("start_day").alias("node")), ["key"], most).join(shuffled(nodes), ["key", "node"])
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("covered"), F.struct("ordinal", "run_id")))), lambda x: x.run_id)
     found = met.groupBy("key").agg(F.min(F.when(~F.col("covered"), F.col("node"))).alias("first_uncovered_day"), ids.alias("run_ids"))
     out = asked.select("key").join(found, "key", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import Scratch
+from tessera.session import Scratch, shuffled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -60,13 +60,13 @@ def walked(spark: SparkSession, steps: DataFrame, starts: DataFrame, keys: list[
     scratch = Scratch(spark)
     at = [*keys, "node"]
     jumps = scratch.write(steps.select(*at, F.col("next").alias("jump")), "jumps")
-    met = scratch.write(jumps.select(*at).join(starts.select(*at).distinct(), at, "left_semi").withColumn("ordinal", F.lit(1).cast("long")), "met")
+    met = scratch.write(jumps.select(*at).join(shuffled(starts.select(*at).distinct()), at, "left_semi").withColumn("ordinal", F.lit(1).cast("long")), "met")
     length = 1
     while length < most and jumps.where("jump is not null").limit(1).count():
-        ahead = met.join(jumps, at).where("jump is not null").select(*keys, F.col("jump").alias("node"), (F.col("ordinal") + length).alias("ordinal"))
-        known = ahead.join(jumps.select(*at), at, "left_semi").where(F.col("ordinal") <= most)
+        ahead = met.join(shuffled(jumps), at).where("jump is not null").select(*keys, F.col("jump").alias("node"), (F.col("ordinal") + length).alias("ordinal"))
+        known = ahead.join(shuffled(jumps.select(*at)), at, "left_semi").where(F.col("ordinal") <= most)
         met = scratch.write(met.unionByName(known).groupBy(*at).agg(F.min("ordinal").alias("ordinal")), "met")
         far = jumps.select(*keys, F.col("node").alias("jump"), F.col("jump").alias("_far"))
-        jumps = scratch.write(jumps.join(far, [*keys, "jump"], "left").select(*at, F.col("_far").alias("jump")), "jumps")
+        jumps = scratch.write(jumps.join(shuffled(far), [*keys, "jump"], "left").select(*at, F.col("_far").alias("jump")), "jumps")
         length *= 2
     return met

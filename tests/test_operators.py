@@ -589,3 +589,11 @@ def test_ordered_fingerprint_knows_the_order_and_not_the_partitions(spark):
     assert mark(df) == mark(df.repartition(7)) == mark(df.coalesce(1).orderBy(F.desc("k")))
     swapped = df.withColumn("x", F.when(F.col("k") == 3, "r4").when(F.col("k") == 4, "r3").otherwise(F.col("x")))
     assert len({mark(df), mark(df, F.desc("k")), mark(swapped), mark(df.where("k < 199"))}) == 4
+
+
+def test_chains_of_pages_are_not_sent_through_the_driver(spark):
+    pages = spark.createDataFrame([("h", None, "2024-02-03", 1, True, False, "2024-01-31", "2024-01-30", False, None)], "handle string, cursor string, fetched_at string, response_id long, has_posts boolean, bad_time boolean, newest string, oldest string, has_next boolean, next_cursor string")
+    asked = spark.sql("SELECT 'h' AS handle, DATE '2024-01-01' AS start_day, DATE '2024-02-01' AS end_day")
+    out = coverage.proven(spark, pages.withColumns({c: F.col(c).cast("timestamp") for c in ("fetched_at", "newest", "oldest")}), asked)
+    assert [(r.handle, r.reason, r.pages) for r in out.collect()] == [("h", "terminal", 1)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
