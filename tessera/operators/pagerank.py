@@ -8,12 +8,16 @@ nodes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import Scratch
+from tessera.session import Scratch, shuffled
 
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-10, 200
+#: Buckets of edges: at least so many, and else one for so many edges.
+LEAST_BUCKETS, BUCKET_EDGES = 12, 4_000_000
 
 
 class NotConverged(RuntimeError):
@@ -29,16 +33,24 @@ def seed_weights(seeds: DataFrame) -> DataFrame:
     return per.select("node", (F.col("weight") / total).alias("weight"))
 
 
-def _step(rank: DataFrame, edges: DataFrame, degree: DataFrame, seeds: DataFrame, damping: float, within: DataFrame | None) -> tuple[DataFrame, float]:
-    """One step; rows are the nodes that get rank besides the seeds. within: nodes that may hold it."""
-    out = rank.join(degree, "node", "left")
-    flow = edges.join(out.where("degree > 0").select(F.col("node").alias("source"), (F.col("rank") / F.col("degree")).alias("part")), "source").groupBy(F.col("target").alias("node")).agg(F.sum("part").alias("got"))
-    if within is not None:
-        flow = flow.join(within, "node", "left_semi")
+def _edges_in_place(scratch: Scratch, edges: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """edges written in buckets of their source, and the number of these: joins by it leave them where they are."""
+    count = max(LEAST_BUCKETS, edges.count() // BUCKET_EDGES)
+    edges.repartition(count, "source").write.format("parquet").bucketBy(count, "source").option("path", scratch.path("buckets")).saveAsTable(name)
+    return edges.sparkSession.table(name), count
+
+
+def _flow(rank: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, got): what the edges (source, target, degree) bring from ranks (source, rank)."""
+    return edges.join(rank, "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+
+
+def _stepped(flow: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
+    """(node, rank) after a step; rows are the nodes that get rank besides the seeds."""
     kept = flow.agg(F.sum("got")).first()[0] or 0.0
     back = 1.0 - damping * kept
     j = flow.join(seeds, "node", "full_outer")
-    return j.select("node", (F.coalesce("got", F.lit(0.0)) * damping + F.coalesce("weight", F.lit(0.0)) * back).alias("rank")), kept
+    return j.select("node", (F.coalesce("got", F.lit(0.0)) * damping + F.coalesce("weight", F.lit(0.0)) * back).alias("rank"))
 
 
 def pagerank(spark: SparkSession, edges: DataFrame, sources: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
@@ -46,24 +58,35 @@ def pagerank(spark: SparkSession, edges: DataFrame, sources: DataFrame, seeds: D
 
     edges: source, target (distinct); sources: node; seeds: node, weight. Raises NotConverged if the
     L1 change does not fall under the tolerance in ``rounds`` rounds. Ranks of every round are
-    written tables; only sums reach the driver.
+    written tables; only sums reach the driver. Edges stay in buckets of their source: a round shuffles ranks, and
+    at most a sum per bucket and target.
     """
     scratch = Scratch(spark)
-    own = scratch.write(edges.join(sources.select(F.col("node").alias("source")).distinct(), "source", "left_semi").select("source", "target").distinct(), "edges")
-    degree = scratch.write(own.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree")), "degree")
     who = scratch.write(sources.select("node").distinct(), "sources")
+    own = edges.join(shuffled(who.select(F.col("node").alias("source"))), "source", "left_semi").select("source", "target").distinct()
+    own = scratch.write(own, "edges")
+    degree = own.groupBy("source").agg(F.count("*").alias("degree"))
+    own = scratch.write(own.join(shuffled(degree), "source").select("source", "target", "degree"), "edges")
     w = scratch.write(seed_weights(seeds.join(who, "node", "left_semi")), "seeds")
-    inner = scratch.write(own.join(who.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target"), "inner")
-    ranks = Scratch(spark)
+    inner = scratch.write(own.join(shuffled(who.select(F.col("node").alias("target"))), "target", "left_semi").select(*own.columns), "inner")
+    name = f"tessera_{uuid.uuid4().hex}"
+    ranks, flows = Scratch(spark), Scratch(spark)
     rank = w.withColumnRenamed("weight", "rank")
-    for _ in range(rounds):
-        new = ranks.write(_step(rank, inner, degree, w, damping, None)[0], "rank")
-        change = new.withColumnRenamed("rank", "a").join(rank.withColumnRenamed("rank", "b"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0]
-        rank = new
-        ranks.drop(keep=2)
-        if change < tolerance:
-            break
-    else:
-        raise NotConverged(f"L1 change {change} after {rounds} rounds")
-    last, _ = _step(rank, own, degree, w, damping, None)
-    return last.withColumnRenamed("rank", "score")
+    named = lambda r: r.select(F.col("node").alias("source"), "rank")
+    try:
+        placed, count = _edges_in_place(scratch, inner, name)
+        for _ in range(rounds):
+            flow = flows.write(_flow(named(rank).repartition(count, "source").hint("shuffle_hash"), placed), "flow")
+            new = ranks.write(_stepped(flow, w, damping), "rank")
+            change = new.withColumnRenamed("rank", "a").join(rank.withColumnRenamed("rank", "b"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0]
+            rank = new
+            ranks.drop(keep=2)
+            flows.drop()
+            if change < tolerance:
+                break
+        else:
+            raise NotConverged(f"L1 change {change} after {rounds} rounds")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    flow = scratch.write(_flow(shuffled(named(rank)), own), "flow")
+    return _stepped(flow, w, damping).withColumnRenamed("rank", "score")

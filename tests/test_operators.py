@@ -597,3 +597,16 @@ def test_chains_of_pages_are_not_sent_through_the_driver(spark):
     out = coverage.proven(spark, pages.withColumns({c: F.col(c).cast("timestamp") for c in ("fetched_at", "newest", "oldest")}), asked)
     assert [(r.handle, r.reason, r.pages) for r in out.collect()] == [("h", "terminal", 1)]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_round_of_pagerank_leaves_edges_where_they_are(spark):
+    from tessera.session import Scratch
+
+    edges = spark.range(200).select((F.col("id") % 20).alias("source"), (F.col("id") % 7).alias("target"), F.lit(10).cast("long").alias("degree"))
+    placed, count = pagerank._edges_in_place(Scratch(spark), edges, "edges_in_place")
+    ranks = spark.range(20).select(F.col("id").alias("source"), F.lit(0.05).alias("rank"))
+    flow = pagerank._flow(ranks.repartition(count, "source").hint("shuffle_hash"), placed)
+    plan = flow._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "BroadcastHashJoin" not in plan
+    assert {r.node: round(r.got, 6) for r in flow.collect()} == {k: round(len(range(k, 200, 7)) * 0.005, 6) for k in range(7)}
+    spark.sql("DROP TABLE edges_in_place")
