@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import urls
 from tessera.operators.events import roots
 from tessera.operators.upserts import pick
-from tessera.session import Scratch, join_checked
+from tessera.session import Scratch, shuffled
 
 #: What keeps redirects from being applied, in the order in which it is looked for.
 REDIRECT_FAULTS = ("bad_final_url", "several_targets", "source_artifact_missing")
@@ -23,7 +23,7 @@ def redirect_faults(artifacts: DataFrame, redirects: DataFrame) -> DataFrame:
     away = redirects.where("target_id is not null and target_id <> source_id")
     several = away.groupBy("source_id").agg(F.count_distinct("target_id").alias("n")).where("n > 1").select("source_id", F.lit("several_targets").alias("fault"))
     known = artifacts.select(F.col("artifact_id").alias("source_id")).union(away.select(F.col("target_id").alias("source_id"))).distinct()
-    missing = redirects.select("source_id").join(known, "source_id", "left_anti").select("source_id", F.lit("source_artifact_missing").alias("fault"))
+    missing = redirects.select("source_id").join(shuffled(known), "source_id", "left_anti").select("source_id", F.lit("source_artifact_missing").alias("fault"))
     return bad.unionByName(several).unionByName(missing).distinct()
 
 
@@ -50,21 +50,21 @@ def converge_tables(tables: dict[str, DataFrame], redirects: DataFrame) -> dict[
     links = away.select("source_id", "target_id").distinct()
     chains = roots(spark, links).where("depth > 0").select(F.col("node").alias("artifact_id"), F.col("root").alias("_to"), F.col("depth").alias("_depth"))
     first = away.groupBy(F.col("source_id").alias("artifact_id")).agg(F.min("seen_at").alias("_at"))
-    ends = scratch.write(chains.join(first, "artifact_id"), "ends")
+    ends = scratch.write(chains.join(shuffled(first), "artifact_id"), "ends")
     places = away.groupBy(F.col("target_id").alias("_to")).agg(F.min("_url").alias("_url"), F.max("seen_at").alias("_latest"))
 
-    gone = scratch.write(artifact.join(ends, "artifact_id"), "gone")
-    absent = gone.select("_to").distinct().join(artifact.select(F.col("artifact_id").alias("_to")), "_to", "left_anti")
-    base = pick(gone.join(absent, "_to"), ["_to"], [F.asc("_depth"), F.asc("_at"), F.asc("artifact_id")]).join(places, "_to")
+    gone = scratch.write(artifact.join(shuffled(ends), "artifact_id"), "gone")
+    absent = gone.select("_to").distinct().join(shuffled(artifact.select(F.col("artifact_id").alias("_to"))), "_to", "left_anti")
+    base = pick(gone.join(shuffled(absent), "_to"), ["_to"], [F.asc("_depth"), F.asc("_at"), F.asc("artifact_id")]).join(shuffled(places), "_to")
     seen = F.when(F.col("_depth") > 1, F.greatest("_at", "_latest")).otherwise(F.col("_at"))
     new = {"artifact_id": F.col("_to"), "canonical_url": F.col("_url"), "host": urls.host(F.col("_url")), "last_seen_at": F.greatest("last_seen_at", seen), "updated_at": seen}
     made = base.select(*[new[c].alias(c) if c in new else F.col(c) for c in artifact.columns])
-    kept = artifact.join(ends.select("artifact_id"), "artifact_id", "left_anti").select(*artifact.columns)
+    kept = artifact.join(shuffled(ends.select("artifact_id")), "artifact_id", "left_anti").select(*artifact.columns)
 
     def renamed(df: DataFrame) -> DataFrame:
-        return join_checked(spark, df, ends, ["artifact_id"], "left").withColumn("artifact_id", F.coalesce("_to", "artifact_id"))
+        return df.join(shuffled(ends), "artifact_id", "left").withColumn("artifact_id", F.coalesce("_to", "artifact_id"))
 
-    between = ends.join(places.select(F.col("_to").alias("artifact_id"), "_url"), "artifact_id").select(F.col("_url").alias("alias_url"), F.col("_to").alias("artifact_id"), F.col("_at").alias("seen_at"))
+    between = ends.join(shuffled(places.select(F.col("_to").alias("artifact_id"), "_url")), "artifact_id").select(F.col("_url").alias("alias_url"), F.col("_to").alias("artifact_id"), F.col("_at").alias("seen_at"))
     own = gone.select(F.col("canonical_url").alias("alias_url"), F.col("_to").alias("artifact_id"), F.col("_at").alias("seen_at"))
     final = renamed(r.select(F.col("final_url").alias("alias_url"), F.col("target_id").alias("artifact_id"), "seen_at")).select("alias_url", "artifact_id", "seen_at")
     told = own.unionByName(between).unionByName(final).select("alias_url", "artifact_id", F.lit("redirect").alias("alias_kind"), F.col("seen_at").alias("first_seen_at"), F.col("seen_at").alias("last_seen_at"), F.lit(False).alias("_had"))

@@ -8,7 +8,7 @@ from tessera.functions import urls
 from tessera.operators import convergence, pruning, views
 from tessera.plans import adapters as ad
 from tessera.plans.captures import ORDER_PAGES, _order_pages
-from tessera.session import Scratch
+from tessera.session import Scratch, shuffled
 from tessera.sources import allowed, pager
 
 
@@ -111,7 +111,7 @@ def converged_tables(spark, sf_dir):
     out = convergence.converge_tables({"artifact": art, "alias": alias, "item": item, "observation": seen}, redirects)
     rows = out["artifact"].select("artifact_id", "canonical_url", "host", "first_seen_at", "last_seen_at")
     for name in ("alias", "item", "observation"):
-        rows = rows.join(out[name].groupBy("artifact_id").agg(F.count("*").alias(name)), "artifact_id", "left")
+        rows = rows.join(shuffled(out[name].groupBy("artifact_id").agg(F.count("*").alias(name))), "artifact_id", "left")
     return rows.drop("artifact_id").fillna(0, ["alias", "item", "observation"])
 
 

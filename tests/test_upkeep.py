@@ -234,3 +234,13 @@ def test_final_results_are_held_to_all_rules(spark):
         3: ["bad_headline"], 4: ["bad_headline"], 5: ["bad_headline"], 6: ["repeated_bet"], 7: ["memo_not_opened"], 8: ["unknown_bet"], 9: ["memo_not_opened", "unknown_bet"], 10: ["surface_incomplete"], 11: ["surface_incomplete"],
         12: ["suppressed_incomplete"], 13: ["suppressed_incomplete"], 14: ["suppressed_incomplete"], 15: ["link_in_prose"], 16: ["link_in_prose"], 17: ["surface_incomplete"],
     }
+
+
+def test_tables_converge_without_the_driver(spark):
+    a, b = (aid(spark, f"https://h.example/{x}") for x in "ab")
+    art = spark.createDataFrame([(a, "https://h.example/a", "h.example", "1", "2", "2"), (b, "https://h.example/b", "h.example", "1", "2", "2")], "artifact_id string, canonical_url string, host string, first_seen_at string, last_seen_at string, updated_at string")
+    alias = spark.createDataFrame([("http://t.example/a", a, "seen", "1", "1")], "alias_url string, artifact_id string, alias_kind string, first_seen_at string, last_seen_at string")
+    tables = {"artifact": art, "alias": alias, "item": spark.createDataFrame([(1, a), (1, b)], "fetch_run_id long, artifact_id string"), "observation": spark.createDataFrame([(a,)], "artifact_id string")}
+    out = convergence.converge_tables(tables, spark.createDataFrame([(a, "https://h.example/b", "5")], "source_id string, final_url string, seen_at string"))
+    assert [r.artifact_id for r in out["item"].collect()] == [r.artifact_id for r in out["observation"].collect()] == [b]
+    assert not [k for k, df in out.items() if "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()]
