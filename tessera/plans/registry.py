@@ -9,7 +9,7 @@ from tessera.operators import insights, network, publication, registry, upserts
 from tessera.operators.pagerank import pagerank
 from tessera.plans import adapters as ad
 from tessera.plans.network import EDGES
-from tessera.session import Scratch
+from tessera.session import Scratch, dealt, shuffled
 
 
 def _entities(spark, sf_dir):
@@ -145,11 +145,12 @@ def final_faults(spark, sf_dir):
 
 
 def audit_violations(spark, sf_dir):
-    line = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    orders = ad.table(spark, sf_dir, "orders")
+    """Lines are dealt to tasks of one size by their order, once for all checks."""
+    line = dealt(ad.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"])
+    orders = ad.table(spark, sf_dir, "orders").select("o_orderkey")
     repeated = line.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
-    empty = orders.join(line, orders.o_orderkey == line.l_orderkey, "left_anti")
-    lost = line.join(orders, line.l_orderkey == orders.o_orderkey, "left_anti")
+    empty = orders.join(shuffled(line), orders.o_orderkey == line.l_orderkey, "left_anti")
+    lost = line.join(shuffled(orders), line.l_orderkey == orders.o_orderkey, "left_anti")
     v = insights.violations(("repeated_line", repeated, "l_orderkey"), ("order_without_lines", empty, "o_orderkey"), ("line_without_order", lost, "l_orderkey"), most=3)
     return v.select("code", "n", F.array_join("examples", ",").alias("examples"))
 

@@ -610,3 +610,12 @@ def test_a_round_of_pagerank_leaves_edges_where_they_are(spark):
     assert plan.count("Exchange") == 2 and "BroadcastHashJoin" not in plan
     assert {r.node: round(r.got, 6) for r in flow.collect()} == {k: round(len(range(k, 200, 7)) * 0.005, 6) for k in range(7)}
     spark.sql("DROP TABLE edges_in_place")
+
+
+def test_rows_are_dealt_to_tasks_of_one_size(spark):
+    from tessera import session
+
+    out = session.dealt(spark.range(1000).withColumnRenamed("id", "k"), ["k"], 100)
+    assert len(set(out.select(F.spark_partition_id()).collect())) == 10 and out.count() == 1000
+    plan = out.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
