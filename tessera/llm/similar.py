@@ -9,8 +9,11 @@ A text has ``BANDS`` keys of ``ROWS`` least hashes each: texts of similarity s s
 1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8. A key of more than CROWD texts isn't paired: its texts get ``SUBS`` finer keys, by one more least
 hash each. What crowds these, too, is mostly one text with many small changes. There each text without a link is compared with two
 texts of its key, drawn anew each turn, until a turn links none; the texts that remain in a crowd of copies fall by a
-factor a turn. So a text stays alone wrongly only if it is similar to few texts of every crowd that it
-is in and shares no other key with them.
+factor a turn. That is for speed only. The exact way for the rest: of each crowded key, the texts outside its largest component are compared with
+all texts of the key that are in another component, so two similar texts that share a key, however crowded, end in one component.
+A crowd of copies is one component by then and makes few pairs; one of unlike texts makes all of its pairs, in tasks of bounded size.
+
+The fingerprint here is that of the distinct shingles, as the similarity is: repeats would turn its bits.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from tessera.llm import simhash
 from tessera.llm.words import LOWER, as_bytes
 from tessera.operators.graph import components
-from tessera.session import Scratch, join_checked, ship
+from tessera.session import Scratch, join_checked, ship, shuffled
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SUBS, CROWD = 20, 4, 8, 48
 #: Turns of a crowd that are made at least.
 TURNS = 3
+#: Texts beyond a key's largest component that one task compares with the key's texts.
+BLOCK = 1_000
 #: Bits beyond which two fingerprints are not of similar texts: 64 acos(0.889) / pi = 9.7 are expected at a similarity of 0.8, with a deviation of 2.9.
 REACH = 26
 _FACTORS = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 11) | 1 for k in range(BANDS * ROWS + SUBS)], np.uint64)
@@ -50,6 +55,15 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
     return best
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the distinct hashes; 0 if there are none."""
+    h = np.unique(h).astype("<u8")
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), simhash.SLICE):
+        ones += np.unpackbits(h[k : k + simhash.SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
     """The columns ``keep``, _t (key of the words), _fp, _bands and _subs."""
     ship(docs.sparkSession)
@@ -59,13 +73,15 @@ def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(len(keep)))
-            bands, subs = [], []
+            bands, subs, fps = [], [], []
             for t in texts:
-                least = least_hashes(simhash.hashes(t, shingle))
+                h = simhash.hashes(t, shingle)
+                least = least_hashes(h)
+                fps.append(fingerprint(h))
                 bands.append([xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)])
                 subs.append(least[BANDS * ROWS :].astype("<i8").tolist())
             listed = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(text_key, texts), pa.string()), pa.array(simhash.fingerprints(texts, shingle)), pa.array(bands, listed), pa.array(subs, listed)], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(text_key, texts), pa.string()), pa.array(fps, pa.int64()), pa.array(bands, listed), pa.array(subs, listed)], schema.fieldNames())
 
     return src.mapInArrow(run, schema)
 
@@ -103,8 +119,28 @@ def _paired(few: DataFrame) -> DataFrame:
     return few.select("key", F.col("_t").alias("u")).join(few.select("key", F.col("_t").alias("v")), "key").where("u < v").select("u", "v")
 
 
+def _beyond(spark: SparkSession, crowd: DataFrame, found: DataFrame, about: DataFrame) -> DataFrame:
+    """(u, v): pairs of a crowded key that ``found`` does not put into one component, but those whose fingerprints are too far apart.
+
+    A key's texts beyond its largest component are dealt to blocks of some BLOCK, each of which meets all texts of the key.
+    """
+    scratch = Scratch(spark)
+    comp = components(spark, found).withColumnRenamed("node", "_t")
+    inside = crowd.join(comp, "_t", "left").withColumn("component", F.coalesce("component", "_t")).join(about.select("_t", "_fp"), "_t")
+    inside = scratch.write(inside.select("key", "_t", "component", "_fp"), "inside")
+    sizes = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("out")).where("out > 0")
+    keys = scratch.write(keys.select("key", "main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks")), "crowded")
+    named = inside.join(shuffled(keys), "key")
+    mine = named.where("component <> main").select("key", F.pmod(F.xxhash64("_t"), "blocks").cast("int").alias("block"), F.col("_t").alias("u"), F.col("component").alias("_cu"), F.col("_fp").alias("_fu"))
+    all_ = named.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("_t").alias("v"), F.col("component").alias("_cv"), F.col("_fp").alias("_fv"), (F.col("component") == F.col("main")).alias("_main"))
+    near = F.bit_count(F.col("_fu").bitwiseXOR(F.col("_fv"))) <= REACH
+    pairs = mine.join(shuffled(all_), ["key", "block"]).where("_cu <> _cv and (_main or u < v)").where(near)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): pairs of distinct texts (_t) whose similarity was computed and reaches ``similarity``."""
+    """(u, v): pairs of distinct texts (_t) whose similarity was computed and reaches ``similarity``; of a crowd, enough of them to make its components."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     table = scratch.write(simhash.pivot_table(classes.select("_fp").distinct(), simhash.references()), "pivots")
@@ -135,14 +171,15 @@ def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, similari
         linked = found.select(F.col("u").alias("_t")).union(found.select("v")).distinct()
         alone = scratch.write(crowd.join(linked, "_t", "left_anti"), "alone")
         if not alone.limit(1).count():
-            return found
+            break
         order = F.xxhash64("_t", F.lit(turn))
         leaders = crowd.groupBy("key").agg(F.min_by("_t", order).alias("a"), F.max_by("_t", order).alias("b")).select("key", F.explode(F.array("a", "b")).alias("v"))
         led = alone.join(leaders, "key").where("_t <> v").select(F.least("_t", "v").alias("u"), F.greatest("_t", "v").alias("v"))
         fresh = verified(led)
         if turn > TURNS and not fresh.limit(1).count():
-            return found
+            break
         found = found.union(fresh)
+    return found.union(verified(_beyond(spark, crowd, found, about)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -74,6 +74,29 @@ def test_crowds_are_not_paired_and_lose_nothing(spark, monkeypatch):
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_a_crowd_loses_no_link_between_its_groups(spark, monkeypatch):
+    """Pairs of texts that are alike, among many that only have a passage in common with them; no turn draws them together."""
+    monkeypatch.setattr(similar, "CROWD", 6)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    shared = " ".join(f"passage{k}" for k in range(400))
+    rows = []
+    for k in range(30):
+        own = [f"own{k}x{j}" for j in range(120)]
+        rows += [(10 * k, shared + " " + " ".join(own)), (10 * k + 1, shared + " " + " ".join([*own[:117], "a", f"b{k}", "c"])), (10 * k + 2, shared + " " + " ".join([*own[:20], f"d{k}", *own[21:]]))]
+    got, _ = run(spark, rows)
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_repeats_do_not_part_equal_sets(spark):
+    """Texts of the same shingles, one of which says one of them hundreds of times."""
+    rows = []
+    for k in range(12):
+        rest = " ".join(f"r{k}x{j}" for j in range(60))
+        rows += [(2 * k, rest + f" again{k}" * 6), (2 * k + 1, rest + f" again{k}" * 400)]
+    got, _ = run(spark, rows)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(brute(rows)) == {i: i - i % 2 for i, _ in rows}
+
+
 def test_one_row_of_each_component_stays(spark):
     a = variants(5, 6)
     rows = [(k, t) for k, t in enumerate(a)] + [(50, "other text of its own here"), (50, "other text of its own here"), (None, a[0]), (None, "free"), (None, "free"), (60, None)]
