@@ -36,7 +36,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids of each document, with the check that they decode to its text."""
     import public_tokenizers
 
-    return transducer.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # An executor's JVM has grown by the stages before, so that the workers keep less than they do for encoding alone.
+    return transducer.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_bytes=30_000_000)
 
 
 STAGES = [

@@ -44,6 +44,8 @@ WINDOW = 10
 BLOCK_WORDS = 300_000
 #: Words of a segment of a long item.
 SEGMENT = 50_000
+#: Bytes of texts that pass the one automaton at once; their words are Python objects.
+BATCH = 1_000_000
 #: Bits of the bitmap of anchors (16 MB), and characters of documents that one task streams through a block's automaton.
 ANCHOR_BITS, PART_CHARS = 1 << 27, 64_000_000
 #: Slots of the table of neighbour pairs, a power of two.
@@ -339,7 +341,7 @@ def _through(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = shared.value
-            for b in slices(batches, at):
+            for b in slices(batches, at, BATCH):
                 docs_words = [words(t) for t in as_bytes(b.column(at))]
                 spans, names = [], []
                 for s, i in auto.batch(docs_words):

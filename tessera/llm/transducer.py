@@ -44,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import BLANK, BYTE, CONTROL, UNKNOWN, Pieces, chunks
-from tessera.session import ship, slices
+from tessera.session import released, ship, slices
 
 #: Bytes of chunks with their ids that a worker keeps, and characters of the longest such chunk.
 CACHE_BYTES, LONGEST = 90_000_000, 64
+#: Bytes of texts that are encoded at once.
+BATCH = 1_000_000
 #: Pairs of pieces that a worker keeps with their stability.
 PAIRS = 400_000
 _held: dict[int, "Transducer"] = {}
@@ -59,7 +61,7 @@ class Transducer:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.arcs: dict = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.covered: set[str] = set()
         for name, score in pieces.score.items():
             if pieces.merges and len(pieces.merged(name)) > 1:
@@ -70,7 +72,7 @@ class Transducer:
             node[""] = (-score, pieces.id[name], (pieces.id[name],))
         self.penalty = -pieces.unknown_score
         self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.room = 0, CACHE_BYTES
         self.text: list[bytes] = []
         for i, (name, kind) in enumerate(zip(pieces.names, pieces.types)):
             if kind == BYTE:
@@ -96,12 +98,13 @@ class Transducer:
         """Whether pieces a and b may stand side by side; unknown characters (-1) are next to anything."""
         if a < 0 or b < 0:
             return True
-        got = self.stable.get((a, b))
+        key = a << 32 | b
+        got = self.stable.get(key)
         if got is None:
             names = self.pieces.names
             if len(self.stable) >= PAIRS:
                 self.stable.clear()
-            got = self.stable[a, b] = self.pieces.merged(names[a] + names[b]) == [names[a], names[b]]
+            got = self.stable[key] = self.pieces.merged(names[a] + names[b]) == [names[a], names[b]]
         return got
 
     def merge_path(self, chunk: str) -> list[int]:
@@ -164,7 +167,7 @@ class Transducer:
         if got is None:
             got = np.array(self.path(chunk), "<i4").tobytes()
             cost = 180 + 2 * len(chunk) + len(got)
-            if self.held + cost <= CACHE_BYTES and len(chunk) <= LONGEST:  # a full cache stays as it is: frequent chunks come early
+            if self.held + cost <= self.room and len(chunk) <= LONGEST:  # a full cache stays as it is: frequent chunks come early
                 self.held += cost
                 self.cache[chunk] = got
         return got
@@ -204,12 +207,13 @@ def model_bytes(spark, path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(doc_id, n_chars, n_tokens, ids array<int>, round_trip) for every row of docs.
 
     round_trip tells whether decoding the ids gives the text back; it does for every text with byte
     fallback and no map of characters (the leading blank is put on and taken off), but for text that
     itself holds U+2581, which decodes to a blank. A null text counts as empty: no ids. Repeated rows stay.
+    A worker keeps up to ``cache_bytes`` of encoded chunks; fewer cost time only.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -221,8 +225,10 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     schema = src.select("doc_id", zero.alias("n_chars"), zero.alias("n_tokens"), F.array().cast("array<int>").alias("ids"), F.lit(True).alias("round_trip")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         t = loaded(key, shared.value)
-        for b in slices(batches, 1):
+        t.room = cache_bytes
+        for b in slices(batches, 1, BATCH):
             texts = [x or "" for x in b.column(1).to_pylist()]
             ids = [t.encode(x) for x in texts]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))

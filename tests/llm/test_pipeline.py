@@ -42,3 +42,19 @@ def test_stages(spark):
 def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "n_chars", "n_tokens", "ids", "round_trip"] and out.count() > 100
+
+
+def test_a_small_cache_changes_no_ids_and_is_kept_to(spark):
+    import public_tokenizers
+
+    from tessera.llm import transducer
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    some = sorted(map(tuple, transducer.encode(docs, model).collect()), key=repr)
+    assert sorted(map(tuple, transducer.encode(docs, model, cache_bytes=20_000).collect()), key=repr) == some
+    t = transducer.Transducer(transducer.Pieces(open(model, "rb").read()))
+    t.room = 20_000
+    for r in docs.limit(50).collect():
+        t.encode(r.text or "")
+    assert 0 < t.held <= 20_000
