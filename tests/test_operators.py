@@ -641,3 +641,28 @@ def test_article_bodies_bound_their_arrow_batches(spark):
     assert spark.conf.get(session.ARROW_KEY) == str(session.ARROW_BYTES)
     if before is not None:
         spark.conf.set(session.ARROW_KEY, before)
+
+
+def test_roots_and_paths_leave_leaves_out_of_the_rounds(spark, monkeypatch):
+    """Only nodes that something points to are in the tables that rounds write again."""
+    from tessera.operators import events
+    from tessera.session import Scratch
+
+    written, write = [], Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    links = [(f"leaf{k}", "n1") for k in range(50)] + [("n1", "n2"), ("n2", "n3")]
+    got = {(r.node, r.root, r.depth) for r in events.roots(spark, spark.createDataFrame(links, "source_id string, target_id string")).collect()}
+    assert got == {(f"leaf{k}", "n3", 3) for k in range(50)} | {("n1", "n3", 2), ("n2", "n3", 1), ("n3", "n3", 0)}
+    assert max(n for _, n in written[1:-1]) == 2
+    written.clear()
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 1, None, "root", at), (1, 2, 1, "reply", at), (1, 3, 2, "reply", at)] + [(1, 10 + k, 3, "reply", at) for k in range(50)]
+    o = events.forest_order(spark, spark.createDataFrame(rows, "root long, post_id long, parent_id long, relation string, published timestamp"))
+    assert {r.post_id: r.shown_depth for r in o.collect()} == {1: 0, 2: 1, 3: 2} | {10 + k: 3 for k in range(50)}
+    assert max(n for name, n in written if name == "paths") == 2
