@@ -6,12 +6,13 @@ do what they are good at: the stored table of distances to reference fingerprint
 coordinate difference, the exact Hamming distance discards more, and shingle sets verify what is left.
 
 A text has ``BANDS`` keys of ``ROWS`` least hashes each: texts of similarity s share one with probability
-1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8. A key of more than CROWD texts isn't paired: its texts get ``SUBS`` finer keys, by one more least
-hash each. What crowds these, too, is mostly one text with many small changes. There each text without a link is compared with two
-texts of its key, drawn anew each turn, until a turn links none; the texts that remain in a crowd of copies fall by a
-factor a turn. That is for speed only. The exact way for the rest: of each crowded key, the texts outside its largest component are compared with
-all texts of the key that are in another component, so two similar texts that share a key, however crowded, end in one component.
-A crowd of copies is one component by then and makes few pairs; one of unlike texts makes all of its pairs, in tasks of bounded size.
+1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8. Each text of a key is compared with the key's leader first. A key of up to CROWD texts
+then has all pairs compared that are not in one component by that. In a key of more, a crowd, texts without a link are compared with two
+other texts of the key, drawn anew each turn, as long as turns link some; the texts that remain in a crowd of copies fall by a factor a turn.
+That is for speed only. The exact way for the rest: of each crowd, the texts outside its largest component meet all crowded texts with
+which they share one of their rarest shingles. Of two texts that similar, one has a common shingle among the first ninth of its shingles,
+rarest first, and the other among its first fifth, so no pair of crowded texts is lost; texts that have a ninth or more of their own,
+or that share a long passage only, meet nobody in a crowd.
 
 The fingerprint here is that of the distinct shingles, as the similarity is: repeats would turn its bits.
 """
@@ -32,14 +33,14 @@ from tessera.operators.graph import components
 from tessera.session import Scratch, join_checked, ship, shuffled
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SUBS, CROWD = 20, 4, 8, 48
-#: Turns of a crowd that are made at least.
-TURNS = 3
-#: Texts beyond a key's largest component that one task compares with the key's texts.
+BANDS, ROWS, CROWD = 20, 4, 48
+#: Turns of a crowd go on while they leave at most this share of the rows without a link.
+LEFT = 0.95
+#: Texts with a shingle that one task compares with the other texts with it.
 BLOCK = 1_000
 #: Bits beyond which two fingerprints are not of similar texts: 64 acos(0.889) / pi = 9.7 are expected at a similarity of 0.8, with a deviation of 2.9.
 REACH = 26
-_FACTORS = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 11) | 1 for k in range(BANDS * ROWS + SUBS)], np.uint64)
+_FACTORS = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 11) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
 
 def text_key(text: bytes) -> str:
@@ -65,29 +66,27 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
-    """The columns ``keep``, _t (key of the words), _fp, _bands and _subs."""
+    """The columns ``keep``, _t (key of the words), _fp and _bands."""
     ship(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = src.drop("_text").selectExpr("*", "'' AS _t", "0L AS _fp", "array(0L) AS _bands", "array(0L) AS _subs").schema
+    schema = src.drop("_text").selectExpr("*", "'' AS _t", "0L AS _fp", "array(0L) AS _bands").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(len(keep)))
-            bands, subs, fps = [], [], []
+            bands, fps = [], []
             for t in texts:
                 h = simhash.hashes(t, shingle)
                 least = least_hashes(h)
                 fps.append(fingerprint(h))
                 bands.append([xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)])
-                subs.append(least[BANDS * ROWS :].astype("<i8").tolist())
-            listed = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(text_key, texts), pa.string()), pa.array(fps, pa.int64()), pa.array(bands, listed), pa.array(subs, listed)], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(text_key, texts), pa.string()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema.fieldNames())
 
     return src.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(_t, _set): the distinct shingle hashes of the wanted texts (_t)."""
+def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(_t, _set), written: the distinct shingle hashes of the wanted texts (_t)."""
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{text}`").cast("string").alias("_text"))
 
@@ -102,84 +101,122 @@ def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["_t", "_set"])
 
     # Written in between: two steps of Python in one stage would double the workers of an executor.
-    named = Scratch(spark).write(join_checked(spark, src.mapInArrow(key, "_t string, _text binary"), wanted, ["_t"], "left_semi"), "texts")
-    return named.mapInArrow(sets, "_t string, _set array<long>").dropDuplicates(["_t"])
+    between = Scratch(spark)
+    named = between.write(join_checked(spark, src.mapInArrow(key, "_t string, _text binary"), wanted, ["_t"], "left_semi"), "texts")
+    out = scratch.write(named.mapInArrow(sets, "_t string, _set array<long>").dropDuplicates(["_t"]), "sets")
+    between.drop()
+    return out
 
 
-def _counted(spark: SparkSession, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, _t, _subs) of keys that several share: those of few texts and those of many."""
+def _keyed(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """(key, _t, n, leader) of keys that several texts share; n is how many, the leader one of them."""
     scratch = Scratch(spark)
-    keyed = scratch.write(keyed, "keyed")
-    shared = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    rows = scratch.write(join_checked(spark, keyed, shared, ["key"], "inner"), "rows")
-    return rows.where(F.col("n") <= CROWD).drop("n"), rows.where(F.col("n") > CROWD).drop("n")
+    keyed = scratch.write(classes.select("_t", F.posexplode("_bands").alias("c", "k")).select(F.xxhash64("c", "k").alias("key"), "_t"), "keyed")
+    shared = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("_t", F.xxhash64("_t")).alias("leader")).where("n > 1"), "shared")
+    return scratch.write(join_checked(spark, keyed, shared, ["key"], "inner"), "rows")
 
 
-def _paired(few: DataFrame) -> DataFrame:
-    return few.select("key", F.col("_t").alias("u")).join(few.select("key", F.col("_t").alias("v")), "key").where("u < v").select("u", "v")
+def _ordered(u: str, v: str) -> list:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _beyond(spark: SparkSession, crowd: DataFrame, found: DataFrame, about: DataFrame) -> DataFrame:
-    """(u, v): pairs of a crowded key that ``found`` does not put into one component, but those whose fingerprints are too far apart.
+def _between(spark: SparkSession, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of a key of few texts that are neither in one component of ``found`` nor with the key's leader, which has met all; and crowded texts (_t, component, rest).
 
-    A key's texts beyond its largest component are dealt to blocks of some BLOCK, each of which meets all texts of the key.
+    Those are the texts of the crowds that are not one component; rest tells those that are outside the largest one of a crowd.
     """
     scratch = Scratch(spark)
     comp = components(spark, found).withColumnRenamed("node", "_t")
-    inside = crowd.join(comp, "_t", "left").withColumn("component", F.coalesce("component", "_t")).join(about.select("_t", "_fp"), "_t")
-    inside = scratch.write(inside.select("key", "_t", "component", "_fp"), "inside")
-    sizes = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("out")).where("out > 0")
-    keys = scratch.write(keys.select("key", "main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks")), "crowded")
-    named = inside.join(shuffled(keys), "key")
-    mine = named.where("component <> main").select("key", F.pmod(F.xxhash64("_t"), "blocks").cast("int").alias("block"), F.col("_t").alias("u"), F.col("component").alias("_cu"), F.col("_fp").alias("_fu"))
-    all_ = named.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("_t").alias("v"), F.col("component").alias("_cv"), F.col("_fp").alias("_fv"), (F.col("component") == F.col("main")).alias("_main"))
-    near = F.bit_count(F.col("_fu").bitwiseXOR(F.col("_fv"))) <= REACH
-    pairs = mine.join(shuffled(all_), ["key", "block"]).where("_cu <> _cv and (_main or u < v)").where(near)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    inside = scratch.write(rows.where("n > 2").join(comp, "_t", "left").withColumn("component", F.coalesce("component", "_t")), "inside")
+    few = inside.where(F.col("n") <= CROWD).where("_t <> leader")
+    told = lambda c: few.select("key", F.col("_t").alias(c), F.col("component").alias(f"_c{c}"))
+    pairs = told("u").join(told("v"), "key").where("u < v and _cu <> _cv").select("u", "v")
+    many = inside.where(F.col("n") > CROWD)
+    sizes = many.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    crowded = many.join(shuffled(keys), "key").groupBy("_t").agg(F.any_value("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("rest"))
+    return pairs, scratch.write(crowded, "crowded")
+
+
+def _beyond(spark: SparkSession, held: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) with all pairs of ``similarity`` among the texts of ``held`` (id, _t, component, rest, size, _set) that are in two components and not both in the largest of their crowds.
+
+    Shingles are put in one order for all texts: those that no such pair can share, then the rarer first. Two texts of the similarity s have at
+    least 2s / (1 + s) of the smaller's size, and s of the larger's, in common, so their first common shingle is among the first 1 - 2s / (1 + s) of the
+    smaller and the first 1 - s of the larger, and what follows it must be enough. Texts that begin with a shingle of many are dealt to blocks.
+    """
+    scratch = Scratch(spark)
+    said = held.select("id", "rest", F.explode("_set").alias("token"))
+    known = said.groupBy("token").agg(F.count("*").alias("n"), F.bool_or("rest").alias("any")).where("n > 1 and any").select("token", "n")
+    lists = said.join(shuffled(known), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_in"))
+    share = 2 * similarity / (1 + similarity)
+    first = lambda part: F.col("size") - F.ceil(F.col("size") * part - 1e-6) + 1
+    own = F.col("size") - F.size("_in")
+    begun = held.select("id", "component", "rest", "size").join(shuffled(lists), "id").withColumn("own", own).where(own < first(similarity))
+    begun = begun.select("id", "component", "rest", "size", "own", F.posexplode(F.slice("_in", 1, (first(similarity) - F.col("own")).cast("int"))).alias("p", "s"))
+    begun = begun.select("id", "component", "rest", "size", (F.col("own") + F.col("p")).alias("at"), F.col("s.token").alias("token")).withColumn("short", F.col("at") < first(share))
+    begun = scratch.write(begun, "begun")
+    counted = begun.groupBy("token").agg(F.count_if("short").alias("n"), F.count("*").alias("all"), F.bool_or("rest").alias("any")).where("n > 0 and all > 1 and any")
+    counted = scratch.write(counted.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "tokens")
+    named = begun.join(shuffled(counted), "token")
+    told = lambda c: [F.col(k).alias(f"_{k}{c}") for k in ("component", "size", "at")]
+    # Texts of the largest components need not meet each other: a short one of these meets the rest only.
+    short = named.where("short").select("token", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("rest").alias("wide"), F.col("id").alias("a"), *told("a"))
+    long_ = named.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.explode(F.when(F.col("rest"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("wide"), F.col("id").alias("b"), *told("b"))
+    smaller = F.struct("_sizea", "a") < F.struct("_sizeb", "b")
+    after = F.least(F.col("_sizea") - F.col("_ata"), F.col("_sizeb") - F.col("_atb"))
+    enough = (F.col("_sizea") >= F.col("_sizeb") * similarity - 1e-6) & (after >= (F.col("_sizea") + F.col("_sizeb")) * (share / 2) - 1e-6)
+    pairs = short.join(shuffled(long_), ["token", "block", "wide"]).where("_componenta <> _componentb").where(smaller).where(enough)
+    pairs = scratch.write(pairs.select("a", "b").distinct(), "beyond")
+    name = lambda c, d: held.select(F.col("id").alias(c), F.col("_t").alias(d))
+    return pairs.join(name("a", "x"), "a").join(name("b", "y"), "b").select(*_ordered("x", "y"))
 
 
 def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): pairs of distinct texts (_t) whose similarity was computed and reaches ``similarity``; of a crowd, enough of them to make its components."""
+    """(u, v): pairs of distinct texts (_t) whose similarity was computed and reaches ``similarity``; enough of them to make their components."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     table = scratch.write(simhash.pivot_table(classes.select("_fp").distinct(), simhash.references()), "pivots")
     about = scratch.write(classes.select("_t", "_fp").join(table, "_fp"), "about")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         told = lambda c: about.select(F.col("_t").alias(c), F.col("_fp").alias(f"_f{c}"), F.col("_d").alias(f"_d{c}"))
-        near = pairs.distinct().join(told("u"), "u").join(told("v"), "v").where(~simhash.apart(REACH)).where(F.bit_count(F.col("_fu").bitwiseXOR(F.col("_fv"))) <= REACH)
-        near = scratch.write(near.select("u", "v"), "near")
-        wanted = scratch.write(near.select(F.col("u").alias("_t")).union(near.select("v")).distinct(), "wanted")
-        sets = scratch.write(shingle_sets(docs, text, wanted, shingle), "sets")
+        kept = pairs.distinct().join(told("u"), "u").join(told("v"), "v").where(~simhash.apart(REACH)).where(F.bit_count(F.col("_fu").bitwiseXOR(F.col("_fv"))) <= REACH)
+        return scratch.write(kept.select("u", "v"), "near")
+
+    def sets_of(pairs: DataFrame, *more: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("_t")).union(pairs.select("v"))
+        for m in more:
+            wanted = wanted.union(m.select("_t"))
+        return shingle_sets(docs, text, scratch.write(wanted.distinct(), "wanted"), shingle, scratch)
+
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         named = lambda c: sets.select(F.col("_t").alias(c), F.col("_set").alias(f"_s{c}"))
         common = F.size(F.array_intersect("_su", "_sv"))
         enough = common >= similarity * (F.size("_su") + F.size("_sv") - common)
-        return scratch.write(near.join(named("u"), "u").join(named("v"), "v").where(enough).select("u", "v"), "links")
-
-    keyed = classes.select("_t", "_subs", F.posexplode("_bands").alias("c", "k")).select(F.xxhash64("c", "k").alias("key"), "_t", "_subs")
-    few, many = _counted(spark, keyed)
-    pairs = _paired(few)
-    if not many.limit(1).count():
-        return verified(pairs)
-    finer = many.select("key", "_t", F.posexplode("_subs").alias("c", "k")).select(F.xxhash64("key", "c", "k").alias("key"), "_t", F.lit(None).alias("_subs"))
-    few, many = _counted(spark, finer)
-    found = verified(pairs.union(_paired(few)))
-    crowd, turn = scratch.write(many.select("key", "_t"), "crowd"), 0
+        return scratch.write(pairs.join(named("u"), "u").join(named("v"), "v").where(enough).select("u", "v"), "links")
+
+    rows = _keyed(spark, classes)
+    crowd = rows.where(F.col("n") > CROWD).select("key", "_t")
+    led = near(rows.where("_t <> leader").select(*_ordered("_t", "leader")))
+    sets = sets_of(led, crowd)
+    found, turn, before = alike(led, sets), 0, None
     while True:
         turn += 1
         linked = found.select(F.col("u").alias("_t")).union(found.select("v")).distinct()
         alone = scratch.write(crowd.join(linked, "_t", "left_anti"), "alone")
-        if not alone.limit(1).count():
+        left = alone.count()
+        if not left or before is not None and left > LEFT * before:
             break
-        order = F.xxhash64("_t", F.lit(turn))
+        before, order = left, F.xxhash64("_t", F.lit(turn))
         leaders = crowd.groupBy("key").agg(F.min_by("_t", order).alias("a"), F.max_by("_t", order).alias("b")).select("key", F.explode(F.array("a", "b")).alias("v"))
-        led = alone.join(leaders, "key").where("_t <> v").select(F.least("_t", "v").alias("u"), F.greatest("_t", "v").alias("v"))
-        fresh = verified(led)
-        if turn > TURNS and not fresh.limit(1).count():
-            break
-        found = found.union(fresh)
-    return found.union(verified(_beyond(spark, crowd, found, about)))
+        found = found.union(alike(near(alone.join(leaders, "key").where("_t <> v").select(*_ordered("_t", "v"))), sets))
+    pairs, crowded = _between(spark, rows, found)
+    if crowded.limit(1).count():
+        held = crowded.join(sets, "_t").select(F.monotonically_increasing_id().alias("id"), "_t", "component", "rest", F.size("_set").alias("size"), "_set")
+        found = found.union(alike(near(_beyond(spark, scratch.write(held, "held"), similarity)), sets))
+    pairs = near(pairs)
+    return found.union(alike(pairs, sets_of(pairs)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -192,7 +229,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.write(signatures(docs, text, (doc_id,), shingle).withColumnRenamed(doc_id, "doc_id"), "signatures")
-    classes = scratch.write(rows.groupBy("_t").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("_fp", "_bands", "_subs")]), "classes")
+    classes = scratch.write(rows.groupBy("_t").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("_fp", "_bands")]), "classes")
     comp = components(spark, links(docs, classes, text, shingle, similarity)).withColumnRenamed("node", "_t")
     grouped = scratch.write(classes.select("_t", "least").join(comp, "_t", "left").withColumn("component", F.coalesce("component", "_t")), "grouped")
     best = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -110,3 +110,22 @@ def test_one_row_of_each_component_stays(spark):
 @pytest.mark.parametrize("similarity", [0.75, 0.8, 0.9])
 def test_keys_find_pairs_of_the_similarity(similarity):
     assert 1 - (1 - similarity**similar.ROWS) ** similar.BANDS > 0.999
+
+
+def test_a_crowd_of_unlike_texts_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a long passage, and so their keys, but not enough to be alike: the pairs that are compared grow with the texts."""
+    monkeypatch.setattr(similar, "CROWD", 6)
+    compared, write = [], similar.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "near":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar.Scratch, "write", counted)
+    shared = " ".join(f"passage{k}" for k in range(400))
+    rows = [(k, shared + " " + " ".join(f"own{k}x{j}" for j in range(150))) for k in range(100)] + [(200, shared + " " + " ".join(f"own7x{j}" for j in range(148)))]
+    got, _ = run(spark, rows)
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == brute(rows)
+    assert sum(compared) < 20 * len(rows)
