@@ -25,7 +25,9 @@ piece and merging those of each two neighbours gives the two back. (Merges acros
 its two sides only, and the first merge that would cross a border of the sequence would cross it in
 that pair as well.) So T gets a state for the last piece written and an arc from a to b only if the
 pair is stable; each arc weighs 1. Every prefix of the input then has one path, that of its own
-encoding, so a state per position is enough and the weights have nothing to decide.
+encoding, so a state per position is enough and the weights have nothing to decide: the path of a chunk is looked for from
+its start, the longest arc first, and a position from which the end wasn't reached isn't entered again. (A character that is no piece
+is next to anything, so chunks with one take the weighted pass over all positions.)
 
 No piece holds a blank after another character. So each chunk of a text (a word with the blank
 before it) starts at a state of every path, the shortest path of a text is the chain of those of
@@ -63,6 +65,7 @@ class Transducer:
         self.arcs: dict = {}
         self.stable: dict[int, bool] = {}
         self.covered: set[str] = set()
+        self.unknown: set[str] = set()
         for name, score in pieces.score.items():
             if pieces.merges and len(pieces.merged(name)) > 1:
                 continue  # no merge makes this piece
@@ -93,6 +96,7 @@ class Transducer:
                 p = self.pieces
                 ids = tuple(p.bytes[b] for b in ch.encode("utf-8", "surrogatepass")) if p.fallback else (p.unknown,)
                 node[""] = (self.penalty, -1, ids)
+                self.unknown.add(ch)
 
     def pair(self, a: int, b: int) -> bool:
         """Whether pieces a and b may stand side by side; unknown characters (-1) are next to anything."""
@@ -107,6 +111,41 @@ class Transducer:
             got = self.stable[key] = self.pieces.merged(names[a] + names[b]) == [names[a], names[b]]
         return got
 
+    def stable_path(self, chunk: str) -> list[int]:
+        """The one path of a chunk whose characters are all pieces."""
+        n, start, pair, known = len(chunk), self.arcs, self.pair, self.stable
+        out: list[int] = []
+        at, before, dead = 0, -1, set()
+        levels: list = []
+        while True:
+            node, k, arcs = start, at, []
+            while k < n:
+                node = node.get(chunk[k])
+                if node is None:
+                    break
+                k += 1
+                if "" in node:
+                    arcs.append((k, node[""][1]))
+            while True:
+                while arcs:
+                    k, piece = arcs.pop()
+                    if k in dead:
+                        continue
+                    ok = True if before < 0 else known.get(before << 32 | piece)
+                    if pair(before, piece) if ok is None else ok:
+                        break
+                else:
+                    dead.add(at)
+                    at, before, arcs = levels.pop()
+                    out.pop()
+                    continue
+                break
+            out.append(piece)
+            if k == n:
+                return out
+            levels.append((at, before, arcs))
+            at, before = k, piece
+
     def merge_path(self, chunk: str) -> list[int]:
         """The shortest path through states (position, last piece); each position has one."""
         n, start, pair = len(chunk), self.arcs, self.pair
@@ -142,7 +181,7 @@ class Transducer:
         """Output ids of the shortest path of T composed with one chunk."""
         self.add_fallback(chunk)
         if self.pieces.merges:
-            return self.merge_path(chunk)
+            return self.stable_path(chunk) if chunk and self.unknown.isdisjoint(chunk) else self.merge_path(chunk)
         n, start = len(chunk), self.arcs
         best: list[float] = [0.0] + [float("inf")] * n
         last: list = [None] * (n + 1)

@@ -242,6 +242,24 @@ def test_transducer_equals_the_library(model, texts):
         assert t.decode(got) == x.replace("▁", " ")
 
 
+def test_a_chunk_is_not_searched_from_each_of_its_characters(model, texts):
+    """The lexicon is entered less than once for each character of a chunk, and the paths are those of the pass over all positions."""
+
+    class Root(dict):
+        entered = 0
+
+        def get(self, ch):
+            self.entered += 1
+            return super().get(ch)
+
+    t = transducer.Transducer(model)
+    t.arcs = root = Root(t.arcs)
+    found = {c for x in [*texts.values()][:40] for c in pieces.chunks(model.normalised(x)) if len(c) > 3}
+    paths = {c: t.path(c) for c in found}
+    assert root.entered < 0.8 * sum(map(len, found))
+    assert all(t.merge_path(c) == p for c, p in paths.items())
+
+
 def made_model(kind, rule, fallback, prefix=True):
     """A small model file put together by hand: its vocabulary is given, its map of characters is the library's of that name."""
     import sentencepiece as spm
