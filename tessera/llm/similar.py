@@ -10,7 +10,8 @@ A text has ``BANDS`` keys of ``ROWS`` least hashes each: texts of similarity s s
 then has all pairs compared that are not in one component by that. In a key of more, a crowd, texts without a link are compared with two
 other texts of the key, drawn anew each turn, as long as turns link some; the texts that remain in a crowd of copies fall by a factor a turn.
 That is for speed only. The exact way for the rest: of each crowd, the texts outside its largest component meet all crowded texts with
-which they share one of their rarest shingles. Of two texts that similar, one has a common shingle among the first ninth of its shingles,
+which they share one of their rarest shingles, in waves: pairs are dealt by hash to waves, each several times the one before, and in a wave only texts
+of different components meet. So a text that has its like among many meets some of them, and only one without meets all. Of two texts that similar, one has a common shingle among the first ninth of its shingles,
 rarest first, and the other among its first fifth, so no pair of crowded texts is lost; texts that have a ninth or more of their own,
 or that share a long passage only, meet nobody in a crowd.
 
@@ -38,6 +39,8 @@ BANDS, ROWS, CROWD = 20, 4, 48
 LEFT = 0.95
 #: Texts with a shingle that one task compares with the other texts with it.
 BLOCK = 1_000
+#: Texts of the largest crowd that a text meets in the first wave, about, and how much a wave grows.
+MEET, GROWTH = 64, 8
 #: Bits beyond which two fingerprints are not of similar texts: 64 acos(0.889) / pi = 9.7 are expected at a similarity of 0.8, with a deviation of 2.9.
 REACH = 26
 _FACTORS = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 11) | 1 for k in range(BANDS * ROWS)], np.uint64)
@@ -120,13 +123,13 @@ def _ordered(u: str, v: str) -> list:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _between(spark: SparkSession, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of a key of few texts that are neither in one component of ``found`` nor with the key's leader, which has met all; and crowded texts (_t, component, rest).
+def _between(spark: SparkSession, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (u, v) of a key of few texts that are neither in one component of ``found`` nor with the key's leader, which has met all; crowded texts (_t, component, rest); and links (u, v) of each text with its component.
 
     Those are the texts of the crowds that are not one component; rest tells those that are outside the largest one of a crowd.
     """
     scratch = Scratch(spark)
-    comp = components(spark, found).withColumnRenamed("node", "_t")
+    comp = scratch.write(components(spark, found).withColumnRenamed("node", "_t"), "comp")
     inside = scratch.write(rows.where("n > 2").join(comp, "_t", "left").withColumn("component", F.coalesce("component", "_t")), "inside")
     few = inside.where(F.col("n") <= CROWD).where("_t <> leader")
     told = lambda c: few.select("key", F.col("_t").alias(c), F.col("component").alias(f"_c{c}"))
@@ -135,11 +138,11 @@ def _between(spark: SparkSession, rows: DataFrame, found: DataFrame) -> tuple[Da
     sizes = many.groupBy("key", "component").agg(F.count("*").alias("m"))
     keys = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     crowded = many.join(shuffled(keys), "key").groupBy("_t").agg(F.any_value("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("rest"))
-    return pairs, scratch.write(crowded, "crowded")
+    return pairs, scratch.write(crowded, "crowded"), comp.select(F.col("_t").alias("u"), F.col("component").alias("v"))
 
 
-def _beyond(spark: SparkSession, held: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) with all pairs of ``similarity`` among the texts of ``held`` (id, _t, component, rest, size, _set) that are in two components and not both in the largest of their crowds.
+def _beyond(spark: SparkSession, held: DataFrame, similarity: float, parts: int, begin: int, end: int) -> DataFrame:
+    """(u, v) with all pairs of ``similarity`` among the texts of ``held`` (id, _t, component, rest, size, _set) that are in two components and not both in the largest of their crowds, and are dealt to the parts from ``begin`` to before ``end`` of ``parts``.
 
     Shingles are put in one order for all texts: those that no such pair can share, then the rarer first. Two texts of the similarity s have at
     least 2s / (1 + s) of the smaller's size, and s of the larger's, in common, so their first common shingle is among the first 1 - 2s / (1 + s) of the
@@ -152,28 +155,29 @@ def _beyond(spark: SparkSession, held: DataFrame, similarity: float) -> DataFram
     share = 2 * similarity / (1 + similarity)
     first = lambda part: F.col("size") - F.ceil(F.col("size") * part - 1e-6) + 1
     own = F.col("size") - F.size("_in")
-    begun = held.select("id", "component", "rest", "size").join(shuffled(lists), "id").withColumn("own", own).where(own < first(similarity))
-    begun = begun.select("id", "component", "rest", "size", "own", F.posexplode(F.slice("_in", 1, (first(similarity) - F.col("own")).cast("int"))).alias("p", "s"))
-    begun = begun.select("id", "component", "rest", "size", (F.col("own") + F.col("p")).alias("at"), F.col("s.token").alias("token")).withColumn("short", F.col("at") < first(share))
+    begun = held.select("id", "component", "rest", "size", F.pmod(F.xxhash64("_t"), F.lit(parts)).alias("place")).join(shuffled(lists), "id").withColumn("own", own).where(own < first(similarity))
+    begun = begun.select("id", "component", "rest", "size", "place", "own", F.posexplode(F.slice("_in", 1, (first(similarity) - F.col("own")).cast("int"))).alias("p", "s"))
+    begun = begun.select("id", "component", "rest", "size", "place", (F.col("own") + F.col("p")).alias("at"), F.col("s.token").alias("token")).withColumn("short", F.col("at") < first(share))
     begun = scratch.write(begun, "begun")
     counted = begun.groupBy("token").agg(F.count_if("short").alias("n"), F.count("*").alias("all"), F.bool_or("rest").alias("any")).where("n > 0 and all > 1 and any")
     counted = scratch.write(counted.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "tokens")
     named = begun.join(shuffled(counted), "token")
-    told = lambda c: [F.col(k).alias(f"_{k}{c}") for k in ("component", "size", "at")]
+    told = lambda c: [F.col(k).alias(f"_{k}{c}") for k in ("component", "size", "at", "place")]
     # Texts of the largest components need not meet each other: a short one of these meets the rest only.
     short = named.where("short").select("token", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("rest").alias("wide"), F.col("id").alias("a"), *told("a"))
     long_ = named.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.explode(F.when(F.col("rest"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("wide"), F.col("id").alias("b"), *told("b"))
     smaller = F.struct("_sizea", "a") < F.struct("_sizeb", "b")
     after = F.least(F.col("_sizea") - F.col("_ata"), F.col("_sizeb") - F.col("_atb"))
     enough = (F.col("_sizea") >= F.col("_sizeb") * similarity - 1e-6) & (after >= (F.col("_sizea") + F.col("_sizeb")) * (share / 2) - 1e-6)
-    pairs = short.join(shuffled(long_), ["token", "block", "wide"]).where("_componenta <> _componentb").where(smaller).where(enough)
+    dealt = ((F.col("_placea") + F.col("_placeb")) % parts).between(begin, end - 1)
+    pairs = short.join(shuffled(long_), ["token", "block", "wide"]).where("_componenta <> _componentb").where(smaller).where(dealt).where(enough)
     pairs = scratch.write(pairs.select("a", "b").distinct(), "beyond")
     name = lambda c, d: held.select(F.col("id").alias(c), F.col("_t").alias(d))
     return pairs.join(name("a", "x"), "a").join(name("b", "y"), "b").select(*_ordered("x", "y"))
 
 
 def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): pairs of distinct texts (_t) whose similarity was computed and reaches ``similarity``; enough of them to make their components."""
+    """(u, v): pairs of texts (_t) whose components are those of all pairs of distinct texts that reach ``similarity``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     table = scratch.write(simhash.pivot_table(classes.select("_fp").distinct(), simhash.references()), "pivots")
@@ -211,12 +215,16 @@ def links(docs: DataFrame, classes: DataFrame, text: str, shingle: int, similari
         before, order = left, F.xxhash64("_t", F.lit(turn))
         leaders = crowd.groupBy("key").agg(F.min_by("_t", order).alias("a"), F.max_by("_t", order).alias("b")).select("key", F.explode(F.array("a", "b")).alias("v"))
         found = found.union(alike(near(alone.join(leaders, "key").where("_t <> v").select(*_ordered("_t", "v"))), sets))
-    pairs, crowded = _between(spark, rows, found)
-    if crowded.limit(1).count():
+    parts = -(-(rows.agg(F.max("n")).first()[0] or 0) // MEET)
+    begin, end = 0, 1
+    pairs, crowded, stars = _between(spark, rows, found)
+    while begin < parts and crowded.limit(1).count():
         held = crowded.join(sets, "_t").select(F.monotonically_increasing_id().alias("id"), "_t", "component", "rest", F.size("_set").alias("size"), "_set")
-        found = found.union(alike(near(_beyond(spark, scratch.write(held, "held"), similarity)), sets))
+        more = alike(near(_beyond(spark, scratch.write(held, "held"), similarity, parts, begin, end)), sets)
+        begin, end = end, end * GROWTH
+        pairs, crowded, stars = _between(spark, rows, stars.union(more))
     pairs = near(pairs)
-    return found.union(alike(pairs, sets_of(pairs)))
+    return stars.union(alike(pairs, sets_of(pairs)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -129,3 +129,27 @@ def test_a_crowd_of_unlike_texts_makes_no_pairs(spark, monkeypatch):
     got, _ = run(spark, rows)
     assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == brute(rows)
     assert sum(compared) < 20 * len(rows)
+
+
+def test_a_text_that_has_its_like_in_a_crowd_does_not_meet_all_of_it(spark, monkeypatch):
+    """Texts two words off a base, few one word off, and some three words off, which are like the few only. Such a text, once it has met one of these, meets no more of their component."""
+    monkeypatch.setattr(similar, "CROWD", 6)
+    monkeypatch.setattr(similar, "LEFT", 0)
+    compared, write = [], similar.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "beyond":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar.Scratch, "write", counted)
+    r, rows = random.Random(3), []
+    for i, off in enumerate([2] * 600 + [1] * 8 + [3] * 150):
+        w = [f"w{k}" for k in range(200)]
+        for k in r.sample(range(5, 195), off):
+            w[k] = f"z{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got, _ = run(spark, rows)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(brute(rows))
+    assert 0 < sum(compared) < 2_500, compared
