@@ -115,12 +115,13 @@ def clean_text(x: Column) -> Column:
     return F.concat(F.regexp_replace(T.article_body(x), r"^\s+", ""), F.lit("\n"))
 
 
-def extract(fetched: DataFrame, main_text: Column, pdf_text: Column | None = None) -> DataFrame:
+def extract(fetched: DataFrame, main_text: Column, pdf_text: Column | None = None, main_size: Column | None = None) -> DataFrame:
     """fetched with title, canonical, text and error: one of them null.
 
     fetched: body (decoded), content_type, kind, url. main_text is the main text of an HTML body,
     pdf_text that of a PDF (null: unreadable); both are the caller's. A body is PDF, HTML, other text,
-    or unsupported, in this order.
+    or unsupported, in this order. main_size is what a main text has to have LEAST of (null: none);
+    unless given, the characters of the cleaned text.
     """
     kind, body = media_type(F.col("content_type")), F.coalesce(F.col("body"), F.lit(""))
     pdf = (kind == "application/pdf") | body.startswith("%PDF-")
@@ -130,6 +131,7 @@ def extract(fetched: DataFrame, main_text: Column, pdf_text: Column | None = Non
     r = fetched.withColumn("_form", F.when(pdf, "pdf").when(html, "html").when(plain, "text").otherwise("other"))
     r = r.withColumn("_got", clean_text(F.when(F.col("_form") == "pdf", none if pdf_text is None else pdf_text).when(F.col("_form") == "html", F.coalesce(main_text, F.lit(""))).when(F.col("_form") == "text", body)))
     size = F.length("_got")  # one line feed is always there
+    said = size - 1 if main_size is None else F.coalesce(main_size, F.lit(0))
     low = F.lower("_got")
     marks = sum((low.contains(m).cast("int") for m in SHELL_MARKS), F.lit(0))
     error = (
@@ -138,7 +140,7 @@ def extract(fetched: DataFrame, main_text: Column, pdf_text: Column | None = Non
         .when((F.col("_form") == "pdf") & (F.length("_got") > MOST), "text_too_large")
         .when((F.col("_form") == "pdf") & (size - 1 < LEAST), "pdf_no_text_layer")
         .when((F.col("_form") == "html") & (F.col("kind") == "video"), "video_transcript_unavailable")
-        .when((F.col("_form") == "html") & (size - 1 < LEAST), "extraction_empty_or_client_rendered")
+        .when((F.col("_form") == "html") & (said < LEAST), "extraction_empty_or_client_rendered")
         .when((F.col("_form") == "html") & (F.length("_got") < 2000) & (marks >= 2), "extraction_client_rendered_shell")
         .when((F.col("_form") == "text") & (F.col("_got") == "\n"), "text_empty")
     )

@@ -666,3 +666,26 @@ def test_roots_and_paths_leave_leaves_out_of_the_rounds(spark, monkeypatch):
     o = events.forest_order(spark, spark.createDataFrame(rows, "root long, post_id long, parent_id long, relation string, published timestamp"))
     assert {r.post_id: r.shown_depth for r in o.collect()} == {1: 0, 2: 1, 3: 2} | {10 + k: 3 for k in range(50)}
     assert max(n for name, n in written if name == "paths") == 2
+
+
+def test_main_texts_are_judged_by_the_size_that_the_caller_gives(spark, tmp_path):
+    """At the least size, texts of which cleaning takes a character, or to which it adds one: the query counts as its SQL does, the operator by itself what is left."""
+    import duckdb
+
+    from tessera.operators import extraction
+    from tessera.plans import catalog
+
+    taken = [x + "x" * (80 - len(x)) for x in ("e\u0301", "a \n", "a\r\n", "a\t\n", "\f")]
+    texts = ["x" * 79, "x" * 80, " \n" + "x" * 79 + "\r\n\t", *taken, "\u0958" + "x" * 78]
+    rows = [(12 * k + i, t, "en", "s", len(t)) for k, t in enumerate(texts) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "error", "title", "canonical", "charset", "has_text"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()['extracted_bodies']}) ORDER BY doc_id").fetchall()
+    got = catalog.queries()["extracted_bodies"](spark, str(tmp_path)).orderBy("doc_id").select(columns)
+    assert [tuple(r) for r in got.collect()] == want
+    pages = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k long, main string").withColumns({"body": F.lit("<html>"), "content_type": F.lit("text/html"), "kind": F.lit("other"), "url": F.lit("https://h.example/")})
+    short = lambda **size: {r.k for r in extraction.extract(pages, F.col("main"), **size).where("error = 'extraction_empty_or_client_rendered' and text is null").collect()}
+    assert short() == {0, 2, 3, 4, 5, 6, 7, 9}
+    assert short(main_size=F.length("main")) == {0, 8, 9}
